@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding
+from . import bpe, langid, quality, sharding, substrings
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return quality.apply_cascade(docs, quality.plan_cascade(docs)).drop("failed_rule")
@@ -40,12 +45,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op4_quality_rules, op8_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_quality_rules, op8_language_id, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
+g AS (SELECT rid, i, sha256(array_to_string(w[i:i+34], ' ')) AS s FROM d, unnest(range(1, greatest(1, len(w) - 33))) AS t(i)),
+r AS (SELECT rid, i, count(*) OVER (PARTITION BY s) AS c FROM g),
+h AS (SELECT DISTINCT rid, i + j AS p FROM r, range(35) AS t(j) WHERE c > 1),
+u AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN h USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
 b AS (SELECT doc_id, text, w, len(w) AS n,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, substrings
+from . import bpe, langid, lines, quality, sharding, substrings
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_cascade(docs, quality.plan_cascade(docs)).drop("failed_rule")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -45,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_quality_rules, op8_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_quality_rules, op7_line_dedup, op8_language_id, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -60,6 +65,17 @@ u AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 k AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN h USING (rid, p) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (rid)""",
+    "op7_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, sha256(coalesce(doc_id::VARCHAR, '') || chr(1) || text) AS rid FROM documents),
+l AS (SELECT rid, doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS f FROM (SELECT DISTINCT rid, doc_id, text FROM d WHERE text IS NOT NULL),
+        unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(x, i)),
+n AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS p FROM l WHERE f),
+w AS (SELECT rid, doc_id, p, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS s FROM n WINDOW o AS (PARTITION BY rid ORDER BY p)),
+r AS (SELECT rid, p, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, p) AS k FROM w WHERE s IS NOT NULL),
+h AS (SELECT DISTINCT rid, p + j AS p FROM r, range(3) AS t(j) WHERE k > 1),
+a AS (SELECT l.rid, l.i, l.x, l.f, h.p IS NOT NULL AS g FROM l LEFT JOIN n ON n.rid = l.rid AND n.i = l.i LEFT JOIN h ON h.rid = l.rid AND h.p = n.p),
+k AS (SELECT rid, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT g), '') AS kept, count(*) FILTER (f) AS n, count(*) FILTER (g) AS m FROM a GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM d LEFT JOIN k USING (rid)""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),
 b AS (SELECT doc_id, text, w, len(w) AS n,

@@ -185,6 +185,21 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def winnowed(hashes: np.ndarray, owner: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of k that are least of some w in succession within one text."""
+    g = grams(hashes, k)
+    ok = whole(owner, k + w - 1)
+    if not ok.any():
+        return np.zeros(0, np.int64), g[:0]
+    low = window_minima(g, w)
+    chosen = np.zeros(len(g), dtype=bool)
+    for j in range(w):  # of equal minima all are kept, so that what is kept depends on the hashes alone
+        at = np.flatnonzero(ok & (g[j : j + len(low)] == low))
+        chosen[at + j] = True
+    at = np.flatnonzero(chosen)
+    return at, g[at]
+
+
 def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which values are in a sorted table."""
     if not len(table):

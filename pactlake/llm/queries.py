@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, quality, sharding, substrings
+from . import bpe, decontaminate, langid, lines, quality, sharding, substrings, warc
+from .storage import new_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +24,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return quality.apply_cascade(docs, quality.plan_cascade(docs)).drop("failed_rule")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"))
+    out = warc.read_archives(files, with_payload=False)
+    number = lambda c: F.col(c).cast("bigint").alias("page_id" if c == "record_id" else c)
+    return out.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -50,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op4_quality_rules, op7_line_dedup, op8_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op6_warc, op7_line_dedup, op8_language_id, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -65,6 +79,23 @@ u AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 k AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN h USING (rid, p) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (rid)""",
+    "op3_decontamination": r"""
+WITH x AS (SELECT *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS rid, doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, NULL, item_id, text FROM benchmark)),
+n AS (SELECT item_id, least(len(w), 10) AS n, i FROM x, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE rid IS NULL AND len(w) > 0),
+b AS (SELECT DISTINCT n.item_id, n.n, array_to_string(w[i:i+n.n-1], ' ') AS s FROM n JOIN x ON x.item_id = n.item_id AND x.rid IS NULL),
+g AS (SELECT rid, n, i, array_to_string(w[i:i+n-1], ' ') AS s FROM x, (SELECT DISTINCT n FROM b), unnest(range(1, greatest(1, len(w) - n + 2))) AS t(i) WHERE rid IS NOT NULL),
+m AS (SELECT rid, g.n, i, item_id FROM g JOIN b USING (n, s)),
+h AS (SELECT rid, count(DISTINCT i + j) AS n_hit FROM m, range(10) AS t(j) WHERE j < n GROUP BY rid),
+k AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM m) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM x LEFT JOIN h USING (rid) LEFT JOIN k USING (rid) WHERE rid IS NOT NULL""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM t""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, sha256(coalesce(doc_id::VARCHAR, '') || chr(1) || text) AS rid FROM documents),
 l AS (SELECT rid, doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS f FROM (SELECT DISTINCT rid, doc_id, text FROM d WHERE text IS NOT NULL),

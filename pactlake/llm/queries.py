@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, quality, sharding, substrings, warc
+from . import bpe, decontaminate, jaccard, langid, lines, quality, sharding, substrings, warc
 from .storage import new_path
 
 
@@ -54,6 +54,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_docs(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode_documents(_docs(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -64,7 +68,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op6_warc, op7_line_dedup, op8_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op6_warc, op7_line_dedup, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"

@@ -224,10 +224,14 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, n_shingles, component_id of each row; sets link from a Jaccard similarity of num / den on."""
+    """id, n_shingles, component_id, rid (xxhash64 of id and text) and is_first of each row.
+
+    Sets link from a Jaccard similarity of num / den on. is_first holds for one rid of
+    each component, that of its least id, and for all texts without words.
+    """
     keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("rid"), F.col(text).alias("text"))
     rows = saved(_summaries(keyed, k), "summaries")
-    classes = saved(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
+    classes = saved(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")), "classes")
     others = rows.filter("n > 0").join(classes, ["n", "s1", "s2"]).filter("rid != rep").select("rid").distinct()
     others = saved(others, "others")
     parted = bit_filter(others, "rid")(keyed)
@@ -237,8 +241,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     roots = components(_links(sets, num, den))
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = saved(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("n", "s1", "s2", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    named = named.drop("least").join(least, "root").select("n", "s1", "s2", "least")
     out = rows.join(named, ["n", "s1", "s2"], "left")
-    alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least.id"))
+    first = (F.col("n") == 0) | (F.col("rid") == F.col("least.rid"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), "rid", first.alias("is_first"))

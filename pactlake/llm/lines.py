@@ -18,7 +18,7 @@ is a row a line at most: a run in n places makes n rows and no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +68,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64), (offsets - offsets[0]).astype(np.int64)
 
 
-def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs with `text` cut, and n_lines and n_removed, filled lines before and those that went."""
-    columns, w = docs.columns, guarantee - k + 1
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(id, text).alias("rid"))
+def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep`, the text cut as `cut`, and n_lines and n_removed, filled lines before and those that went."""
+    w = guarantee - k + 1
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(id, text).alias("rid"))
     kind = docs.schema[id].dataType.simpleString()
     lines = saved(hashed_lines(keyed).dropDuplicates(["rid"]), "lines")
 
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "te
     clean = parted.filter(~F.col("maybe")).select("row", "text", F.lit(None).cast("array<int>").alias("later"))
     hit = parted.filter("maybe").join(later, "rid", "left").select("row", "text", "later")
     out = clean.mapInArrow(cut, schema).unionByName(hit.mapInArrow(cut, schema))
-    return out.select(*(F.col("cut").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns), "n_lines", "n_removed")
+    return out.select("row.*", "cut", "n_lines", "n_removed")
 
 
 def _without(text: str | None, starts: list[int] | None, run: int) -> tuple[str | None, int, int]:

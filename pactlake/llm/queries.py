@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, lines, quality, sharding, substrings, warc
+from . import bpe, decontaminate, jaccard, langid, lines, lmscore, quality, sharding, substrings, warc
 from .storage import new_path
 
 
@@ -35,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_cascade(docs, quality.plan_cascade(docs)).drop("failed_rule")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    out = lmscore.score_documents(_docs(spark, sf_dir), good)
+    return out.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("loss_target", "loss_background", "score")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"))
     out = warc.read_archives(files, with_payload=False)
@@ -43,8 +49,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = lines.dedup_lines(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("cut").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_docs(spark, sf_dir))
+    return jaccard.jaccard_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +73,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it uses the operators of this subpackage, so it comes when they are there
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op6_warc, op7_line_dedup, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
+    return {f.__name__: f for f in (pipeline, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"

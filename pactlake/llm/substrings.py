@@ -29,7 +29,7 @@ from .storage import free_shuffles, saved
 from .textkit import NON_SPACE, Texts, Words, cover, grams, planes, slices, unplanes, whole
 
 #: Probes that a task packs at once.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Bits of the filter that parts texts without an anchor from the others: 8 MB for any input. When
 #: many texts are touched more pass it than need to, which costs a shuffle and changes nothing.
 FILTER_BITS = 1 << 26

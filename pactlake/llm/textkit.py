@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled together; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes hashed together; longer words are hashed by blake2b.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 256 << 10
 
 _WS = np.ones(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = False

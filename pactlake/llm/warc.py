@@ -49,7 +49,8 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, size:
     """One gzip member: a response with its payload, or a revisit with the HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     headers = [("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", f"<urn:page:{page or _NO_ID}>"), ("WARC-Date", date)]
-    headers += [("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]"))] * (url is not None)
+    if url is not None:
+        headers.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
     headers += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] * bool(refers_to)
     headers += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     return _member(headers, http if refers_to else http + payload, level)

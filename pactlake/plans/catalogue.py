@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clauses
+from . import clauses, portfolio
 
-_MODULES = (clauses,)
+_MODULES = (clauses, portfolio)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clauses, portfolio
+from . import clauses, portfolio, textual
 
-_MODULES = (clauses, portfolio)
+_MODULES = (clauses, portfolio, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,47 @@
+"""The session: a builder for tests and small machines, the checkpoint folder, and this package on the executors."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
+    """A session on this machine alone."""
+    return (
+        SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.driver.memory", memory)
+        .config("spark.sql.shuffle.partitions", str(partitions or cores))
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the folder in spark.checkpoint.dir; where none is set and Spark runs on this machine alone, one of our own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder")
+            at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once a session."""
+    if spark.conf.get("spark.pactlake.shipped", None) == spark.sparkContext.applicationId:
+        return
+    root = Path(__file__).resolve().parent.parent
+    with tempfile.TemporaryDirectory() as folder:
+        at = Path(folder) / "pactlake.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for p in sorted((root / "pactlake").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        spark.sparkContext.addPyFile(str(at))
+        spark.conf.set("spark.pactlake.shipped", spark.sparkContext.applicationId)

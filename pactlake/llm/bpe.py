@@ -27,6 +27,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 #: Pieces whose ids are remembered by a worker, twice.
 CACHE_PIECES = 500_000
 #: Pieces of a text handled at once.
@@ -216,6 +218,7 @@ def _shared_lines(sc: SparkContext, path: str):
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The columns of `keep` and the ids of each text, an array of int."""
+    small_batches(docs.sparkSession)
     lines = _shared_lines(docs.sparkSession.sparkContext, path)
     source = docs.select(*keep, F.col(text).alias("__text"))
     fields = source.schema.fields[:-1]
@@ -237,6 +240,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
 def decode_documents(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",), out: str = "decoded") -> DataFrame:
     """The columns of `keep` and the bytes that the ids stand for."""
+    small_batches(coded.sparkSession)
     lines = _shared_lines(coded.sparkSession.sparkContext, path)
     source = coded.select(*keep, F.col(ids).alias("__ids"))
     fields = source.schema.fields[:-1]

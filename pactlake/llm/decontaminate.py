@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import saved, small_batches
 from .textkit import ALNUM, Words, cover, grams, slices, whole, winnowed
 
 BLOCK_BYTES = 32 << 20
@@ -148,6 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     """The columns of `keep`, n_words, n_hit, spans and items (ids as strings, sorted) of each document."""
     if window <= K:
         raise ValueError(f"window must be over {K}")
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n = max(1, -(-total // block_bytes))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textkit import LOWER, Texts, slices
 
 DIMENSIONS = 4096
@@ -88,6 +89,7 @@ def _spherical(v: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndar
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", clusters: int = 3, sample_rows: int = 3000, reject_share: float = 0.002) -> Model:
     """Learns from all rows with a label; sample_rows bounds those that the clustering sees."""
+    small_batches(train.sparkSession)
     rows = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(id, text).alias("h"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +136,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str | Column] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, lang_pred, score (the cosine) and rejected of each row."""
+    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).alias("__text"))
     fields = source.schema.fields[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of dimensions for each centroid

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import free_shuffles, saved
+from .storage import free_shuffles, saved, small_batches
 from .substrings import bit_filter
 from .textkit import NON_SPACE, Texts, Words, cover, grams, slices, whole, winnowed
 
@@ -70,6 +70,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, the text cut as `cut`, and n_lines and n_removed, filled lines before and those that went."""
+    small_batches(docs.sparkSession)
     w = guarantee - k + 1
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(id, text).alias("rid"))
     kind = docs.schema[id].dataType.simpleString()

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textkit import NON_SPACE, Texts, Words, cover, grams, mix, slices, whole
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -181,6 +182,7 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
 
 def apply_cascade(docs: DataFrame, ordered: Sequence[Rule], text: str = "text", keep: Sequence[str] = ("doc_id",), base: bool = True) -> DataFrame:
     """The columns of `keep`, the base columns if `base`, base_failed, kept and failed_rule of each row."""
+    small_batches(docs.sparkSession)
     ordered = list(ordered)
     of_docs = docs.select(*keep, F.col(text).alias("__text"))
     fields = [*(f for f in of_docs.schema.fields[:-1])]

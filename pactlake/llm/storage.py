@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set and Spark runs on this machine alone, one of our own."""
@@ -30,6 +33,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python workers a few megabytes at a time, unless the session already says less."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()

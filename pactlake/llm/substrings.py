@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import free_shuffles, saved
+from .storage import free_shuffles, saved, small_batches
 from .textkit import NON_SPACE, Texts, Words, cover, grams, planes, slices, unplanes, whole
 
 #: Probes that a task packs at once.
@@ -195,6 +195,7 @@ def _kept(words: Words, gone: np.ndarray) -> bytes:
 
 def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_words, n_removed and kept, the words that no repeated window covers, of each row."""
+    small_batches(docs.sparkSession)
     block, parts = (window + 1) // 2, _parts(docs.sparkSession)
     keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("rid"), F.col(text).alias("text"))
 

@@ -1,0 +1,48 @@
+"""Command line: `python -m pactlake.cli conflicts SF_DIR [--markdown FILE]`, `... query NAME SF_DIR [--rows N]`, `... list`."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pactlake.operators import pair_checks, sinks
+from pactlake.plans import catalogue, textual
+from pactlake.session import local_session
+
+
+def main(argv: list[str] | None = None) -> int:
+    p = argparse.ArgumentParser(prog="pactlake")
+    sub = p.add_subparsers(dest="what", required=True)
+    c = sub.add_parser("conflicts")
+    c.add_argument("folder")
+    c.add_argument("--markdown")
+    c.add_argument("--limit", type=int, default=100)
+    q = sub.add_parser("query")
+    q.add_argument("name")
+    q.add_argument("folder")
+    q.add_argument("--rows", type=int, default=20)
+    sub.add_parser("list")
+    a = p.parse_args(argv)
+    if a.what == "list":
+        print(*sorted(catalogue.queries()), sep="\n")
+        return 0
+    spark = local_session()
+    if a.what == "query":
+        found = catalogue.queries().get(a.name)
+        if found is None:
+            print(f"no query {a.name}", file=sys.stderr)
+            return 2
+        found(spark, a.folder).show(a.rows, truncate=False)
+        return 0
+    merged = pair_checks.merge_conflicts(pair_checks.check_pairs(*textual._findings(spark, a.folder)))
+    report = sinks.markdown_report(pair_checks.report(merged, a.limit))
+    if a.markdown:
+        with open(a.markdown, "w") as f:
+            f.write(report)
+    else:
+        print(report)
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -60,4 +60,4 @@ def family_suppressed(pairs: DataFrame, contracts: DataFrame) -> DataFrame:
     b = contracts.select(F.col("contract_id").alias("contract_id_b"), F.col("family_id").alias("family_b"), F.col("amends_contract_id").alias("amends_b"))
     both = pairs.join(a, "contract_id_a", "left").join(b, "contract_id_b", "left")
     related = F.coalesce((F.col("family_a") == F.col("family_b")) & ((F.col("amends_a") == F.col("contract_id_b")) | (F.col("amends_b") == F.col("contract_id_a")) | False), F.lit(False))
-    return both.filter(~related).drop("family_a", "family_b", "amends_a", "amends_b")
+    return both.filter(~related).select(*pairs.columns)

@@ -1,9 +1,9 @@
-"""The session: a builder for tests and small machines, the checkpoint folder, and this package on the executors."""
+"""The session: a builder for tests and small machines, the checkpoint folder, and where workers find this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,14 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once a session."""
-    if spark.conf.get("spark.pactlake.shipped", None) == spark.sparkContext.applicationId:
-        return
-    root = Path(__file__).resolve().parent.parent
-    with tempfile.TemporaryDirectory() as folder:
-        at = Path(folder) / "pactlake.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for p in sorted((root / "pactlake").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        spark.sparkContext.addPyFile(str(at))
-        spark.conf.set("spark.pactlake.shipped", spark.sparkContext.applicationId)
+    """Lets Python workers on machines that see this folder import the package; elsewhere submit it with --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)

@@ -112,6 +112,17 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS p
 t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM t""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i+3], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) JOIN r ON r.rid = d.rid JOIN d o ON o.rid = r.other GROUP BY d.rid, d.doc_id""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, sha256(coalesce(doc_id::VARCHAR, '') || chr(1) || text) AS rid FROM documents),
 l AS (SELECT rid, doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS f FROM (SELECT DISTINCT rid, doc_id, text FROM d WHERE text IS NOT NULL),

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import free_shuffles, saved, small_batches
-from .textkit import NON_SPACE, Texts, Words, cover, grams, planes, slices, unplanes, whole
+from .textkit import NON_SPACE, Texts, Words, cover, grams, mix, planes, slices, unplanes, whole
 
 #: Probes that a task packs at once.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Bits of the filter that parts texts without an anchor from the others: 8 MB for any input. When
 #: many texts are touched more pass it than need to, which costs a shuffle and changes nothing.
 FILTER_BITS = 1 << 26
@@ -99,20 +99,17 @@ def _summed(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sums - np.repeat(sums[first] - steps[first], sizes)
 
 
-def _positions(bodies: Sequence[bytes] | None) -> np.ndarray:
-    """Sorted positions from what `_lookup` found for a text."""
-    found = [np.cumsum(unplanes(b, len(b) // 4, 4).astype(np.int64)) for b in bodies or ()]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+def _positions(body: bytes | None) -> np.ndarray:
+    """Sorted positions from what `_found` has for a text."""
+    return np.cumsum(unplanes(body, len(body) // 4, 4).astype(np.int64)) if body else np.zeros(0, np.int64)
 
 
-def _lookup(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Finds, in partitions sorted by kind, the probes whose hash is indexed and starts in two places."""
+def _lookup(width: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Finds, in partitions sorted by kind, the probes whose hash is indexed and starts in two places, and routes them by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, summaries, index, twice = None, [], None, None
+        pid, summaries, index, twice, out = None, [], None, None, Router(parts, 0)
         for batch in batches:
-            out_rid: list[int] = []
-            out_body: list[bytes] = []
             for p, kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 body = body.as_py()
                 if p != pid:
@@ -137,19 +134,38 @@ def _lookup(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     twice[at[hit]] = True
                 else:
                     hit &= twice[at]
-                if not hit.any():
-                    continue
-                run_of = np.repeat(np.arange(len(rid)), sizes)[hit]
-                where = pos[hit]
-                first = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
-                for a, b in zip(first, np.append(first[1:], len(where)), strict=True):
-                    out_rid.append(int(rid[run_of[a]]))
-                    out_body.append(planes(np.diff(where[a:b], prepend=0), 4))
-            yield pa.RecordBatch.from_arrays([pa.array(out_rid, pa.int64()), pa.array(out_body, pa.binary())], ["rid", "body"])
+                if hit.any():
+                    found = np.repeat(rid, sizes)[hit]
+                    out.add(np.zeros(len(found), np.uint64), found, pos[hit], np.zeros(len(found), bool), mix(found.view(np.uint64)))
+                if out.n >= FLUSH:
+                    yield from out.flush()
+        yield from out.flush()
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with its positions in order."""
+    rids, places = [], []
+    for batch in batches:
+        for body in batch.column(2):
+            rid, sizes, pos, _ = _unpack(body.as_py(), 0)
+            rids.append(np.repeat(rid, sizes))
+            places.append(pos.astype(np.int32))
+    if not rids:
+        return
+    rid, pos = np.concatenate(rids), np.concatenate(places)
+    order = np.lexsort((pos, rid))
+    rid, pos = rid[order], pos[order]
+    new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1])])
+    rid, pos = rid[new], pos[new]
+    first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+    for at in range(0, len(first), 1000):
+        cuts = np.append(first, len(rid))[at : at + 1001]
+        bodies = [planes(np.diff(pos[a:b], prepend=np.int32(0)), 4) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(rid[cuts[:-1]]), pa.array(bodies, pa.binary())], ["rid", "body"])
+
+
 def _merged(summaries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(np.concatenate([k for k, _ in summaries]), return_inverse=True)
     return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in summaries]), minlength=len(keys)).astype(np.int64)
@@ -161,9 +177,10 @@ def _parts(spark: SparkSession) -> int:
 
 def _found(routed: DataFrame, width: int, name: str) -> DataFrame:
     """rid and the packed positions found in its text, a row a text."""
-    dealt = routed.repartitionById(_parts(routed.sparkSession), F.col("pid")).sortWithinPartitions("pid", "kind")
-    hits = dealt.mapInArrow(_lookup(width), _FOUND)
-    out = saved(hits.groupBy("rid").agg(F.collect_list("body").alias("bodies")), name)
+    parts = _parts(routed.sparkSession)
+    dealt = routed.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "kind")
+    hits = dealt.mapInArrow(_lookup(width, parts), _ROUTED).repartitionById(parts, F.col("pid"))
+    out = saved(hits.mapInArrow(_gather, _FOUND), name)
     free_shuffles(routed.sparkSession)
     return out
 
@@ -260,10 +277,10 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", id:
     parted = bit_filter(anchors, "rid")(keyed)
     near = saved(parted.filter("maybe").drop("maybe").join(anchors, "rid", "left"), "anchored")
     free_shuffles(docs.sparkSession)
-    repeats = _found(near.filter(F.col("bodies").isNotNull()).select("rid", "text", "bodies").mapInArrow(windows, _ROUTED), 8, "repeats")
+    repeats = _found(near.filter(F.col("body").isNotNull()).select("rid", "text", "body").mapInArrow(windows, _ROUTED), 8, "repeats")
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
     clean = parted.filter(~F.col("maybe")).select("id", "text").mapInArrow(untouched, schema)
-    cut = near.drop("bodies").join(repeats, "rid", "left").select("id", "text", "bodies").mapInArrow(touched, schema)
+    cut = near.drop("body").join(repeats, "rid", "left").select("id", "text", "body").mapInArrow(touched, schema)
     return clean.unionByName(cut).withColumnRenamed("id", id)
 
 

@@ -2,10 +2,13 @@
 
 A text's set is its distinct k-word shingles; texts of equal sets are one class, and
 one text stands for it. Sets that reach the threshold share a token among the first
-n - ceil(t n) + 1 in any order of tokens. Here all orders put tokens that are
-frequent in the corpus last and differ in how they hash the others; where the list
-of frequent tokens ends changes no result. Texts are grouped by shared prefix
-tokens of the first order, and only components are asked for, so that
+n - ceil(t n) + 1 in any order of tokens. Here all orders put tokens first that no
+other text has and tokens that are frequent last, and differ in how they hash
+tokens of equal rank. A text whose prefix has only tokens of its own links with
+nothing. Which tokens others have is looked up, exactly, for each fourth token of
+all texts, then for all tokens of the texts that are left, twice. Texts still left
+are grouped by shared prefix tokens of the first order, and only components are
+asked for, so that
 
 1. in each group all texts are compared with one leader, for two kinds of leaders;
 2. groups whose texts are all in one component are done; in the others, pairs of
@@ -22,7 +25,7 @@ Repeated rows link with each other if they have a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import free_shuffles, saved
-from .substrings import Router, _found, _parts, _positions, _ROUTED, bit_filter
+from .storage import free_shuffles, saved, small_batches
+from .substrings import FLUSH, Router, _found, _parts, _positions, _ROUTED, bit_filter
 from .textkit import NON_SPACE, Texts, Words, grams, mix, slices, whole
 
 #: Shingles counted together, the count from which a task tells of one, and the longest list of frequent ones.
@@ -57,39 +60,54 @@ def shingle_sets(texts: Texts, k: int) -> Iterator[np.ndarray]:
             yield grams(h[words.bounds[i] : words.bounds[i + 1]], int(n)) if n else g[:0]
 
 
+def fourth(s: np.ndarray) -> np.ndarray:
+    """The tokens that are looked up in all texts."""
+    return s[mix(s ^ _SALT[3]) >> np.uint64(62) == 0]
+
+
 class Order:
-    """A global order of tokens: by frequency class, then by a hash of the token."""
+    """Global orders of tokens: those of one text first, then by frequency, then by a hash."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens)
         self.tokens, self.counts = tokens[at], counts[at]
 
-    def prefix(self, s: np.ndarray, j: int, num: int, den: int) -> np.ndarray:
-        """The first tokens of a set in order j, enough that linked sets share one."""
-        p = len(s) - -(-num * len(s) // den) + 1
-        key = mix(s ^ _SALT[j])
+    def prefix(self, s: np.ndarray, shared: bytes | None, j: int, num: int, den: int) -> np.ndarray:
+        """Of the first tokens of a set in order j, so many that linked sets share one, those that other texts have too.
+
+        shared: the places in the set of the tokens that other texts have.
+        """
+        others = s[_positions(shared)]
+        left = prefix_size(len(s), num, den) - (len(s) - len(others))
+        if left <= 0:
+            return others[:0]
+        often = np.zeros(len(others), dtype=np.int64)
         if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            often = np.where(self.tokens[at] == s, self.counts[at], 0)
-            return s[np.lexsort((key, often))[:p]]
-        return s[np.argsort(key)[:p]]
+            at = np.minimum(np.searchsorted(self.tokens, others), len(self.tokens) - 1)
+            often = np.where(self.tokens[at] == others, self.counts[at], 0)
+        return others[np.lexsort((mix(others ^ _SALT[j]), often))[:left]]
+
+
+def prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
 
 
 def _summaries(keyed: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column(2)):
-                n, a, b = [], [], []
+                n, looked, a, b = [], [], [], []
                 for s in shingle_sets(texts, k):
                     n.append(len(s))
+                    looked.append(len(fourth(s)))
                     a.append(int(mix(s ^ _SALT[0]).sum(dtype=np.uint64)))
                     b.append(int(mix(s ^ _SALT[1]).sum(dtype=np.uint64)))
                 part = batch.slice(texts.first, len(texts))
                 sums = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), *sums], ["rid", "id", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(looked, pa.int64()), *sums], ["rid", "id", "n", "looked", "s1", "s2"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.select("rid", "id", "text").mapInArrow(run, f"rid bigint, id {kind}, n bigint, s1 bigint, s2 bigint")
+    return keyed.select("rid", "id", "text").mapInArrow(run, f"rid bigint, id {kind}, n bigint, looked bigint, s1 bigint, s2 bigint")
 
 
 def _frequent(reps: DataFrame, k: int) -> Order:
@@ -115,71 +133,104 @@ def _frequent(reps: DataFrame, k: int) -> Order:
     return Order(found.token.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64))
 
 
-def _candidates(reps: DataFrame, order: Broadcast, k: int, num: int, den: int) -> DataFrame:
-    """rid, size, tokens that each order's prefix has (of the first only those that another text has too) and set, of texts that share a token."""
+def _candidates(reps: DataFrame, rows: DataFrame, order: Broadcast, k: int, num: int, den: int) -> DataFrame:
+    """rid, size, tokens of the first order's prefix that another text has there too, shared and set, of texts that have such tokens."""
     parts = _parts(reps.sparkSession)
 
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _routed(batches, parts, 5, k, lambda s, _: fourth(s))
+
+    def all_looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _routed(batches, parts, 5, k, lambda s, _: s)
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router = Router(parts, 6)
-        for batch in batches:
-            rids = batch.column(0).to_numpy(zero_copy_only=False)
-            for texts in slices(batch.column(1)):
-                found, owner = [], []
-                for i, s in enumerate(shingle_sets(texts, k)):
-                    if len(s):
-                        found.append(order.value.prefix(s, 0, num, den))
-                        owner.append(np.full(len(found[-1]), i))
-                if found:
-                    tokens, owners = np.concatenate(found), np.concatenate(owner)
-                    pos = np.concatenate([np.arange(len(x)) for x in found])
-                    router.add(tokens, rids[texts.first + owners], pos, np.ones(len(tokens), bool), mix(tokens))
-                if router.n >= 500_000:
-                    yield from router.flush()
-        yield from router.flush()
+        return _routed(batches, parts, 6, k, lambda s, shared: order.value.prefix(s, shared, 0, num, den))
 
     def details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column(1)):
                 rows = []
                 for i, s in enumerate(shingle_sets(texts, k)):
-                    at = _positions(batch.column(2)[texts.first + i].as_py())
-                    firsts = [order.value.prefix(s, j, num, den).view(np.int64) for j in range(ORDERS)]
-                    firsts[0] = firsts[0][at]
-                    rows.append({"rid": batch.column(0)[texts.first + i].as_py(), "size": len(s), "tokens": [x.tolist() for x in firsts], "body": s.tobytes()})
+                    shared, met = (batch.column(c)[texts.first + i].as_py() for c in (2, 3))
+                    tokens = order.value.prefix(s, shared, 0, num, den)[_positions(met)].view(np.int64).tolist()
+                    rows.append({"rid": batch.column(0)[texts.first + i].as_py(), "size": len(s), "tokens": tokens, "shared": shared, "body": s.tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("rid", pa.int64()), ("size", pa.int64()), ("tokens", pa.list_(pa.list_(pa.int64()))), ("body", pa.binary())])
-    shared = _found(reps.select("rid", "text").mapInArrow(prefixes, _ROUTED), 6, "prefixes")
-    near = bit_filter(shared, "rid")(reps).filter("maybe").select("rid", "text").join(shared, "rid")
-    out = saved(near.mapInArrow(details, "rid bigint, size bigint, tokens array<array<bigint>>, body binary").dropDuplicates(["rid"]), "sets")
+    schema = pa.schema([("rid", pa.int64()), ("size", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shared", pa.binary()), ("body", pa.binary())])
+    sizes = rows.filter("n > 0").select("rid", "n", "looked").dropDuplicates(["rid"])
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    near = reps.select("rid", "text")
+    for look, asked in ((looked_up, "looked"), (all_looked_up, "n"), (all_looked_up, "n")):
+        shared = _found(near.select("rid", "text").mapInArrow(look, _ROUTED), 5, "shared").withColumnRenamed("body", "shared")
+        own = F.col(asked) - F.coalesce(F.octet_length("shared") / 4, F.lit(0))
+        left = saved(sizes.join(shared, "rid", "left").filter(own < prefix).select("rid", "shared"), "left")
+        near = bit_filter(left, "rid")(near).filter("maybe").select("rid", "text").join(left, "rid")
+        near = saved(near.select("rid", "text", "shared"), "near")
+        free_shuffles(reps.sparkSession)
+    met = _found(near.mapInArrow(prefixes, _ROUTED), 6, "prefixes").withColumnRenamed("body", "met")
+    out = saved(near.join(met, "rid").select("rid", "text", "shared", "met").mapInArrow(details, "rid bigint, size bigint, tokens array<bigint>, shared binary, body binary"), "sets")
     free_shuffles(reps.sparkSession)
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b) whose prefixes meet under every order and whose sets reach the threshold."""
+def _routed(batches: Iterator[pa.RecordBatch], parts: int, width: int, k: int, tokens_of: Callable[[np.ndarray, bytes | None], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Some tokens of each text of (rid, text[, shared]), to be looked up among those of all."""
+    router = Router(parts, width)
+    for batch in batches:
+        rids = batch.column(0).to_numpy(zero_copy_only=False)
+        for texts in slices(batch.column(1)):
+            found = []
+            for i, s in enumerate(shingle_sets(texts, k)):
+                shared = batch.column(2)[texts.first + i].as_py() if batch.num_columns > 2 else None
+                found.append(tokens_of(s, shared) if len(s) else s)
+            tokens, sizes = np.concatenate(found), [len(x) for x in found]
+            pos = np.concatenate([np.arange(n) for n in sizes])
+            router.add(tokens, np.repeat(rids[texts.first : texts.first + len(texts)], sizes), pos, np.ones(len(tokens), bool), mix(tokens))
+            if router.n >= FLUSH:
+                yield from router.flush()
+    yield from router.flush()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
+    """Those of pairs(a, b) whose prefixes meet under the other orders too and whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64) for c in (2, 3))
                 p, q = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
-                if all(not set(p[j]).isdisjoint(q[j]) for j in range(1, ORDERS)):
-                    x, y = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint64) for c in (2, 3))
+                if all(len(np.intersect1d(order.value.prefix(x, p, j, num, den), order.value.prefix(y, q, j, num, den), assume_unique=True)) for j in range(1, ORDERS)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = den * both >= num * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    b = sets.select(F.col("rid").alias("b"), F.col("body").alias("body_b"), F.col("tokens").alias("tokens_b"))
-    a = sets.select(F.col("rid").alias("a"), F.col("body").alias("body_a"), F.col("tokens").alias("tokens_a"))
-    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "body_a", "body_b", "tokens_a", "tokens_b")
-    return saved(rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    b = sets.select(F.col("rid").alias("b"), F.col("body").alias("body_b"), F.col("shared").alias("shared_b"))
+    a = sets.select(F.col("rid").alias("a"), F.col("body").alias("body_a"), F.col("shared").alias("shared_a"))
+    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "body_a", "body_b", "shared_a", "shared_b")
+    out = saved(rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    free_shuffles(pairs.sparkSession)
+    return out
+
+
+def _prefixes(sets: DataFrame, order: Broadcast, j: int, num: int, den: int) -> DataFrame:
+    """rid, size, label and token, a row for each token of the prefix in order j, of sets(rid, size, label, body, shared)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [order.value.prefix(np.frombuffer(x.as_py(), dtype=np.uint64), y.as_py(), j, num, den).view(np.int64) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            if len(at):
+                taken = batch.select([0, 1, 2]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(found))], ["rid", "size", "label", "token"])
+
+    return sets.select("rid", "size", "label", "body", "shared").mapInArrow(run, "rid bigint, size bigint, label bigint, token bigint")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
     """rows(token, rid, ...) of tokens that several texts have; of tokens with the same texts only one."""
-    told = rows.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rid))").alias("x"))
-    one = told.filter("lo != hi").groupBy("lo", "hi", "n", "x").agg(F.min("token").alias("token")).select("token")
+    told = rows.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rid))").alias("x"), F.expr("sum(pmod(xxhash64(rid), 2147483647))").alias("y"))
+    one = told.filter("lo != hi").groupBy("lo", "hi", "n", "x", "y").agg(F.min("token").alias("token")).select("token")
     return rows.join(one, "token")
 
 
@@ -196,10 +247,12 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(several, "token")
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(sets: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
     """Enough links (a, b) between texts that the components are those of all links."""
-    exploded = sets.select("rid", "size", F.size(F.col("tokens")[0]).alias("met"), F.explode(F.col("tokens")[0]).alias("token"))
+    exploded = sets.select("rid", "size", F.size("tokens").alias("met"), F.explode("tokens").alias("token"))
     groups = saved(_groups(exploded), "groups")
+    sets = sets.drop("tokens")
+    free_shuffles(sets.sparkSession)
     links = None
     for turn in range(2):
         left = saved(_open(_labelled(groups, links)), "open")
@@ -207,20 +260,20 @@ def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
         leaders = left.groupBy("token").agg(F.max(F.struct(rank.alias("k"), F.col("rid").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))).alias("l")).select("token", "l.a", "l.la", "l.na")
         fits = (F.col("a") != F.col("rid")) & (F.col("la") != F.col("label")) & (den * F.least("size", "na") >= num * F.greatest("size", "na"))
         pairs = left.join(leaders, "token").filter(fits).select(F.least("a", "rid").alias("b"), F.greatest("a", "rid").alias("a")).distinct()
-        found = _verified(pairs, sets, num, den)
+        found = _verified(pairs, sets, order, num, den)
         links = found if links is None else saved(links.unionByName(found), "links")
     left = saved(_open(_labelled(groups, links)).select("token", "rid", "size", "label"), "open")
     pairs = None
     for j in range(ORDERS):
         if j:
             rest = left.select("rid", "label").dropDuplicates(["rid"])
-            own = sets.join(rest, "rid").select("rid", "size", "label", F.explode(F.col("tokens")[j]).alias("token"))
-            left = saved(_open(_groups(own)), "open")
+            own = _prefixes(sets.join(rest, "rid"), order, j, num, den)
+            left = saved(_open(_groups(saved(own, "prefixes"))), "open")
         x = left.select("token", F.col("rid").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
         y = left.select("token", F.col("rid").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
         both = x.join(y, "token").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).select("a", "b").distinct()
         pairs = both if pairs is None else pairs.join(both, ["a", "b"], "left_semi")
-    return saved(links.unionByName(_verified(pairs, sets, num, den)), "links")
+    return saved(links.unionByName(_verified(pairs, sets, order, num, den)), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -230,6 +283,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     each component, that of its least id, and for all texts without words.
     """
     keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("rid"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
     rows = saved(_summaries(keyed, k), "summaries")
     classes = saved(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")), "classes")
     others = rows.filter("n > 0").join(classes, ["n", "s1", "s2"]).filter("rid != rep").select("rid").distinct()
@@ -237,8 +291,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     parted = bit_filter(others, "rid")(keyed)
     reps = parted.filter(~F.col("maybe")).select("rid", "text").unionByName(parted.filter("maybe").select("rid", "text").join(others, "rid", "left_anti"))
     order = docs.sparkSession.sparkContext.broadcast(_frequent(reps, k))  # at most FREQUENT tokens
-    sets = _candidates(reps, order, k, num, den)
-    roots = components(_links(sets, num, den))
+    sets = _candidates(reps, rows, order, k, num, den)
+    roots = components(_links(sets, order, num, den))
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = saved(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("least"))

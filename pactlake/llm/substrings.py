@@ -185,8 +185,8 @@ def _found(routed: DataFrame, width: int, name: str) -> DataFrame:
     return out
 
 
-def bit_filter(rows: DataFrame, key: str) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds `maybe`, false only for keys that rows hasn't. What is broadcast has FILTER_BITS bits for any rows."""
+def bit_filter(rows: DataFrame, key: str, name: str = "maybe") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds a column, false only for keys that rows hasn't. What is broadcast has FILTER_BITS bits for any rows."""
     place = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
     chunks = rows.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -202,7 +202,7 @@ def bit_filter(rows: DataFrame, key: str) -> Callable[[DataFrame], DataFrame]:
         x = k.to_numpy() % FILTER_BITS
         return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
-    return lambda df: df.withColumn("maybe", maybe(F.col(key)))
+    return lambda df: df.withColumn(name, maybe(F.col(key)))
 
 
 def _kept(words: Words, gone: np.ndarray) -> bytes:

@@ -1,7 +1,7 @@
 """Operator 4, quality rules: a short-circuit cascade ordered by rejection per cost.
 
-`plan_cascade` runs every rule on a bounded sample, on the executors, and takes
-from it each rule's cost a text and share of rejected texts. `apply_cascade` then
+`plan_cascade` runs every rule on a bounded sample and takes from it each rule's
+cost and share of rejected texts. `apply_cascade` then
 tries the rules by falling rejection per cost; a rule sees only the texts that all
 rules before it let pass. The order changes the cost and `failed_rule`, never
 `kept`: a text is kept if no rule rejects it.
@@ -36,8 +36,8 @@ _UPPER[0x41:0x5B] = True
 _LETTER = _UPPER.copy()
 _LETTER[0x61:0x7B] = True
 
-#: Rows of the sample that orders the rules.
-SAMPLE_ROWS = 2000
+#: Rows of the sample that orders the rules, and the longest text in it; it is measured on the driver.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 64 << 10
 REPEAT_WINDOW = 8
 
 
@@ -161,23 +161,20 @@ def cascade(texts: Texts, rules: Sequence[Rule], features: Features | None = Non
 
 
 def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejection per cost, as a sample of at most sample_rows rows has them."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, seen = [0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
-            for texts in slices(batch.column(0)):
-                seen += len(texts)
-                for k, rule in enumerate(rules):
-                    began = time.perf_counter_ns()
-                    rejected[k] += int(rule.rejects(Features(texts)).sum())
-                    spent[k] += time.perf_counter_ns() - began
-        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "spent": spent, "rejected": rejected, "seen": [seen] * len(rules)})
-
-    taken = docs.select(F.col(text).alias("text")).limit(sample_rows)
-    found = taken.mapInArrow(measure, "rule long, spent long, rejected long, seen long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("spent", "rejected", "seen"))).collect()
-    rate = {r["rule"]: (r["rejected"] / max(1, r["spent"]), -r["spent"]) for r in found}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (rate.get(k, (0.0, 0)), -k), reverse=True)]
+    """The rules by falling rejection per cost, as a sample has them: the first sample_rows texts of at most SAMPLE_BYTES.
+
+    Spark reads as few partitions as give so many rows. The sample decides the order alone.
+    """
+    size = F.octet_length(text)
+    sample = [r["text"] for r in docs.filter(size.isNull() | (size <= SAMPLE_BYTES)).select(F.col(text).alias("text")).head(sample_rows)]
+    spent, rejected = [0] * len(rules), [0] * len(rules)
+    for texts in slices(pa.array(sample, pa.string())):
+        for k, rule in enumerate(rules):
+            began = time.perf_counter_ns()
+            rejected[k] += int(rule.rejects(Features(texts)).sum())
+            spent[k] += time.perf_counter_ns() - began
+    rate = [(rejected[k] / max(1, spent[k]), -spent[k], -k) for k in range(len(rules))]
+    return [rules[k] for k in sorted(range(len(rules)), key=rate.__getitem__, reverse=True)]
 
 
 def apply_cascade(docs: DataFrame, ordered: Sequence[Rule], text: str = "text", keep: Sequence[str] = ("doc_id",), base: bool = True) -> DataFrame:

@@ -39,7 +39,7 @@ from .substrings import FLUSH, Router, _found, _parts, _positions, _ROUTED, bit_
 from .textkit import NON_SPACE, Texts, Words, grams, mix, slices, whole
 
 #: Shingles counted together, the count from which a task tells of one, and the longest list of frequent ones.
-COUNTED, TOLD, FREQUENT = 2_000_000, 5, 1 << 17
+COUNTED, TOLD, FREQUENT = 1_000_000, 5, 1 << 17
 ORDERS = 3
 _SALT = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1], dtype=np.uint64)
 

@@ -195,12 +195,10 @@ def bit_filter(rows: DataFrame, key: str, name: str = "maybe") -> Callable[[Data
         bits[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)[: len(bits) - at]
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def maybe(k):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        x = k.to_numpy() % FILTER_BITS
-        return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def maybe(k: pa.Array) -> pa.Array:
+        x = k.to_numpy(zero_copy_only=False) % FILTER_BITS
+        return pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
     return lambda df: df.withColumn(name, maybe(F.col(key)))
 

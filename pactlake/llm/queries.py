@@ -53,6 +53,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("cut").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_line_dedup with a guarantee of one line: every later copy of a filled line goes."""
+    out = lines.dedup_lines(_docs(spark, sf_dir), guarantee=1, k=1)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("cut").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -80,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
+    return {f.__name__: f for f in (pipeline, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op7_single_lines, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -133,6 +139,13 @@ r AS (SELECT rid, p, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIR
 h AS (SELECT DISTINCT rid, p + j AS p FROM r, range(3) AS t(j) WHERE k > 1),
 a AS (SELECT l.rid, l.i, l.x, l.f, h.p IS NOT NULL AS g FROM l LEFT JOIN n ON n.rid = l.rid AND n.i = l.i LEFT JOIN h ON h.rid = l.rid AND h.p = n.p),
 k AS (SELECT rid, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT g), '') AS kept, count(*) FILTER (f) AS n, count(*) FILTER (g) AS m FROM a GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM d LEFT JOIN k USING (rid)""",
+    "op7_single_lines": r"""
+WITH d AS (SELECT doc_id, text, sha256(coalesce(doc_id::VARCHAR, '') || chr(1) || text) AS rid FROM documents),
+l AS (SELECT rid, doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS f FROM (SELECT DISTINCT rid, doc_id, text FROM d WHERE text IS NOT NULL),
+        unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(x, i)),
+a AS (SELECT *, f AND row_number() OVER (PARTITION BY f, x ORDER BY doc_id NULLS FIRST, i) > 1 AS g FROM l),
+k AS (SELECT rid, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT g), '') AS kept, count(*) FILTER (f) AS n, count(*) FILTER (g) AS m FROM a GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM d LEFT JOIN k USING (rid)""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents),

@@ -166,8 +166,8 @@ def whole(owner: np.ndarray, k: int) -> np.ndarray:
     return owner[:m] == owner[k - 1 :] if m > 0 else np.zeros(0, dtype=bool)
 
 
-def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Which of n words lie in a run of k words from one of the starts."""
+def cover(starts: np.ndarray, k: int | np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in a run of k words (one k, or one for each) from one of the starts."""
     steps = np.zeros(n + 1, dtype=np.int32)
     np.add.at(steps, starts, 1)
     np.add.at(steps, np.minimum(starts + k, n), -1)

@@ -186,6 +186,22 @@ def test_lines(docs, empty, run, k):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_short_runs(spark):
+    """Repeats on one or two lines: by words with a guarantee of three lines, all of them with one of a line."""
+    long, a, b, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("l", 40), ("a", 20), ("b", 20), ("s", 5)))
+    rows = [(1, f"{long}\nx1\n{short}"), (2, f"y1\n{long}\ny2\n{short}"), (3, f"{a}\n{b}\nz1"), (4, f"v1\n{a}\n\n{b}"), (5, f"{a}\nu1"), (6, long), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.cut, r.n_removed) for r in lines.dedup_lines(df, words=35).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (f"y1\ny2\n{short}", 1), 3: (rows[2][1], 0), 4: ("v1\n", 2), 5: (rows[4][1], 0), 6: ("", 1), 7: (None, 0)}
+    assert {r.n_removed for r in lines.dedup_lines(df).collect()} == {0}
+    assert sorted_rows(lines.dedup_lines(df, 1, 1), "doc_id", "cut", "n_lines", "n_removed") == brute_lines(rows, 1)
+
+
+def test_lines_short_runs_on_odd_rows(docs):
+    want = brute_lines([r[:2] for r in corpus()], 1)
+    assert sorted_rows(lines.dedup_lines(docs, words=0), "doc_id", "cut", "n_lines", "n_removed") == want
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
@@ -423,3 +439,14 @@ def test_queries_and_sql():
     q = queries.queries()
     assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 11)) and "pipeline" in q
     assert set(queries.oracle_sql()) <= set(q)
+
+
+@pytest.mark.parametrize("name", ["op7_line_dedup", "op7_single_lines"])
+def test_line_queries_and_sql(spark, sf_dir, name):
+    import duckdb
+    from pactlake.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted_rows(queries.queries()[name](spark, sf_dir), *want.columns) == sorted(want.fetchall(), key=repr)

@@ -386,6 +386,37 @@ def test_lm_losses_brute_force():
         assert abs(loss - got[i]) < 1e-9
 
 
+def test_lm_exact_counts(spark, monkeypatch):
+    """More words than any fixed table has, in several batches and buckets: losses are those of exact counts of all."""
+    monkeypatch.setattr(lmscore, "BUCKET_BITS", 14)
+    rnd = random.Random(3)
+    docs = [" ".join(f"w{rnd.randrange(60_000)} the" if j % 3 else "Of the" for j in range(200)) for _ in range(600)]
+    good = set(range(0, 600, 7))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in lmscore.score_documents(df, spark.createDataFrame([(i,) for i in good], "doc_id bigint")).collect()}
+    words = [d.lower().split() for d in docs]
+    v, mu = len({w for d in words for w in d}), 8.0
+    assert v > 1 << 15
+    models = []
+    for some in (good, range(600)):
+        kept = [words[i] for i in some]
+        models.append((Counter(w for d in kept for w in d), Counter(p for d in kept for p in zip(d, d[1:])), Counter(w for d in kept for w in d[:-1])))
+    for i in range(0, 600, 5):
+        d, losses = words[i], []
+        own = (Counter(d), Counter(zip(d, d[1:])), Counter(d[:-1]))
+        for (uni, pairs, ctx), less in zip(models, (i in good, True)):
+            loss, total = 0.0, sum(uni.values()) - less * len(d)
+            for j, w in enumerate(d):
+                p = (uni[w] - less * own[0][w] + 1) / (total + v)
+                if j:
+                    u = d[j - 1]
+                    p = (pairs[u, w] - less * own[1][u, w] + mu * p) / (ctx[u] - less * own[2][u] + mu)
+                loss -= np.log2(p)
+            losses.append(loss / len(d))
+        assert got[i].n_tokens == len(d)
+        assert abs(losses[0] - got[i].loss_target) < 1e-9 and abs(losses[1] - got[i].loss_background) < 1e-9
+
+
 def test_warc_round_trip(spark):
     rnd = random.Random(1)
     big = "<p>" + "é" * 1000

@@ -85,8 +85,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def pipeline_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pipeline, with later copies of passages on one or two lines deleted."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir, corpus_pipeline.PASSAGE_STAGES)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op7_single_lines, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
+    return {f.__name__: f for f in (pipeline, pipeline_passages, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op7_single_lines, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"

@@ -58,3 +58,15 @@ def test_pipeline_brute_force(spark, sf_dir, tmp_path, with_documents):
         lib = reference_encoding(bpe.Ranks.read(f.read().splitlines()))
     said = {(d, tuple(lib.encode_ordinary(t or ""))) for d, t in want}
     assert {(r.doc_id, tuple(r.ids)) for r in got} == said and all(r.decodes for r in got)
+
+
+def test_line_dedup_passages(spark, sf_dir):
+    """Passages of 50 words that repeat on one or on two whole lines go."""
+    import corpus_pipeline as cp
+
+    said = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two = said("p", 50), said("q", 25) + "\n" + said("r", 25)
+    rows = [(1, one + "\nown a"), (2, "own b\n" + one), (3, two + "\nown c"), (4, "own d\n" + two), (5, said("q", 25))]
+    out = cp.passage_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "own b", 3: rows[2][1], 4: "own d", 5: rows[4][1]}
+    assert dict(cp.PASSAGE_STAGES)["line dedup"] is cp.passage_dedup and [x for x, _ in cp.PASSAGE_STAGES] == [x for x, _ in cp.STAGES]

@@ -7,16 +7,23 @@ other text has and tokens that are frequent last, and differ in how they hash
 tokens of equal rank. A text whose prefix has only tokens of its own links with
 nothing. Which tokens others have is looked up, exactly, for each fourth token of
 all texts, then for all tokens of the texts that are left, twice. Texts still left
-are grouped by shared prefix tokens of the first order, and only components are
-asked for, so that
-
-1. in each group all texts are compared with one leader, for two kinds of leaders;
-2. groups whose texts are all in one component are done; in the others, pairs of
-   texts of different components are candidates if they share a prefix token under
-   every order, sizes fit, and they then are verified, with no cap on a group.
-
-A group of n copies so takes n comparisons. Verification is on the whole sets of
-64-bit shingle hashes. A component's id is its least text id.
+are grouped by shared prefix tokens of the first order, of groups with the same texts
+one is taken, and
+
+1. in each group all texts are compared with one leader;
+2. in groups whose texts are not all in one component then, texts of different
+   components are compared by what is small: a sketch of the prefix under each
+   further order, which tells where two prefixes surely share no token, and one of
+   the whole set, which gives a least number of tokens that only one of two sets has.
+   Each text proposes the most alike partners that all filters let pass, eight at
+   first; these are verified, and rounds go on, with eight times as many, in groups
+   where a text had more to propose. No filter drops a link, so the components are
+   those of all links; nothing is capped, and what leaves a group are proposals only.
+
+A group of n copies so takes n comparisons. A group of more than BLOCK texts is
+compared by pairs of blocks of it, each a task's key of its own. Verification is on
+the prefixes under all orders and the whole sets of 64-bit shingle hashes. A
+component's id is its least text id. `jaccard_links` returns all links instead.
 
 Null and empty texts have empty sets, link with nothing and are their own
 component. Null ids are in no minimum; a component of null ids alone has a null id.
@@ -34,13 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import free_shuffles, saved, small_batches
+from .storage import dropped, saved, small_batches
 from .substrings import FLUSH, Router, _found, _parts, _positions, _ROUTED, bit_filter
 from .textkit import NON_SPACE, Texts, Words, grams, mix, slices, whole
 
 #: Shingles counted together, the count from which a task tells of one, and the longest list of frequent ones.
 COUNTED, TOLD, FREQUENT = 1_000_000, 5, 1 << 17
 ORDERS = 3
+#: Bits of a set's sketch at least and at most (eight a token between), and bits of that of a prefix.
+SKETCH, PREFIX_BITS = (1 << 9, 1 << 16), 1 << 10
+#: Texts of a group that are compared by one task with each other or with as many others, and proposals of a text in the first round.
+BLOCK, PROPOSED = 2048, 8
 _SALT = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1], dtype=np.uint64)
 
 
@@ -88,6 +99,28 @@ class Order:
         return others[np.lexsort((mix(others ^ _SALT[j]), often))[:left]]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of the number of tokens at each of some places: two sets differ in at least as many tokens as their sketches in bits."""
+    bits = min(max(1 << (8 * len(s) - 1).bit_length(), SKETCH[0]), SKETCH[1])
+    at = (mix(s ^ _SALT[3]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches as the smaller ones of so many 64-bit words, of the same sets."""
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
+def prefix_bits(tokens: np.ndarray) -> bytes:
+    """A bit at the place of each token: prefixes that share a token share a bit."""
+    bits = np.zeros(PREFIX_BITS, dtype=np.uint8)
+    bits[(mix(tokens) >> np.uint64(54)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -153,23 +186,27 @@ def _candidates(reps: DataFrame, rows: DataFrame, order: Broadcast, k: int, num:
                 for i, s in enumerate(shingle_sets(texts, k)):
                     shared, met = (batch.column(c)[texts.first + i].as_py() for c in (2, 3))
                     tokens = order.value.prefix(s, shared, 0, num, den)[_positions(met)].view(np.int64).tolist()
-                    rows.append({"rid": batch.column(0)[texts.first + i].as_py(), "size": len(s), "tokens": tokens, "shared": shared, "body": s.tobytes()})
+                    rows.append({"rid": batch.column(0)[texts.first + i].as_py(), "size": len(s), "tokens": tokens, "shared": shared, "body": s.tobytes(), "sketch": sketch(s), "heads": b"".join(prefix_bits(order.value.prefix(s, shared, j, num, den)) for j in range(1, ORDERS))})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("rid", pa.int64()), ("size", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shared", pa.binary()), ("body", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("size", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shared", pa.binary()), ("body", pa.binary()), ("sketch", pa.binary()), ("heads", pa.binary())])
     sizes = rows.filter("n > 0").select("rid", "n", "looked").dropDuplicates(["rid"])
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     near = reps.select("rid", "text")
+    stale: list[DataFrame] = []
     for look, asked in ((looked_up, "looked"), (all_looked_up, "n"), (all_looked_up, "n")):
-        shared = _found(near.select("rid", "text").mapInArrow(look, _ROUTED), 5, "shared").withColumnRenamed("body", "shared")
+        shared = _found(near.select("rid", "text").mapInArrow(look, _ROUTED), 5, "shared")
+        stale.append(shared)
+        shared = shared.withColumnRenamed("body", "shared")
         own = F.col(asked) - F.coalesce(F.octet_length("shared") / 4, F.lit(0))
         left = saved(sizes.join(shared, "rid", "left").filter(own < prefix).select("rid", "shared"), "left")
         near = bit_filter(left, "rid")(near).filter("maybe").select("rid", "text").join(left, "rid")
         near = saved(near.select("rid", "text", "shared"), "near")
-        free_shuffles(reps.sparkSession)
-    met = _found(near.mapInArrow(prefixes, _ROUTED), 6, "prefixes").withColumnRenamed("body", "met")
-    out = saved(near.join(met, "rid").select("rid", "text", "shared", "met").mapInArrow(details, "rid bigint, size bigint, tokens array<bigint>, shared binary, body binary"), "sets")
-    free_shuffles(reps.sparkSession)
+        dropped(*stale)
+        stale = [near, left]
+        met = _found(near.mapInArrow(prefixes, _ROUTED), 6, "prefixes")
+    out = saved(near.join(met.withColumnRenamed("body", "met"), "rid").select("rid", "text", "shared", "met").mapInArrow(details, "rid bigint, size bigint, tokens array<bigint>, shared binary, body binary, sketch binary, heads binary"), "sets")
+    dropped(*stale, met)
     return out
 
 
@@ -209,24 +246,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, order: Broadcast, num: int, den
     a = sets.select(F.col("rid").alias("a"), F.col("body").alias("body_a"), F.col("shared").alias("shared_a"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "body_a", "body_b", "shared_a", "shared_b")
     out = saved(rows.mapInArrow(run, "a bigint, b bigint"), "links")
-    free_shuffles(pairs.sparkSession)
     return out
 
 
-def _prefixes(sets: DataFrame, order: Broadcast, j: int, num: int, den: int) -> DataFrame:
-    """rid, size, label and token, a row for each token of the prefix in order j, of sets(rid, size, label, body, shared)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [order.value.prefix(np.frombuffer(x.as_py(), dtype=np.uint64), y.as_py(), j, num, den).view(np.int64) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-            if len(at):
-                taken = batch.select([0, 1, 2]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(found))], ["rid", "size", "label", "token"])
-
-    return sets.select("rid", "size", "label", "body", "shared").mapInArrow(run, "rid bigint, size bigint, label bigint, token bigint")
-
-
 def _groups(rows: DataFrame) -> DataFrame:
     """rows(token, rid, ...) of tokens that several texts have; of tokens with the same texts only one."""
     told = rows.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rid))").alias("x"), F.expr("sum(pmod(xxhash64(rid), 2147483647))").alias("y"))
@@ -242,38 +264,143 @@ def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """rows(token, label, ...) of groups that hold several components."""
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+    """rows(token, label, ...) of groups that hold several components, with the number n of the group's texts."""
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("token", "n")
     return rows.join(several, "token")
 
 
-def _links(sets: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
-    """Enough links (a, b) between texts that the components are those of all links."""
+class _Block:
+    """Texts of a group, or of two blocks of one, by size, and the pairs among them that no filter drops."""
+
+    def __init__(self, rows: list[dict], num: int, den: int):
+        self.refuted = {(r["rid"], r["label"]) for r in rows if r["b"] < 0}
+        rows = sorted((r for r in rows if r["b"] >= 0), key=lambda r: r["size"])
+        self.num, self.den = num, den
+        self.rid, self.size, self.label, self.b = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("rid", "size", "label", "b"))
+        self.heads = np.frombuffer(b"".join(r["heads"] for r in rows), dtype=np.uint64).reshape(len(rows), ORDERS - 1, -1)
+        self.words = np.array([len(r["sketch"]) // 8 for r in rows])
+        cuts = np.append(np.flatnonzero(np.diff(self.words, prepend=0)), len(rows))  # sketches grow with sizes
+        self.runs = [(a, b, np.frombuffer(b"".join(r["sketch"] for r in rows[a:b]), dtype=np.uint64).reshape(b - a, -1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def candidates(self, i: int, mine: np.ndarray, lo: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Partners of no greater size, and the bits in which sketches differ for each token of both."""
+        found, bits = [], []
+        for a, b, rows in self.runs:
+            a0, to = max(a, lo), min(b, i)
+            if a0 >= to:
+                continue
+            at = a0 + np.flatnonzero((self.label[a0:to] != self.label[i]) & (within | (self.b[a0:to] != self.b[i])))
+            at = at[(self.heads[at] & self.heads[i]).any(axis=2).all(axis=1)]
+            if len(at):
+                differ = np.bitwise_count(rows[at - a] ^ folded(mine, rows.shape[1])).sum(axis=1, dtype=np.int64)
+                both = self.size[at] + self.size[i]
+                ok = differ * (self.den + self.num) <= both * (self.den - self.num)
+                found.append(at[ok])
+                bits.append(differ[ok] / both[ok])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        return np.concatenate(found), np.concatenate(bits)
+
+    def proposals(self, most: int, within: bool) -> tuple[list[tuple[int, int]], bool]:
+        """Pairs (a, b) with a > b, at most so many a text, and whether there are more."""
+        out, more = [], False
+        if len(self.rid) < 2 or (self.label == self.label[0]).all():
+            return out, more
+        least = np.searchsorted(self.size, -(-self.num * self.size // self.den))
+        for a, b, rows in self.runs:
+            for i in range(max(a, 1), b):
+                at, bits = self.candidates(i, rows[i - a], int(least[i]), within)
+                pairs = [(max(x, y), min(x, y)) for x, y in ((int(self.rid[i]), int(self.rid[j])) for j in at[np.argsort(bits, kind="stable")])]
+                pairs = [p for p in pairs if p not in self.refuted]
+                more |= len(pairs) > most
+                out += pairs[:most]
+        return out, more
+
+
+def _proposed(left: DataFrame, sets: DataFrame, refuted: DataFrame | None, most: int, num: int, den: int) -> DataFrame:
+    """Pairs (token, a, b) that no filter drops, `most` a text and key at most; a null pair says that the group has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            pairs, more = _Block(rows, num, den).proposals(most, at[1] == at[2])
+            pairs = [*pairs, *[(None, None)] * more]
+            a, b = ([p[k] for p in pairs] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(pairs), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["token", "a", "b"])
+
+        at, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = (r["token"], r["x"], r["y"])
+                if key != at:
+                    if rows:
+                        yield told()
+                    at, rows = key, []
+                rows.append(r)
+        if rows:
+            yield told()
+
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = left.withColumn("b", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    dealt = dealt.join(sets.select("rid", "sketch", "heads"), "rid").select("token", F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y"), "b", "rid", "size", "label", "sketch", "heads")
+    if refuted is not None:
+        x, y = (F.pmod(F.xxhash64(c), blocks).cast("int") for c in ("a", "b"))
+        no = refuted.join(left.select("token", "n").distinct(), "token")
+        none = F.lit(None).cast("binary")
+        dealt = dealt.unionByName(no.select("token", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.lit(-1).alias("b"), F.col("a").alias("rid"), F.lit(0).cast("bigint").alias("size"), F.col("b").alias("label"), none.alias("sketch"), none.alias("heads")))
+    dealt = dealt.repartition(_parts(sets.sparkSession), "token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return dealt.mapInArrow(run, "token bigint, a bigint, b bigint")
+
+
+def _links(sets: DataFrame, order: Broadcast, num: int, den: int, every: bool = False) -> DataFrame:
+    """Links (a, b) between texts: `every` one, or enough that the components are those of all links."""
     exploded = sets.select("rid", "size", F.size("tokens").alias("met"), F.explode("tokens").alias("token"))
     groups = saved(_groups(exploded), "groups")
     sets = sets.drop("tokens")
-    free_shuffles(sets.sparkSession)
-    links = None
-    for turn in range(2):
-        left = saved(_open(_labelled(groups, links)), "open")
-        rank = F.struct(F.col("met") / F.col("size"), F.col("met"), F.col("rid")) if turn == 0 else F.struct(F.xxhash64("rid", F.lit(turn)), F.col("met"), F.col("rid"))
-        leaders = left.groupBy("token").agg(F.max(F.struct(rank.alias("k"), F.col("rid").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"))).alias("l")).select("token", "l.a", "l.la", "l.na")
-        fits = (F.col("a") != F.col("rid")) & (F.col("la") != F.col("label")) & (den * F.least("size", "na") >= num * F.greatest("size", "na"))
-        pairs = left.join(leaders, "token").filter(fits).select(F.least("a", "rid").alias("b"), F.greatest("a", "rid").alias("a")).distinct()
-        found = _verified(pairs, sets, order, num, den)
-        links = found if links is None else saved(links.unionByName(found), "links")
-    left = saved(_open(_labelled(groups, links)).select("token", "rid", "size", "label"), "open")
-    pairs = None
-    for j in range(ORDERS):
-        if j:
-            rest = left.select("rid", "label").dropDuplicates(["rid"])
-            own = _prefixes(sets.join(rest, "rid"), order, j, num, den)
-            left = saved(_open(_groups(saved(own, "prefixes"))), "open")
-        x = left.select("token", F.col("rid").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-        y = left.select("token", F.col("rid").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-        both = x.join(y, "token").filter((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).select("a", "b").distinct()
-        pairs = both if pairs is None else pairs.join(both, ["a", "b"], "left_semi")
-    return saved(links.unionByName(_verified(pairs, sets, order, num, den)), "links")
+    links = refuted = None
+    if not every:
+        rank = F.struct(F.col("met") / F.col("size"), F.col("met"), F.col("rid"))
+        leaders = groups.groupBy("token").agg(F.max(F.struct(rank.alias("k"), F.col("rid").alias("a"), F.col("size").alias("na"))).alias("l")).select("token", "l.a", "l.na")
+        fits = (F.col("a") != F.col("rid")) & (den * F.least("size", "na") >= num * F.greatest("size", "na"))
+        pairs = groups.join(leaders, "token").filter(fits).select(F.least("a", "rid").alias("b"), F.greatest("a", "rid").alias("a")).distinct()
+        links = _verified(pairs, sets, order, num, den)
+    most = PROPOSED if not every else 1 << 62
+    while True:
+        left = saved(_open(_labelled(groups, links)).select("token", "rid", "size", "label", "n"), "open")
+        found = saved(_proposed(left, sets, refuted, most, num, den), "proposed")
+        pairs = found.filter("a is not null").select("a", "b").distinct()
+        links_now = _verified(pairs, sets, order, num, den)
+        links = links_now if links is None else saved(links.unionByName(links_now), "links")
+        more = found.filter("a is null").select("token").distinct()
+        if not more.head(1):
+            return links
+        refuted_now = found.filter("a is not null").join(more, "token").join(links_now, ["a", "b"], "left_anti")
+        refuted = saved(refuted_now if refuted is None else refuted.unionByName(refuted_now.select(*refuted.columns)), "refuted")
+        groups, most = groups.join(more, "token"), 8 * most
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, text: str, id: str) -> tuple[DataFrame, DataFrame, DataFrame, Broadcast]:
+    """Summaries of the rows, classes of equal sets, and the sets of the classes that may have links; the tokens' orders."""
+    keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("rid"), F.col(text).alias("text"))
+    small_batches(docs.sparkSession)
+    rows = saved(_summaries(keyed, k), "summaries")
+    classes = saved(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")), "classes")
+    others = saved(rows.filter("n > 0").join(classes, ["n", "s1", "s2"]).filter("rid != rep").select("rid").distinct(), "others")
+    parted = bit_filter(others, "rid")(keyed)
+    doubted = saved(parted.filter("maybe").select("rid", "text").join(others, "rid", "left_anti"), "doubted")
+    reps = parted.filter(~F.col("maybe")).select("rid", "text").unionByName(doubted)
+    order = docs.sparkSession.sparkContext.broadcast(_frequent(reps, k))  # at most FREQUENT tokens
+    return rows, classes, _candidates(reps, rows, order, k, num, den), order
+
+
+def jaccard_links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All links and who takes part in them: (a, b) between classes of equal sets, and id, n_shingles and class of each row.
+
+    A class that links with nothing is in no link; rows of one class link with each other if they have a word.
+    """
+    rows, classes, sets, order = _classes(docs, k, num, den, text, id)
+    links = _links(sets, order, num, den, every=True)
+    named = rows.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
+    return links, named.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("rep", "rid").alias("class"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -282,16 +409,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     Sets link from a Jaccard similarity of num / den on. is_first holds for one rid of
     each component, that of its least id, and for all texts without words.
     """
-    keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("rid"), F.col(text).alias("text"))
-    small_batches(docs.sparkSession)
-    rows = saved(_summaries(keyed, k), "summaries")
-    classes = saved(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("least")), "classes")
-    others = rows.filter("n > 0").join(classes, ["n", "s1", "s2"]).filter("rid != rep").select("rid").distinct()
-    others = saved(others, "others")
-    parted = bit_filter(others, "rid")(keyed)
-    reps = parted.filter(~F.col("maybe")).select("rid", "text").unionByName(parted.filter("maybe").select("rid", "text").join(others, "rid", "left_anti"))
-    order = docs.sparkSession.sparkContext.broadcast(_frequent(reps, k))  # at most FREQUENT tokens
-    sets = _candidates(reps, rows, order, k, num, den)
+    rows, classes, sets, order = _classes(docs, k, num, den, text, id)
     roots = components(_links(sets, order, num, den))
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = saved(named, "named")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import free_shuffles, saved, small_batches
+from .storage import dropped, saved, small_batches
 from .substrings import bit_filter
 from .textkit import ALNUM, Texts, Words, mix, planes, slices, unplanes
 
@@ -131,16 +131,14 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
 
 @contextmanager
 def _few_together(spark: SparkSession) -> Iterator[None]:
-    """Rows of half a megabyte or so go to Python workers TOGETHER at a time, and a table's shuffles go once it is saved."""
-    to = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(TOGETHER), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    before = {name: spark.conf.get(name, None) for name in to}
-    for name, value in to.items():
-        spark.conf.set(name, value)
+    """Rows of half a megabyte or so go to Python workers TOGETHER at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(TOGETHER))
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        spark.conf.set(name, before)
 
 
 def code(rows: DataFrame) -> DataFrame:
@@ -236,7 +234,6 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, text: str = "text",
     coded = saved(code(rows), "coded")
     with _few_together(spark):
         answers = saved(totals(coded), "answers")
-    free_shuffles(spark)
     size, *sums = (int(x or 0) for x in answers.agg(F.sum("v"), F.sum("sum_t"), F.sum("sum_n")).first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,5 +261,5 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, text: str = "text",
     with _few_together(spark):
         met = coded.drop("n_keys").join(got, "bid", "left")
         out = saved(met.mapInArrow(run, f"id {kind}, n_tokens bigint, loss_target double, loss_background double, score double"), "scores")
-    free_shuffles(spark)
+    dropped(coded, answers)
     return out.withColumnRenamed("id", id)

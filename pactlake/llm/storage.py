@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set and Spark runs on this machine alone, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir names no folder")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -27,18 +30,33 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: what comes after doesn't compute it anew, nor lose it with an executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it again: what comes after doesn't compute it anew, nor lose it with an executor.
+
+    Spark drops the shuffle files of the write when it ends, as nothing asks for them again.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more; those in a store that only Spark reaches stay."""
+    for table in tables:
+        try:
+            store, path = fs.FileSystem.from_uri(table.saved_at)
+        except (pa.ArrowInvalid, OSError):
+            continue
+        store.delete_dir(path)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Rows with whole texts go to Python workers a few megabytes at a time, unless the session already says less."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import free_shuffles, saved, small_batches
+from .storage import saved, small_batches
 from .textkit import NON_SPACE, Texts, Words, cover, grams, mix, planes, slices, unplanes, whole
 
 #: Probes that a task packs at once.
 FLUSH = 250_000
-#: Bits of the filter that parts texts without an anchor from the others: 8 MB for any input. When
-#: many texts are touched more pass it than need to, which costs a shuffle and changes nothing.
-FILTER_BITS = 1 << 26
+#: Bits for a key of the filter that parts texts without an anchor from the others, and all its bits at most: 32 MB. From some
+#: 20 million keys on more texts pass it than need to, which costs a shuffle and changes nothing.
+BITS_A_KEY, MOST_BITS = 16, 1 << 28
 
 _ROUTED = "pid int, kind int, body binary"
 _FOUND = "rid bigint, body binary"
@@ -180,27 +180,23 @@ def _found(routed: DataFrame, width: int, name: str) -> DataFrame:
     parts = _parts(routed.sparkSession)
     dealt = routed.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "kind")
     hits = dealt.mapInArrow(_lookup(width, parts), _ROUTED).repartitionById(parts, F.col("pid"))
-    out = saved(hits.mapInArrow(_gather, _FOUND), name)
-    free_shuffles(routed.sparkSession)
-    return out
+    return saved(hits.mapInArrow(_gather, _FOUND), name)
 
 
 def bit_filter(rows: DataFrame, key: str, name: str = "maybe") -> Callable[[DataFrame], DataFrame]:
-    """A function that adds a column, false only for keys that rows hasn't. What is broadcast has FILTER_BITS bits for any rows."""
-    place = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    chunks = rows.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in chunks:
-        at = (r["k"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)[: len(bits) - at]
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    """A function that adds a column, false only for keys that rows hasn't. What is broadcast has at most MOST_BITS bits for any rows."""
+    bits = 1 << min(max(BITS_A_KEY * rows.count(), 1 << 20).bit_length(), MOST_BITS.bit_length() - 1)
+    place, chunk = f"pmod(`{key}`, {bits}L)", 1 << 15  # bits of a row that the bitmap functions make
+    told = rows.select(F.expr(f"{place} + 1").alias("x")).groupBy((F.bitmap_bucket_number("x") - 1).alias("__chunk"))
+    table = saved(told.agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__bits")), "bits")
+    byte = f"substring(__bits, cast(shiftright({place} % {chunk}, 3) as int) + 1, 1)"
+    bit = F.expr(f"coalesce(shiftright(cast(conv(hex({byte}), 16, 10) as int), cast({place} % 8 as int)) % 2 = 1, false)")
 
-    @F.arrow_udf("boolean")
-    def maybe(k: pa.Array) -> pa.Array:
-        x = k.to_numpy(zero_copy_only=False) % FILTER_BITS
-        return pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+    def parted(df: DataFrame) -> DataFrame:
+        wide = df.withColumn("__chunk", F.expr(f"{place} div {chunk}")).join(F.broadcast(table), "__chunk", "left")
+        return wide.withColumn(name, bit).drop("__chunk", "__bits")
 
-    return lambda df: df.withColumn(name, maybe(F.col(key)))
+    return parted
 
 
 def _kept(words: Words, gone: np.ndarray) -> bytes:
@@ -274,7 +270,6 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", id:
     anchors = _found(keyed.select("rid", "text").mapInArrow(probes, _ROUTED), 5, "anchors")
     parted = bit_filter(anchors, "rid")(keyed)
     near = saved(parted.filter("maybe").drop("maybe").join(anchors, "rid", "left"), "anchored")
-    free_shuffles(docs.sparkSession)
     repeats = _found(near.filter(F.col("body").isNotNull()).select("rid", "text", "body").mapInArrow(windows, _ROUTED), 8, "repeats")
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
     clean = parted.filter(~F.col("maybe")).select("id", "text").mapInArrow(untouched, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import free_shuffles, saved, small_batches
+from .storage import saved, small_batches
 from .substrings import bit_filter
 from .textkit import NON_SPACE, Texts, Words, cover, grams, slices, whole, winnowed
 
@@ -113,9 +113,10 @@ def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "te
             m = len(ok)
             runs = [(guarantee, np.flatnonzero(ok & (sums[np.arange(m) + w] > sums[:m])))]
             runs += [(size, at[met[at] > 0]) for size, at in _short(_flat(batch.column(4))[0].astype(np.int64), owner, guarantee, words)]
+            keys = batch.select([0, 1])  # a line's row must not repeat the lists of its text
             for size, at in runs:
                 texts = owner[at]
-                taken = batch.take(pa.array(texts))
+                taken = keys.take(pa.array(texts))
                 run = (at - bounds[texts]) * guarantee + size - 1
                 arrays = [taken.column(0), taken.column(1), pa.array(run), pa.array(grams(a, size)[at].view(np.int64)), pa.array(grams(b, size, 1)[at].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["rid", "id", "run", "g", "h"])
@@ -129,7 +130,6 @@ def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "te
     first = saved(first, "first")  # a plain table, so that the join can split a frequent run
     later = around.join(first, ["g", "h"]).filter(where > F.col("first")).groupBy("rid").agg(F.collect_list("run").alias("later"))
     later = saved(later, "later")
-    free_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,10 @@ from . import bpe, decontaminate, jaccard, langid, lines, lmscore, quality, shar
 from .storage import new_path
 
 
+#: Words of a passage whose later copies line dedup deletes, be it on one line; as many as op2 looks for.
+PASSAGE = 35
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -49,7 +53,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_docs(spark, sf_dir))
+    """Later copies of runs of three lines, and of one or two that hold PASSAGE words, go."""
+    out = lines.dedup_lines(_docs(spark, sf_dir), words=PASSAGE)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("cut").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -85,15 +90,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-def pipeline_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pipeline, with later copies of passages on one or two lines deleted."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir, corpus_pipeline.PASSAGE_STAGES)
-
-
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, pipeline_passages, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op7_single_lines, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
+    return {f.__name__: f for f in (pipeline, op1_sharding, op2_substring_dedup, op3_decontamination, op4_quality_rules, op5_lm_scoring, op6_warc, op7_line_dedup, op7_single_lines, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)}
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
@@ -140,10 +138,13 @@ FROM d LEFT JOIN n USING (rid) JOIN r ON r.rid = d.rid JOIN d o ON o.rid = r.oth
 WITH d AS (SELECT doc_id, text, sha256(coalesce(doc_id::VARCHAR, '') || chr(1) || text) AS rid FROM documents),
 l AS (SELECT rid, doc_id, i, x, regexp_matches(x, '[^\x20\x09-\x0D]') AS f FROM (SELECT DISTINCT rid, doc_id, text FROM d WHERE text IS NOT NULL),
         unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(x, i)),
-n AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS p FROM l WHERE f),
-w AS (SELECT rid, doc_id, p, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS s FROM n WINDOW o AS (PARTITION BY rid ORDER BY p)),
-r AS (SELECT rid, p, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, p) AS k FROM w WHERE s IS NOT NULL),
-h AS (SELECT DISTINCT rid, p + j AS p FROM r, range(3) AS t(j) WHERE k > 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS p, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS m FROM l WHERE f),
+v AS (SELECT rid, doc_id, p, x, m, lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, m + lead(m) OVER o AS m2 FROM n WINDOW o AS (PARTITION BY rid ORDER BY p)),
+w AS (SELECT rid, doc_id, p, 3 AS k, x || chr(10) || x2 || chr(10) || x3 AS s FROM v
+  UNION ALL SELECT rid, doc_id, p, 1, x FROM v WHERE m >= 35
+  UNION ALL SELECT rid, doc_id, p, 2, x || chr(10) || x2 FROM v WHERE m2 >= 35),
+r AS (SELECT rid, p, k, row_number() OVER (PARTITION BY k, s ORDER BY doc_id NULLS FIRST, p) AS c FROM w WHERE s IS NOT NULL),
+h AS (SELECT DISTINCT rid, p + j AS p FROM r, range(3) AS t(j) WHERE c > 1 AND j < k),
 a AS (SELECT l.rid, l.i, l.x, l.f, h.p IS NOT NULL AS g FROM l LEFT JOIN n ON n.rid = l.rid AND n.i = l.i LEFT JOIN h ON h.rid = l.rid AND h.p = n.p),
 k AS (SELECT rid, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT g), '') AS kept, count(*) FILTER (f) AS n, count(*) FILTER (g) AS m FROM a GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM d LEFT JOIN k USING (rid)""",

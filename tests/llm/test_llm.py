@@ -86,6 +86,35 @@ def test_sharding_sizes_and_hot_text(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3000
 
 
+@pytest.mark.parametrize(("n", "groups", "shards"), [(20_000, 4_000, 40), (6_000, 600, 7), (3_000, 30, 9)])
+def test_sharding_keeps_groups_whole(spark, n, groups, shards):
+    """Sizes of shards are equal but for a group that stays whole, and a group is in one shard if some shard has room for it."""
+    rnd = random.Random(n)
+    rows = [(i if i % 50 else None, f"text {rnd.randrange(groups)} " * rnd.choice([1, 2])) for i in range(n)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "size bigint, shard string"), shards, text="shard", id="size", carry=("shard",)).toPandas()
+    out.columns = ["id", "text", "size", "crc", "shard", "slot"]
+    sizes = out.groupby("shard")["size"].sum()
+    share = out["size"].sum() / shards
+    assert len(out) == n and len(sizes) == shards
+    small = max(0.01 * share, out.groupby("text")["size"].sum()[lambda g: g < 0.01 * share].max() if groups > 100 else 0) + out["size"].max()
+    assert max(abs(sizes - share)) <= small + 1
+    in_shards = out.groupby("text")["shard"].nunique()
+    room = share - sizes.min()
+    for text in in_shards.index[in_shards > 1]:  # only groups too large for the room that others left
+        assert out[out["text"] == text]["size"].sum() > max(0.01 * share, room)
+    if groups > 100:
+        assert (in_shards == 1).all()
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_sharding_one_text_and_id(spark):
+    """Rows that are all equal, a third of all with a null id, are dealt like others."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).alias("doc_id"), F.lit("hot").alias("text"))
+    sizes = [r["count"] for r in sharding.shard_documents(df, shards=8).groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2
+
+
 def brute_substrings(rows, window):
     words = [WORDS.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
@@ -155,7 +184,26 @@ def test_quality(docs, empty):
     assert quality.apply_cascade(empty, quality.plan_cascade(empty)).count() == 0
 
 
-def brute_lines(rows, run):
+def test_quality_short_circuit(docs):
+    """Each rule that isn't free is given the texts alone that the rules before it let pass, with base columns or without."""
+    seen = []
+
+    def spy(rule):
+        def rejects(f):
+            seen.append((rule.name, len(f.texts)))
+            return rule.rejects(f)
+
+        return quality.Rule(rule.name, rejects, rule.base, rule.free)
+
+    few, stutter, shouting = (next(r for r in quality.RULES if r.name == n) for n in ("few_words", "stutter", "shouting"))
+    one = next(textkit.slices(pa.array(["a few words"] * 9 + [" ".join(f"w{i}" for i in range(30))])))
+    for base in (None, quality.Features(one)):
+        seen.clear()
+        assert quality.cascade(one, [spy(few), spy(stutter), spy(shouting)], base).tolist() == [0] * 9 + [-1]
+        assert seen == [("few_words", 10), ("stutter", 1), ("shouting", 1)]
+
+
+def brute_lines(rows, run, words=None):
     texts = {(d, t) for d, t in rows if t is not None}
     filled = {k: [i for i, x in enumerate(k[1].split("\n")) if WORDS.search(x)] for k in texts}
     first = {}
@@ -163,17 +211,19 @@ def brute_lines(rows, run):
     wins = []
     for k in texts:
         ls = k[1].split("\n")
-        for p in range(len(filled[k]) - run + 1):
-            s = tuple(ls[i] for i in filled[k][p : p + run])
-            wins.append((k, p, s))
-            first[s] = min(first.get(s, (9,)), place(k, p))
+        for size in range(1 if words is not None else run, run + 1):
+            for p in range(len(filled[k]) - size + 1):
+                s = tuple(ls[i] for i in filled[k][p : p + size])
+                if size == run or sum(len(WORDS.findall(x)) for x in s) >= words:
+                    wins.append((k, p, s))
+                    first[s] = min(first.get(s, (9,)), place(k, p))
     out = []
     for d, t in rows:
         if t is None:
             out.append((d, None, 0, 0))
             continue
         k = (d, t)
-        gone = covered([p for q, p, s in wins if q == k and place(k, p) > first[s]], run, len(filled[k]))
+        gone = {p + j for q, p, s in wins if q == k and place(k, p) > first[s] for j in range(len(s))}
         away = {filled[k][i] for i in gone}
         out.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in away), len(filled[k]), len(gone)))
     return sorted(out, key=repr)
@@ -197,9 +247,17 @@ def test_lines_short_runs(spark):
     assert sorted_rows(lines.dedup_lines(df, 1, 1), "doc_id", "cut", "n_lines", "n_removed") == brute_lines(rows, 1)
 
 
-def test_lines_short_runs_on_odd_rows(docs):
-    want = brute_lines([r[:2] for r in corpus()], 1)
-    assert sorted_rows(lines.dedup_lines(docs, words=0), "doc_id", "cut", "n_lines", "n_removed") == want
+@pytest.mark.parametrize("words", [0, 5, 35])
+def test_lines_short_runs_on_odd_rows(docs, words):
+    want = brute_lines([r[:2] for r in corpus()], 3, words)
+    assert sorted_rows(lines.dedup_lines(docs, words=words), "doc_id", "cut", "n_lines", "n_removed") == want
+
+
+def test_lines_many_in_one_text(spark):
+    """A text of 50,000 repeated lines, which once made a task copy its list of lines for each of them."""
+    rows = [(1, "\n".join(["the same line"] * 50_000)), (2, "x\nthe same line\nthe same line\nthe same line"), (3, "\n".join(f"line {i} of many" for i in range(50_000)))]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), words=35).collect()}
+    assert got == {1: (50_000, 49_999), 2: (4, 3), 3: (50_000, 0)}
 
 
 def test_winnowing_guarantee():
@@ -345,6 +403,42 @@ def test_language_id_odd_rows(docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_language_id_brute_force(spark, docs):
+    """Predictions are those of plain cosines of 1- to 3-grams with the model's centroids; equal ones go to the first name."""
+    texts = [(i, t, "abc"[i % 3]) for i, (_, t, *_) in enumerate(corpus())]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == ("a", "b", "c")
+    tied = langid.Model(("x", "y"), model.idf, np.concatenate([model.centroids[:1]] * 2), np.array([0, 1]), np.zeros(2))
+    for m in (model, tied):
+        for r in langid.predict(df, m, keep=("doc_id", "text")).collect():
+            raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (r.text or "").encode())
+            found = Counter()
+            for k in (1, 2, 3):
+                for i in range(len(raw) - k + 1):
+                    h = 0
+                    for j in range(k):
+                        h = (h * 0x01000193 + raw[i + j] + j + 1) % 2**32
+                    found[h * 0x9E3779B1 % 2**32 >> 20] += 1
+            v = {p: np.log1p(n) * float(m.idf[p]) for p, n in found.items()}
+            norm = sum(x * x for x in v.values()) ** 0.5
+            cosines = [sum(x * float(c[p]) for p, x in v.items()) / norm for c in m.centroids] if v else [0.0]
+            if any(map(str.isalpha, r.text or "")):
+                assert abs(r.score - max(cosines)) < 1e-4
+                assert cosines[[m.languages[k] for k in m.of].index(r.lang_pred)] <= max(cosines) + 1e-4
+                assert max(c for c, k in zip(cosines, m.of) if m.languages[k] == r.lang_pred) >= max(cosines) - 1e-4
+                assert m is model or r.lang_pred == "x"
+            else:
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_language_id_learns_every_label(spark):
+    """Many labels, rare ones and hot copies among them, are all learnt."""
+    rows = [(i, f"{chr(97 + i % 26) * 4} {chr(97 + i // 26) * 5} word", f"l{i % 400:03}") for i in range(800)] + [(7, "one text", "hot")] * 900
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3), rows_a_language=40)
+    assert set(model.languages) == {f"l{i:03}" for i in range(400)} | {"hot"}
+
+
 def test_language_vectors_whole_texts():
     long = "ab cd é " * 400_000
     alone = langid.counts(next(textkit.slices(pa.array([long]))))[0]
@@ -437,6 +531,49 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(none).count() == 0
 
 
+@pytest.mark.parametrize("long", [20_000, 2_000_000])
+def test_warc_long_headers_at_every_split(tmp_path, long):
+    """Records whose headers are longer than what is read at once are found wherever a range begins, each by one range."""
+    rnd = random.Random(4)
+    url = "http://a/" + "".join(rnd.choice("abcdefgh0123456789") for _ in range(long))
+    parts = [warc.record(str(i), u, b"x" * 50, "d", 50, None, "2024-01-01T00:00:00Z", 4) for i, u in ((1, "u"), (2, url), (3, "v"))]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(parts))
+    cuts = np.cumsum([0, *map(len, parts)]).tolist()
+    ids = lambda f, a, b: [warc._row(x, e, False)["record_id"] for x, e in warc.members(f, a, b)]
+    splits = range(1, cuts[-1]) if long < 100_000 else [*range(1, cuts[1] + 40), *range(cuts[1] + 1000, cuts[2], 200_000), *range(cuts[2] - 20, cuts[-1])]
+    with pa.OSFile(str(path)) as f:
+        for at in splits if long > 100_000 else [x for x in splits if x % 37 == 0 or min(abs(x - c) for c in cuts) < 4]:
+            assert ids(f, 0, at) + ids(f, at, cuts[-1]) == ["1", "2", "3"]
+
+
+def test_warc_damaged_members(spark, tmp_path):
+    """What is cut off, damaged or no record makes a row with an error; the records around it are read."""
+    import gzip
+
+    parts = [warc.record(str(i), "u", bytes(random.Random(i).randbytes(3000)), "d", 3000, None, "2024-01-01T00:00:00Z", 4) for i in range(1, 5)]
+    broken = bytearray(parts[1])
+    broken[1500:1540] = bytes(40)
+    raw = parts[0] + bytes(broken) + gzip.compress(b"no record") + parts[2] + parts[3][:-500]
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(raw))], "path string, bytes bigint")
+    rows = warc.read_archives(files).collect()
+    assert {r.record_id for r in rows if r.error is None} == {"1", "3"}
+    assert {r.record_id for r in rows if r.error is not None and r.record_id} == {"2", "4"}
+
+
+def test_warc_ranges_are_dealt(spark):
+    files = spark.createDataFrame([("file:///none", 4500 * 1000)], "path string, bytes bigint")
+    assert warc.read_archives(files, 1000).rdd.getNumPartitions() == -(-4500 // warc.RANGES_A_TASK)
+
+
+def test_warc_odd_columns(spark):
+    rows = [(1, "u", "x" * 2000, 5, "a"), (1, "u", "x" * 2000, 5, "a"), (2, None, "x" * 2000, 6, "b"), (3, "v" * 30_000, None, 7, None), (4, "w", "é" * 500_000, None, "c")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, size bigint, digest string")
+    out = warc.read_archives(warc.write_archives(df, new_path(spark, "warc"))).select("record_id", "record_type", "refers_to", "payload_bytes", "error").collect()
+    assert sorted(map(tuple, out)) == [("1", "revisit", "2", 2000, None)] * 2 + [("2", "response", None, 2000, None), ("3", "response", None, 0, None), ("4", "response", None, 1_000_000, None)]
+
+
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline as cp
 
@@ -472,6 +609,43 @@ def test_queries_and_sql():
     assert set(queries.oracle_sql()) <= set(q)
 
 
+def test_jaccard_rounds_and_blocks(spark, monkeypatch):
+    """Components are the same whatever a text may propose at once and however groups are cut into blocks; links are all links."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(60):  # members of one family, some of which link and some of which nearly do
+        w = list(base)
+        for at in rnd.sample(range(90), rnd.choice([1, 1, 2, 3])):
+            w[at] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(rows, 4, 85, 100)
+    for proposed, block in ((1, 7), (8, 2048)):
+        monkeypatch.setattr(jaccard, "PROPOSED", proposed)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert sorted_rows(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == want
+    links, members = jaccard.jaccard_links(df)
+    of = {r["doc_id"]: r["class"] for r in members.collect()}
+    got = {frozenset((r.a, r.b)) for r in links.collect()}
+    sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, w in ((d, t.split()) for d, t in rows)}
+    linked = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+    assert got == {frozenset((of[a], of[b])) for a in sets for b in sets if of[a] != of[b] and linked(sets[a], sets[b])}
+    assert all(of[100 + i] == of[i] for i in range(5))
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    for n in (10, 100, 3000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n).astype(np.uint64)]))
+        a, b = (np.frombuffer(jaccard.sketch(s), dtype=np.uint64) for s in (x, y))
+        words = min(len(a), len(b))
+        differ = int(np.bitwise_count(jaccard.folded(a, words) ^ jaccard.folded(b, words)).sum())
+        assert 0 < differ <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize("name", ["op7_line_dedup", "op7_single_lines"])
 def test_line_queries_and_sql(spark, sf_dir, name):
     import duckdb

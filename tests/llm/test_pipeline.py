@@ -23,7 +23,7 @@ def brute_kept(t):
 
 def brute_pipeline(rows, items):
     rows = [r for r in rows if brute_kept(r[1])]
-    cut = [(d, t) for d, t, n, gone in brute_lines(rows, 3) if not gone or gone < n]
+    cut = [(d, t) for d, t, n, gone in brute_lines(rows, 3, 35) if not gone or gone < n]
     firsts = sorted(dict.fromkeys(cut), key=repr)
     least = {c for _, n, c in brute_components(firsts, 5, 80, 100) if n} | {d for d, n, _ in brute_components(firsts, 5, 80, 100) if not n}
     kept = [(d, t) for d, t in firsts if d in least]
@@ -67,6 +67,5 @@ def test_line_dedup_passages(spark, sf_dir):
     said = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
     one, two = said("p", 50), said("q", 25) + "\n" + said("r", 25)
     rows = [(1, one + "\nown a"), (2, "own b\n" + one), (3, two + "\nown c"), (4, "own d\n" + two), (5, said("q", 25))]
-    out = cp.passage_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir)
+    out = cp.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir)
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "own b", 3: rows[2][1], 4: "own d", 5: rows[4][1]}
-    assert dict(cp.PASSAGE_STAGES)["line dedup"] is cp.passage_dedup and [x for x, _ in cp.PASSAGE_STAGES] == [x for x, _ in cp.STAGES]

@@ -13,7 +13,7 @@ from pactlake.llm.storage import saved
 from pactlake.llm.substrings import bit_filter
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Words of a passage whose later copies passage_dedup deletes, be it on one line; as many as op2 looks for.
+#: Words of a passage whose later copies line dedup deletes, be it on one line; as many as op2 looks for.
 PASSAGE = 35
 
 
@@ -27,20 +27,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_cascade(_rows(docs), quality.plan_cascade(docs), keep=("row",), base=False).filter("kept").select("row.*")
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
-    """Documents without later copies of runs of lines; one all of whose lines went goes too. n_chars follows the text."""
-    out = lines.dedup_lines(_rows(docs), keep=("row",), words=words).filter("n_removed = 0 or n_removed < n_lines")
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of runs of three lines, or of one or two that hold PASSAGE words.
+
+    One all of whose lines went goes too. n_chars follows the text.
+    """
+    out = lines.dedup_lines(_rows(docs), keep=("row",), words=PASSAGE).filter("n_removed = 0 or n_removed < n_lines")
     row = F.col("row").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.length("cut").cast("bigint")).otherwise(F.col("row.n_chars")))
     return out.select(row.alias("row")).select("row.*")
 
 
-def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As line_dedup; later copies of one or two lines that hold PASSAGE words go too."""
-    return line_dedup(spark, docs, sf_dir, PASSAGE)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each component of texts that share 0.8 of their five-word shingles; of equal rows one."""
     found = saved(jaccard.jaccard_components(docs, k=5, num=80, den=100).select("rid", "is_first"), "near")
@@ -75,16 +73,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE", byte_bpe),
 ]
 
-#: The same with passages on one or two lines deleted.
-PASSAGE_STAGES = [("line dedup", passage_dedup) if stage is line_dedup else (name, stage) for name, stage in STAGES]
-
 #: SQL can't express the byte-pair encoding.
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = STAGES) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in stages:
+    for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -22,6 +22,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkContext
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ from .storage import small_batches
 CACHE_PIECES = 500_000
 #: Pieces of a text handled at once.
 PIECES_AT_ONCE = 200_000
+#: Bytes of the longest beginning of a piece whose last token is remembered for other pieces, and how many are.
+HEAD_BYTES, KEPT_HEADS = 24, 600_000
 
 
 class Ranks:
@@ -42,7 +45,10 @@ class Ranks:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.usable: dict[bytes, int] = dict(ranks)  # tokens found not to be an encoding of themselves go when first met
+        #: Every end of a token: the token that it is, or -1. Tokens found not to be an encoding of themselves become -1 when first met.
+        self.tails: dict[bytes, int] = {t[i:]: -1 for t in ranks for i in range(1, len(t))} | ranks
+        self.sizes: dict[int, int] = {i: len(t) for t, i in ranks.items()}
+        self.heads: dict[bytes, int] = {}  # the last tokens of beginnings of pieces
         self._met: set[int] = set()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
@@ -117,17 +123,28 @@ class Prefixes:
 
     def _extend(self, to: int) -> None:
         """Stores the last tokens of the prefixes up to `to` bytes."""
-        v, data, last = self.vocabulary, self.data, self.last
-        get, met, known, fits, longest = v.usable.get, v._met, v._fits, v.fits, v.longest
-        for end in range(len(last) + 1, to + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(data[start:end])
+        v, data, last, heads = self.vocabulary, self.data, self.last, self.vocabulary.heads
+        get, met, known, fits = v.tails.get, v._met, v._fits, v.fits
+        begin = len(last) + 1
+        if begin == 1:  # what other pieces with the same beginning have found
+            for begin in range(1, min(to, HEAD_BYTES) + 1):
+                token = heads.get(data[:begin])
                 if token is None:
-                    continue
+                    break
+                last.append(token)
+            else:
+                begin += 1
+        for end in range(begin, to + 1):
+            ends, start = [], end - 1  # tokens that end here, while what is before can be the end of one
+            while start >= 0 and (token := get(data[start:end])) is not None:
+                if token >= 0:
+                    ends.append((start, token))
+                start -= 1
+            for start, token in reversed(ends):
                 if token not in met:
                     met.add(token)
                     if not v.alone(token):
-                        del v.usable[data[start:end]]
+                        v.tails[data[start:end]] = -1
                         continue
                 if not start:
                     break
@@ -138,6 +155,10 @@ class Prefixes:
             else:
                 raise AssertionError("each prefix has a last token")
             last.append(token)
+            if end <= HEAD_BYTES:
+                heads[data[:end]] = token
+        if len(heads) > KEPT_HEADS:
+            heads.clear()
 
     def append(self, more: bytes) -> None:
         self.data += more
@@ -160,10 +181,10 @@ class Prefixes:
         return computed
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.data)
+        out, at, last, sizes = [], len(self.data), self.last, self.vocabulary.sizes
         while at:
-            out.append(self.last[at - 1])
-            at -= len(self.vocabulary.tokens[out[-1]])
+            out.append(token := last[at - 1])
+            at -= sizes[token]
         return out[::-1]
 
 
@@ -247,12 +268,15 @@ def decode_documents(coded: DataFrame, path: str, ids: str = "ids", keep: Sequen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in lines.value if x.strip())}
-        table = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+        table = pa.array([tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)], pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                listed = part.column(part.num_columns - 1)
-                decoded = [b"".join(map(table.__getitem__, x.as_py() or ())) for x in listed]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), pa.array(decoded, pa.binary())], [*(f.name for f in fields), out])
+                listed = pc.fill_null(part.column(part.num_columns - 1), [])
+                offsets = listed.offsets.to_numpy()
+                said = table.take(listed.values.slice(offsets[0], offsets[-1] - offsets[0]))  # a null id has no bytes: it makes the row null
+                ends = np.frombuffer(said.buffers()[1], dtype=np.int32)[: len(said) + 1][offsets - offsets[0]]
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(listed), [None, pa.py_buffer(np.ascontiguousarray(ends)), said.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), decoded], [*(f.name for f in fields), out])
 
     return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` binary"]))

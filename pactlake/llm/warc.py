@@ -5,11 +5,14 @@ at least `least` bytes, those with the largest id are responses and the others
 revisit it. A task writes its file under another name and renames it at its end.
 
 `read_archives` deals byte ranges of the files to tasks. A task looks for the magic
-of a gzip member from its range's start on, takes a candidate for a record if its
-beginning decodes to WARC headers with a type, an id and a length, and then reads
-member after member; it owns the records that start inside its range.
-
-A null payload is empty; a null url has no header; pages with a null id are told
+of a gzip member from its range's start on, takes a candidate for a record if it
+decodes to WARC headers, of any length, with a type, an id and a length, and then
+reads member after member; it owns the records that start inside its range. A member
+that is cut off or damaged, or is no record, makes a row with an `error` and the nulls
+that follow from it, and reading goes on with the next one.
+
+Rows equal in all columns are records each; other columns, whatever their names, are
+not written. A null payload is empty; a null url has no header; pages with a null id are told
 apart by nothing and revisit like others. An empty table makes no records.
 """
 
@@ -19,7 +22,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -33,9 +36,11 @@ from .substrings import bit_filter
 
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
-#: Enough compressed bytes to decode a record's headers.
-HEAD_BYTES = 16 << 10
+#: Compressed bytes that are decoded together.
+PIECE = 16 << 10
 CHUNK = 1 << 20
+#: Byte ranges that a task reads, if there are enough for all.
+RANGES_A_TASK = 16
 _NO_ID = "none"
 
 
@@ -90,6 +95,7 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     return saved(plain.unionByName(again).mapInArrow(write, "path string, bytes bigint, records bigint"), "manifest")
 
 
+_BEGINS = b"WARC/1."
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -104,24 +110,28 @@ def _headers(head: bytes) -> dict[str, str] | None:
     return out if {"warc-type", "warc-record-id", "content-length"} <= out.keys() and out["content-length"].isdigit() else None
 
 
-def _is_record(some: bytes) -> bool:
-    try:
-        d = zlib.decompressobj(31)
-        head = d.decompress(some, HEAD_BYTES)
-    except zlib.error:
-        return False
-    return _headers(head) is not None
+def _head(read: Callable[[int, int], bytes], at: int, size: int, piece: int = PIECE) -> bytes:
+    """What a member at a byte decodes to, until a record's headers end or can't be any; of a damaged one what comes before the damage."""
+    d, head, to = zlib.decompressobj(31), b"", at
+    while not d.eof and to < size and b"\r\n\r\n" not in head and _BEGINS.startswith(head[: len(_BEGINS)]):
+        some = read(to, piece)
+        to += len(some)
+        try:
+            head += d.decompress(some)
+        except zlib.error:
+            return _head(read, at, size, 64) if piece > 64 else head
+    return head
 
 
 def next_member(f: pa.NativeFile, start: int, end: int, size: int) -> int | None:
     """Where the first record from start on begins, if before end."""
-    at = start
+    at, window = start, _Window(f, size)
     while at < end:
-        some = f.read_at(min(size - at, CHUNK + HEAD_BYTES), at)
+        some = f.read_at(min(size - at, CHUNK + len(MAGIC)), at)
         upto = min(CHUNK, end - at)
         k = some.find(MAGIC)
         while 0 <= k < upto:
-            if _is_record(some[k : k + HEAD_BYTES]):
+            if _headers(_head(window.get, at + k, size)) is not None:
                 return at + k
             k = some.find(MAGIC, k + 1)
         at += CHUNK
@@ -141,32 +151,38 @@ class _Window:
         return self.some[at - self.at : at - self.at + n]
 
 
-def members(f: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
-    """The records, decoded, that start in a range of bytes."""
+def members(f: pa.NativeFile, start: int, end: int) -> Iterator[tuple[bytes, str | None]]:
+    """The records, decoded, that start in a range of bytes, and what is wrong with them."""
     size = f.size()
     end, seen = min(end, size), _Window(f, size)
     at = next_member(f, start, end, size)
     while at is not None and at < end:
-        d, out, to = zlib.decompressobj(31), [], at
-        while not d.eof and to < size:
-            some = seen.get(to, HEAD_BYTES)
-            to += len(some)
-            out.append(d.decompress(some))
-        if not d.eof:
-            raise ValueError(f"a record at byte {at} is cut off")
-        yield b"".join(out)
-        at = to - len(d.unused_data)
-        if at < end and seen.get(at, 3) != MAGIC:
+        d, out, to, error = zlib.decompressobj(31), [], at, None
+        try:
+            while not d.eof and to < size:
+                some = seen.get(to, PIECE)
+                to += len(some)
+                out.append(d.decompress(some))
+            if not d.eof:
+                error = f"the record at byte {at} is cut off"
+        except zlib.error as wrong:
+            error = f"the record at byte {at} is damaged: {wrong}"
+            out = [_head(seen.get, at, size)]
+        yield b"".join(out), error
+        at = at + 1 if error else to - len(d.unused_data)
+        if at < end and (error or seen.get(at, 3) != MAGIC):
             at = next_member(f, at, end, size)
 
 
-_READ = "record_type string, record_id string, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, intact boolean"
+_READ = "record_type string, record_id string, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, intact boolean, error string"
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of files (path, bytes): the payload's size and SHA-1 are computed for responses and declared for revisits."""
     ranges = files.filter("bytes > 0").select("path", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    count = files.filter("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(min(count, max(least, -(-count // RANGES_A_TASK))))  # a number, or adaptive execution makes these tiny rows one task
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,8 +190,8 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload
                 store, path = fs.FileSystem.from_uri(r["path"])
                 with store.open_input_file(path) as f:
                     rows: list[dict] = []
-                    for whole in members(f, r["start"], r["start"] + split_bytes):
-                        rows.append(_row(whole, with_payload))
+                    for whole, error in members(f, r["start"], r["start"] + split_bytes):
+                        rows.append(_row(whole, error, with_payload))
                         if len(rows) >= 100:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []
@@ -192,10 +208,12 @@ def _urn(x: str | None) -> str | None:
     return None if x == _NO_ID else x
 
 
-def _row(whole: bytes, with_payload: bool) -> dict:
+def _row(whole: bytes, error: str | None, with_payload: bool) -> dict:
     head = _headers(whole)
-    if head is None:
-        raise ValueError("a gzip member isn't a WARC record")
+    if head is None or error:
+        none = dict.fromkeys(("refers_to", "target_uri", "payload_bytes", "payload_digest", *["payload"] * with_payload))
+        head = head or {}
+        return {"record_type": head.get("warc-type"), "record_id": _urn(head.get("warc-record-id")), "intact": False, "error": error or "the member is no WARC record"} | none
     block = whole[(at := whole.find(b"\r\n\r\n") + 4) : at + int(head["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     declared = head.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -204,5 +222,5 @@ def _row(whole: bytes, with_payload: bool) -> dict:
         size, digest, payload = int(m[1]) if m else 0, declared, None
     else:
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-    out = {"record_type": head["warc-type"], "record_id": _urn(head["warc-record-id"]), "refers_to": _urn(head.get("warc-refers-to")), "target_uri": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "intact": digest == declared}
+    out = {"record_type": head["warc-type"], "record_id": _urn(head["warc-record-id"]), "refers_to": _urn(head.get("warc-refers-to")), "target_uri": head.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "intact": digest == declared, "error": None}
     return out | ({"payload": payload} if with_payload else {})

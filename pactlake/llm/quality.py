@@ -1,10 +1,12 @@
 """Operator 4, quality rules: a short-circuit cascade ordered by rejection per cost.
 
-`plan_cascade` runs every rule on a bounded sample and takes from it each rule's
-cost and share of rejected texts. `apply_cascade` then
-tries the rules by falling rejection per cost; a rule sees only the texts that all
-rules before it let pass. The order changes the cost and `failed_rule`, never
-`kept`: a text is kept if no rule rejects it.
+`plan_cascade` runs every rule on a bounded sample of rows from everywhere and takes
+from it each rule's cost and share of rejected texts. `apply_cascade` then tries the
+rules by falling rejection per cost; a rule sees only the texts that all rules before
+it let pass. Where base columns are asked for, they are worked out for every text, and
+rules that look at nothing else read them; any other rule is still given the texts
+that are left alone. The order changes the cost and `failed_rule`, never `kept`: a
+text is kept if no rule rejects it.
 
 A null or empty text has no words and fails `few_words`. Rows are judged one by
 one, so nulls in other columns, repeated rows, ties and an empty table need
@@ -36,8 +38,8 @@ _UPPER[0x41:0x5B] = True
 _LETTER = _UPPER.copy()
 _LETTER[0x61:0x7B] = True
 
-#: Rows of the sample that orders the rules, and the longest text in it; it is measured on the driver.
-SAMPLE_ROWS, SAMPLE_BYTES = 500, 64 << 10
+#: Rows of the sample that orders the rules, about.
+SAMPLE_ROWS = 2000
 REPEAT_WINDOW = 8
 
 
@@ -117,20 +119,21 @@ class Features:
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` maps features to one boolean a text; `base` rules make up base_failed."""
+    """`rejects` maps features to one boolean a text; `base` rules make up base_failed; `free` ones need base columns alone."""
 
     name: str
     rejects: Callable[[Features], np.ndarray]
     base: bool = False
+    free: bool = False
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", lambda f: f.n_words < 20, True),
-    Rule("repeats", lambda f: 100 * f.n_repeat_words > 30 * f.n_words, True),
-    Rule("symbols", lambda f: 5 * f.n_symbols > f.n_words),
-    Rule("dup_lines", lambda f: (2 * f.n_dup_lines > f.n_lines) & (f.n_dup_lines >= 4)),
+    Rule("few_words", lambda f: f.n_words < 20, True, True),
+    Rule("repeats", lambda f: 100 * f.n_repeat_words > 30 * f.n_words, True, True),
+    Rule("symbols", lambda f: 5 * f.n_symbols > f.n_words, free=True),
+    Rule("dup_lines", lambda f: (2 * f.n_dup_lines > f.n_lines) & (f.n_dup_lines >= 4), free=True),
     Rule("stutter", lambda f: 2 * f.n_stutter > f.n_words),
-    Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 20 * f.n_words)),
+    Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 20 * f.n_words), free=True),
     Rule("shouting", lambda f: 2 * f.n_upper > f.n_letters),
 )
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -143,38 +146,47 @@ def _subset(texts: Texts, keep: np.ndarray) -> Texts:
     return Texts(texts.data[np.repeat(keep, sizes)], offsets, texts.first)
 
 
-def cascade(texts: Texts, rules: Sequence[Rule], features: Features | None = None) -> np.ndarray:
-    """The index of the first rule that rejects each text, or -1."""
+def cascade(texts: Texts, rules: Sequence[Rule], base: Features | None = None) -> np.ndarray:
+    """The index of the first rule that rejects each text, or -1. `base`: features of all texts, from which free rules read."""
     failed = np.full(len(texts), -1, dtype=np.int32)
-    alive = np.arange(len(texts))
-    now, shared = features or Features(texts), features is not None
+    alive, left = np.ones(len(texts), dtype=bool), None
     for k, rule in enumerate(rules):
-        if not len(alive):
+        if not alive.any():
             break
-        bad = rule.rejects(now)
-        bad = bad[alive] if shared else bad
-        failed[alive[bad]] = k
-        if bad.any() and not shared:
-            now = Features(_subset(now.texts, ~bad))
-        alive = alive[~bad]
+        if base is not None and rule.free:
+            bad = alive & rule.rejects(base)
+        else:
+            left = left or Features(texts if alive.all() else _subset(texts, alive))
+            bad = np.zeros(len(texts), dtype=bool)
+            bad[alive] = rule.rejects(left)
+        if bad.any():
+            failed[bad], alive, left = k, alive & ~bad, None
     return failed
 
 
-def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejection per cost, as a sample has them: the first sample_rows texts of at most SAMPLE_BYTES.
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, id: str = "doc_id") -> list[Rule]:
+    """The rules by falling rejection per cost, as a sample has them: some sample_rows rows, drawn by a hash of id and size.
 
-    Spark reads as few partitions as give so many rows. The sample decides the order alone.
+    Executors measure the rules on the texts of the sample that they have, whole ones of any length, and only sums come
+    back. The sample decides the order alone.
     """
-    size = F.octet_length(text)
-    sample = [r["text"] for r in docs.filter(size.isNull() | (size <= SAMPLE_BYTES)).select(F.col(text).alias("text")).head(sample_rows)]
-    spent, rejected = [0] * len(rules), [0] * len(rules)
-    for texts in slices(pa.array(sample, pa.string())):
-        for k, rule in enumerate(rules):
-            began = time.perf_counter_ns()
-            rejected[k] += int(rule.rejects(Features(texts)).sum())
-            spent[k] += time.perf_counter_ns() - began
-    rate = [(rejected[k] / max(1, spent[k]), -spent[k], -k) for k in range(len(rules))]
-    return [rules[k] for k in sorted(range(len(rules)), key=rate.__getitem__, reverse=True)]
+    small_batches(docs.sparkSession)
+    share = sample_rows / max(1, docs.count())
+    drawn = F.pmod(F.xxhash64(id, F.octet_length(text)), F.lit(1 << 20)) < F.lit(share * (1 << 20))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                spent, rejected = [], []
+                for rule in rules:
+                    began = time.perf_counter_ns()
+                    rejected.append(int(rule.rejects(Features(texts)).sum()))
+                    spent.append(time.perf_counter_ns() - began)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent, pa.int64()), pa.array(rejected, pa.int64())], ["rule", "spent", "rejected"])
+
+    told = docs.filter(drawn).select(text).mapInArrow(measure, "rule int, spent bigint, rejected bigint").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"))
+    found = {r["rule"]: (r["rejected"] / max(1, r["spent"]), -r["spent"], -r["rule"]) for r in told.collect()}  # a row for each rule
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: found.get(k, (0.0, 0, -k)), reverse=True)]
 
 
 def apply_cascade(docs: DataFrame, ordered: Sequence[Rule], text: str = "text", keep: Sequence[str] = ("doc_id",), base: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 A text is a vector of byte 1- to 3-gram counts, hashed to DIMENSIONS places: 1 + log
 of the count, times the inverse document frequency, at unit length. Document
 frequencies come from all training rows. Each language has up to `clusters`
-centroids from spherical k-means on a sample of at most `sample_rows` labelled rows.
+centroids from spherical k-means on a sample of some `rows_a_language` of its rows.
 A text gets the language of the centroid with the largest cosine; one further from
 its centroid than nearly all training rows (`reject_share` of them) is `rejected`.
 
@@ -14,6 +14,7 @@ judged one by one and whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -87,8 +88,8 @@ def _spherical(v: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndar
     return centres, np.max(v @ centres.T, axis=1)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", clusters: int = 3, sample_rows: int = 3000, reject_share: float = 0.002) -> Model:
-    """Learns from all rows with a label; sample_rows bounds those that the clustering sees."""
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", clusters: int = 3, rows_a_language: int = 750, reject_share: float = 0.002) -> Model:
+    """Learns from all rows with a label. Every label is learnt; its clustering sees some rows_a_language different rows of it, or all if there are fewer."""
     small_batches(train.sparkSession)
     rows = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(id, text).alias("h"))
 
@@ -106,12 +107,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc
         df[r["place"] + 1] = r["n"]
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows // 10).collect()}
-    if not sizes:
-        return Model((), idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    each = max(1, sample_rows // len(sizes))
-    chance = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))))[F.col("lang")]
-    drawn = rows.filter(F.pmod("h", F.lit(1 << 20)) < chance * F.lit(float(1 << 20))).limit(2 * sample_rows)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("rows"))  # a row for each label, as the model has a few
+    drawn = rows.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.lit(rows_a_language * float(1 << 20)) / F.col("rows")).dropDuplicates(["lang", "h"])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +118,19 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc
                 for i in np.flatnonzero(lettered[texts.first : texts.first + len(texts)]):
                     yield pa.RecordBatch.from_pydict({"lang": [part.column(1)[i].as_py()], "h": [part.column(2)[i].as_py()], "v": [v[i].tobytes()]})
 
-    got = drawn.mapInArrow(sampled, "lang string, h bigint, v binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["h"]))
-    names = tuple(sorted({r["lang"] for r in got}))
-    centroids, of, least, rng = [], [], [], np.random.default_rng(11)
-    for k, name in enumerate(names):
-        v = np.stack([np.frombuffer(r["v"], dtype=np.float16) for r in got if r["lang"] == name]).astype(np.float32)
-        centres, near = _spherical(v, clusters, rng)
-        centroids.append(centres)
-        of += [k] * len(centres)
-        least += [np.quantile(near, reject_share)] * len(centres)
-    return Model(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), np.array(of, np.int64), np.array(least))
+    def clustered(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("h")
+        v = np.stack([np.frombuffer(x.as_py(), dtype=np.float16) for x in sample["v"]]).astype(np.float32)
+        name = sample["lang"][0].as_py()
+        centres, near = _spherical(v, clusters, np.random.default_rng(zlib.crc32(name.encode())))
+        least = float(np.quantile(near, reject_share))
+        return pa.table({"lang": pa.array([name] * len(centres)), "centre": pa.array([c.tobytes() for c in centres], pa.binary()), "least": pa.array([least] * len(centres))})
+
+    learnt = drawn.select("text", "lang", "h").mapInArrow(sampled, "lang string, h bigint, v binary").groupBy("lang").applyInArrow(clustered, "lang string, centre binary, least double")
+    got = sorted(learnt.collect(), key=lambda r: (r["lang"], bytes(r["centre"])))  # a row for each centroid
+    names = tuple(dict.fromkeys(r["lang"] for r in got))
+    centroids = np.array([np.frombuffer(r["centre"], dtype=np.float32) for r in got], dtype=np.float32).reshape(len(got), DIMENSIONS)
+    return Model(names, idf, centroids, np.array([names.index(r["lang"]) for r in got], np.int64), np.array([r["least"] for r in got]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str | Column] = ("doc_id",)) -> DataFrame:

@@ -1,0 +1,46 @@
+"""One document from words and answers to its findings: phrases are located, extractions assembled, categories answered."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pactlake.operators import findings, grounding
+
+GRID = 1000
+
+
+def located(words: DataFrame, answers: DataFrame, threshold: float = grounding.THRESHOLD) -> DataFrame:
+    """contract_id, category, ord, found, score, recall, mass, verified and bbox of each answer on a page that has words.
+
+    words(contract_id, page, word_ord, text, x_min, y_min, x_max, y_max, width_px, height_px); the box, on a grid of
+    1000 by 1000, is around all words from the first that was met to the last.
+    """
+    key = F.concat_ws(":", F.col("contract_id").cast("string"), F.col("page").cast("string"))
+    pages = words.groupBy("contract_id", "page", key.alias("page_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_ord", "text", "x_min", "y_min", "x_max", "y_max"))), lambda w: w).alias("w"), F.max("width_px").alias("width"), F.max("height_px").alias("height"))
+    asked = answers.select(key.alias("page_key"), F.xxhash64("contract_id", "category", "ord").alias("phrase_id"), F.col("text").alias("phrase"), "contract_id", "category", "ord")
+    met = grounding.ground_phrases(pages.select("page_key", F.transform("w", lambda w: w["text"]).alias("words")), asked.select("page_key", "phrase_id", "phrase"), threshold)
+    span = F.slice("w", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    edge = lambda c, f, whole: f(F.transform(span, lambda w: w[c])) * GRID / F.col(whole)
+    box = F.array(edge("x_min", F.array_min, "width"), edge("y_min", F.array_min, "height"), edge("x_max", F.array_max, "width"), edge("y_max", F.array_max, "height"))
+    out = met.join(asked.drop("phrase"), ["page_key", "phrase_id"]).join(pages.select("page_key", "w", "width", "height"), "page_key")
+    return out.select("contract_id", "category", "ord", F.col("text").alias("found"), "score", "recall", "mass", "verified", F.when(F.col("first").isNotNull(), box).alias("bbox"))
+
+
+def analyze(contracts: DataFrame, words: DataFrame, answers: DataFrame, dimension: DataFrame, threshold: float = grounding.THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """findings and extractions of contracts(contract_id), by answers(contract_id, category, ord, page, text, clause)."""
+    extractions = findings.assembled(answers, located(words, answers, threshold))
+    return findings.findings(contracts, extractions, dimension), extractions
+
+
+def documents(found: DataFrame, extractions: DataFrame, about: DataFrame) -> DataFrame:
+    """A row for each contract with its analysis as nested columns; about(contract_id, source_file, total_pages). It is what `contract_files` reads."""
+    e = F.struct(
+        "ord", "vlm_text", F.struct("page", F.col("bbox").alias("bbox_1000")).alias("location"), F.struct("page", "clause", F.col("supporting_text").alias("exact_supporting_text")).alias("source"),
+        F.struct(F.col("supporting_text").alias("ocr_text"), "score", "recall", F.col("mass").alias("evidence_mass"), "is_grounded").alias("ocr_verification"))
+    listed = extractions.groupBy("contract_id", "category").agg(F.array_sort(F.collect_list(e), lambda x, y: F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0)).alias("e"))
+    plain = F.transform("e", lambda x: x.dropFields("ord"))
+    one = F.struct("answer", "summary", "evidence_status", F.struct(F.col("needs_review").alias("flagged"), F.when(F.col("needs_review"), "not located on its page, or nothing found").otherwise("").alias("reason")).alias("review_flag"), F.coalesce(plain, F.array().cast(listed.select(plain).schema[0].dataType)).alias("extractions"))
+    rows = found.join(listed, ["contract_id", "category"], "left").groupBy("contract_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("category_ord", "category", F.to_json(one).alias("f")))), lambda x: F.struct(x["category"].alias("k"), x["f"].alias("v")))).alias("m"))
+    kind = found.join(listed, ["contract_id", "category"], "left").select(one.alias("x")).schema["x"].dataType
+    return about.join(rows, "contract_id").select("contract_id", F.struct("source_file", "total_pages").alias("document_metadata"), F.transform_values("m", lambda _, v: F.from_json(v, kind)).alias("cuad_findings"))

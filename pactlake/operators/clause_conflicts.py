@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,45 @@ def family_suppressed(pairs: DataFrame, contracts: DataFrame) -> DataFrame:
     both = pairs.join(a, "contract_id_a", "left").join(b, "contract_id_b", "left")
     related = F.coalesce((F.col("family_a") == F.col("family_b")) & ((F.col("amends_a") == F.col("contract_id_b")) | (F.col("amends_b") == F.col("contract_id_a")) | False), F.lit(False))
     return both.filter(~related).select(*pairs.columns)
+
+
+def scope_judgements(scopes: DataFrame, *keys: str) -> DataFrame:
+    """Pairs of different scopes(kind, canonical_id) within the same keys, of one kind, that containment can't settle, as one of them isn't resolved."""
+    on = [*keys, "kind"]
+    rows = scopes.select(*on, "canonical_id").withColumn("nth", F.row_number().over(Window.partitionBy(*on).orderBy(F.asc_nulls_last("canonical_id"))))
+    a, b = rows.withColumnsRenamed({"canonical_id": "a", "nth": "i"}), rows.filter("canonical_id is null").withColumnsRenamed({"canonical_id": "b", "nth": "j"})
+    return a.join(b, on).filter("i < j").select(*on, "a", "b")
+
+
+def needs_judgement(kind_a: Column, id_a: Column, kind_b: Column, id_b: Column) -> Column:
+    """Whether two scopes are of one kind and one of them isn't resolved."""
+    return (kind_a == kind_b) & (id_a.isNull() | id_b.isNull())
+
+
+def scoped(clauses: DataFrame) -> DataFrame:
+    """Clauses with scopes array<struct<canonical_id, ...>> as a row for each different resolved asset that they cover."""
+    ids = F.array_distinct(F.filter(F.transform("scopes", lambda s: s["canonical_id"]), lambda i: i.isNotNull()))
+    return clauses.withColumn("asset_id", F.explode(ids))
+
+
+def covers(asset: Column, scopes: Column) -> Column:
+    return F.exists(scopes, lambda s: s["canonical_id"] == asset)
+
+
+def group_counts(links: DataFrame, key: str) -> DataFrame:
+    """How many groups resolved keys make, in one row; unresolved ones make none."""
+    return links.filter(F.col(key).isNotNull()).agg(F.count_distinct(key).alias("n_groups"))
+
+
+def number_text(x: Column) -> Column:
+    """A number without needless zeros, six digits at most."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(x, 6)), r"(\\.\\d*?)0+$", "$1"), r"\\.$", "")
+
+
+def explain_overlap(asset: Column, said_a: Column, said_b: Column) -> Column:
+    said = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unspecified"))
+    return F.concat(F.lit("Asset "), asset, F.lit(" is granted twice in periods that meet ("), said(said_a), F.lit(" and "), said(said_b), F.lit(")."))
+
+
+def explain_sum(total: Column, unit: Column, count: Column, ceiling: Column) -> Column:
+    return F.concat(F.lit("Commitments of "), number_text(total), F.lit(" "), unit, F.lit(" in "), count.cast("string"), F.lit(" clauses exceed the ceiling of "), number_text(ceiling), F.lit("."))

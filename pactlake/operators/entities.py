@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.functions import text
@@ -20,36 +22,74 @@ def matches(a: str, b: str) -> bool:
     return bool(both - _ROLES) and len(both) >= min(len(x), len(y))
 
 
+def _worded(names: DataFrame) -> DataFrame:
+    return names.select("name", F.array_distinct(F.split("name", " ")).alias("words"))
+
+
 def name_pairs(names: DataFrame) -> DataFrame:
-    """names(name), normalised and distinct: pairs a < b that match, blocked by word."""
-    words = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("w")).filter(~F.col("w").isin(*ROLE_WORDS))
-    a, b = words.select("w", F.col("name").alias("a")), words.select("w", F.col("name").alias("b"))
-    return a.join(b, "w").filter("a < b").select("a", "b").distinct().filter(text.entities_match(F.col("a"), F.col("b")))
+    """names(name), normalised and distinct: pairs a < b that match.
 
+    The shorter of two names that match has all its words in the other, so it meets it by the rarest of its telling ones.
+    """
+    told = _worded(names).withColumn("telling", F.array_except("words", F.array(*map(F.lit, ROLE_WORDS))))
+    telling = told.select("name", "words", F.explode("telling").alias("w"))
+    often = telling.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = telling.join(often, "w").groupBy("name").agg(F.min_by("w", F.struct("n", "w")).alias("w"), F.first("words").alias("words"))
+    small = rarest.select("w", F.col("name").alias("x"), F.col("words").alias("x_words"))
+    big = telling.select("w", F.col("name").alias("y"), F.col("words").alias("y_words"))
+    met = small.join(big, "w").filter((F.col("x") != F.col("y")) & (F.size(F.array_except("x_words", "y_words")) == 0))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-def _components(names: DataFrame, pairs: DataFrame, rounds: int = 32) -> DataFrame:
-    """name and the least name that it is linked with."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+def containing(small: DataFrame, big: DataFrame, pieces: Callable[[Column], Column]) -> DataFrame:
+    """s and b: names of small(name) and of big(name) that may hold them, all pieces of s being in b.
+
+    They meet by that piece of s which the fewest of big have; a name one of whose pieces none has meets nothing.
+    """
+    b = big.select(F.col("name").alias("b"), F.explode(pieces(F.col("name"))).alias("w"))
+    often = b.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    s = small.select(F.col("name").alias("s"), F.explode(pieces(F.col("name"))).alias("w")).join(often, "w", "left")
+    rarest = s.groupBy("s").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0").drop("n")
+    return rarest.join(b, "w").select("s", "b")
+
+
+def matching_names(names: DataFrame) -> DataFrame:
+    """x and y: each name with itself and with all that it matches."""
+    pairs = name_pairs(names)
+    same = names.select(F.col("name").alias("x"), F.col("name").alias("y"))
+    return same.unionByName(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+
+
+def _components(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """name and the least name that it is linked with; rounds go on until none finds a lesser one.
+
+    Each name takes the least root of its neighbours, and then the root of that root, so long chains halve.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     now = names.select("name", F.col("name").alias("root")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(now, F.col("b") == F.col("name")).groupBy(F.col("a").alias("name")).agg(F.min("root").alias("near"))
-        after = now.join(near, "name", "left").select("name", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root")).checkpoint()
+        least = now.join(near, "name", "left").select("name", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        up = now.select(F.col("name").alias("root"), F.col("root").alias("up"))
+        after = least.join(up, "root", "left").select("name", "was", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
         if not after.filter("root < was").limit(1).count():
             return after.select("name", "root")
         now = after.select("name", "root")
-    return now
 
 
 def entity_clusters(mentions: DataFrame) -> DataFrame:
-    """mentions(contract_id, ord, raw) to cluster, n_aliases and n_contracts.
+    """mentions(contract_id, ord, raw[, doc_ord]) to cluster, aliases, contracts (both sorted), n_aliases and n_contracts.
 
-    In order of (contract_id, ord) a name joins the first cluster that has a matching alias, or opens one under its
-    own name. Names of different components of the match graph never meet, so each component is folded by itself.
+    In order of (doc_ord or contract_id, ord) a name joins the first cluster that has a matching alias, or opens one
+    under its own name. Names of different components of the match graph never meet, so each component is folded by itself.
     """
     norm = mentions.withColumn("name", text.normalize_entity(F.col("raw"))).filter("name <> ''")
-    firsts = norm.groupBy("name").agg(F.min(F.struct("contract_id", "ord")).alias("first"))
+    firsts = norm.groupBy("name").agg(F.min(F.struct(F.col("doc_ord" if "doc_ord" in mentions.columns else "contract_id").alias("c"), F.col("ord").alias("o"))).alias("first"))
+    firsts = firsts.checkpoint()
     names = firsts.select("name")
-    roots = _components(names, name_pairs(names))
+    pairs = name_pairs(names).checkpoint()
+    linked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    roots = _components(linked, pairs)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         clusters: list[tuple[str, list[str]]] = []
@@ -65,10 +105,14 @@ def entity_clusters(mentions: DataFrame) -> DataFrame:
                 rows.append((name, name))
         return pd.DataFrame(rows, columns=["name", "cluster"])
 
-    placed = firsts.join(roots, "name").select("name", "root", F.col("first.contract_id").alias("c"), F.col("first.ord").alias("o")).groupBy("root").applyInPandas(fold, "name string, cluster string")
-    return norm.join(placed, "name").groupBy("cluster").agg(F.count_distinct(F.trim("raw")).alias("n_aliases"), F.count_distinct("contract_id").alias("n_contracts"))
+    placed = firsts.join(roots, "name").select("name", "root", "first.c", "first.o").groupBy("root").applyInPandas(fold, "name string, cluster string")
+    alone = names.join(linked, "name", "left_anti").select("name", F.col("name").alias("cluster"))
+    every = norm.join(placed.unionByName(alone), "name").groupBy("cluster").agg(F.array_sort(F.collect_set(F.trim("raw"))).alias("aliases"), F.array_sort(F.collect_set("contract_id")).alias("contracts"))
+    return every.withColumns({"n_aliases": F.size("aliases").cast("bigint"), "n_contracts": F.size("contracts").cast("bigint")})
 
 
-def common_entities(clusters: DataFrame, contracts: int) -> DataFrame:
-    """Clusters in at least max(3, 40 %) of the contracts."""
-    return clusters.filter(F.col("n_contracts") >= F.greatest(F.lit(3), F.bround(F.lit(0.4 * contracts))))
+def common_entities(clusters: DataFrame, contracts: int | DataFrame) -> DataFrame:
+    """Clusters in at least max(3, 40 %) of the contracts; contracts: their number, or a table of one row that has it as n."""
+    if isinstance(contracts, int):
+        return clusters.filter(F.col("n_contracts") >= F.greatest(F.lit(3), F.bround(F.lit(0.4 * contracts))))
+    return clusters.crossJoin(F.broadcast(contracts)).filter(F.col("n_contracts") >= F.greatest(F.lit(3), F.bround(0.4 * F.col("n")))).drop("n")

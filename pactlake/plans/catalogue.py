@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clauses, portfolio, textual
+from . import clauses, contracts, portfolio, records, textual
 
-_MODULES = (clauses, portfolio, textual)
+_MODULES = (clauses, contracts, portfolio, records, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -138,7 +138,7 @@ def invoice_reconcile(spark, sf_dir):
     deals = firsts.join(s, F.col("l_suppkey") == F.col("s_suppkey")).filter("s_suppkey % 5 != 0").select("contract_id", F.concat("s_name", F.lit(" Pte. Ltd.")).alias("party"), "start", F.date_add("start", 60).alias("end"), F.col("s_suppkey"))
     deals = deals.select((F.col("contract_id") * 100000 + F.col("s_suppkey")).alias("contract_id"), "party", "start", "end")
     invoices = li.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_shipdate").cast("date").alias("invoice_date")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select((F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("invoice_id"), F.concat("s_name", F.lit(", Inc")).alias("vendor"), "invoice_date")
-    return pf.reconcile_invoices(invoices, deals)
+    return pf.reconcile_invoices(invoices, deals)  # names of suppliers differ in a number of nine digits
 
 
 def upload_dedupe(spark, sf_dir):
@@ -208,8 +208,8 @@ def best_extraction(spark, sf_dir):
 
 
 def conflict_list(spark, sf_dir):
-    """Lines by status text, then the newest."""
-    return table(spark, sf_dir, "orders").orderBy("o_orderstatus", F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_orderstatus")
+    """All orders by status text, then the newest."""
+    return table(spark, sf_dir, "orders").orderBy("o_orderstatus", F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
 def job_state(spark, sf_dir):
@@ -246,7 +246,7 @@ QUERIES = {f.__name__: f for f in (
 _V = """v AS (SELECT contract_id, 'term' AS category, CASE WHEN floor((x - s) / 30.44 + 0.5) > 0 THEN floor((x - s) / 30.44 + 0.5) END::DOUBLE AS value FROM c
    UNION ALL SELECT contract_id, 'renewal', rm::DOUBLE FROM c UNION ALL SELECT contract_id, 'notice', nd::DOUBLE FROM c),
  w AS (SELECT * FROM v WHERE value IS NOT NULL)"""
-_BAND = f"CASE WHEN d - DATE '{AS_OF}' < 0 THEN 'overdue' WHEN d - DATE '{AS_OF}' <= 7 THEN '7' WHEN d - DATE '{AS_OF}' <= 30 THEN '30' WHEN d - DATE '{AS_OF}' <= 60 THEN '60' WHEN d - DATE '{AS_OF}' <= 90 THEN '90' ELSE 'later' END"
+_BAND = f"CASE WHEN d - DATE '{AS_OF}' < 0 THEN 'overdue' WHEN d - DATE '{AS_OF}' <= 7 THEN 'this_week' WHEN d - DATE '{AS_OF}' <= 30 THEN 'next_30' WHEN d - DATE '{AS_OF}' <= 60 THEN 'next_60' WHEN d - DATE '{AS_OF}' <= 90 THEN 'in_90' ELSE 'later' END"
 
 
 def _retrieval(where: str, name: str = "") -> str:
@@ -282,7 +282,8 @@ ORACLE = {
  d AS (SELECT o * 100000 + k AS contract_id, k, s, (s + 60)::DATE AS e FROM f JOIN supplier ON s_suppkey = k WHERE k % 5 <> 0),
  i AS (SELECT l_orderkey * 100000 + l_suppkey AS invoice_id, l_suppkey AS k, s_name || ', Inc' AS vendor, min(l_shipdate)::DATE AS invoice_date FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
  SELECT invoice_id, vendor, invoice_date, CASE WHEN d.k IS NULL THEN 'MISSING_CONTRACT_ROGUE' WHEN invoice_date BETWEEN s AND e THEN 'HIGH_CONFIDENCE_MATCH' ELSE 'DATE_MISMATCH_REVIEW' END AS status,
-  CASE WHEN invoice_date BETWEEN s AND e THEN 'normalised' ELSE 'inferred' END AS tier, contract_id FROM i LEFT JOIN d USING (k)""",
+  CASE WHEN invoice_date BETWEEN s AND e THEN 'normalised' ELSE 'inferred' END AS tier, contract_id, CASE WHEN contract_id IS NOT NULL THEN 'exact' END AS method,
+  CASE WHEN d.k IS NULL THEN 'no_contract_of_vendor' WHEN invoice_date BETWEEN s AND e THEN 'inside_term' ELSE 'outside_term' END AS reason FROM i LEFT JOIN d USING (k)""",
     "upload_dedupe": """WITH d AS (SELECT doc_id, source, sha256(text) AS sha256 FROM documents)
  SELECT doc_id, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) > 1 OR sha256 IN (SELECT sha256 FROM d WHERE source = 'src0') AS duplicate FROM d WHERE source <> 'src0'""",
     "upsert_latest": """WITH n AS (SELECT o_custkey AS id, o_orderkey AS state FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
@@ -300,7 +301,7 @@ ORACLE = {
  SELECT id, 'union' AS op FROM (FROM a UNION FROM b) UNION ALL SELECT id, 'intersect' FROM (FROM a INTERSECT FROM b) UNION ALL SELECT id, 'except' FROM (FROM a EXCEPT FROM b)""",
     "dependency_edges": "SELECT a.o_custkey AS party_id, a.o_orderkey AS contract_id_a, b.o_orderkey AS contract_id_b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(a.o_orderdate::DATE - b.o_orderdate::DATE) <= 60",
     "best_extraction": "SELECT l_orderkey, l_linenumber::BIGINT AS line, l_partkey, l_discount FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'A' DESC, l_discount DESC, l_linenumber, l_partkey, l_quantity) = 1",
-    "conflict_list": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus, o_orderdate DESC, o_orderkey LIMIT 100",
+    "conflict_list": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus, o_orderdate DESC, o_orderkey",
     "job_state": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "reaped_jobs": """SELECT user_id, attempts, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS state FROM
  (SELECT user_id, max(ts) AS last, count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS attempts FROM events GROUP BY 1) WHERE last < TIMESTAMP '2024-01-31 11:45:00'""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import labels, text
-from pactlake.operators import entities, geometry, grounding, pair_checks
+from pactlake.operators import entities, geometry, grounding, records
 from pactlake.plans.clauses import table
 from pactlake.session import ensure_checkpoint_dir
 
@@ -114,39 +114,18 @@ def spatial_anchor(spark, sf_dir):
     return geometry.anchors(fields, lines).select("doc_id", "page", F.array_join("anchors", ",").alias("anchors"))
 
 
-def line_fold(spark, sf_dir):
-    """Words of whole documents in boxes, folded to lines again."""
+def _words(spark, sf_dir) -> DataFrame:
     w = _lines(spark, sf_dir).select("doc_id", "page", "line", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("k", "text"))
-    words = w.select("doc_id", "page", "text", (F.col("k") * 100).alias("x_min"), (F.col("line") * 50 + F.col("k") % 3).alias("y_min"), (F.col("k") * 100 + 90).alias("x_max"), (F.col("line") * 50 + 30 + F.col("k") % 3).alias("y_max"))
-    return geometry.fold_lines(words).select("doc_id", F.col("page").cast("bigint").alias("page"), F.col("line").cast("bigint").alias("line"), F.sha2("text", 256).alias("sha256"))
-
-
-def invoice_detector(spark, sf_dir):
-    low = F.lower("text")
-    signs = sum((low.contains(s).cast("int") for s in ("bill to", "amount due", "remittance", "invoice number", "invoice no", "purchase order")), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.lower("source").contains("invoice") | F.lower(F.substring("text", 1, 400)).contains("invoice") | (signs >= 2)).alias("is_invoice"))
-
+    return w.select("doc_id", "page", "text", (F.col("k") * 100).alias("x_min"), (F.col("line") * 50 + F.col("k") % 3).alias("y_min"), (F.col("k") * 100 + 90).alias("x_max"), (F.col("line") * 50 + 30 + F.col("k") % 3).alias("y_max"))
 
-# Keywords of document types, the first that has one decides.
-DOC_TYPES = (
-    ("nda", ("non-disclosure", "nondisclosure", "confidentiality agreement", "mutual nda")), ("lease", ("lease", "landlord", "tenant", "leased premises", "demised premises")),
-    ("distribution", ("distribution agreement", "distributor", "reseller agreement")), ("employment", ("employment agreement", "employee", "the employee shall", "job title")),
-    ("msa", ("master services agreement", "services agreement", "statement of work", "master service")),
-)
 
-
-def doc_type(spark, sf_dir):
-    head = F.lower(F.substring("text", 1, 4000))
-    kind, sure = F.lit("other"), F.lit(0.6)
-    for name, words in reversed(DOC_TYPES):
-        hit = head.rlike("|".join(words))
-        kind, sure = F.when(hit, name).otherwise(kind), F.when(hit, 0.75).otherwise(sure)
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("doc_type"), sure.alias("confidence"))
+def line_fold(spark, sf_dir):
+    """Words of whole documents in boxes, folded to lines again."""
+    return geometry.fold_lines(_words(spark, sf_dir)).select("doc_id", F.col("page").cast("bigint").alias("page"), F.col("line").cast("bigint").alias("line"), F.sha2("text", 256).alias("sha256"))
 
 
 def html_text(spark, sf_dir):
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.trim(F.regexp_replace(bare, r"[ \t\n\r]+", " ")), 256).alias("text_sha256"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(records.html_text(F.col("html")), 256).alias("text_sha256"))
 
 
 def hash_id(spark, sf_dir):
@@ -170,71 +149,21 @@ def statute_applicability(spark, sf_dir):
     return both.select("n_nationkey", "r_regionkey", F.when(reason.isNotNull(), "NA").otherwise(F.col("ai")).alias("status"), reason.alias("reason"))
 
 
-_KINDS = ("exclusivity", "most_favored_nation", "price_restrictions", "license_grant", "ip_ownership_assignment", "cap_on_liability", "uncapped_liability", "anti_assignment", "change_of_control", "non_compete", "minimum_commitment")
-
-
-def _findings(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A line's finding is of category (part key mod 11); contracts share parties by customer and assets by part."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    start = F.col("o_orderdate").cast("date")
-    contracts = o.select(F.col("o_orderkey").alias("contract_id"), start.alias("start"), F.date_add(start, 365).alias("end"))
-    parties = o.select(F.col("o_orderkey").alias("contract_id"), F.col("o_custkey").cast("string").alias("key"))
-    assets = li.filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("contract_id"), F.col("l_partkey").cast("string").alias("key"))
-    category = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("l_partkey") % 11 + 1).cast("int"))
-    quote = F.min(F.concat(F.lit("quote "), F.lpad(F.col("l_partkey").cast("string"), 9, "0")))
-    return contracts, parties, assets, li.groupBy(F.col("l_orderkey").alias("contract_id"), category.alias("category")).agg(quote.alias("quote"))
-
-
-def pair_checks_all(spark, sf_dir):
-    return pair_checks.check_pairs(*_findings(spark, sf_dir)).select("a", "b", "type", "severity", "confidence", "quote_a", "quote_b")
-
-
-def conflict_merge(spark, sf_dir):
-    m = pair_checks.merge_conflicts(pair_checks.check_pairs(*_findings(spark, sf_dir)))
-    return m.select("a", "b", F.array_join("quotes", "|").alias("quotes"), "type", "severity", "confidence")
-
-
-def conflict_report(spark, sf_dir):
-    m = pair_checks.merge_conflicts(pair_checks.check_pairs(*_findings(spark, sf_dir)))
-    return pair_checks.report(m, 100).select("conflict_id", "a", "b", "type", "severity")
-
-
 def entity_clusters(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contract_id"), F.lit(0).alias("ord"), F.col("p_name").alias("raw"))
     short = p.filter("contract_id % 3 = 0").select("contract_id", F.lit(1).alias("ord"), F.element_at(F.split("raw", " "), 1).alias("raw"))
-    return entities.entity_clusters(p.unionByName(short))
-
-
-def category_matrix(spark, sf_dir):
-    """For each of the eleven categories and each contract whether it is present, counted."""
-    contracts, _, _, found = _findings(spark, sf_dir)
-    dim = spark.createDataFrame([(i, k) for i, k in enumerate(_KINDS)], "ord int, category string")
-    m = contracts.select("contract_id").crossJoin(F.broadcast(dim)).join(found, ["contract_id", "category"], "left")  # eleven rows
-    return m.groupBy("category", F.when(F.col("quote").isNotNull(), "present").otherwise("unresolved").alias("answer")).agg(F.count(F.lit(1)).alias("n"), F.min("contract_id").alias("first"))
+    return entities.entity_clusters(p.unionByName(short)).select("cluster", "n_aliases", "n_contracts")
 
 
 QUERIES = {f.__name__: f for f in (
     date_parse, duration_parse, number_parse, json_norm, normalize_entity, entity_pairs, clean_tokens, evidence_mass, grounding_exact, grounding_fuzzy, line_offsets, page_roles, spatial_anchor, line_fold,
-    invoice_detector, doc_type, html_text, hash_id, statute_applicability, pair_checks_all, conflict_merge, conflict_report, entity_clusters, category_matrix,
+    html_text, hash_id, statute_applicability, entity_clusters,
 )}
 
 _WS = r"'[ \t\n\x0B\f\r]+'"
 _TOKEN = r"lower(regexp_replace(w, '[^\p{L}\p{N}\p{M}_]+', '', 'g'))"
 _LINES = "l AS (SELECT doc_id, (i - 1) // 40 + 1 AS page, (i - 1) % 40 + 1 AS line, i, x AS text FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(x, i))"
-_CAT = f"list_extract({list(_KINDS)!r}, (l_partkey % 11 + 1)::INT)"
-_SEVERITY = "CASE type WHEN 'exclusive_double_grant' THEN 'Critical' WHEN 'ip_against_licence' THEN 'Critical' WHEN 'role_contradiction' THEN 'Critical' ELSE 'Significant' END"
-_PAIRS = f"""f AS (SELECT l_orderkey AS k, {_CAT} AS c, min('quote ' || lpad(l_partkey::VARCHAR, 9, '0')) AS q FROM lineitem GROUP BY 1, 2),
- a AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A'),
- g AS (SELECT a, b, max(e) AS e, max(s) AS s FROM (SELECT x.o_orderkey AS a, y.o_orderkey AS b, 1 AS e, 0 AS s FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey
-   UNION ALL SELECT x.k, y.k, 0, 1 FROM a x JOIN a y ON x.p = y.p AND x.k < y.k) GROUP BY 1, 2),
- r(ord, type, side, c, pri, needs) AS (VALUES {", ".join(f"({n}, '{c.name}', '{side}', '{k}', {i}, '{c.needs}')" for n, c in enumerate(pair_checks.CHECKS) for side in ("l", "r") for i, k in enumerate(c.left if side == "l" else c.right))}),
- z AS (SELECT k, ord, type, side, needs, arg_min(q, pri) AS q FROM f JOIN r USING (c) GROUP BY ALL),
- h AS (SELECT g.a, g.b, x.ord, x.type, x.q AS quote_a, y.q AS quote_b FROM g JOIN z x ON x.k = g.a AND x.side = 'l' JOIN z y ON y.k = g.b AND y.side = 'r' AND y.ord = x.ord
-   JOIN orders oa ON oa.o_orderkey = g.a JOIN orders ob ON ob.o_orderkey = g.b
-   WHERE CASE x.needs WHEN 'asset' THEN s > 0 WHEN 'both' THEN s > 0 AND e > 0 ELSE true END AND (x.ord <> 0 OR abs(oa.o_orderdate::DATE - ob.o_orderdate::DATE) <= 365))"""
-_MERGED = f"""m AS (SELECT a, b, CASE WHEN quote_a = quote_b THEN quote_a ELSE least(quote_a, quote_b) || '|' || greatest(quote_a, quote_b) END AS quotes,
-   string_agg(type, '; ' ORDER BY ord) AS type, min({_SEVERITY}) AS severity, min(CASE type WHEN 'role_contradiction' THEN 'Low' ELSE 'High' END) AS confidence, min(ord) AS ord FROM h GROUP BY 1, 2, 3)"""
 
 ORACLE = {
     "date_parse": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN o_orderdate::DATE END AS field_date, CASE WHEN o_orderkey % 5 < 2 THEN o_orderdate::DATE END AS conflict_date FROM orders""",
@@ -257,17 +186,10 @@ ORACLE = {
     "spatial_anchor": f"""WITH {_LINES} SELECT doc_id, page::INT AS page, string_agg('L' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END, ',' ORDER BY i) AS anchors FROM l WHERE line BETWEEN 2 AND 4 GROUP BY 1, 2""",
     "line_fold": f"""WITH {_LINES}, w AS (SELECT doc_id, page, line, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') AS s FROM l), g AS (SELECT * FROM w WHERE trim(s, ' ') <> '')
  SELECT doc_id, page::BIGINT AS page, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) AS line, sha256(s) AS sha256 FROM g""",
-    "invoice_detector": """SELECT doc_id, contains(lower(source), 'invoice') OR contains(lower(left(text, 400)), 'invoice') OR (SELECT count(*) FROM (VALUES ('bill to'), ('amount due'), ('remittance'), ('invoice number'), ('invoice no'), ('purchase order')) v(k) WHERE contains(lower(text), k)) >= 2 AS is_invoice FROM documents""",
-    "doc_type": "SELECT doc_id, kind AS doc_type, CASE kind WHEN 'other' THEN 0.6::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(left(text, 4000)), '{'|'.join(w)}') THEN '{k}'" for k, w in DOC_TYPES) + " ELSE 'other' END AS kind FROM documents)",
     "html_text": r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \t\n\r]+', ' ', 'g'), ' ')) AS text_sha256 FROM pages",
     "hash_id": "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes, left(hex(encode(text)), 16) AS magic FROM documents",
     "statute_applicability": """WITH c AS (SELECT n_nationkey AS k, n_nationkey % 5 AS t, n_nationkey % 3 = 2 AND NOT contains(lower(n_name), 'singapore') AS out FROM nation),
  s AS (SELECT r_regionkey AS r, CASE r_regionkey WHEN 4 THEN 'NA' WHEN 1 THEN 'Inferred' WHEN 2 THEN 'Quoted' ELSE 'Evaluation Required' END AS ai FROM region)
  SELECT k AS n_nationkey, r AS r_regionkey, CASE WHEN ai = 'NA' OR out THEN 'NA' ELSE ai END AS status, CASE WHEN ai = 'NA' THEN 'dependency_unavailable' WHEN out THEN 'governing_law_excluded' END AS reason
  FROM c JOIN s ON CASE WHEN r % 2 = 0 THEN t IN (0, 2, 3, 4) ELSE t IN (1, 2) END""",
-    "pair_checks_all": f"WITH {_PAIRS} SELECT a, b, type, {_SEVERITY} AS severity, CASE type WHEN 'role_contradiction' THEN 'Low' ELSE 'High' END AS confidence, quote_a, quote_b FROM h",
-    "conflict_merge": f"WITH {_PAIRS}, {_MERGED} SELECT a, b, quotes, type, severity, confidence FROM m",
-    "conflict_report": f"WITH {_PAIRS}, {_MERGED}, t AS (SELECT *, row_number() OVER (ORDER BY severity, confidence, a, b, ord) AS n FROM m) SELECT 'C-' || lpad(n::VARCHAR, 3, '0') AS conflict_id, a, b, type, severity FROM t WHERE n <= 100",
-    "category_matrix": f"""WITH f AS (SELECT DISTINCT l_orderkey AS k, {_CAT} AS c FROM lineitem), d AS (SELECT unnest({list(_KINDS)!r}) AS category)
- SELECT category, CASE WHEN f.k IS NULL THEN 'unresolved' ELSE 'present' END AS answer, count(*) AS n, min(o_orderkey) AS first FROM orders CROSS JOIN d LEFT JOIN f ON f.k = o_orderkey AND f.c = category GROUP BY 1, 2""",
 }

@@ -27,7 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
         if at is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir names no folder")
             at = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(at)

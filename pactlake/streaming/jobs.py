@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STALL_MINUTES, MAX_ATTEMPTS, ERROR_CLIP = 15, 3, 2000
+STALLED = "Processing stalled and exceeded retries"
 EVENT = "job_id bigint, status string, attempts int, ts timestamp, error string"
 
 
@@ -31,6 +32,41 @@ def reap(states: DataFrame, now: str) -> DataFrame:
     return states.withColumn("status", F.when(stalled & (F.col("attempts") < MAX_ATTEMPTS), "queued").when(stalled, "failed").otherwise(F.col("status")))
 
 
+def claim(states: DataFrame, now: str) -> DataFrame:
+    """Queued jobs as running ones, with an attempt more: what a batch that takes them writes back."""
+    return states.filter("status = 'queued'").withColumns({"status": F.lit("running"), "attempts": F.coalesce("attempts", F.lit(0)) + 1, "ts": F.lit(now).cast("timestamp")})
+
+
+def fail_documents(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """documents(id, status, error) in process whose job, jobs(job_id, document_id, status), was given up are failed too."""
+    gone = jobs.filter("status = 'failed' and document_id is not null").select(F.col("document_id").alias("id"), F.lit(True).alias("__gone")).distinct()
+    hit = F.coalesce("__gone", F.lit(False)) & (F.col("status") == "processing")
+    met = documents.join(gone, "id", "left").withColumn("error", F.when(hit, STALLED).otherwise(F.col("error"))).withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
+    return met.select(*documents.columns)
+
+
+def recheck(spark: SparkSession, job_id: int, now: str) -> DataFrame:
+    """The event that queues a check of the whole portfolio."""
+    return spark.sql("select cast(:id as bigint) as job_id, 'queued' as status, 0 as attempts, cast(:now as timestamp) as ts, cast(null as string) as error", {"id": job_id, "now": now})
+
+
+def isolated(rows: DataFrame, work: Callable[[dict], str | None], key: str = "job_id", tasks: int | None = None) -> DataFrame:
+    """key, done and error of each row after `work`: one that raises is failed with its error and the others go on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                try:
+                    out.append((r[key], work(r), None))
+                except Exception as wrong:  # what a row does wrong is told by the row
+                    out.append((r[key], None, str(wrong)[:ERROR_CLIP]))
+            yield pd.DataFrame(out, columns=[key, "done", "error"])
+
+    dealt = rows.repartition(tasks) if tasks else rows
+    return dealt.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, done string, error string")
+
+
 def stalled_jobs(events: DataFrame) -> DataFrame:
     """A stream of what becomes of jobs that stand still: event-time timers of 15 minutes on each running job."""
 
@@ -53,14 +89,19 @@ def stalled_jobs(events: DataFrame) -> DataFrame:
     return timed.groupBy("job_id").applyInPandasWithState(step, "job_id bigint, status string, attempts int", "attempts int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_batches(events: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, once: bool = True, idle: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Hands each micro-batch's queued jobs over, oldest first; `idle` is called with a batch after which none is left waiting."""
+def run_batches(events: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, once: bool = True, idle: Callable[[DataFrame], None] | None = None, waiting: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Hands each micro-batch's queued jobs over, oldest first.
+
+    `idle`, for work on the whole portfolio, is called after a batch that leaves no job queued; `waiting` gives the jobs
+    that are in the queue then, as those that handling queued again. Without it a batch's own jobs are all there are.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        queued = batch.filter("status = 'queued'").orderBy("ts", "job_id")
-        handle(queued)
-        if idle is not None:
+        batch.persist()
+        handle(batch.filter("status = 'queued'").orderBy("ts", "job_id"))
+        if idle is not None and (waiting is None or waiting().filter("status = 'queued'").isEmpty()):
             idle(batch)
+        batch.unpersist()
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")

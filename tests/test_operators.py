@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactlake.functions import labels, text
-from pactlake.operators import clause_conflicts, entities, findings, geometry, grounding, pair_checks, portfolio, sinks
+from pactlake.operators import clause_conflicts, findings, geometry, grounding, portfolio, records, retrieval, sinks
 from pactlake.sources import files
 from pactlake.streaming import jobs
 
@@ -52,11 +52,12 @@ def test_names(spark):
 def test_labels(spark):
     df = spark.createDataFrame([(d,) for d in ("2024-01-01", "2024-01-09", "2024-01-10", "2024-04-09", "2024-04-10")], "d string")
     got = [r.b for r in df.select(labels.date_band(F.to_date("d"), F.lit("2024-01-02").cast("date")).alias("b")).collect()]
-    assert got == ["overdue", "7", "30", "later", "later"]
+    assert got == ["overdue", "this_week", "next_30", "later", "later"]
     assert one(spark, labels.worst(F.col("a"), F.col("b")), a="high", b="low") == "low"
     assert one(spark, labels.ocr_band(F.col("a")), a=0.7) == "moderate"
     assert one(spark, labels.worse_percent(F.col("v"), F.col("a"), "higher_better"), v=80.0, a=100.0) == 20
-    assert one(spark, labels.relative_days(F.to_date("a"), F.to_date("b")), a="2024-01-02", b="2024-01-01") == "in 1 day"
+    assert one(spark, labels.relative_days(F.to_date("a"), F.to_date("b")), a="2024-01-02", b="2024-01-01") == "tomorrow"
+    assert [one(spark, labels.relative_days(F.to_date("a"), F.to_date("b")), a=x, b="2024-01-10") for x in ("2024-01-10", "2024-01-09", "2024-01-02", "2024-01-20")] == ["today", "overdue by 1 day", "overdue by 8 days", "in 10 days"]
 
 
 def test_clause_engine(spark):
@@ -120,26 +121,7 @@ def test_findings(spark):
     assert (rows["A", "parties"].confidence_tier, rows["A", "parties"].consistency_score) == ("verbatim", 0.97)
     assert rows["A", "insurance"].confidence_tier == "unverified" and rows["B", "insurance"].absence_reason == "not_found"
     cited = {r.category: r for r in findings.citations(x).collect()}
-    assert (cited["parties"].page, cited["insurance"].clause, cited["insurance"].quote) == (2, "Unlabeled", "made up")
-
-
-def test_pair_checks(spark):
-    c = spark.createDataFrame([("A", None, None), ("B", None, None), ("C", None, None)], "contract_id string, start date, end date")
-    parties = spark.createDataFrame([("A", "acme"), ("B", "acme"), ("C", "other")], "contract_id string, key string")
-    assets = spark.createDataFrame([("A", "marks"), ("B", "marks")], "contract_id string, key string")
-    f = spark.createDataFrame([("A", "exclusivity", "exclusive A"), ("B", "exclusivity", "exclusive B"), ("C", "exclusivity", "exclusive C"), ("A", "ip_ownership_assignment", "owns"), ("B", "license_grant", " ")], "contract_id string, category string, quote string")
-    found = pair_checks.check_pairs(c, parties, assets, f)
-    assert [(r.a, r.b, r.type) for r in found.collect()] == [("A", "B", "exclusive_double_grant")]
-    rows = pair_checks.report(pair_checks.merge_conflicts(found), 10)
-    said = sinks.markdown_report(rows)
-    assert "| C-001 | Critical | exclusive_double_grant | A, B |" in said and "> exclusive A" in said
-
-
-def test_entities(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    m = spark.createDataFrame([(1, 0, "Acme Flooring Inc"), (2, 0, "Acme Rail"), (3, 0, "ACME"), (3, 1, "The Buyer"), (4, 0, "Buyer North")], "contract_id int, ord int, raw string")
-    got = {r.cluster: (r.n_aliases, r.n_contracts) for r in entities.entity_clusters(m).collect()}
-    assert got == {"acme flooring": (2, 2), "acme rail": (1, 1), "buyer": (1, 1), "buyer north": (1, 1)}
+    assert (cited["parties"].page, cited["insurance"].clause, cited["insurance"].quote) == (2, "—", "made up")
 
 
 def test_invoices(spark):
@@ -150,6 +132,15 @@ def test_invoices(spark):
     assert got[4][0] == "MULTIPLE_CONTRACTS_REVIEW" and got[6][0] == "DATE_MISMATCH_REVIEW"
 
 
+def test_invoice_names_inside_others(spark):
+    """A name inside another one matches, within a word too, and a name in the parties clause as well as the counterparty."""
+    inv = spark.createDataFrame([(1, "Acmeworks"), (2, "Zeta Group of Companies"), (3, "A"), (4, "lpha"), (5, "gamma north")], "invoice_id int, vendor string").withColumn("invoice_date", F.lit("2024-01-05").cast("date"))
+    con = spark.createDataFrame([(10, "Acmeworksglobal Ltd", None), (20, "Other", "Zeta Group"), (30, "north big gamma", None)], "contract_id int, party string, parties string").withColumns({"start": F.lit("2024-01-01").cast("date"), "end": F.lit("2024-12-31").cast("date")})
+    got = {r.invoice_id: (r.status, r.contract_id, r.method, r.reason) for r in portfolio.reconcile_invoices(inv, con).collect()}
+    assert got[1] == ("HIGH_CONFIDENCE_MATCH", 10, "fuzzy", "inside_term") and got[2][1:3] == (20, "fuzzy") and got[5][1:3] == (30, "fuzzy")
+    assert got[3][0] == "MULTIPLE_CONTRACTS_REVIEW" and got[4] == ("MISSING_CONTRACT_ROGUE", None, None, "no_contract_of_vendor")
+
+
 def test_writers(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(1, "a"), (2, "b")], "document_id int, v string").write.partitionBy("document_id").parquet(path)
@@ -166,9 +157,11 @@ def test_sources(spark, tmp_path):
         (tmp_path / "u" / name).write_bytes(raw)
     got = {r.path.rsplit("/", 1)[1]: r for r in files.uploads(spark, str(tmp_path / "u")).collect()}
     assert [(got[n].kind, got[n].route, got[n].status) for n in ("a.pdf", "b.txt", "c.bin", "d.PNG")] == [("pdf", "pdf", "queued"), ("text", None, "queued"), (None, None, "unsupported"), ("png", "image", "queued")]
-    (tmp_path / "lease one.json").write_text(json.dumps({"contract_id": "NA", "counterparties": ["Acme", " na "], "family": ""}))
+    (tmp_path / "lease one.json").write_text(json.dumps({"contract_id": "NA", "counterparties": ["Acme", " na "], "contract_family": ""}))
     r = files.contract_files(spark, str(tmp_path / "lease one.json")).first()
-    assert (r.counterparties, r.family) == (["Acme"], None) and r.contract_id.startswith("lease")
+    assert (r.counterparties, r.family, r.contract_id) == (["Acme"], None, "NA")
+    (tmp_path / "lease two.json").write_text("{}")
+    assert files.contract_files(spark, str(tmp_path / "lease two.json")).first().contract_id == "lease two"
     body = spark.createDataFrame([("d", 1, '```json\n[{"category":"parties","text":"Acme"},{"category":"nope","text":"x"},{"category":"parties","text":" "}]\n```'), ("d", 2, "sorry"), ("d", 3, '{"category":"insurance","text":"yes"}')], "doc_id string, page int, body string")
     assert sorted((r.page, r.category) for r in files.recorded_answers(body, findings.dimension(spark)).collect()) == [(1, "parties"), (3, "insurance")]
     native = files.native_words(spark.createDataFrame([("d", 1, 0, "Hi", 72.0, 72.0, 144.0, 90.0), ("d", 2, 0, " ", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, word_ord int, text string, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame([("d", 1, 612.0, 792.0, 2550, 3300), ("d", 2, 612.0, 792.0, 2550, 3300)], "doc_id string, page int, width_pt double, height_pt double, width_px int, height_px int"))
@@ -190,3 +183,109 @@ def test_streaming_matches_batch(spark, tmp_path):
     late = jobs.stalled_jobs(stream).writeStream.format("memory").queryName("stalled").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     late.awaitTermination(120)
     assert {(r.job_id, r.status) for r in spark.table("stalled").collect()} == {(1, "queued"), (3, "failed")}
+
+
+def test_record_edges(spark):
+    assert [records.decode_cursor(x) for x in (None, "", "!!", records.encode_cursor(40))] == [0, 0, 0, 40]
+    d = spark.createDataFrame([(1, "b", "ready", "nda", None, "2024-01-01"), (2, "a", "ready", "nda", "Acme", "2024-01-02"), (3, "c", "failed", None, "x", "2024-01-03")], "id bigint, filename string, status string, doc_type string, counterparty string, uploaded_at string")
+    f = spark.createDataFrame([], "id bigint, document_id bigint, field_key string, value_verbatim string, value_normalized struct<date:date,days:int,months:int>, confidence_tier string, absence_reason string")
+    e = spark.createDataFrame([], "id bigint, document_id bigint, event_date date, action_by_date date, status string")
+    page = lambda **k: [(r.id, r.has_more) for r in records.document_list(d, e, f, **k).orderBy("nth").collect()]
+    assert page(limit=2) == [(3, True), (2, True)] and page(limit=2, cursor=records.encode_cursor(2)) == [(1, False)]
+    assert page(sort="name", status="ready") == [(2, False), (1, False)] and page(search="ACM") == [(2, False)] and page(doc_type="lease") == []
+    ln = spark.createDataFrame([(1, "L1"), (1, "L2"), (2, "L1")], "document_id bigint, line_id string")
+    assert records.anchors_of(ln, 1, " L1, ,L9").count() == 1 and records.anchors_of(ln, 1, " ").count() == 0
+    assert one(spark, records.storage_path("/s/", F.col("d"), F.lit("pdf")), d="abcd") == "/s/originals/ab/abcd.pdf"
+
+
+def test_retrieval_params(spark):
+    p = retrieval.Params.parse({"doc_type": "nda", "threshold": 3, "drop": "table"})
+    assert (p.doc_type, p.threshold) == ("nda", 3)
+    for bad in ({"doc_type": "x"}, {"counterparty": ""}, {"threshold": "3"}, {"threshold": True}, {"date_from": "2024-1-1"}, {"field_key": "drop table"}, [], None):
+        with pytest.raises(ValueError):
+            retrieval.Params.parse(bad)
+    d = spark.createDataFrame([(1, "a.pdf", "ready", "nda", "Acme"), (2, "b.pdf", "ready", None, "Acme")], "id bigint, filename string, status string, doc_type string, counterparty string")
+    f = spark.createDataFrame([(1, 1, "renewal_term", "one year", (None, None, 12), "normalised", "Clause 2")], "id bigint, document_id bigint, field_key string, value_verbatim string, value_normalized struct<date:date,days:int,months:int>, confidence_tier string, clause_label string")
+    ask = lambda said, writer=None: retrieval.answer(d, f, "?", lambda _: said, writer)
+    assert ask("nonsense")["status"] == "answered" and ask({"status": "need_clarification"})["question"]
+    assert ask({"status": "ready", "params": {"doc_type": "x"}})["status"] == "need_clarification"
+    assert ask({"status": "ready", "params": {"field_key": "renewal_term", "comparator": "gte", "threshold": 12}})["answer"] == "1 matching contract(s):\n• Acme — renewal_term: one year (Clause 2)"
+    assert ask({"status": "ready", "params": {"counterparty": "nobody"}})["answer"] == "No matching contracts were found."
+
+    def down(*_):
+        raise OSError("no answer")
+
+    assert ask({"status": "ready"}, down)["answer"].startswith("1 matching")
+
+
+def test_providers(spark):
+    class Flaky:
+        def __init__(self):
+            self.left = 2
+
+        def ask(self, page, prompt):
+            if prompt == "bad":
+                raise ValueError("no")
+            if self.left:
+                self.left -= 1
+                raise TimeoutError("later")
+            return prompt.upper()
+
+        def retryable(self, error):
+            return isinstance(error, TimeoutError)
+
+    waits = []
+    assert files.asked(Flaky(), None, "x", waits.append) == "X" and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        files.asked(Flaky(), None, "bad", waits.append)
+    assert waits == [1.0, 2.0]
+    pages = spark.createDataFrame([("d", 1, b""), ("d", 2, b"")], "doc_id string, page int, image binary")
+    prompts = spark.createDataFrame([("parties", "good"), ("insurance", "bad")], "category string, prompt string")
+
+    class Calm:
+        def ask(self, page, prompt):
+            if prompt == "bad":
+                raise ValueError("no")
+            return prompt
+
+        def retryable(self, error):
+            return False
+
+    got = files.answers(pages, prompts, Calm, 2).collect()
+    assert sorted((r.page, r.category, r.body, r.error) for r in got) == [(1, "insurance", None, "no"), (1, "parties", "good", None), (2, "insurance", None, "no"), (2, "parties", "good", None)]
+
+
+def test_conversion(spark):
+    pdf = b"%PDF-1.4 << /Type /Pages >> << /Type /Page >> << /Type/Page >>"
+    rows = spark.createDataFrame([("a.pdf", pdf), ("b.pdf", b"no"), ("c.docx", b"x"), ("d.zip", b"x"), ("e.html", b"<p>")], "path string, content binary")
+    got = {r.path: (r.route, r.n_pages, r.error) for r in files.convert(rows, {"html": lambda raw: pdf + raw}).collect()}
+    assert got["a.pdf"] == ("pdf", 2, None) and got["e.html"] == ("html", 2, None)
+    assert got["b.pdf"][2] == "not a PDF" and got["c.docx"][2] == "no converter for office here" and got["d.zip"][0] is None and got["d.zip"][2]
+
+
+def test_settings_and_demo(spark):
+    assert files.settings(["A=1", "# B=2", "export C='x y'", "A=3", "D"], {"C": "env"}) == {"C": "env", "A": "1"}
+    d, ln, f = files.demo_corpus(spark, 18, "2026-01-01")
+    assert (d.count(), f.count()) == (18, 72) and records.integrity(f, ln, spark.createDataFrame([], "id bigint, event_date date, action_by_date date")).count() == 0
+    assert d.exceptAll(files.demo_corpus(spark, 18, "2026-01-01")[0]).count() == 0
+
+
+def test_job_handling(spark, tmp_path):
+    states = spark.createDataFrame([(1, "queued", 1, None), (2, "done", 1, None)], "job_id bigint, status string, attempts int, error string")
+    assert [(r.job_id, r.status, r.attempts) for r in jobs.claim(states, "2024-01-01 00:00:00").collect()] == [(1, "running", 2)]
+    assert jobs.recheck(spark, 9, "2024-01-01 00:00:00").first().status == "queued"
+    e = spark.createDataFrame([(1, "queued", 0, "2024-01-01 00:00:00")], "job_id bigint, status string, attempts int, ts string").withColumns({"ts": F.to_timestamp("ts"), "error": F.lit(None).cast("string")})
+    e.coalesce(1).write.parquet(str(tmp_path / "e"))
+    idle = []
+    for n, waiting in enumerate((lambda: states, lambda: states.filter("status = 'done'"), None)):
+        stream = spark.readStream.schema(jobs.EVENT).parquet(str(tmp_path / "e"))
+        jobs.run_batches(stream, lambda b: None, str(tmp_path / f"c{n}"), idle=lambda b, n=n: idle.append(n), waiting=waiting).awaitTermination(120)
+    assert idle == [1, 2]
+
+
+def test_scopes(spark):
+    s = spark.createDataFrame([("k", 1), ("k", None), ("k", None), ("j", None)], "kind string, canonical_id int")
+    assert clause_conflicts.scope_judgements(s).count() == 3
+    assert one(spark, clause_conflicts.explain_sum(F.col("a"), F.lit("units"), F.lit(2), F.col("b")), a=1200.0, b=0.5) == "Commitments of 1200 units in 2 clauses exceed the ceiling of 0.5."
+    c = spark.createDataFrame([(1, [("a",), ("a",), (None,), ("b",)])], "clause_id int, scopes array<struct<canonical_id:string>>")
+    assert sorted(r.asset_id for r in clause_conflicts.scoped(c).collect()) == ["a", "b"] and c.filter(clause_conflicts.covers(F.lit("b"), "scopes")).count() == 1

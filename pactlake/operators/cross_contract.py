@@ -122,6 +122,9 @@ CHECKS: tuple[Check, ...] = (
 )
 
 
+_IP = next(k for k, c in enumerate(CHECKS) if c.subject[0] == "ip_assets")
+
+
 def contract_facts(docs: DataFrame, findings: DataFrame, extractions: DataFrame) -> DataFrame:
     """A row for each contract: what is present and unresolved, citations, names, assets, dates, territories, law."""
     firm = F.coalesce("is_grounded", F.lit(False))
@@ -213,7 +216,8 @@ def _side(facts: DataFrame, side: str) -> DataFrame:
     for k, check in enumerate(CHECKS):
         test, cite = (f() for f in getattr(check, side))
         rows.append(F.when(test & (F.coalesce(cite["quote"], F.lit("")) != ""), F.struct(F.lit(k).alias("check_ord"), cite.alias("cite"))))
-    return facts.select("contract_id", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("contract_id", "x.*")
+    told = facts.select("contract_id", "ip_assets", F.array_contains("unresolved", "exclusivity").alias("open"), F.explode(F.array_compact(F.array(*rows))).alias("x"))
+    return told.select("contract_id", "x.*", "open", F.when(F.col("x.check_ord") == _IP, F.col("ip_assets")).alias("ip_assets"))
 
 
 def check_pairs(facts: DataFrame) -> DataFrame:
@@ -241,16 +245,14 @@ def check_pairs(facts: DataFrame) -> DataFrame:
             test = test & (F.size(need) > 0)
         tests.append(F.when(test & check.pair() if check.pair else test, F.lit(k)))
     found = pairs.select("a", "b", "doc_ord_a", "doc_ord_b", "ents", "assets", F.explode(F.array_compact(F.array(*tests))).alias("check_ord"))
-    cite = lambda side, name: side.select(F.col("contract_id").alias(name), "check_ord", F.col("cite").alias(f"cite_{name}"))
-    found = found.join(cite(left, "a"), ["a", "check_ord"]).join(cite(right, "b"), ["b", "check_ord"])
-    found = _with_facts(found, facts, ("ip_assets", "unresolved", "names"))
+    of = lambda side, name: side.select(F.col("contract_id").alias(name), "check_ord", *(F.col(c).alias(f"{c}_{name}") for c in ("cite", "open", "ip_assets")))
+    found = found.join(of(left, "a"), ["a", "check_ord"]).join(of(right, "b"), ["b", "check_ord"])
 
     exclusive = F.col("check_ord") == 0
-    ip = next(k for k, c in enumerate(CHECKS) if c.subject[0] == "ip_assets")
-    ip_assets = F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b"))
+    ip_assets = F.coalesce(F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b")), none)
     always = F.array(*(F.lit(c.inferred) for c in CHECKS))[F.col("check_ord")]
-    guessed = always | (exclusive & (F.size("assets") == 0)) | ((F.col("check_ord") == ip) & (F.size(ip_assets) == 0))
-    open_ = exclusive & (F.array_contains("unresolved_a", "exclusivity") | F.array_contains("unresolved_b", "exclusivity"))
+    guessed = always | (exclusive & (F.size("assets") == 0)) | ((F.col("check_ord") == _IP) & (F.size(ip_assets) == 0))
+    open_ = exclusive & (F.col("open_a") | F.col("open_b"))
     confidence = F.when(guessed | open_, "Low").when(F.col("cite_a.firm") & F.col("cite_b.firm"), "High").otherwise("Medium")
     lists = {"assets": F.array_join("assets", ", "), "ents": F.array_join("ents", "; "), "ip_assets": F.array_join(ip_assets, ", ")}
     subject = F.lit("")
@@ -260,9 +262,15 @@ def check_pairs(facts: DataFrame) -> DataFrame:
     nth = lambda attr: F.array(*(F.lit(getattr(c, attr)) for c in CHECKS))[F.col("check_ord")]
     found = found.withColumns({"type": nth("type"), "severity": nth("severity"), "confidence": confidence, "subject": subject, "description": nth("says"), "recommended_action": nth("advice")})
 
-    between = found.select("a", "b", "names_a", "names_b").dropDuplicates(["a", "b"]).select("a", "b", "names_b", F.explode("names_a").alias("x")).join(met, "x").filter(F.array_contains("names_b", F.col("y")))
-    who = between.groupBy("a", "b").agg(F.array_sort(F.collect_set("x")).alias("entities"))
-    found = found.join(who, ["a", "b"], "left").withColumn("entities", F.coalesce("entities", F.array(F.lit(NOBODY))))
+    # names that many share don't make a pair, but are named where a pair is made
+    if usual.isEmpty():
+        found = found.withColumn("entities", F.col("ents"))
+    else:
+        often = _named(facts).join(usual.withColumnRenamed("x", "name"), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("often"))
+        those = found.select("a", "b").distinct().join(often.withColumnsRenamed({"contract_id": "a"}), "a").join(facts.select(F.col("contract_id").alias("b"), "names"), "b")
+        also = those.select("a", "b", "names", F.explode("often").alias("x")).join(met, "x").filter(F.array_contains("names", F.col("y"))).groupBy("a", "b").agg(F.collect_set("x").alias("also"))
+        found = found.join(also, ["a", "b"], "left").withColumn("entities", F.array_sort(F.array_union("ents", F.coalesce("also", none))))
+    found = found.withColumn("entities", F.when(F.size("entities") > 0, F.col("entities")).otherwise(F.array(F.lit(NOBODY))))
     return found.select("a", "b", "doc_ord_a", "doc_ord_b", "check_ord", "type", "severity", "confidence", "subject", "entities", "cite_a", "cite_b", "description", "recommended_action")
 
 

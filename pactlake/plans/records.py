@@ -37,7 +37,7 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = F.col("p"), F.col("l_linenumber").cast("int")
     key = F.element_at(F.array(*map(F.lit, KEYS)), n)
     said = (
-        F.when(n == 1, F.concat(F.lit("Customer Number"), F.col("o_custkey").cast("string"), F.lit(" Ltd and Owner Pte"))).when(n == 2, F.date_format(F.date_add("d", (p % 500).cast("int")), "MMMM d, yyyy"))
+        F.when(n == 1, F.concat(F.lit("Customer Number"), F.col("o_custkey").cast("string"), F.lit(" Ltd and Owner"), F.col("o_custkey").cast("string"), F.lit(" Pte"))).when(n == 2, F.date_format(F.date_add("d", (p % 500).cast("int")), "MMMM d, yyyy"))
         .when(n == 3, F.when(p % 2 == 0, "laws of Singapore").otherwise("laws of Delaware")).when(n == 4, F.format_string("(%d) months", (p % 36).cast("int"))).when(n == 5, F.format_string("%d days", (p % 90).cast("int")))
         .when(n == 6, F.concat(F.lit("exclusive use of Machine M"), p.cast("string"))).otherwise(F.concat(F.lit("insured for part "), p.cast("string")))
     )
@@ -288,9 +288,8 @@ def record_conflicts(spark, sf_dir):
 
 
 def record_briefs(spark, sf_dir):
-    rows, d, f = _run(spark, sf_dir)
-    own = handoffs.briefs(rows).select(F.col("trigger"), F.sha2("question", 256).alias("question_sha256"), F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ",").alias("document_ids"))
-    return own
+    rows, _, _ = _run(spark, sf_dir)
+    return handoffs.briefs(rows).select("trigger", F.sha2("question", 256).alias("question_sha256"), F.array_join(F.transform("document_ids", lambda x: x.cast("string")), ",").alias("document_ids"))
 
 
 def clause_scopes(spark, sf_dir):
@@ -352,7 +351,7 @@ _D = """d AS (SELECT o_orderkey AS id, o_custkey AS u, 'order-' || o_orderkey ||
 _F = f"""{_D}, p AS (SELECT l_orderkey AS k, l_linenumber::INT AS n, min(l_partkey) AS p FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1, 2),
  g AS (SELECT *, CASE n WHEN 2 THEN (day + (p % 500)::INT)::DATE END AS nd FROM p JOIN d ON d.id = k),
  f AS (SELECT k * 10 + n AS id, k AS document_id, n, p, ['parties', 'expiration_date', 'governing_law', 'renewal_term', 'notice_period_to_terminate_renewal', 'exclusivity', 'insurance'][n] AS field_key,
-  CASE WHEN p % 7 <> 0 THEN CASE n WHEN 1 THEN 'Customer Number' || u || ' Ltd and Owner Pte' WHEN 2 THEN strftime(nd, '%B %-d, %Y') WHEN 3 THEN CASE WHEN p % 2 = 0 THEN 'laws of Singapore' ELSE 'laws of Delaware' END WHEN 4 THEN '(' || p % 36 || ') months' WHEN 5 THEN p % 90 || ' days'
+  CASE WHEN p % 7 <> 0 THEN CASE n WHEN 1 THEN 'Customer Number' || u || ' Ltd and Owner' || u || ' Pte' WHEN 2 THEN strftime(nd, '%B %-d, %Y') WHEN 3 THEN CASE WHEN p % 2 = 0 THEN 'laws of Singapore' ELSE 'laws of Delaware' END WHEN 4 THEN '(' || p % 36 || ') months' WHEN 5 THEN p % 90 || ' days'
     WHEN 6 THEN 'exclusive use of Machine M' || p ELSE 'insured for part ' || p END END AS value_verbatim,
   CASE WHEN p % 7 <> 0 THEN nd END AS date, CASE WHEN p % 7 <> 0 AND n = 5 THEN (p % 90)::INT END AS days, CASE WHEN p % 7 <> 0 AND n = 4 THEN (p % 36)::INT END AS months,
   ['verbatim', 'normalised', 'assembled', 'inferred', 'unverified', 'guessed'][(p % 6 + 1)::INT] AS confidence_tier, CASE WHEN p % 3 = 0 THEN 'benchmark' ELSE 'contract_text' END AS claim_type,
@@ -364,15 +363,14 @@ _F = f"""{_D}, p AS (SELECT l_orderkey AS k, l_linenumber::INT AS n, min(l_partk
 _C = """s AS (SELECT 'c' || p_partkey AS clause_key, p_partkey AS k, p_brand AS source, p_name AS provision, CASE WHEN p_partkey % 9 = 0 THEN 'NA' WHEN p_partkey % 4 = 1 THEN 'Inferred' WHEN p_partkey % 2 = 0 THEN 'Quoted' ELSE 'Evaluation Required' END AS ai_status,
   [['nda', 'services'], ['lease'], ['other_commercial', 'distribution']][(p_partkey % 3 + 1)::INT] AS types FROM part WHERE p_partkey <= 50)"""
 _RUN = f"""WITH {_F}, k AS (SELECT id, u, day, filename, counterparty FROM d WHERE status IN ('ready', 'degraded') AND (doc_type IS NULL OR doc_type NOT IN ('not_a_contract', 'invoice'))),
- v AS (SELECT f.*, coalesce(c.citation_page, 0) AS page, field_key || '' AS fk FROM f JOIN c USING (id) WHERE value_verbatim IS NOT NULL AND document_id IN (SELECT id FROM k)),
+ v AS (SELECT f.* FROM f WHERE value_verbatim IS NOT NULL AND document_id IN (SELECT id FROM k)),
  a AS (SELECT document_id AS k, p, id AS fid, value_verbatim AS q, confidence_tier AS t FROM v WHERE field_key = 'exclusivity'),
  x AS (SELECT document_id AS k, date AS e, id AS fid, value_verbatim AS q, confidence_tier AS t FROM v WHERE field_key = 'expiration_date'),
  r AS (SELECT document_id AS k, id AS fid, value_verbatim AS q, confidence_tier AS t FROM v WHERE field_key = 'renewal_term'),
  w AS (SELECT document_id AS k, lower(substr(value_verbatim, 9)) AS law, id AS fid, value_verbatim AS q, confidence_tier AS t FROM v WHERE field_key = 'governing_law'),
  nm AS (SELECT id AS k, 'c' || u AS name FROM k WHERE counterparty IS NOT NULL UNION SELECT document_id, 'p' || u FROM v JOIN d ON d.id = document_id WHERE field_key = 'parties'),
- ow AS (SELECT DISTINCT document_id AS k FROM v WHERE field_key = 'parties'),
- g AS (SELECT a.k AS a, b.k AS b, true AS e, NULL AS p FROM nm a JOIN nm b ON a.name = b.name AND a.k < b.k UNION SELECT a.k, b.k, false, a.p FROM a JOIN a b ON a.p = b.p AND a.k < b.k),
- h AS (SELECT a, b, bool_or(e) AS e, bool_or(p IS NOT NULL) AS s FROM g GROUP BY 1, 2),
+ gp AS (SELECT a.k AS a, b.k AS b, true AS e, NULL AS p FROM nm a JOIN nm b ON a.name = b.name AND a.k < b.k UNION SELECT a.k, b.k, false, a.p FROM a JOIN a b ON a.p = b.p AND a.k < b.k),
+ h AS (SELECT a, b, bool_or(e) AS e, bool_or(p IS NOT NULL) AS s FROM gp GROUP BY 1, 2),
  z AS (SELECT h.a, h.b, 'Exclusivity / Double-Grant Conflict' AS type, 'Critical' AS sev, x.q AS qa, y.q AS qb, x.fid AS fa, y.fid AS fb, 6 AS ca, 6 AS cb, CASE WHEN NOT s OR 'unverified' IN (x.t, y.t) THEN 'Low' WHEN x.t IN ('verbatim', 'normalised') AND y.t IN ('verbatim', 'normalised') THEN 'High' ELSE 'Medium' END AS conf
    FROM h JOIN a x ON x.k = h.a JOIN a y ON y.k = h.b LEFT JOIN x xa ON xa.k = h.a LEFT JOIN x xb ON xb.k = h.b
   UNION ALL SELECT h.a, h.b, 'Term / Renewal Conflict', 'Significant', r.q, xb.q, r.fid, xb.fid, 4, 2, 'Low' FROM h JOIN r ON r.k = h.a JOIN x xa ON xa.k = h.a JOIN x xb ON xb.k = h.b WHERE h.e AND xa.e > xb.e
@@ -437,6 +435,10 @@ ORACLE = {
     "retrieval_fields": f"""WITH {_F}, q AS (SELECT * FROM d WHERE status <> 'processing' AND doc_type NOT IN ('not_a_contract', 'invoice') ORDER BY id LIMIT 200)
  SELECT q.id, filename, doc_type, value_verbatim || '|' || confidence_tier AS fields FROM q JOIN f ON f.document_id = q.id AND n = 5 AND days >= 45 AND confidence_tier <> 'unverified' ORDER BY q.id LIMIT 50""",
     "retrieval_party": f"""WITH {_F} SELECT id, filename, counterparty FROM d WHERE status <> 'processing' AND doc_type = 'lease' AND (coalesce(contains(lower(counterparty), 'number1'), false) OR contains(filename, 'number1') OR id IN (SELECT document_id FROM f WHERE n = 1 AND contains(lower(value_verbatim), 'number1'))) ORDER BY id LIMIT 50""",
+    "record_conflicts": f"""{_RUN} SELECT type AS conflict_type, CASE sev WHEN 'Critical' THEN 'high' WHEN 'Significant' THEN 'medium' ELSE 'low' END AS severity, CASE conf WHEN 'High' THEN 'verbatim' WHEN 'Medium' THEN 'assembled' ELSE 'inferred' END AS confidence_tier,
+   a || ',' || b AS document_ids, fa || ',' || fb AS field_ids FROM z""",
+    "record_briefs": f"""{_RUN} SELECT 'conflict:' || type AS trigger, sha256('Clause ' || ca || ' of order-' || a || '.pdf states "' || qa || '" while Clause ' || cb || ' of order-' || b || '.pdf states "' || qb || '". Which agreement governs, and does this create a breach?') AS question_sha256,
+   a || ',' || b AS document_ids FROM z WHERE sev <> 'Administrative'""",
     "clause_scopes": """WITH s AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS kind, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey END AS c FROM lineitem), n AS (SELECT k, kind, count(*) AS n, count(c) AS m FROM s GROUP BY 1, 2)
  SELECT kind, sum((n * (n - 1) - m * (m - 1)) / 2)::BIGINT AS n FROM n GROUP BY 1 HAVING sum((n * (n - 1) - m * (m - 1)) / 2) > 0""",
     "job_states": """WITH e AS (SELECT user_id AS job_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'queued' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS status, (event_id % 5)::INT AS attempts, ts, event_id FROM events),

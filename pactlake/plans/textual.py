@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import labels, text
@@ -63,24 +63,42 @@ def evidence_mass(spark, sf_dir):
     return c.join(n, "doc_id").groupBy("doc_id").agg(F.first("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"), F.round(F.sum(grounding.token_weight(F.col("n").cast("double"), F.col("c"))), 6).alias("mass"))
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
-    """Items and the documents that have their first three words in succession, by an equi-join."""
-    words = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
-    three = lambda a, i: F.concat_ws(" ", F.get(a, i), F.get(a, i + 1), F.get(a, i + 2))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), words(F.col("text")).alias("w")).select("item_id", "phrase", three(F.col("w"), F.lit(0)).alias("g"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= 3)
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: three(F.col("w"), i)))).alias("g"))
-    return grams.join(items, "g").select("item_id", "phrase", "doc_id").distinct()
+def _split(c: str) -> Column:
+    return F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+
+
+def _threes(words: Column, first: int, less: int) -> Column:
+    """The distinct runs of three words from the word `first` on, up to the one `less` before the end."""
+    n = F.size(words) - less
+    run = F.transform(F.sequence(F.lit(first), n - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.array_distinct(F.when(n - 3 >= first, run).otherwise(F.array().cast("array<string>")))
+
+
+def _candidates(spark, sf_dir, edge: int) -> DataFrame:
+    """Items and the documents that have three words of theirs in succession, `edge` words at either end left out.
+
+    The items' runs are few and are broadcast if they are small enough, so that documents' runs needn't be shuffled.
+    """
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), _split("text").alias("w"))
+    keys = items.select("item_id", F.explode(_threes(F.col("w"), edge, edge)).alias("g"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _split("text").alias("w"))
+    met = docs.select("doc_id", F.explode(_threes(F.col("w"), 0, 0)).alias("g")).join(keys, "g").select("item_id", "doc_id").distinct()
+    return met.join(items.select("item_id", "phrase"), "item_id")
 
 
 def grounding_exact(spark, sf_dir):
+    """Items that stand in documents, within words too. The inner words of an item of five or more stand there as they are; shorter items are held against every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _candidates(spark, sf_dir).join(docs, "doc_id").filter(F.contains("text", "phrase")).select("item_id", "doc_id", F.instr(F.col("text"), F.col("phrase")).cast("bigint").alias("place"))
+    place = F.instr(F.col("text"), F.col("phrase")).cast("bigint").alias("place")
+    long = _candidates(spark, sf_dir, 1).join(docs, "doc_id").filter(F.contains("text", "phrase")).select("item_id", "doc_id", place)
+    few = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase")).filter(F.size(_split("phrase")) < 5)
+    short = docs.join(few, F.contains("text", "phrase")).select("item_id", "doc_id", place)
+    return long.unionByName(short)
 
 
 def grounding_fuzzy(spark, sf_dir):
-    """Benchmark passages located among the words of the documents that may have them."""
-    c = _candidates(spark, sf_dir).select(F.col("doc_id").cast("string").alias("page_key"), F.col("item_id").alias("phrase_id"), "phrase")
+    """Benchmark passages located among the words of the documents that have any three words of theirs in succession."""
+    c = _candidates(spark, sf_dir, 0).select(F.col("doc_id").cast("string").alias("page_key"), F.col("item_id").alias("phrase_id"), "phrase")
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "").alias("words"))
     out = grounding.ground_phrases(pages, c)
     return out.select(F.col("page_key").cast("bigint").alias("doc_id"), F.col("phrase_id").alias("item_id"), F.round("score", 6).alias("score"), F.round("recall", 6).alias("recall"), F.round("mass", 6).alias("mass"), "verified")

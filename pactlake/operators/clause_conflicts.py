@@ -93,7 +93,7 @@ def group_counts(links: DataFrame, key: str) -> DataFrame:
 
 def number_text(x: Column) -> Column:
     """A number without needless zeros, six digits at most."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(x, 6)), r"(\\.\\d*?)0+$", "$1"), r"\\.$", "")
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(x, 6)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
 def explain_overlap(asset: Column, said_a: Column, said_b: Column) -> Column:

@@ -15,7 +15,7 @@ other columns and an empty table need nothing special.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
 from struct import pack
@@ -28,14 +28,16 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import small_batches, tidy
 
 #: Pieces whose ids are remembered by a worker, twice.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Pieces of a text handled at once.
 PIECES_AT_ONCE = 200_000
 #: Bytes of the longest beginning of a piece whose last token is remembered for other pieces, and how many are.
-HEAD_BYTES, KEPT_HEADS = 24, 600_000
+HEAD_BYTES, KEPT_HEADS = 24, 300_000
+#: Pairs of tokens of which it is remembered whether they may follow each other.
+KEPT_FITS = 1 << 18
 
 
 class Ranks:
@@ -88,7 +90,7 @@ class Ranks:
         key = (left, right)
         if (known := self._fits.get(key)) is None:
             known = self._boundary_kept(left, right)
-            if len(self._fits) > 1 << 20:
+            if len(self._fits) >= KEPT_FITS:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -215,6 +217,12 @@ class Encoder:
     def __init__(self, vocabulary: Ranks, pattern: str):
         self.pieces, self.pattern = _Pieces(vocabulary), regex.compile(pattern)
 
+    def forget(self) -> None:
+        """Drops what is remembered of texts, so that an idle worker holds the vocabulary alone."""
+        self.pieces.clear()
+        self.pieces.old = {}
+        self.pieces.vocabulary.heads.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian int32."""
         get = self.pieces.__getitem__
@@ -237,46 +245,81 @@ def _shared_lines(sc: SparkContext, path: str):
         return sc.broadcast(tuple(f.read().splitlines()))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """The columns of `keep` and the ids of each text, an array of int."""
-    small_batches(docs.sparkSession)
-    lines = _shared_lines(docs.sparkSession.sparkContext, path)
-    source = docs.select(*keep, F.col(text).alias("__text"))
+def _coded(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    """The ids of each text, as a list of int32."""
+    coded = [encoder.encode(x) if x else b"" for x in texts.to_pylist()]
+    offsets = np.zeros(len(coded) + 1, dtype=np.int64)
+    np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+
+
+def _token_table(lines: tuple[bytes, ...]) -> pa.Array:
+    """The bytes of each id, none for an id that isn't one."""
+    tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in lines if x.strip())}
+    return pa.array([tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)], pa.binary())
+
+
+def _decoded(table: pa.Array, ids: pa.Array) -> pa.Array:
+    """The bytes that each list of ids stands for; a null list has none."""
+    listed = pc.fill_null(ids, [])
+    offsets = listed.offsets.to_numpy()
+    said = table.take(listed.values.slice(offsets[0], offsets[-1] - offsets[0]))
+    ends = np.frombuffer(said.buffers()[1], dtype=np.int32)[: len(said) + 1][offsets - offsets[0]]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(listed), [None, pa.py_buffer(np.ascontiguousarray(ends)), said.buffers()[2]])
+
+
+def _mapped(source: DataFrame, added: dict[str, str], start: Callable[[], tuple[Callable[[pa.Array], list[pa.Array]], Callable[[], None]]]) -> DataFrame:
+    """The columns of source but the last, and those that a worker's function makes of the last one, some rows at a time."""
     fields = source.schema.fields[:-1]
+    names = [*(f.name for f in fields), *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(lines.value, pattern)
+        made, end = start()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                coded = [encoder.encode(x) if x else b"" for x in part.column(part.num_columns - 1).to_pylist()]
-                offsets = np.zeros(len(coded) + 1, dtype=np.int64)
-                np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
-                listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), listed], [*(f.name for f in fields), ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), *made(part.column(part.num_columns - 1))], names)
+        end()
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{ids}` array<int>"]))
+    return source.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` {t}" for n, t in added.items())]))
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """The columns of `keep` and the ids of each text, an array of int."""
+    small_batches(docs.sparkSession)
+    lines = _shared_lines(docs.sparkSession.sparkContext, path)
+
+    def start():
+        encoder = _encoder(lines.value, pattern)
+        return lambda texts: [_coded(encoder, texts)], encoder.forget
+
+    return _mapped(docs.select(*keep, F.col(text).alias("__text")), {ids: "array<int>"}, start)
 
 
 def decode_documents(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id",), out: str = "decoded") -> DataFrame:
     """The columns of `keep` and the bytes that the ids stand for."""
     small_batches(coded.sparkSession)
     lines = _shared_lines(coded.sparkSession.sparkContext, path)
-    source = coded.select(*keep, F.col(ids).alias("__ids"))
-    fields = source.schema.fields[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in lines.value if x.strip())}
-        table = pa.array([tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)], pa.binary())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                listed = pc.fill_null(part.column(part.num_columns - 1), [])
-                offsets = listed.offsets.to_numpy()
-                said = table.take(listed.values.slice(offsets[0], offsets[-1] - offsets[0]))  # a null id has no bytes: it makes the row null
-                ends = np.frombuffer(said.buffers()[1], dtype=np.int32)[: len(said) + 1][offsets - offsets[0]]
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(listed), [None, pa.py_buffer(np.ascontiguousarray(ends)), said.buffers()[2]])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), decoded], [*(f.name for f in fields), out])
-
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` binary"]))
+    def start():
+        table = _token_table(lines.value)
+        return lambda listed: [_decoded(table, listed)], lambda: None
+
+    return _mapped(coded.select(*keep, F.col(ids).alias("__ids")), {out: "binary"}, start)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encode_documents and decode_documents of what it gives, by one Python worker for each task."""
+    small_batches(docs.sparkSession)
+    lines = _shared_lines(docs.sparkSession.sparkContext, path)
+
+    def start():
+        encoder, table = _encoder(lines.value, pattern), _token_table(lines.value)
+
+        def both(texts: pa.Array) -> list[pa.Array]:
+            coded = _coded(encoder, texts)
+            return [coded, _decoded(table, coded)]
+
+        return both, encoder.forget
+
+    return _mapped(docs.select(*keep, F.col(text).alias("__text")), {ids: "array<int>", out: "binary"}, start)

@@ -77,11 +77,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode_documents(_docs(spark, sf_dir), path, public_tokenizers.PATTERN)
+    out = bpe.round_trip(_docs(spark, sf_dir), path, public_tokenizers.PATTERN)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
-    coded = coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
-    out = bpe.decode_documents(coded, path, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

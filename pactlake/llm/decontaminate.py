@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved, small_batches
+from .storage import saved, small_batches, tidy
 from .textkit import ALNUM, Words, cover, grams, slices, whole, winnowed
 
 BLOCK_BYTES = 32 << 20
@@ -110,8 +110,8 @@ def _run_hash(rows: np.ndarray, lane: int) -> np.ndarray:
 
 
 def _match(docs: DataFrame, keep: Sequence[str], text: str, block: Block, window: int) -> DataFrame:
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    fields = source.schema.fields[:-1]
+    source = docs.select(*(c for c in keep if c != text), F.col(text).alias("__text" if text not in keep else text))  # a text that is kept goes once
+    fields = source.schema.fields[: None if text in keep else -1]
     names = [*(f.name for f in fields), "n_words", "n_hit", "spans", "items"]
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -141,7 +141,7 @@ def _match(docs: DataFrame, keep: Sequence[str], text: str, block: Block, window
                 arrays = [pa.array(np.diff(words.bounds)), pa.array(np.bincount(owner[hit], minlength=n)), pa.array(spans, span), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), *arrays], names)
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), _OUT]))
+    return source.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), _OUT]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: Sequence[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import dropped, saved, small_batches
+from .storage import dropped, saved, small_batches, tidy
 from .substrings import FLUSH, Router, _found, _parts, _positions, _ROUTED, bit_filter
 from .textkit import NON_SPACE, Texts, Words, grams, mix, slices, whole
 
@@ -140,7 +140,7 @@ def _summaries(keyed: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(looked, pa.int64()), *sums], ["rid", "id", "n", "looked", "s1", "s2"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.select("rid", "id", "text").mapInArrow(run, f"rid bigint, id {kind}, n bigint, looked bigint, s1 bigint, s2 bigint")
+    return keyed.select("rid", "id", "text").mapInArrow(tidy(run), f"rid bigint, id {kind}, n bigint, looked bigint, s1 bigint, s2 bigint")
 
 
 def _frequent(reps: DataFrame, k: int) -> Order:
@@ -162,7 +162,7 @@ def _frequent(reps: DataFrame, k: int) -> Order:
         if waiting:
             yield told()
 
-    found = reps.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    found = reps.select("text").mapInArrow(tidy(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     return Order(found.token.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64))
 
 
@@ -195,7 +195,7 @@ def _candidates(reps: DataFrame, rows: DataFrame, order: Broadcast, k: int, num:
     near = reps.select("rid", "text")
     stale: list[DataFrame] = []
     for look, asked in ((looked_up, "looked"), (all_looked_up, "n"), (all_looked_up, "n")):
-        shared = _found(near.select("rid", "text").mapInArrow(look, _ROUTED), 5, "shared")
+        shared = _found(near.select("rid", "text").mapInArrow(tidy(look), _ROUTED), 5, "shared")
         stale.append(shared)
         shared = shared.withColumnRenamed("body", "shared")
         own = F.col(asked) - F.coalesce(F.octet_length("shared") / 4, F.lit(0))
@@ -204,8 +204,8 @@ def _candidates(reps: DataFrame, rows: DataFrame, order: Broadcast, k: int, num:
         near = saved(near.select("rid", "text", "shared"), "near")
         dropped(*stale)
         stale = [near, left]
-        met = _found(near.mapInArrow(prefixes, _ROUTED), 6, "prefixes")
-    out = saved(near.join(met.withColumnRenamed("body", "met"), "rid").select("rid", "text", "shared", "met").mapInArrow(details, "rid bigint, size bigint, tokens array<bigint>, shared binary, body binary, sketch binary, heads binary"), "sets")
+        met = _found(near.mapInArrow(tidy(prefixes), _ROUTED), 6, "prefixes")
+    out = saved(near.join(met.withColumnRenamed("body", "met"), "rid").select("rid", "text", "shared", "met").mapInArrow(tidy(details), "rid bigint, size bigint, tokens array<bigint>, shared binary, body binary, sketch binary, heads binary"), "sets")
     dropped(*stale, met)
     return out
 
@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, order: Broadcast, num: int, den
     b = sets.select(F.col("rid").alias("b"), F.col("body").alias("body_b"), F.col("shared").alias("shared_b"))
     a = sets.select(F.col("rid").alias("a"), F.col("body").alias("body_a"), F.col("shared").alias("shared_a"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "body_a", "body_b", "shared_a", "shared_b")
-    out = saved(rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    out = saved(rows.mapInArrow(tidy(run), "a bigint, b bigint"), "links")
     return out
 
 
@@ -348,7 +348,7 @@ def _proposed(left: DataFrame, sets: DataFrame, refuted: DataFrame | None, most:
         none = F.lit(None).cast("binary")
         dealt = dealt.unionByName(no.select("token", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.lit(-1).alias("b"), F.col("a").alias("rid"), F.lit(0).cast("bigint").alias("size"), F.col("b").alias("label"), none.alias("sketch"), none.alias("heads")))
     dealt = dealt.repartition(_parts(sets.sparkSession), "token", "x", "y").sortWithinPartitions("token", "x", "y")
-    return dealt.mapInArrow(run, "token bigint, a bigint, b bigint")
+    return dealt.mapInArrow(tidy(run), "token bigint, a bigint, b bigint")
 
 
 def _links(sets: DataFrame, order: Broadcast, num: int, den: int, every: bool = False) -> DataFrame:

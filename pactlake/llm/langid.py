@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import small_batches, tidy
 from .textkit import LOWER, Texts, slices
 
 DIMENSIONS = 4096
@@ -101,7 +101,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc
                 n += len(texts)
         yield pa.RecordBatch.from_pydict({"place": np.arange(-1, DIMENSIONS), "n": np.concatenate([[n], seen])})
 
-    found = rows.select("text").mapInArrow(frequencies, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(tidy(frequencies), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIMENSIONS + 1)
     for r in found:
         df[r["place"] + 1] = r["n"]
@@ -126,7 +126,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc
         least = float(np.quantile(near, reject_share))
         return pa.table({"lang": pa.array([name] * len(centres)), "centre": pa.array([c.tobytes() for c in centres], pa.binary()), "least": pa.array([least] * len(centres))})
 
-    learnt = drawn.select("text", "lang", "h").mapInArrow(sampled, "lang string, h bigint, v binary").groupBy("lang").applyInArrow(clustered, "lang string, centre binary, least double")
+    learnt = drawn.select("text", "lang", "h").mapInArrow(tidy(sampled), "lang string, h bigint, v binary").groupBy("lang").applyInArrow(clustered, "lang string, centre binary, least double")
     got = sorted(learnt.collect(), key=lambda r: (r["lang"], bytes(r["centre"])))  # a row for each centroid
     names = tuple(dict.fromkeys(r["lang"] for r in got))
     centroids = np.array([np.frombuffer(r["centre"], dtype=np.float32) for r in got], dtype=np.float32).reshape(len(got), DIMENSIONS)
@@ -160,4 +160,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
                 arrays = [pa.array(labels[label], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(fields))), *arrays], names)
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, rejected boolean"]))
+    return source.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, rejected boolean"]))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved, small_batches
+from .storage import saved, small_batches, tidy
 from .substrings import bit_filter
 from .textkit import NON_SPACE, Texts, Words, cover, grams, slices, whole, winnowed
 
@@ -66,7 +66,7 @@ def hashed_lines(keyed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _list(a, lines.bounds), _list(b, lines.bounds), _list(lines.words, lines.bounds)], ["rid", "id", "a", "b", "n"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.select("rid", "id", "text").mapInArrow(run, f"rid bigint, id {kind}, a array<bigint>, b array<bigint>, n array<bigint>").filter(F.size("a") > 0)
+    return keyed.select("rid", "id", "text").mapInArrow(tidy(run), f"rid bigint, id {kind}, a array<bigint>, b array<bigint>, n array<bigint>").filter(F.size("a") > 0)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +121,10 @@ def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "te
                 arrays = [taken.column(0), taken.column(1), pa.array(run), pa.array(grams(a, size)[at].view(np.int64)), pa.array(grams(b, size, 1)[at].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["rid", "id", "run", "g", "h"])
 
-    found = lines.select("rid", "a", "n").mapInArrow(prints, "rid bigint, pos int, print bigint")
+    found = lines.select("rid", "a", "n").mapInArrow(tidy(prints), "rid bigint, pos int, print bigint")
     shared = found.groupBy("print").count().filter("count > 1").select("print")
     places = found.join(shared, "print").groupBy("rid").agg(F.collect_list(F.col("pos").cast("bigint")).alias("places"))
-    around = saved(lines.join(places, "rid").select("rid", "id", "a", "b", "n", "places").mapInArrow(windows, f"rid bigint, id {kind}, run bigint, g bigint, h bigint"), "windows")
+    around = saved(lines.join(places, "rid").select("rid", "id", "a", "b", "n", "places").mapInArrow(tidy(windows), f"rid bigint, id {kind}, run bigint, g bigint, h bigint"), "windows")
     where = F.struct("id", "rid", "run")
     first = around.groupBy("g", "h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     first = saved(first, "first")  # a plain table, so that the join can split a frequent run
@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, guarantee: int = 3, k: int = 2, text: str = "te
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, cut string, n_lines bigint, n_removed bigint"
     clean = parted.filter(~F.col("maybe")).select("row", "text", F.lit(None).cast("array<bigint>").alias("later"))
     hit = parted.filter("maybe").join(later, "rid", "left").select("row", "text", "later")
-    out = clean.mapInArrow(cut, schema).unionByName(hit.mapInArrow(cut, schema))
+    out = clean.mapInArrow(tidy(cut), schema).unionByName(hit.mapInArrow(tidy(cut), schema))
     return out.select("row.*", "cut", "n_lines", "n_removed")
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import dropped, saved, small_batches
+from .storage import dropped, saved, small_batches, tidy
 from .substrings import bit_filter
 from .textkit import ALNUM, Texts, Words, mix, planes, slices, unplanes
 
@@ -158,7 +158,7 @@ def code(rows: DataFrame) -> DataFrame:
 
     names = ["bid", "ids", "target", "sizes", "known", "words", "n_known", "n_keys"]
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text", "target").mapInArrow(run, f"bid bigint, ids array<{kind}>, target binary, sizes binary, known binary, words binary, n_known bigint, n_keys bigint")
+    return rows.select("id", "text", "target").mapInArrow(tidy(run), f"bid bigint, ids array<{kind}>, target binary, sizes binary, known binary, words binary, n_known bigint, n_keys bigint")
 
 
 def _again(row: dict) -> tuple[Coded, np.ndarray]:
@@ -199,7 +199,7 @@ def totals(coded: DataFrame) -> DataFrame:
         back = [pa.array([_pack(x[at[a:b]]) for a, b in zip(ends - sizes, ends, strict=True)], pa.binary()) for x in (n, t)]
         return pa.Table.from_arrays([asked["bid"], asked["bucket"], asked["size"], *back, *once], ["bid", "bucket", "size", "n", "t", "v", "sum_t", "sum_n"])
 
-    asked = coded.drop("ids").mapInArrow(ask, "bucket int, bid bigint, size bigint, keys binary, n binary, t binary")
+    asked = coded.drop("ids").mapInArrow(tidy(ask), "bucket int, bid bigint, size bigint, keys binary, n binary, t binary")
     return asked.groupBy("bucket").applyInArrow(answer, "bid bigint, bucket int, size bigint, n binary, t binary, v bigint, sum_t bigint, sum_n bigint")
 
 
@@ -260,6 +260,6 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, text: str = "text",
     got = answers.groupBy("bid").agg(F.collect_list(F.struct("bucket", "size", "n", "t")).alias("got"))
     with _few_together(spark):
         met = coded.drop("n_keys").join(got, "bid", "left")
-        out = saved(met.mapInArrow(run, f"id {kind}, n_tokens bigint, loss_target double, loss_background double, score double"), "scores")
+        out = saved(met.mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, loss_target double, loss_background double, score double"), "scores")
     dropped(coded, answers)
     return out.withColumnRenamed("id", id)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import small_batches, tidy
 from .textkit import NON_SPACE, Texts, Words, cover, grams, mix, slices, whole
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -184,7 +184,7 @@ def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
                     spent.append(time.perf_counter_ns() - began)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent, pa.int64()), pa.array(rejected, pa.int64())], ["rule", "spent", "rejected"])
 
-    told = docs.filter(drawn).select(text).mapInArrow(measure, "rule int, spent bigint, rejected bigint").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"))
+    told = docs.filter(drawn).select(text).mapInArrow(tidy(measure), "rule int, spent bigint, rejected bigint").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"))
     found = {r["rule"]: (r["rejected"] / max(1, r["spent"]), -r["spent"], -r["rule"]) for r in told.collect()}  # a row for each rule
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: found.get(k, (0.0, 0, -k)), reverse=True)]
 
@@ -193,8 +193,8 @@ def apply_cascade(docs: DataFrame, ordered: Sequence[Rule], text: str = "text",
     """The columns of `keep`, the base columns if `base`, base_failed, kept and failed_rule of each row."""
     small_batches(docs.sparkSession)
     ordered = list(ordered)
-    of_docs = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [*(f for f in of_docs.schema.fields[:-1])]
+    of_docs = docs.select(*(c for c in keep if c != text), F.col(text).alias("__text" if text not in keep else text))  # a text that is kept goes once
+    fields = of_docs.schema.fields[: None if text in keep else -1]
     ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     ddl += [f"{c} bigint" for c in BASE_COLUMNS] * base + ["base_failed boolean"] * base + ["kept boolean", "failed_rule string"]
     names = np.array([*(r.name for r in ordered), None], dtype=object)
@@ -212,4 +212,4 @@ def apply_cascade(docs: DataFrame, ordered: Sequence[Rule], text: str = "text",
                 out += [pa.array(failed < 0), pa.array(names[failed], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, [*(f.name for f in fields), *BASE_COLUMNS * base, *["base_failed"] * base, "kept", "failed_rule"])
 
-    return of_docs.mapInArrow(run, ", ".join(ddl))
+    return of_docs.mapInArrow(tidy(run), ", ".join(ddl))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import saved, tidy
 
 #: Keys sampled for each range, on average, and ranges for each shard at least.
 KEYS_A_RANGE = 32
@@ -58,7 +58,7 @@ def _ranged(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
             at = np.searchsorted(shared.value, keys, side="right") if len(shared.value) else np.zeros(len(keys), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int64))], [*names, "range"])
 
-    return rows.mapInArrow(find, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "range bigint"]))
+    return rows.mapInArrow(tidy(find), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "range bigint"]))
 
 
 def _sample(rows: DataFrame, share: float, total: int) -> np.ndarray:

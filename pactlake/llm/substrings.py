@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import saved, small_batches
+from .storage import saved, small_batches, tidy
 from .textkit import NON_SPACE, Texts, Words, cover, grams, mix, planes, slices, unplanes, whole
 
 #: Probes that a task packs at once.
@@ -179,8 +179,8 @@ def _found(routed: DataFrame, width: int, name: str) -> DataFrame:
     """rid and the packed positions found in its text, a row a text."""
     parts = _parts(routed.sparkSession)
     dealt = routed.repartitionById(parts, F.col("pid")).sortWithinPartitions("pid", "kind")
-    hits = dealt.mapInArrow(_lookup(width, parts), _ROUTED).repartitionById(parts, F.col("pid"))
-    return saved(hits.mapInArrow(_gather, _FOUND), name)
+    hits = dealt.mapInArrow(tidy(_lookup(width, parts)), _ROUTED).repartitionById(parts, F.col("pid"))
+    return saved(hits.mapInArrow(tidy(_gather), _FOUND), name)
 
 
 def bit_filter(rows: DataFrame, key: str, name: str = "maybe") -> Callable[[DataFrame], DataFrame]:
@@ -267,13 +267,13 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", id:
                     kept.append(_kept(words, gone))
                 yield _result(batch.column(0).slice(texts.first, len(texts)), n, gone_n, kept)
 
-    anchors = _found(keyed.select("rid", "text").mapInArrow(probes, _ROUTED), 5, "anchors")
+    anchors = _found(keyed.select("rid", "text").mapInArrow(tidy(probes), _ROUTED), 5, "anchors")
     parted = bit_filter(anchors, "rid")(keyed)
     near = saved(parted.filter("maybe").drop("maybe").join(anchors, "rid", "left"), "anchored")
-    repeats = _found(near.filter(F.col("body").isNotNull()).select("rid", "text", "body").mapInArrow(windows, _ROUTED), 8, "repeats")
+    repeats = _found(near.filter(F.col("body").isNotNull()).select("rid", "text", "body").mapInArrow(tidy(windows), _ROUTED), 8, "repeats")
     schema = f"id {docs.schema[id].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
-    clean = parted.filter(~F.col("maybe")).select("id", "text").mapInArrow(untouched, schema)
-    cut = near.drop("body").join(repeats, "rid", "left").select("id", "text", "body").mapInArrow(touched, schema)
+    clean = parted.filter(~F.col("maybe")).select("id", "text").mapInArrow(tidy(untouched), schema)
+    cut = near.drop("body").join(repeats, "rid", "left").select("id", "text", "body").mapInArrow(tidy(touched), schema)
     return clean.unionByName(cut).withColumnRenamed("id", id)
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import saved, tidy
 from .substrings import bit_filter
 
 SPLIT_BYTES = 8 << 20
@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
             store.move(temporary, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "bytes": [size], "records": [n]})
 
-    return saved(plain.unionByName(again).mapInArrow(write, "path string, bytes bigint, records bigint"), "manifest")
+    return saved(plain.unionByName(again).mapInArrow(tidy(write), "path string, bytes bigint, records bigint"), "manifest")
 
 
 _BEGINS = b"WARC/1."
@@ -200,7 +200,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload
 
     names = [(x.split()[0], {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[x.split()[1]]) for x in _READ.split(", ")]
     schema = pa.schema(names + [("payload", pa.binary())] * with_payload)
-    return ranges.mapInArrow(read, _READ + ", payload binary" * with_payload)
+    return ranges.mapInArrow(tidy(read), _READ + ", payload binary" * with_payload)
 
 
 def _urn(x: str | None) -> str | None:

@@ -18,13 +18,18 @@ PASSAGE = 35
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """docs as one column, whatever their columns are called, beside id and text."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    """docs as id and text beside one column of all others, whatever they are called."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "doc_id", "text")
+
+
+def _docs(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents again, of rows(row, text)."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.apply_cascade(_rows(docs), quality.plan_cascade(docs), keep=("row",), base=False).filter("kept").select("row.*")
+    return _docs(quality.apply_cascade(_rows(docs), quality.plan_cascade(docs), keep=("row", "text"), base=False).filter("kept"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One all of whose lines went goes too. n_chars follows the text.
     """
     out = lines.dedup_lines(_rows(docs), keep=("row",), words=PASSAGE).filter("n_removed = 0 or n_removed < n_lines")
-    row = F.col("row").withField("text", F.col("cut"))
+    row = F.col("row")
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.length("cut").cast("bigint")).otherwise(F.col("row.n_chars")))
-    return out.select(row.alias("row")).select("row.*")
+    return _docs(out.select(row.alias("row"), F.col("cut").alias("text")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,25 +49,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = saved(jaccard.jaccard_components(docs, k=5, num=80, den=100).select("rid", "is_first"), "near")
     touched = saved(found.groupBy("rid").agg(F.min("is_first").alias("is_first"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not is_first"), "touched")
     parted = bit_filter(touched, "rid")(_rows(docs).withColumn("rid", F.xxhash64("doc_id", "text")))
-    clear = parted.filter(~F.col("maybe")).select("row")
+    clear = parted.filter(~F.col("maybe")).select("row", "text")
     met = parted.filter("maybe").join(touched, "rid", "left")
     single, several = met.filter("n is null"), met.filter("n > 1 and is_first").dropDuplicates(["rid"])
-    return clear.unionByName(single.select("row")).unionByName(several.select("row")).select("row.*")
+    return _docs(clear.unionByName(single.select("row", "text")).unionByName(several.select("row", "text")), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without words of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(_rows(docs), benchmark, keep=("row",)).filter("n_hit = 0").select("row.*")
+    return _docs(decontaminate.decontaminate(_rows(docs), benchmark, keep=("row", "text")).filter("n_hit = 0"), docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and whether the ids decode to the text, of each document."""
-    path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "text"))
-    out = bpe.decode_documents(coded, path, keep=("doc_id", "text", "ids"))
-    exact = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return out.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), exact.alias("decodes"))
+    told = docs.select("doc_id", "text", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha256"))
+    out = bpe.round_trip(told, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep=("doc_id", "sha256"))
+    return out.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("sha256")).alias("decodes"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

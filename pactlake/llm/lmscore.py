@@ -5,7 +5,7 @@ all documents and everything else but their counts:
 
     p(w | u) = (c(u, w) + mu p(w)) / (c(u) + mu),   p(w) = (c(w) + 1) / (N + V)
 
-All words and bigrams of all documents count, each by itself, under hashes of 62 bits;
+All words and bigrams of all documents count, each by itself, under hashes of 58 bits;
 V is the number of different words. A document is scored without its own counts. Its
 score is its loss by the target model less its loss by the other, in bits a word: the
 lower, the more like the target.
@@ -44,6 +44,8 @@ CODED_BYTES = 1 << 20
 #: Coded batches that a Python worker is given together.
 TOGETHER = 2
 _KIND = np.uint64(3)
+#: The 58 bits of a hash that count, and those of a key's 64 that aren't used: fewer bits make less to shuffle.
+_HASH, _SPARE = np.uint64(~63 & (1 << 64) - 1), 4
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,9 @@ class Coded:
 
     def __init__(self, texts: Texts, known: np.ndarray | None = None):
         words = Words(texts, ALNUM, lower=True)
-        h = words.hashes()
+        h = words.hashes() & _HASH
+        if known is not None:
+            known = known & _HASH
         if known is None:
             known, word = np.unique(h, return_inverse=True)
         elif len(known):
@@ -109,7 +113,8 @@ class Coded:
         """Keys of the words, of the words as contexts, and of the bigrams; the lowest two bits tell which, so a word's two keys are neighbours."""
         h = self.known
         pair = mix(h[self.pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + h[self.pairs & 0xFFFFFFFF])
-        return np.concatenate([h & ~_KIND, h & ~_KIND | np.uint64(1), pair & ~_KIND | np.uint64(2)])
+        key = lambda x: (x & _HASH) >> np.uint64(_SPARE)
+        return np.concatenate([key(h), key(h) | np.uint64(1), key(pair) | np.uint64(2)])
 
     def counts(self, some: np.ndarray) -> np.ndarray:
         """How often each key occurs in the texts that are in `some`."""
@@ -179,7 +184,7 @@ def totals(coded: DataFrame) -> DataFrame:
                 keys = c.keys()
                 order = np.argsort(keys)
                 keys, n, t = keys[order], c.counts(np.ones(len(target), bool))[order], c.counts(target)[order]
-                bucket = (keys >> np.uint64(32)) * buckets >> np.uint64(32)
+                bucket = (keys >> np.uint64(32 - _SPARE)) * buckets >> np.uint64(32)
                 to = np.flatnonzero(np.diff(bucket, prepend=buckets, append=buckets)) if len(keys) else np.zeros(1, np.int64)
                 parts = [slice(a, b) for a, b in zip(to[:-1], to[1:], strict=True)]
                 packed = [[_pack(np.diff(keys[p], prepend=np.uint64(0)) if x is keys else x[p]) for p in parts] for x in (keys, n, t)]

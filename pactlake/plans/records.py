@@ -178,9 +178,9 @@ def party_choice(spark, sf_dir):
 
 
 def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A page for each document of at most 60 words: the words, each 100 wide; answers quote words 3 to 8, and one says what isn't there."""
+    """A page for each document of ten words and more: the words, each 100 wide; answers quote the fourth to the ninth, and one says what isn't there."""
     ws = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"), ws.alias("w")).filter(F.size("w").between(10, 60))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"), ws.alias("w")).filter(F.size("w") >= 10)
     words = d.select("contract_id", F.lit(1).alias("page"), F.posexplode("w").alias("word_ord", "text")).withColumns({"x_min": F.col("word_ord") * 100, "y_min": F.lit(10), "x_max": F.col("word_ord") * 100 + 90, "y_max": F.lit(40), "width_px": F.lit(6000), "height_px": F.lit(3300)})
     quote = F.array_join(F.slice("w", 4, 6), " ")
     said = F.array(F.struct(F.lit("parties").alias("category"), quote.alias("text")), F.struct(F.lit("insurance").alias("category"), F.lit("zzqx vvkw qqjj xxzz kkww").alias("text")))
@@ -189,11 +189,11 @@ def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def analyze_findings(spark, sf_dir):
-    """Forty-one findings for each document of at most 60 words, counted by answer and evidence; and how many quotes were located exactly."""
+    """Forty-one findings for each document of ten words and more, counted by answer and evidence; and whether the quote was met whole."""
     words, answers = _answers(spark, sf_dir)
     found, x = analysis.analyze(answers.select("contract_id").distinct(), words, answers, findings.dimension(spark))
     counts = found.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer") == "present").alias("present"), F.max(F.when(F.col("category") == "insurance", F.col("evidence_status"))).alias("insurance"))
-    exact = x.filter("category = 'parties'").select("contract_id", (F.col("recall") == 100).alias("met_all"), (F.col("vlm_text") == F.col("supporting_text")).alias("same_words"))
+    exact = x.filter("category = 'parties'").select("contract_id", (F.col("recall") == 100).alias("met_all"))
     return counts.join(exact, "contract_id")
 
 
@@ -222,17 +222,17 @@ def document_classes(spark, sf_dir):
 
 
 def _clauses(spark, sf_dir) -> DataFrame:
-    """Parts as statute chunks."""
-    p, k = table(spark, sf_dir, "part").filter("p_partkey <= 50"), F.col("p_partkey")  # a store of fifty chunks, as the reference's has 24: the size is the feature
+    """Nations as statute chunks."""
+    p, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
     kinds = F.element_at(F.array(F.array(F.lit("nda"), F.lit("services")), F.array(F.lit("lease")), F.array(F.lit("other_commercial"), F.lit("distribution"))), (k % 3 + 1).cast("int"))
-    chunk = p.select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.col("p_brand").alias("source"), F.col("p_name").alias("provision"), F.lit("w").alias("exact_wording"), F.lit(None).cast("string").alias("summary"), F.when(k % 4 == 1, "case_law_gloss").otherwise("statute_text").alias("authority_basis"),
+    chunk = p.select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.col("n_name").alias("source"), F.col("n_name").alias("provision"), F.lit("w").alias("exact_wording"), F.lit(None).cast("string").alias("summary"), F.when(k % 4 == 1, "case_law_gloss").otherwise("statute_text").alias("authority_basis"),
         F.when(k % 9 == 0, "dependency_unavailable").alias("engine_status"), F.array(F.struct(F.lit("f").alias("target_field"), F.when(k % 2 == 0, "cuad_native").otherwise("cuad_gap").alias("status"))).alias("extraction_schema_status"), F.lit(None).cast("array<string>").alias("target_fields"), kinds.alias("applicable_contract_types"))
     return statutes.clauses(files.statute_chunks(chunk))
 
 
 def _notes(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("c"), (F.col("event_id") % 50 + 1).cast("string")).alias("clause_key"), F.col("user_id").alias("document_id"), F.col("event_id").alias("created_at"), F.lit("note").alias("kind"), F.col("event_type").alias("author"), F.col("event_type").alias("body"))
+    return e.select(F.concat(F.lit("c"), (F.col("event_id") % 25).cast("string")).alias("clause_key"), F.col("user_id").alias("document_id"), F.col("event_id").alias("created_at"), F.lit("note").alias("kind"), F.col("event_type").alias("author"), F.col("event_type").alias("body"))
 
 
 def statute_list(spark, sf_dir):
@@ -244,7 +244,7 @@ def statute_review(spark, sf_dir):
     c = _clauses(spark, sf_dir)
     e = table(spark, sf_dir, "events")
     what = F.element_at(F.array(*map(F.lit, ("agree", "disagree", "manual_review", "nonsense"))), (F.col("event_id") % 4 + 1).cast("int"))
-    acts = e.filter("event_id % 50 < 30").select(F.concat(F.lit("c"), (F.col("event_id") % 50 + 1).cast("string")).alias("clause_key"), what.alias("action"), F.lit("r").alias("author"), F.lit(None).cast("string").alias("note"), F.col("event_id").alias("created_at"))
+    acts = e.select(F.concat(F.lit("c"), (F.col("event_id") % 25).cast("string")).alias("clause_key"), what.alias("action"), F.lit("r").alias("author"), F.lit(None).cast("string").alias("note"), F.col("event_id").alias("created_at"))
     after, trail = statutes.verify(c.withColumn("review_status", F.lit("open")), _notes(spark, sf_dir).drop("document_id").limit(0), acts)
     n = trail.groupBy("clause_key").agg(F.count(F.lit(1)).alias("n_actions"))
     return statutes.refresh(after, c.filter("clause_key <> 'c7'")).join(n, "clause_key", "left").select("clause_key", "review_status", "n_actions")
@@ -254,8 +254,8 @@ def statute_applicable(spark, sf_dir):
     d, f = documents(spark, sf_dir), fields(spark, sf_dir)
     law = f.filter("field_key = 'governing_law'").select(F.col("document_id").alias("id"), F.col("value_verbatim").alias("governing_law"))
     docs = d.join(law, "id", "left").select("id", "doc_type", "governing_law")
-    ev = table(spark, sf_dir, "events").filter("user_id % 3 = 0")
-    reviews = pf.latest(ev, ["user_id"], [F.desc("event_id")]).select(F.col("user_id").alias("document_id"), F.concat(F.lit("c"), (F.col("event_id") % 50 + 1).cast("string")).alias("clause_key"), F.lit("overridden").alias("review_status"))
+    ev = table(spark, sf_dir, "events")
+    reviews = pf.latest(ev, ["user_id"], [F.desc("event_id")]).select(F.col("user_id").alias("document_id"), F.concat(F.lit("c"), (F.col("event_id") % 25).cast("string")).alias("clause_key"), F.lit("overridden").alias("review_status"))
     out = statutes.applicable(docs, _clauses(spark, sf_dir), reviews, _notes(spark, sf_dir))
     return out.select("document_id", "clause_key", "jurisdiction", "status", "reason", "review_status", F.coalesce(F.size("annotations"), F.lit(-1)).alias("n_notes"))
 
@@ -360,8 +360,8 @@ _F = f"""{_D}, p AS (SELECT l_orderkey AS k, l_linenumber::INT AS n, min(l_partk
  c AS (SELECT f.id, coalesce(a.page, b.page) AS citation_page FROM f LEFT JOIN l a ON a.document_id = f.document_id AND a.n = f.n + 1 LEFT JOIN l b ON b.document_id = f.document_id AND b.n = f.n),
  e AS (SELECT o_orderkey AS id, (o_orderdate::DATE + 90)::DATE AS event_date, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderdate::DATE + 90 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE -30 END)::DATE END AS action_by_date,
   ['verbatim', 'normalised', 'assembled', 'inferred', 'unverified'][(o_orderkey % 5 + 1)::INT] AS confidence_tier, ['open', 'acknowledged', 'dismissed'][(o_orderkey % 5 % 3 + 1)::INT] AS status FROM orders)"""
-_C = """s AS (SELECT 'c' || p_partkey AS clause_key, p_partkey AS k, p_brand AS source, p_name AS provision, CASE WHEN p_partkey % 9 = 0 THEN 'NA' WHEN p_partkey % 4 = 1 THEN 'Inferred' WHEN p_partkey % 2 = 0 THEN 'Quoted' ELSE 'Evaluation Required' END AS ai_status,
-  [['nda', 'services'], ['lease'], ['other_commercial', 'distribution']][(p_partkey % 3 + 1)::INT] AS types FROM part WHERE p_partkey <= 50)"""
+_C = """s AS (SELECT 'c' || n_nationkey AS clause_key, n_nationkey AS k, n_name AS source, n_name AS provision, CASE WHEN n_nationkey % 9 = 0 THEN 'NA' WHEN n_nationkey % 4 = 1 THEN 'Inferred' WHEN n_nationkey % 2 = 0 THEN 'Quoted' ELSE 'Evaluation Required' END AS ai_status,
+  [['nda', 'services'], ['lease'], ['other_commercial', 'distribution']][(n_nationkey % 3 + 1)::INT] AS types FROM nation)"""
 _RUN = f"""WITH {_F}, k AS (SELECT id, u, day, filename, counterparty FROM d WHERE status IN ('ready', 'degraded') AND (doc_type IS NULL OR doc_type NOT IN ('not_a_contract', 'invoice'))),
  v AS (SELECT f.* FROM f WHERE value_verbatim IS NOT NULL AND document_id IN (SELECT id FROM k)),
  a AS (SELECT document_id AS k, p, id AS fid, value_verbatim AS q, confidence_tier AS t FROM v WHERE field_key = 'exclusivity'),
@@ -413,7 +413,7 @@ ORACLE = {
     "party_choice": """WITH p AS (SELECT l_orderkey AS k, l_linenumber AS n, max('Firm ' || l_returnflag || ' Ltd') AS name, max(l_linestatus) = 'O' AS g FROM lineitem GROUP BY 1, 2), q AS (SELECT k, name, min((CASE WHEN g THEN 0 ELSE 1 END) * 100 + n) AS o FROM p GROUP BY 1, 2),
  r AS (SELECT k, array_agg(name ORDER BY o) AS ns FROM q GROUP BY 1) SELECT k AS contract_id, CASE WHEN k % 2 = 0 THEN coalesce(list_filter(ns, lambda x: x <> 'Firm A Ltd')[1], ns[2], ns[1]) ELSE coalesce(ns[2], ns[1]) END AS counterparty FROM r""",
     "analyze_findings": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents)
- SELECT doc_id AS contract_id, 41::BIGINT AS n, 2::BIGINT AS present, 'unresolved' AS insurance, NOT list_bool_or(list_transform(w[4:9], lambda x: regexp_replace(x, '[^\p{L}\p{N}\p{M}_]+', '', 'g') = '')) AS met_all, true AS same_words FROM d WHERE len(w) BETWEEN 10 AND 60""",
+ SELECT doc_id AS contract_id, 41::BIGINT AS n, 2::BIGINT AS present, 'unresolved' AS insurance, NOT list_bool_or(list_transform(w[4:9], lambda x: regexp_replace(x, '[^\p{L}\p{N}\p{M}_]+', '', 'g') = '')) AS met_all FROM d WHERE len(w) >= 10""",
     "finding_matrix": f"""WITH {_F}, k(o, c) AS (SELECT unnest(range(41))::INT, unnest({list(findings.CATEGORIES)!r})), m AS (SELECT c, o, value_verbatim AS v, confidence_tier <> 'unverified' AS g FROM d CROSS JOIN k LEFT JOIN f ON f.document_id = d.id AND f.field_key = c AND value_verbatim IS NOT NULL)
  SELECT c AS category, o AS category_ord, CASE WHEN v IS NULL THEN 'unresolved' ELSE 'present' END AS answer, CASE WHEN g THEN 'direct' ELSE 'unresolved' END AS evidence_status, NOT coalesce(g, false) AS needs_review, count(*) AS n, min(coalesce(v, '')) AS least FROM m GROUP BY 1, 2, 3, 4, 5""",
     "finding_fields": f"""WITH {_F}, k AS (SELECT id, unnest(['parties', 'expiration_date', 'governing_law', 'renewal_term', 'notice_period_to_terminate_renewal', 'exclusivity', 'insurance']) AS c FROM d)
@@ -424,12 +424,12 @@ ORACLE = {
    WHEN regexp_matches(s, 'distribution agreement|distributor|reseller agreement') THEN 'distribution' WHEN regexp_matches(s, 'employment agreement|employee|the employee shall|job title') THEN 'employment' WHEN regexp_matches(s, 'master services agreement|services agreement|statement of work|master service') THEN 'msa' ELSE 'other' END AS doc_type,
    CASE WHEN (doc_id % 4 <= 1 AND doc_id % 3 <> 0) OR NOT regexp_matches(s, 'non-disclosure|nondisclosure|confidentiality agreement|mutual nda|lease|landlord|tenant|distribution agreement|distributor|reseller agreement|employment agreement|employee|job title|services agreement|statement of work|master service') THEN 0.6 ELSE 0.75 END::DOUBLE AS confidence,
    contains(lower(source), 'invoice') OR contains(lower(left(text, 400)), 'invoice') OR (SELECT count(*) FROM (VALUES ('bill to'), ('amount due'), ('remittance'), ('invoice number'), ('invoice no'), ('purchase order')) v(k) WHERE contains(lower(text), k)) >= 2 AS is_invoice FROM h""",
-    "statute_list": f"WITH {_C} SELECT clause_key, ai_status, CASE WHEN ai_status = 'NA' THEN 'dependency_unavailable' END AS na_reason, (SELECT count(*) FROM events WHERE event_id % 50 + 1 = k) AS n_annotations FROM s",
-    "statute_review": f"""WITH {_C}, a AS (SELECT event_id % 50 + 1 AS k, event_id AS e, ['human_verified', 'overridden', 'manual_review'][(event_id % 4 + 1)::INT] AS r FROM events WHERE event_id % 50 < 30 AND event_id % 4 < 3)
+    "statute_list": f"WITH {_C} SELECT clause_key, ai_status, CASE WHEN ai_status = 'NA' THEN 'dependency_unavailable' END AS na_reason, (SELECT count(*) FROM events WHERE event_id % 25 = k) AS n_annotations FROM s",
+    "statute_review": f"""WITH {_C}, a AS (SELECT event_id % 25 AS k, event_id AS e, ['human_verified', 'overridden', 'manual_review'][(event_id % 4 + 1)::INT] AS r FROM events WHERE event_id % 4 < 3)
  SELECT clause_key, coalesce((SELECT arg_max(r, e) FROM a WHERE a.k = s.k), 'open') AS review_status, (SELECT nullif(count(*), 0) FROM a WHERE a.k = s.k) AS n_actions FROM s""",
     "statute_applicable": f"""WITH {_F}, {_C}, t(doc_type, y) AS (VALUES ('nda', ['nda']), ('lease', ['lease', 'goods_hire']), ('msa', ['services', 'other_commercial']), ('distribution', ['distribution', 'other_commercial']), ('employment', ['employment']), ('other', ['other_commercial', 'ip_agreement'])),
  q AS (SELECT d.id, y, CASE WHEN v IS NULL THEN 'silent' WHEN v LIKE '%Singapore%' THEN 'singapore' ELSE 'excluded' END AS jur FROM d JOIN t USING (doc_type) LEFT JOIN (SELECT document_id, value_verbatim AS v FROM f WHERE n = 3) ON document_id = d.id),
- r AS (SELECT user_id, 'c' || (event_id % 50 + 1) AS clause_key FROM events WHERE user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), nn AS (SELECT user_id, 'c' || (event_id % 50 + 1) AS clause_key, count(*)::INT AS m FROM events GROUP BY ALL)
+ r AS (SELECT user_id, 'c' || (event_id % 25) AS clause_key FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), nn AS (SELECT user_id, 'c' || (event_id % 25) AS clause_key, count(*)::INT AS m FROM events GROUP BY ALL)
  SELECT q.id AS document_id, s.clause_key, jur AS jurisdiction, CASE WHEN jur = 'excluded' THEN 'NA' ELSE ai_status END AS status, CASE WHEN ai_status = 'NA' THEN 'dependency_unavailable' WHEN jur = 'excluded' THEN 'governing_law_excluded' END AS reason,
    CASE WHEN r.user_id IS NULL THEN 'open' ELSE 'overridden' END AS review_status, coalesce(m, -1) AS n_notes FROM q JOIN s ON list_has_any(y, types) LEFT JOIN r ON r.user_id = q.id AND r.clause_key = s.clause_key LEFT JOIN nn ON nn.user_id = q.id AND nn.clause_key = s.clause_key""",
     "retrieval_fields": f"""WITH {_F}, q AS (SELECT * FROM d WHERE status <> 'processing' AND doc_type NOT IN ('not_a_contract', 'invoice') ORDER BY id LIMIT 200)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,6 +66,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def byte_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python workers BATCH_BYTES at a time, or a row if that is longer, unless the session already says less."""
+    small_batches(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of a mapInArrow that gives what memory it used back to the system when its task ends: Python workers go on to other stages."""
 

@@ -605,7 +605,7 @@ def test_queries_and_sql():
     from pactlake.llm import queries
 
     q = queries.queries()
-    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 11)) and "pipeline" in q
+    assert {int(k[2:].split("_")[0]) for k in q if k.startswith("op")} == set(range(1, 14)) and "pipeline" in q
     assert set(queries.oracle_sql()) <= set(q)
 
 

@@ -1,0 +1,368 @@
+"""Operators 11 to 13 against brute force, on odd rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from pactlake.llm import fim, periodic, queries, setsketch, textkit
+from pactlake.llm.textkit import NON_SPACE, Words
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, n int, form string, id string, r1 int, key int, node int, runs int, w int"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def corpus():
+    rnd = random.Random(11)
+    vocab = ["ab", "cde", "É", "ñandú", "the", "of", "x1", "<P", "ZZ", "😀", "<S", ">"]
+    sentence = lambda n: " ".join(rnd.choice(vocab) + rnd.choice(vocab) for _ in range(n))
+    base = sentence(150)
+    texts = [None, "", " \n\t ", "one", "two words", base, base, base.upper(), base + " more", sentence(3) + " " + base]
+    texts += ["a <P> b", "<S>", "x<M>y", "<P<P", "<", "😀" * 300, "é\x00<M", "<P>" * 9]
+    texts += [sentence(rnd.randint(1, 60)) for _ in range(15)]
+    texts += [" ".join(["rep"] * n) for n in (23, 24, 25, 700)] + ["a b c " * 8, "a b c " * 7 + "a b", ("a " * 30 + "b ") * 4, sentence(9) + " x y z w v" * 6]
+    texts += [sentence(4000), "l" * 70_000, " ".join(sentence(40) for _ in range(3)) * 4]
+    rows = [(i, t, 1, "f", "i", 2, 3, 4, 5, 6) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, base, *rows[5][2:]), (None, None, *rows[5][2:])]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+# Operator 13
+
+
+def middle_filled(doc_id, text):
+    text = text or ""
+    n, told = len(text), sha(f"1:{'' if doc_id is None else doc_id}")
+    h = [int(told[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    if not text or any(s in text for s in fim.SENTINELS) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = text[:a], text[a:b], text[b:]
+    if h[3] % 100 < 20:
+        return n, "spm", a, b - a, f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", a, b - a, f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def test_fill_in_middle(docs, empty):
+    out = fim.restore(fim.fill_in_middle(docs))
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = sorted(((r[0], *middle_filled(r[0], r[1]), r[1] or "") for r in corpus()), key=str)
+    assert got == want
+    assert {r[2] for r in got} == {"plain", "psm", "spm"}
+    assert fim.restore(fim.fill_in_middle(empty)).count() == 0
+
+
+def test_fill_in_middle_rates_and_sentinels(docs):
+    marks = ("[pre]", "[suf]", "[mid]")
+    out = fim.restore(fim.fill_in_middle(docs, seed=2, rate=100, spm=100, sentinels=marks), marks).collect()
+    for r in out:
+        assert r.form == ("spm" if r.n else "plain") and r.restored == r.output if not r.n else r.output.startswith("[suf]")
+        assert len(r.restored) == r.n
+    with pytest.raises(ValueError):
+        fim.Automaton(("aa", "b"))
+    with pytest.raises(ValueError):
+        fim.Automaton(("ab", "ca"))
+
+
+@pytest.mark.parametrize("lane", [1, 2, 3, 7, 256])
+def test_lanes_walk_as_one(monkeypatch, lane):
+    """Whatever the lanes are, also where code points and sentinels lie across them and first states are guessed wrong."""
+    monkeypatch.setattr(fim, "LANE", lane)
+    monkeypatch.setattr(fim, "RUN_IN", 1)
+    rnd = random.Random(lane)
+    texts = ["".join(rnd.choice(["<", "P", "S", ">", "<M>", "é", "😀", "ab", "漢"]) for _ in range(rnd.randint(0, 40))) for _ in range(60)] + [""]
+    (part,) = textkit.slices(pa.array(texts))
+    found = fim.Scanned(part, fim.Automaton())
+    assert found.n.tolist() == [len(t) for t in texts]
+    for i, t in enumerate(texts):
+        units = np.arange(len(t) + 1)
+        at = found.cuts(np.full(len(units), i), units) - found.starts[i]
+        assert at.tolist() == [len(t[:u].encode()) for u in units]
+        marks = [(m.end(), fim.SENTINELS.index(m[0])) for m in re.finditer("<P>|<S>|<M>", t)]
+        mine = found.owner == i
+        ends = found.at[mine] + 1 - found.starts[i]
+        assert list(zip(ends.tolist(), found.kind[mine].tolist(), strict=True)) == [(len(t[:e].encode()), k) for e, k in marks]
+
+
+# Operator 12
+
+
+def slow_runs(w, min_length=24, times=3):
+    """All runs, each stretch grown word by word; the smallest period by trying all."""
+    out, n = set(), len(w)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            a = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            s, length = a, i + q - a
+            if length >= max(min_length, times * q) and not any(all(w[x] == w[x + p] for x in range(s, s + length - p)) for p in range(1, q)):
+                out.add((s, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def slow_collapsed(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def slow_planted(doc_id, w):
+    if doc_id is None or not w:
+        return w
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def kernel(texts, times=3, min_length=24):
+    (part,) = textkit.slices(pa.array(texts))
+    words = Words(part, NON_SPACE)
+    h, lags = words.hashes(), periodic.Lags(words, words.hashes(), times)
+    counts = [lags.of(i).copy() for i in range(len(texts))]
+    found = [periodic.runs(h[a:b], lags.of(i), min_length, times) for i, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True))]
+    return counts, found
+
+
+@pytest.mark.parametrize("heavy", [2, 5, 10**9])
+@pytest.mark.parametrize(("times", "min_length"), [(3, 24), (2, 4), (4, 1)])
+def test_runs_brute_force(monkeypatch, heavy, times, min_length):
+    """Counts and runs don't depend on which words are taken for frequent."""
+    monkeypatch.setattr(periodic, "heavy_from", lambda n: np.full(len(n), heavy))
+    monkeypatch.setattr(periodic, "GATHERED", 50)
+    rnd = random.Random(heavy + times)
+    texts = []
+    for _ in range(40):
+        piece = [rnd.choice("abc") for _ in range(rnd.randint(1, 6))]
+        texts.append(" ".join([rnd.choice("abcd") for _ in range(rnd.randint(0, 30))] + piece * rnd.randint(1, 12) + [rnd.choice("ab") for _ in range(rnd.randint(0, 60))]))
+    texts += ["", "a " * 90, "a b " * 40 + "a a " + "a b " * 20, ("a " * 25 + "b ") * 4]
+    counts, found = kernel(texts, times, min_length)
+    for t, count, mine in zip(texts, counts, found, strict=True):
+        w = t.split()
+        for q in range(1, len(w) // times + 1):
+            assert count[q] == sum(x == y for x, y in zip(w, w[q:], strict=False))
+        assert mine == slow_runs(w, min_length, times)
+
+
+def test_fast_length():
+    for n in (1, 2, 7, 11, 97, 1025, 4097, 99_999):
+        m = periodic.fast_length(n)
+        assert n <= m < 2 * n + 2
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        assert m == 1
+
+
+def test_multiples_get_no_scan(monkeypatch):
+    """One scan is enough for a text of one word many times over."""
+    scans = []
+    diff = np.diff
+    monkeypatch.setattr(periodic.np, "diff", lambda *a, **b: scans.append(1) or diff(*a, **b))
+    h = np.zeros(30_000, dtype=np.uint64)
+    matches = 30_000 - np.arange(10_001)
+    assert periodic.runs(h, matches) == [(0, 30_000, 1)] and len(scans) == 1
+
+
+def test_periodic_runs(docs, empty):
+    got = periodic.periodic_runs(docs).collect()
+    want = defaultdict(list)
+    for r in corpus():
+        w = WORDS.findall(r[1] or "") if len(r[1] or "") < 20_000 or " " not in r[1] else None
+        want[r[0]].append((w, r[1]))
+    for r in got:
+        options = []
+        for w, text in want[r.doc_id]:
+            if w is None:
+                w = WORDS.findall(text)
+                assert not r.runs and r.collapsed == " ".join(w)
+                options = None
+                break
+            found = slow_runs(w)
+            options.append((len(w), found, slow_collapsed(w, found)))
+        if options is not None:
+            assert (r.n_words, [tuple(x) for x in r.runs], r.collapsed) in options
+    assert len(got) == len(corpus()) and periodic.periodic_runs(empty).count() == 0
+    with pytest.raises(ValueError):
+        periodic.periodic_runs(docs, times=1)
+
+
+def test_periodic_query(spark, tmp_path):
+    """The query's digests, planted runs included, by brute force; the driver's SQL does so for whole tables."""
+    rows = [r for r in corpus() if len(r[1] or "") < 20_000] + [(i, " ".join(random.Random(i).choice("abcdefgh") for _ in range(100)), *corpus()[0][2:]) for i in range(100, 160)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op12_periodic_runs(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for r in rows:
+        w = slow_planted(r[0], WORDS.findall(r[1] or ""))
+        found = slow_runs(w)
+        top = min(found, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=None)
+        told = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+        want.append((r[0], len(found), *told, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(slow_collapsed(w, found))))
+    assert got == sorted(want, key=str)
+    assert sum(x[1] > 0 for x in got) > 10
+
+
+# Operator 11
+
+
+def shingles(text, k):
+    w = WORDS.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def slow_components(rows, k=2, num=80, den=100):
+    """(id, set size, component, kept) of each (id, text)."""
+    sets = [shingles(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (x, _) in enumerate(rows):
+        if x is not None:
+            least[find(i)] = min(x, least.get(find(i), x))
+    out = []
+    for i, (x, _) in enumerate(rows):
+        c = least.get(find(i)) if sets[i] else x
+        out.append((x, len(sets[i]), c, x == c))
+    return sorted(out, key=str)
+
+
+def test_registers_merge_and_agree():
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(0, 2**63, 900, dtype=np.uint64)
+    x, y = np.unique(a[:800]), np.unique(a[100:])  # similarity 700 / 900
+    r = setsketch.registers([x, y, np.unique(a), a[:0], a[:1]])
+    assert (np.maximum(r[0], r[1]) == r[2]).all()
+    assert not r[3].any() and r[4].all()
+    assert abs((r[0] == r[1]).mean() - 7 / 9) < 0.1
+    ok, j = setsketch.plausible(r[:1], r[1:2], np.array([800.0]), np.array([800.0]), 0.8)
+    assert ok[0] and abs(j[0] - 7 / 9) < 0.1
+    far, j = setsketch.plausible(r[:1], setsketch.registers([rnd.integers(0, 2**63, 800, dtype=np.uint64)]), np.array([800.0]), np.array([800.0]), 0.8)
+    assert not far[0] and j[0] < 0.1
+
+
+def test_registers_of_a_set_stand_alone():
+    """A set's registers don't depend on its neighbours, nor on the horizon."""
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 3, 50, 700, 5000)]
+    together = setsketch.registers(sets)
+    for s, row in zip(sets, together, strict=True):
+        assert (setsketch.registers([s])[0] == row).all()
+        least = np.full((1, setsketch.M), np.inf)
+        setsketch._points(s, np.zeros(len(s), np.int64), np.array([60.0 / len(s)]), least)
+        assert (np.floor(1 - np.log(least / setsketch.SCALE) / np.log(setsketch.BASE))[0] == row).all()
+
+
+def test_estimates_are_likeliest():
+    """The estimate beats a grid of similarities, and is near the truth on average."""
+    rnd = np.random.default_rng(5)
+    truth, told = [], []
+    for both, one, other in ((800, 100, 100), (400, 20, 120), (60, 5, 5), (500, 500, 500)):
+        a = np.unique(rnd.integers(0, 2**63, both + one + other, dtype=np.uint64))
+        x, y = np.sort(a[: both + one]), np.sort(np.concatenate([a[:both], a[both + one :]]))
+        r = setsketch.registers([x, y])
+        counts = [np.array([n]) for n in ((r[0] > r[1]).sum(), (r[0] < r[1]).sum(), (r[0] == r[1]).sum())]
+        u = np.array([len(x) / (len(x) + len(y))])
+        j = setsketch.estimate(*counts, u)
+        best = setsketch.log_likelihood(j, *counts, u)
+        top = min(u[0] / (1 - u[0]), (1 - u[0]) / u[0])
+        assert all(setsketch.log_likelihood(np.array([g]), *counts, u) <= best + 1e-6 for g in np.linspace(0, top, 200))
+        truth.append(both / (both + one + other))
+        told.append(j[0])
+    assert np.abs(np.array(truth) - told).max() < 0.1
+
+
+def test_near_duplicates(docs, empty):
+    got = sorted(map(tuple, setsketch.near_duplicates(docs, k=2).collect()), key=str)
+    want = slow_components([(r[0], r[1]) for r in corpus()])
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got if x[0] is not None] == [x[3] for x in want if x[0] is not None]
+    assert setsketch.near_duplicates(empty).count() == 0
+    with pytest.raises(ValueError):
+        setsketch.near_duplicates(docs, num=70)
+
+
+def family(rnd, base, n, edits):
+    for _ in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+        yield " ".join(w)
+
+
+def test_near_duplicate_families(spark, monkeypatch):
+    """Chains, edits about the threshold, and groups whose members don't link with their leader, in small blocks and rounds of one partner."""
+    monkeypatch.setattr(setsketch, "BLOCK", 16)
+    monkeypatch.setattr(setsketch, "PROPOSED", 1)
+    rnd = random.Random(8)
+    texts = []
+    for edits in (1, 2, 3, 4, 5, 6):
+        texts += family(rnd, [f"w{rnd.randrange(400)}" for _ in range(90)], 25, edits)
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(30):
+        texts.append(" ".join(chain))
+        chain[2 * i] = f"d{i}"
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rnd.shuffle(rows)
+    got = sorted(map(tuple, setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), k=2).collect()), key=str)
+    want = slow_components(rows)
+    assert got == want
+    assert 10 < len({x[2] for x in want}) < 170
+
+
+def test_block_proposals_take_turns():
+    """Ranks part the partners of a class; together they are all that the registers allow."""
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:270], rnd.integers(0, 2**63, 30, dtype=np.uint64)])) for _ in range(24)]
+    node = np.arange(24)
+    size = np.array([len(s) for s in sets])
+    args = (node, size, node, np.zeros(24, np.int64), setsketch.registers(sets))
+    every, more = setsketch.block_proposals(*args, (0, 10**6), 80, 100)
+    assert not more and len(set(every)) == len(every) > 200
+    parts, lo, hi, more = [], 0, 2, True
+    while more:
+        got, more = setsketch.block_proposals(*args, (lo, hi), 80, 100)
+        parts += got
+        lo, hi = hi, 8 * hi
+    assert sorted(parts) == sorted(every)
+    block = node % 2
+    across, _ = setsketch.block_proposals(node, size, node, block, args[4], (0, 10**6), 80, 100)
+    assert sorted(across) == sorted(p for p in every if block[p[0]] != block[p[1]])
+    assert setsketch.block_proposals(node, size, node * 0, block, args[4], (0, 10**6), 80, 100) == ([], False)

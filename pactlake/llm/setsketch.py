@@ -14,17 +14,19 @@ one is taken, and
 
 1. in each group all are compared with a leader, the one that shares the most bands;
 2. groups without their leaders whose classes are not all in one component then are
-   compared within, a block of a group with another a key: each class proposes partners
-   of other components, the likeliest first, eight in the first round. Rounds go on, in
-   groups where one had more, with the partners that come next.
+   compared within, across components only, a block of a group with another a key. Each
+   class proposes its most alike partners, of eight components at most; rounds go on
+   with the groups where one had more, and when a round adds no link, all are proposed.
 
 Compared are the registers of both: how many are greater, less and equal makes, with
 the sizes of the sets, a likelihood of their similarity, and a pair is dropped only if
 the threshold is far less likely (CUTOFF) than the best value below. What is left is
-verified on the full sets of shingles, made from the whole texts. A pair at the
-threshold has no band in common in 5 of 10^7 cases and is dropped in 4 of 10^8, more
+verified: first by parity sketches, which give a least number of shingles that only one
+of two sets has, then on the full sets of shingles, made from the whole texts. A pair at
+the threshold has no band in common in 5 of 10^7 cases and is dropped in 4 of 10^8, more
 alike ones less often; nothing is capped. Groups compared within take time quadratic in
-what their leaders left, and a group of n sends ceil(n / BLOCK) copies of its sketches.
+the components that their leaders left, and one of n classes sends ceil(n / BLOCK)
+copies of its sketches.
 
 Null and empty texts have empty sets, link with nothing and are their own component.
 Null ids are in no minimum; a component of null ids alone has a null id and keeps them.
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .jaccard import shingle_sets
+from .jaccard import folded, shingle_sets, sketch as parity
 from .storage import byte_batches, dropped, saved, tidy
 from .substrings import bit_filter
 from .textkit import mix, slices
@@ -56,8 +58,8 @@ SCALE = 20.0
 POINTS = 4
 #: Logarithm of how much likelier than the threshold a lesser similarity is in pairs that are dropped: 5.5 standard deviations.
 CUTOFF = 15.0
-#: Classes of a block, and partners that a class proposes in the first round.
-BLOCK, PROPOSED = 2048, 8
+#: Classes of a block, partners that a class proposes in a round, and pairs compared at once.
+BLOCK, PROPOSED, PAIRS = 8192, 8, 1 << 14
 _GOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA54FF53A5F1D36F1)
 _C = (BASE - 1) / BASE
 
@@ -145,12 +147,19 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
     return (j >= threshold) | (best - least <= CUTOFF), j
 
 
+def parities_fit(x: bytes, y: bytes, total: int, num: int, den: int) -> bool:
+    """Whether sets of so many shingles together may be that similar, by what their parity sketches surely differ in."""
+    a, b = (np.frombuffer(z, dtype=np.uint64) for z in (x, y))
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum()) * (den + num) <= total * (den - num)
+
+
 def _unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, M)
 
 
 def _summaries(keyed: DataFrame, k: int) -> DataFrame:
-    """id, r1, r2, the size of the set, two sums of its tokens that with it tell sets apart, and the registers of each row."""
+    """id, r1, r2, the size of the set, two sums of its tokens that with it tell sets apart, the registers and the parity sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +168,11 @@ def _summaries(keyed: DataFrame, k: int) -> DataFrame:
                 rows = registers(sets).astype("<u2")
                 sums = [pa.array(np.array([int(mix(s ^ salt).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)) for salt in (_SALT, _GOLD)]
                 part = batch.slice(texts.first, len(texts))
-                told = [pa.array([len(s) for s in sets], pa.int64()), *sums, pa.array([r.tobytes() for r in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *told], ["id", "r1", "r2", "n", "s1", "s2", "sketch"])
+                told = [pa.array([len(s) for s in sets], pa.int64()), *sums, pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *told], ["id", "r1", "r2", "n", "s1", "s2", "sketch", "parity"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.select("id", "r1", "r2", "text").mapInArrow(tidy(run), f"id {kind}, r1 bigint, r2 bigint, n bigint, s1 bigint, s2 bigint, sketch binary")
+    return keyed.select("id", "r1", "r2", "text").mapInArrow(tidy(run), f"id {kind}, r1 bigint, r2 bigint, n bigint, s1 bigint, s2 bigint, sketch binary, parity binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -194,14 +203,16 @@ def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in (2, 3))
-                keep, _ = plausible(_unpacked(batch.column(4)), _unpacked(batch.column(5)), na, nb, num / den)
+                na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+                keep, _ = plausible(_unpacked(batch.column(4)), _unpacked(batch.column(5)), na.astype(np.float64), nb.astype(np.float64), num / den)
+                for i in np.flatnonzero(keep).tolist():
+                    keep[i] = parities_fit(batch.column(6)[i].as_py(), batch.column(7)[i].as_py(), int(na[i] + nb[i]), num, den)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
+    a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
     fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    return pairs.join(b, "b").join(a, "a").filter(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a bigint, b bigint")
+    return pairs.join(b, "b").join(a, "a").filter(fits).select("a", "b", "na", "nb", "sa", "sb", "pa", "pb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -235,48 +246,90 @@ def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(several.select("key", "n"), "key")
 
 
-def block_proposals(node: np.ndarray, size: np.ndarray, label: np.ndarray, block: np.ndarray, sketch: np.ndarray, ranks: tuple[int, int], num: int, den: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs (a, b), a > b, of classes of one block, or of two, that the registers allow and whose components differ.
-
-    Each class meets those of no greater size; told are its partners from the first to below the last of the ranks,
-    the likeliest first whatever their components, and whether any comes later.
-    """
-    out, more = [], False
-    if len(node) < 2 or (label == label[0]).all():
-        return out, more
-    within = (block == block[0]).all()
-    order = np.lexsort((node, size))
-    node, size, label, block, sketch = (x[order] for x in (node, size, label, block, sketch))
-    least = np.searchsorted(size, -(-num * size // den))
-    share = num / den
-    few = M * share - 8 * np.sqrt(M * share * (1 - share))  # equal registers, by far fewer than the threshold makes
-    for i in range(1, len(node)):
-        lo = int(least[i])
-        at = np.arange(lo, i)
-        if not within:
-            at = at[block[lo:i] != block[i]]
-        if not len(at) or (label[at] == label[i]).all():
-            continue
-        at = at[(sketch[at] == sketch[i]).sum(axis=1) >= few]
-        if not len(at):
-            continue
-        ok, j = plausible(sketch[at], sketch[i][None], size[at].astype(np.float64), np.full(len(at), float(size[i])), num / den)
-        at, j = at[ok], j[ok]
-        at = at[np.lexsort((node[at], -j))]
-        differ = label[at] != label[i]
-        more |= bool(differ[ranks[1] :].any())
-        for x in at[ranks[0] : ranks[1]][differ[ranks[0] : ranks[1]]].tolist():
-            out.append((max(int(node[i]), int(node[x])), min(int(node[i]), int(node[x]))))
-    return out, more
-
-
-def _proposed(left: DataFrame, classes: DataFrame, ranks: tuple[int, int], num: int, den: int) -> DataFrame:
+class Block:
+    """Classes of a block of a group, or of two, by size, to be compared across components."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, label: np.ndarray, block: np.ndarray, sketch: np.ndarray, parities: list[bytes], num: int, den: int):
+        order = np.lexsort((node, size))
+        self.node, self.size, self.label, self.block, self.sketch = (x[order] for x in (node, size, label, block, sketch))
+        self.num, self.den, self.within = num, den, (block == block[0]).all()
+        parities = [parities[i] for i in order.tolist()]
+        self.words = np.array([len(x) // 8 for x in parities])  # they grow with sizes
+        cuts = np.append(np.flatnonzero(np.diff(self.words, prepend=0)), len(parities))
+        self.runs = {int(self.words[a]): (a, np.frombuffer(b"".join(parities[a:b]), dtype=np.uint64).reshape(b - a, -1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+        share = num / den  # far fewer equal registers than the threshold makes
+        self.few = M * share - 8 * np.sqrt(M * share * (1 - share))
+
+    def _met(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs, the lesser first, of fitting sizes, different components and enough equal registers, some at a time."""
+        least = np.searchsorted(self.size, -(-self.num * self.size // self.den))
+        left, right, waiting = [], [], 0
+        for i in range(1, len(self.node)):
+            lo = int(least[i])
+            differ = self.label[lo:i] != self.label[i]
+            if not self.within:
+                differ &= self.block[lo:i] != self.block[i]
+            at = lo + np.flatnonzero(differ)
+            for part in (at[x : x + PAIRS] for x in range(0, len(at), PAIRS)):
+                part = part[(self.sketch[part] == self.sketch[i]).sum(axis=1) >= self.few]
+                left.append(part)
+                right.append(np.full(len(part), i))
+                waiting += len(part)
+                if waiting >= PAIRS:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, waiting = [], [], 0
+        if waiting:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def _differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the parity sketches of pairs differ, those of the greater ones folded to the lesser ones' length."""
+        out = np.zeros(len(x), dtype=np.int64)
+        for p in sorted(set(self.words[x].tolist())):
+            for q in sorted(set(self.words[y].tolist())):
+                at = np.flatnonzero((self.words[x] == p) & (self.words[y] == q))
+                for some in (at[a : a + 1024] for a in range(0, len(at), 1024)):
+                    (first, small), (other, large) = self.runs[p], self.runs[q]
+                    out[some] = np.bitwise_count(small[x[some] - first] ^ folded(large[y[some] - other], p)).sum(axis=1, dtype=np.int64)
+        return out
+
+    def proposals(self, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+        """Pairs (a, b), a > b, that sketches allow, each greater class's most alike partners of `most` components, and whether there are more."""
+        out, more = [], False
+        if len(self.node) < 2 or (self.label == self.label[0]).all():
+            return out, more
+        found = []
+        for x, y in self._met():
+            sizes = (self.size[x].astype(np.float64), self.size[y].astype(np.float64))
+            ok, _ = plausible(self.sketch[x], self.sketch[y], *sizes, self.num / self.den)
+            x, y = x[ok], y[ok]
+            both, bits = self.size[x] + self.size[y], self._differ(x, y)
+            ok = bits * (self.den + self.num) <= both * (self.den - self.num)
+            found.append((x[ok], y[ok], bits[ok] / both[ok]))
+        if not found:
+            return out, more
+        x, y, far = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((self.node[x], far, y))
+        x, y = x[order], y[order]
+        if most is not None and len(x):
+            label = self.label[x]
+            best = np.zeros(len(x), dtype=bool)
+            best[np.unique(np.stack([y, label], axis=1), axis=0, return_index=True)[1]] = True  # the first of each component
+            before = np.cumsum(best) - best
+            start = np.searchsorted(y, y)
+            keep = best & (before - before[start] < most)
+            more = not keep.all()
+            x, y = x[keep], y[keep]
+        a, b = self.node[x], self.node[y]
+        return list(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)), more
+
+
+def _proposed(left: DataFrame, classes: DataFrame, most: int | None, num: int, den: int) -> DataFrame:
     """(key, a, b) of all blocks; a null pair says that a group has more."""
 
     def told(key: tuple[int, int, int], parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
         columns = [rows.column(c).to_numpy() for c in ("node", "size", "label", "block")]
-        pairs, more = block_proposals(*columns, _unpacked(rows.column("sketch")), ranks, num, den)
+        pairs, more = Block(*columns, _unpacked(rows.column("sketch")), rows.column("parity").to_pylist(), num, den).proposals(most)
         a, b = ([*(p[c] for p in pairs), *[None] * more] for c in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
 
@@ -300,8 +353,8 @@ def _proposed(left: DataFrame, classes: DataFrame, ranks: tuple[int, int], num:
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     dealt = dealt.withColumns({"x": F.least("block", "other").cast("bigint"), "y": F.greatest("block", "other").cast("bigint")})
-    sized = classes.select("node", F.col("n").alias("size"), "sketch")
-    dealt = dealt.select("key", "x", "y", "node", "label", "block").join(sized, "node").select("key", "x", "y", "node", "size", "label", "block", "sketch")
+    sized = classes.select("node", F.col("n").alias("size"), "sketch", "parity")
+    dealt = dealt.select("key", "x", "y", "node", "label", "block").join(sized, "node").select("key", "x", "y", "node", "size", "label", "block", "sketch", "parity")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
     return dealt.mapInArrow(tidy(run), "key bigint, a bigint, b bigint")
@@ -313,21 +366,21 @@ def _links(classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) ->
     degree = groups.groupBy("node").agg(F.sum("w").alias("w"))
     ranked = groups.select("key", "node").join(degree, "node")
     leaders = saved(ranked.groupBy("key").agg(F.max(F.struct("w", "node")).alias("l")).select("key", F.col("l.node").alias("leader")), "leaders")
-    met = groups.select("key", "node").join(leaders, "key").filter("node != leader")
+    met = saved(groups.select("key", "node").join(leaders, "key").filter("node != leader"), "met")
+    dropped(groups, leaders)
     pairs = met.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    likely = saved(_likely(pairs, classes, num, den), "likely")
-    links = _verified(likely, classes, keyed, k, num, den)
-    ranks = (0, PROPOSED)
-    rest = saved(met.select("key", "node"), "rest")
+    links = _verified(saved(_likely(pairs, classes, num, den), "likely"), classes, keyed, k, num, den)
+    rest, most = met.select("key", "node"), PROPOSED
     while True:
         left = saved(_open(rest, links), "open")
-        if left.isEmpty():
-            return links
-        found = saved(_proposed(left, classes, ranks, num, den), "proposed")
-        now = _verified(saved(found.filter("a is not null").select("a", "b").distinct(), "likely"), classes, keyed, k, num, den)
-        links = saved(links.unionByName(now), "links")
+        found = saved(_proposed(left, classes, most, num, den), "proposed")
+        likely = saved(found.filter("a is not null").select("a", "b").distinct(), "likely")
+        now = _verified(likely, classes, keyed, k, num, den)
+        links, new = saved(links.unionByName(now), "links"), not now.isEmpty()
         more = found.filter("a is null").select("key").distinct()
-        rest, ranks = saved(left.select("key", "node").join(more, "key"), "rest"), (ranks[1], 8 * ranks[1])
+        if more.isEmpty():
+            return links
+        rest, most = saved(left.select("key", "node").join(more, "key"), "rest"), PROPOSED if new else None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -341,8 +394,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id, text).alias("r1"), F.xxhash64(F.lit(11), text, id).alias("r2"), F.col(text).alias("text"))
     rows = saved(_summaries(keyed, k), "summaries")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
-    grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("r1", "r2")).alias("r"), least.alias("least"), F.first("sketch").alias("sketch"))
-    classes = saved(grouped.select("n", "s1", "s2", "r.r1", "r.r2", "least", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
+    grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("r1", "r2")).alias("r"), least.alias("least"), F.first(F.struct("sketch", "parity")).alias("f"))
+    classes = saved(grouped.select("n", "s1", "s2", "r.r1", "r.r2", "least", "f.sketch", "f.parity", F.monotonically_increasing_id().alias("node")), "classes")
     roots = components(_links(classes, keyed, k, num, den))
     named = classes.select("n", "s1", "s2", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = saved(named, "named")

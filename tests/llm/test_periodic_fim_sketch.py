@@ -346,23 +346,37 @@ def test_near_duplicate_families(spark, monkeypatch):
     assert 10 < len({x[2] for x in want}) < 170
 
 
-def test_block_proposals_take_turns():
-    """Ranks part the partners of a class; together they are all that the registers allow."""
+def test_block_proposals():
+    """All pairs across components that may link are told at once, or the best of some components and that there are more."""
     rnd = np.random.default_rng(9)
     base = rnd.integers(0, 2**63, 300, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([base[:270], rnd.integers(0, 2**63, 30, dtype=np.uint64)])) for _ in range(24)]
-    node = np.arange(24)
-    size = np.array([len(s) for s in sets])
-    args = (node, size, node, np.zeros(24, np.int64), setsketch.registers(sets))
-    every, more = setsketch.block_proposals(*args, (0, 10**6), 80, 100)
-    assert not more and len(set(every)) == len(every) > 200
-    parts, lo, hi, more = [], 0, 2, True
-    while more:
-        got, more = setsketch.block_proposals(*args, (lo, hi), 80, 100)
-        parts += got
-        lo, hi = hi, 8 * hi
-    assert sorted(parts) == sorted(every)
-    block = node % 2
-    across, _ = setsketch.block_proposals(node, size, node, block, args[4], (0, 10**6), 80, 100)
-    assert sorted(across) == sorted(p for p in every if block[p[0]] != block[p[1]])
-    assert setsketch.block_proposals(node, size, node * 0, block, args[4], (0, 10**6), 80, 100) == ([], False)
+    sets = [np.unique(np.concatenate([base[: 281 - i % 3], rnd.integers(0, 2**63, 25 + 2 * (i % 7), dtype=np.uint64)])) for i in range(40)]
+    sets += [np.unique(rnd.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(5)]
+    node, size = np.arange(45) * 3, np.array([len(s) for s in sets])
+    sketches, parities = setsketch.registers(sets), [setsketch.parity(s) for s in sets]
+
+    def told(label, block, most):
+        return setsketch.Block(node, size, label, block, sketches, parities, 80, 100).proposals(most)
+
+    def linked(i, j):
+        return 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+
+    whole, label = np.zeros(45, np.int64), node % 4
+    every = {(3 * i, 3 * j) for i in range(45) for j in range(i) if linked(i, j)}
+    pairs, more = told(node, whole, None)
+    assert not more and len(set(pairs)) == len(pairs) and every <= set(pairs) and 300 < len(every) < len(pairs) + 1
+    assert all(a < 120 for a, _ in pairs)
+    across, _ = told(label, whole, None)
+    assert set(across) == {p for p in pairs if p[0] % 4 != p[1] % 4}
+    some, more = told(node, whole, 3)
+    assert more and set(some) < set(pairs)
+    per = defaultdict(int)
+    order = {n: (size[i], n) for i, n in enumerate(node.tolist())}
+    for a, b in some:
+        per[max(a, b, key=order.get)] += 1
+    assert max(per.values()) == 3
+    some, more = told(label, whole, 8)  # one of each of three other components
+    assert more and len({(max(p, key=order.get), min(p, key=order.get) % 4) for p in some}) == len(some)
+    block = np.arange(45) % 2
+    assert set(told(node, block, None)[0]) == {p for p in pairs if p[0] // 3 % 2 != p[1] // 3 % 2}
+    assert told(whole, block, None) == ([], False)

@@ -43,17 +43,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .jaccard import folded, shingle_sets, sketch as parity
+from .jaccard import folded, shingle_sets
 from .storage import byte_batches, dropped, saved, tidy
 from .substrings import bit_filter
 from .textkit import mix, slices
 
-#: Registers, bands of them and registers of a band; base of the powers, and the greatest one (16 bits).
+#: Registers of a band, and bands; base of the powers, and the greatest one: 8 bits hold the minima of 10^7 shingles.
 ROWS, BANDS = 6, 48
 M = ROWS * BANDS
-BASE, MOST = 1.001, (1 << 16) - 1
+BASE, MOST = 1.08, (1 << 8) - 1
 #: Scale of the points, so that a set of one shingle reaches power 0 in exp(-20) of its registers.
 SCALE = 20.0
+#: Bits of a parity sketch at least and at most; four to eight a shingle between.
+PARITY = (1 << 8, 1 << 16)
 #: Points of a shingle made at first.
 POINTS = 4
 #: Logarithm of how much likelier than the threshold a lesser similarity is in pairs that are dropped: 5.5 standard deviations.
@@ -96,7 +98,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         horizon[todo] *= 2
     with np.errstate(divide="ignore"):
         power = np.floor(1 - np.log(least / SCALE) / np.log(BASE))
-    return np.clip(power, 0, MOST).astype(np.uint16)
+    return np.clip(power, 0, MOST).astype(np.uint8)
 
 
 def bands(rows: np.ndarray) -> np.ndarray:
@@ -147,6 +149,13 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
     return (j >= threshold) | (best - least <= CUTOFF), j
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Whether the number of shingles at each of some places is odd: two sets differ in at least as many shingles as their sketches in bits."""
+    bits = min(max(1 << (4 * len(tokens) - 1).bit_length(), PARITY[0]), PARITY[1])
+    at = (mix(tokens ^ _GOLD) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def parities_fit(x: bytes, y: bytes, total: int, num: int, den: int) -> bool:
     """Whether sets of so many shingles together may be that similar, by what their parity sketches surely differ in."""
     a, b = (np.frombuffer(z, dtype=np.uint64) for z in (x, y))
@@ -155,7 +164,7 @@ def parities_fit(x: bytes, y: bytes, total: int, num: int, den: int) -> bool:
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, M)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, M)
 
 
 def _summaries(keyed: DataFrame, k: int) -> DataFrame:
@@ -165,7 +174,7 @@ def _summaries(keyed: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for texts in slices(batch.column(3)):
                 sets = list(shingle_sets(texts, k))
-                rows = registers(sets).astype("<u2")
+                rows = registers(sets)
                 sums = [pa.array(np.array([int(mix(s ^ salt).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)) for salt in (_SALT, _GOLD)]
                 part = batch.slice(texts.first, len(texts))
                 told = [pa.array([len(s) for s in sets], pa.int64()), *sums, pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
@@ -187,10 +196,10 @@ def _banded(classes: DataFrame) -> DataFrame:
 
 
 def _groups(classes: DataFrame) -> DataFrame:
-    """key, node, and w, the other classes that the node meets here times the bands with just these classes."""
+    """key, node, n, the classes of the group, and w, the others of them times the bands with just these classes."""
     same = [F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("sum(pmod(xxhash64(node, 7), 2147483647))").alias("y")]
     told = _banded(classes).groupBy("key").agg(*same).filter("lo != hi")
-    one = saved(told.groupBy("lo", "hi", "n", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("m")).selectExpr("key", "m * (n - 1) as w"), "keys")
+    one = saved(told.groupBy("lo", "hi", "n", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("m")).selectExpr("key", "n", "m * (n - 1) as w"), "keys")
     near = bit_filter(one, "key")(_banded(classes)).filter("maybe").select("key", "node")
     out = saved(near.join(one, "key"), "groups")
     dropped(one)
@@ -239,11 +248,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, nu
 
 
 def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """key, node, label and n of groups(key, node) that hold several components."""
+    """key, node, label and n of groups(key, node, n) that hold several components."""
     roots = components(links).select("node", F.col("root").alias("label"))
-    rows = groups.select("key", "node").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi")
-    return rows.join(several.select("key", "n"), "key")
+    rows = groups.select("key", "node", "n").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+    return rows.join(several, "key", "left_semi")
 
 
 class Block:
@@ -366,11 +375,11 @@ def _links(classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) ->
     degree = groups.groupBy("node").agg(F.sum("w").alias("w"))
     ranked = groups.select("key", "node").join(degree, "node")
     leaders = saved(ranked.groupBy("key").agg(F.max(F.struct("w", "node")).alias("l")).select("key", F.col("l.node").alias("leader")), "leaders")
-    met = saved(groups.select("key", "node").join(leaders, "key").filter("node != leader"), "met")
+    met = saved(groups.select("key", "node", "n").join(leaders, "key").filter("node != leader"), "met")
     dropped(groups, leaders)
     pairs = met.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     links = _verified(saved(_likely(pairs, classes, num, den), "likely"), classes, keyed, k, num, den)
-    rest, most = met.select("key", "node"), PROPOSED
+    rest, most = met.select("key", "node", "n"), PROPOSED
     while True:
         left = saved(_open(rest, links), "open")
         found = saved(_proposed(left, classes, most, num, den), "proposed")
@@ -380,7 +389,7 @@ def _links(classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) ->
         more = found.filter("a is null").select("key").distinct()
         if more.isEmpty():
             return links
-        rest, most = saved(left.select("key", "node").join(more, "key"), "rest"), PROPOSED if new else None
+        rest, most = saved(left.select("key", "node", "n").join(more, "key", "left_semi"), "rest"), PROPOSED if new else None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", id: str = "doc_id") -> DataFrame:

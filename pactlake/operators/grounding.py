@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, LOOKAHEAD, TOKEN_RATIO, STARTS, FULL_MASS = 85.0, 40, 80.0, 200, 2.0
-_NOT_WORD = regex.compile(r"[^\w]+")
+from pactlake.functions.text import clean_token
+from pactlake.operators import vocabulary
+from pactlake.session import dropped, saved, spread
+
+THRESHOLD, LOOKAHEAD, STARTS, FULL_MASS = 85.0, 40, 200, 2.0
 
 
 def token_weight(n: Column, count: Column) -> Column:
@@ -25,44 +27,24 @@ def token_weight(n: Column, count: Column) -> Column:
     return F.when(n <= 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log(n / (1 + count)) / F.log(n))))
 
 
-def clean(token: str) -> str:
-    return _NOT_WORD.sub("", token).lower()
-
-
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of a."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, row = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def token_ratio(a: str, b: str) -> float:
-    """100 for equal words; else the indel ratio of two words of over two characters, if that reaches TOKEN_RATIO, or 0."""
-    if a == b:
-        return 100.0
-    if min(len(a), len(b)) <= 2 or 200 * min(len(a), len(b)) < TOKEN_RATIO * (len(a) + len(b)):
-        return 0.0
-    r = 200.0 * _common(a, b) / (len(a) + len(b))
-    return r if r >= TOKEN_RATIO else 0.0
-
-
 class Page:
-    """A page's words, with what is asked of them again and again."""
+    """A page's cleaned words, and which of them match a token."""
 
     def __init__(self, words: Sequence[str]):
-        self.words = [clean(w) for w in words]
+        self.words = list(words)
         self.counts, self.known = Counter(self.words), {}
 
+    def learn(self, near: Iterable[tuple[str, str, float]]) -> None:
+        """Takes in (token, word, ratio), words of the page that match a token."""
+        for token, word, ratio in near:
+            if word in self.counts:
+                self.known.setdefault(token, {})[word] = ratio
+
     def near(self, token: str) -> dict[str, float]:
-        """The page's distinct words that match a token, with their ratio."""
-        if token not in self.known:
-            self.known[token] = {w: r for w in self.counts if w and (r := token_ratio(token, w))}
-        return self.known[token]
+        known = self.known.setdefault(token, {})
+        if token in self.counts:
+            known[token] = 100.0
+        return known
 
     def weight(self, word: str) -> float:
         n = len(self.words)
@@ -94,40 +76,97 @@ class Page:
         return best[1]
 
 
-def locate(phrase: str, page: Page, words: Sequence[str], threshold: float = THRESHOLD) -> dict | None:
-    """Where a phrase stands on a page, and how surely; None for a blank phrase or a page without words."""
-    raw = (phrase or "").split()
-    if not raw or not words:
-        return None
-    met = page.align([t for t in map(clean, raw) if t])
-    recall = 100.0 * len(met) / len(raw)
+def needed(n: int, threshold: float) -> int:
+    """Words that a phrase of n words must meet to be found from a threshold on."""
+    return next(m for m in range(n + 1) if m == n or 100.0 * m / n >= threshold)
+
+
+def locate(tokens: Sequence[str], page: Page, shown: Sequence[str], threshold: float = THRESHOLD) -> dict:
+    """Where a phrase of cleaned tokens, empty ones too, stands on a page of the words `shown`, and how surely."""
+    met = page.align([t for t in tokens if t])
+    recall = 100.0 * len(met) / len(tokens)
     mass = sum(page.weight(page.words[i]) for i in met)
     score = recall * min(1.0, mass / FULL_MASS)
     first, last = (met[0], met[-1]) if met else (None, None)
-    found = " ".join(words[first : last + 1]) if met else ""
+    found = " ".join(shown[first : last + 1]) if met else ""
     return {"text": found, "score": score, "recall": recall, "mass": mass, "verified": score >= threshold, "first": first, "last": last}
 
 
+NOTHING = {"text": "", "score": 0.0, "recall": 0.0, "mass": 0.0, "verified": False, "first": None, "last": None}
 OUT = "page_key string, phrase_id bigint, text string, score double, recall double, mass double, verified boolean, first int, last int"
 
 
-def ground_phrases(pages: DataFrame, phrases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pages(page_key, words array) and phrases(page_key, phrase_id, phrase): a row for each phrase of a page that exists.
+def split(text: Column) -> Column:
+    """Words between white space."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
 
-    A phrase meets its own page alone; phrases of a page come in one row, so that a page is read once.
-    """
-    asked = phrases.groupBy("page_key").agg(F.collect_list(F.struct("phrase_id", "phrase")).alias("phrases"))
+
+def _cleaned(words: Column) -> Column:
+    return F.transform(words, clean_token)
+
+
+def _aligned(pages: DataFrame, asked: DataFrame, near: DataFrame, threshold: float, verified: bool) -> DataFrame:
+    """pages(page_key, words, cleaned) with phrases(page_key, phrase_id, tokens) asked of them and near(page_key, token, word, ratio); only found ones if `verified`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, words, wanted in zip(frame.page_key, frame.words, frame.phrases, strict=True):
+            for key, words, cleaned, wanted, known in zip(frame.page_key, frame.words, frame.cleaned, frame.phrases, frame.near, strict=True):
                 words = [] if words is None else list(words)
-                page = Page(words)
+                page = Page([] if cleaned is None else cleaned)
+                page.learn((x["token"], x["word"], x["ratio"]) for x in ([] if known is None else known))
                 for x in wanted:
-                    got = locate(x["phrase"], page, words, threshold) or {"text": "", "score": 0.0, "recall": 0.0, "mass": 0.0, "verified": False, "first": None, "last": None}
-                    rows.append({"page_key": key, "phrase_id": x["phrase_id"], **got})
+                    tokens = [] if x["tokens"] is None else list(x["tokens"])
+                    if verified and sum(bool(page.near(t)) for t in tokens if t) < needed(len(tokens), threshold):
+                        continue
+                    got = locate(tokens, page, words, threshold) if tokens and words else NOTHING
+                    if got["verified"] or not verified:
+                        rows.append({"page_key": key, "phrase_id": x["phrase_id"], **got})
             out = pd.DataFrame(rows, columns=["page_key", "phrase_id", "text", "score", "recall", "mass", "verified", "first", "last"])
-            yield out.astype({"first": "Int32", "last": "Int32"})
+            yield out.astype({"verified": "bool", "first": "Int32", "last": "Int32"})
+
+    listed = asked.groupBy("page_key").agg(F.collect_list(F.struct("phrase_id", "tokens")).alias("phrases"))
+    known = near.groupBy("page_key").agg(F.collect_list(F.struct("token", "word", "ratio")).alias("near"))
+    rows = pages.join(listed, "page_key").join(known, "page_key", "left").select("page_key", "words", "cleaned", "phrases", "near")
+    return spread(rows, "page_key").mapInPandas(run, OUT)
 
-    return pages.join(asked, "page_key").select("page_key", "words", "phrases").mapInPandas(run, OUT)
+
+def ground_phrases(pages: DataFrame, phrases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """pages(page_key, words array) and phrases(page_key, phrase_id, phrase): a row for each phrase of a page that exists.
+
+    A phrase meets its own page alone; phrases of a page come in one row, so that a page is read once. Which words
+    match is looked up among all words of all pages at once, each pair of words being compared one time.
+    """
+    pages = pages.withColumn("cleaned", _cleaned(F.col("words")))
+    phrases = phrases.select("page_key", "phrase_id", _cleaned(split(F.col("phrase"))).alias("tokens"))
+    on = pages.join(phrases.select("page_key").distinct(), "page_key", "left_semi").select("page_key", F.explode(F.array_distinct("cleaned")).alias("word"))
+    tokens = phrases.select("page_key", F.explode("tokens").alias("token")).distinct()
+    pairs = vocabulary.nearly_equal(tokens.select("token").distinct(), on.select("word").distinct())
+    near = tokens.join(pairs, "token").join(on, ["page_key", "word"])
+    return _aligned(pages, phrases, near, threshold, False)
+
+
+def ground_anywhere(pages: DataFrame, phrases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every page on which a phrase is found: pages(page_key, words array), phrases(phrase_id, phrase), ids distinct; rows as of ground_phrases.
+
+    A phrase of n words is found only where most of them, m, match a word of the page. So of any n - m + 1 of its words
+    one does; those that the fewest pages match are looked up, and the pages that have one are read. None is missed.
+    """
+    pages = saved(spread(pages.select("page_key", "words"), "page_key").select("page_key", "words", _cleaned(F.col("words")).alias("cleaned")), "pages")
+    phrases = saved(phrases.select("phrase_id", _cleaned(split(F.col("phrase"))).alias("tokens")).filter(F.size("tokens") > 0), "phrases")
+    on = saved(pages.select("page_key", F.explode(F.array_distinct("cleaned")).alias("word")).filter("word <> ''"), "on")
+    words = on.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    pairs = saved(vocabulary.matching(phrases.select(F.explode("tokens").alias("token")).distinct(), words.select("word")), "matches")
+    often = pairs.join(words, "word").groupBy("token").agg(F.sum("n").alias("n"))
+    n = F.size("tokens")
+    least = F.least(n, F.ceil(F.lit(threshold) * n / 100 - 1e-9).cast("int"))
+    each = phrases.select("phrase_id", least.alias("m"), F.posexplode("tokens").alias("p", "token")).filter("token <> ''").join(often, "token", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p", "token")))
+    listed = each.groupBy("phrase_id").agg(F.first("m").alias("m"), order.alias("o"))
+    rare = listed.filter(F.size("o") >= F.col("m")).select("phrase_id", F.explode(F.slice("o", F.lit(1), F.size("o") - F.col("m") + 1)).alias("o")).select("phrase_id", "o.token").distinct()
+    candidates = rare.join(pairs.select("token", "word"), "token").select("phrase_id", "word").distinct().join(on, "word").select("page_key", "phrase_id").distinct()
+    asked = saved(candidates.join(phrases, "phrase_id"), "asked")
+    near = on.join(asked.select("page_key").distinct(), "page_key", "left_semi").join(pairs.filter("token <> word"), "word")
+    out = saved(_aligned(pages, asked, near, threshold, True), "found")
+    dropped(pages, phrases, on, pairs, asked)
+    return out

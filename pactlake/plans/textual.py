@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import labels, text
-from pactlake.operators import entities, geometry, grounding, records
+from pactlake.operators import entities, geometry, grounding, records, vocabulary
 from pactlake.plans.clauses import table
 from pactlake.session import ensure_checkpoint_dir
 
@@ -96,12 +96,42 @@ def grounding_exact(spark, sf_dir):
     return long.unionByName(short)
 
 
+def _pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_key"), _split("text").alias("words"))
+
+
+def _found(out: DataFrame) -> DataFrame:
+    rounded = (F.round(c, 6).alias(c) for c in ("score", "recall", "mass"))
+    return out.select(F.col("page_key").cast("bigint").alias("doc_id"), F.col("phrase_id").alias("item_id"), *rounded, F.col("first").alias("first_word"), F.col("last").alias("last_word"))
+
+
 def grounding_fuzzy(spark, sf_dir):
-    """Benchmark passages located among the words of the documents that have any three words of theirs in succession."""
-    c = _candidates(spark, sf_dir, 0).select(F.col("doc_id").cast("string").alias("page_key"), F.col("item_id").alias("phrase_id"), "phrase")
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page_key"), F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "").alias("words"))
-    out = grounding.ground_phrases(pages, c)
-    return out.select(F.col("page_key").cast("bigint").alias("doc_id"), F.col("phrase_id").alias("item_id"), F.round("score", 6).alias("score"), F.round("recall", 6).alias("recall"), F.round("mass", 6).alias("mass"), "verified")
+    """Every document in which a benchmark passage is found, word for word or nearly."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    return _found(grounding.ground_anywhere(_pages(spark, sf_dir), items))
+
+
+def altered(phrase: Column) -> Column:
+    """A phrase as a careless reader has it: of words of five characters or more one in two lacks its third, one in four has its second twice."""
+    worse = lambda w, i: F.when((F.length(w) < 5) | (i % 4 == 3), w).when(i % 4 == 1, F.concat(F.substring(w, 1, 2), F.substring(w, 2, 999))).otherwise(F.concat(F.substring(w, 1, 2), F.substring(w, 4, 999)))
+    return F.array_join(F.transform(F.filter(F.split(phrase, r"[ \t\n\x0B\f\r]+"), lambda x: x != ""), worse), " ")
+
+
+def grounding_altered(spark, sf_dir):
+    """Every document in which a benchmark passage is found whose words have been altered first."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), altered(F.col("text")).alias("phrase"))
+    return _found(grounding.ground_anywhere(_pages(spark, sf_dir), items))
+
+
+def _vocabularies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    words = lambda name, c: table(spark, sf_dir, name).select(F.explode(_split("text")).alias("w")).select(text.clean_token(F.col("w")).alias(c)).filter(F.col(c) != "").distinct()
+    return words("benchmark", "token"), words("documents", "word")
+
+
+def near_words(spark, sf_dir):
+    """The words of documents that nearly are words of the benchmark."""
+    out = vocabulary.nearly_equal(*_vocabularies(spark, sf_dir))
+    return out.select("token", "word", F.round("ratio", 6).alias("ratio"))
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -175,7 +205,7 @@ def entity_clusters(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    date_parse, duration_parse, number_parse, json_norm, normalize_entity, entity_pairs, clean_tokens, evidence_mass, grounding_exact, grounding_fuzzy, line_offsets, page_roles, spatial_anchor, line_fold,
+    date_parse, duration_parse, number_parse, json_norm, normalize_entity, entity_pairs, clean_tokens, evidence_mass, grounding_exact, grounding_fuzzy, grounding_altered, near_words, line_offsets, page_roles, spatial_anchor, line_fold,
     html_text, hash_id, statute_applicability, entity_clusters,
 )}
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
@@ -38,3 +41,34 @@ def ship(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ensure_checkpoint_dir, as the session names it."""
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder as Parquet and read again: read by column, and computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more; those in a store that only Spark reaches stay."""
+    for table in tables:
+        try:
+            store, path = fs.FileSystem.from_uri(table.saved_at)
+        except (pa.ArrowInvalid, OSError):
+            continue
+        store.delete_dir(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of much work and few bytes over all cores: adaptive execution would put them together by their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pactlake.functions import labels, text
-from pactlake.operators import clause_conflicts, findings, geometry, grounding, portfolio, records, retrieval, sinks
+from pactlake.operators import clause_conflicts, findings, geometry, grounding, portfolio, records, retrieval, sinks, vocabulary
 from pactlake.sources import files
 from pactlake.streaming import jobs
 
@@ -76,25 +77,107 @@ def test_clause_engine(spark):
 PAGE = "this agreement shall be governed by the laws of the state of delaware without regard to conflict of laws principles and 42 other filler words follow here".split()
 
 
+def _learnt(words, *phrases):
+    """A page that knows what matches the words of the phrases, by comparing all of them."""
+    page = grounding.Page(words)
+    for t in {t for p in phrases for t in p.split()}:
+        page.learn((t, w, 200.0 * vocabulary._common(t, w) / (len(t) + len(w))) for w in set(words) if _near(t, w))
+    return page
+
+
+def _locate(phrase, words, threshold=85.0):
+    return grounding.locate(phrase.split(), _learnt(words, phrase), words, threshold)
+
+
 def test_grounding():
-    page = grounding.Page(PAGE)
-    exact = grounding.locate("governed by the laws of the State of Delaware", page, PAGE)
+    words = [w.lower().strip(".,") for w in PAGE]
+    exact = _locate("governed by the laws of the state of delaware", words)
     assert exact["verified"] and exact["recall"] == 100.0 and exact["text"].startswith("governed by")
-    assert grounding.locate("goverened by the lawz of the State of Delawere", page, PAGE)["recall"] >= 75
-    assert not grounding.locate("insurance must be carried at all times", page, PAGE)["verified"]
-    assert grounding.locate("  ", page, PAGE) is None and grounding.locate("x", grounding.Page([]), []) is None
+    assert _locate("goverened by the lawz of the state of delawere", words)["recall"] >= 75
+    assert not _locate("insurance must be carried at all times", words)["verified"]
     common = ["the"] * 50 + ["of"] * 50
-    assert not grounding.locate("the of", grounding.Page(common), common)["verified"]
-    assert grounding.token_ratio("ab", "ac") == 0 and grounding.token_ratio("delaware", "delawere") == pytest.approx(87.5)
-    reverse = grounding.locate("alpha beta gamma", grounding.Page(["gamma", "beta", "alpha"]), ["gamma", "beta", "alpha"])
-    assert reverse["recall"] == pytest.approx(100 / 3)
+    assert not _locate("the of", common)["verified"]
+    assert _locate("alpha beta gamma", ["gamma", "beta", "alpha"])["recall"] == pytest.approx(100 / 3)
+    assert [grounding.needed(n, 85.0) for n in (1, 3, 6, 7, 20, 40)] == [1, 3, 6, 6, 17, 34]
 
 
 def test_grounding_frame(spark):
     pages = spark.createDataFrame([("d1", PAGE), ("d2", [])], "page_key string, words array<string>")
-    phrases = spark.createDataFrame([("d1", 1, "laws of the state of delaware"), ("d1", 2, "nothing like it"), ("d2", 3, "laws"), ("d3", 4, "laws")], "page_key string, phrase_id bigint, phrase string")
+    phrases = spark.createDataFrame([("d1", 1, "laws of the state of delaware"), ("d1", 2, "nothing like it"), ("d2", 3, "laws"), ("d3", 4, "laws"), ("d1", 5, "  "), ("d1", 6, None), ("d1", 7, "statte of delawere")], "page_key string, phrase_id bigint, phrase string")
     got = {r.phrase_id: r for r in grounding.ground_phrases(pages, phrases).collect()}
-    assert set(got) == {1, 2, 3} and got[1].verified and not got[2].verified and got[3].first is None
+    assert set(got) == {1, 2, 3, 5, 6, 7} and got[1].verified and not got[2].verified and got[3].first is None
+    assert got[5].score == 0 and got[6].first is None and got[7].recall > 60
+
+
+def _near(a, b):
+    """Two words match, by the plain table of common subsequences."""
+    if a == b or min(len(a), len(b)) <= 2:
+        return a == b
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return 200 * row[-1] >= 80 * (len(a) + len(b))
+
+
+def test_vocabularies_lose_no_pair(spark, monkeypatch):
+    """All pairs of random words and of misspelt ones, short, long and about the bound between both ways, by brute force."""
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("abcdé😀") for _ in range(n)) for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 20, 70] for _ in range(6)]
+
+    def worse(w):
+        out = list(w)
+        for _ in range(rnd.randint(1, max(1, len(w) // 4))):
+            at = rnd.randrange(len(out) + 1)
+            out[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "a", "é"])
+        return "".join(out)
+
+    words = sorted({*base, *(worse(w) for w in base for _ in range(4))} - {""})
+    tokens = sorted({*base[::2], *(worse(w) for w in base)} - {""})
+    t, w = spark.createDataFrame([(x,) for x in tokens], "token string"), spark.createDataFrame([(x,) for x in words], "word string")
+    got = {(r.token, r.word): r.ratio for r in vocabulary.matching(t, w).collect()}
+    want = {(x, y) for x in tokens for y in words if _near(x, y)}
+    assert set(got) == want and len(want) > 500
+    assert all(got[x, x] == 100 for x in set(tokens) & set(words))
+    assert vocabulary.matching(t.limit(0), w).count() == 0 and vocabulary.matching(t, w.limit(0)).count() == 0
+
+
+def test_common_lengths():
+    rnd = random.Random(2)
+    a, b = (["".join(rnd.choice("abc😀") for _ in range(rnd.choice([0, 1, 5, 30, 63, 64, 90]))) for _ in range(200)] for _ in range(2))
+    assert vocabulary.common_lengths(a, b).tolist() == [vocabulary._common(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_grounding_anywhere_misses_nothing(spark):
+    """What is found equals what holding every phrase against every page finds, words altered as a scan alters them."""
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("abdeghiklmnoprstu") for _ in range(rnd.randint(2, 13))) for _ in range(160)]
+    pages = [[rnd.choice(vocab) for _ in range(rnd.randint(0, 120))] for _ in range(40)]
+    phrases = []
+    for _ in range(60):
+        page = rnd.choice([p for p in pages if len(p) > 30])
+        at = rnd.randrange(len(page) - 12)
+        out = []
+        for w in page[at : at + rnd.randint(1, 12)]:
+            k = rnd.randrange(len(w))
+            out.append(rnd.choice([w, w, w[:k] + w[k + 1 :], w[:k] + "x" + w[k:], w[:k] + "z" + w[k + 1 :], "--"]))
+        phrases.append(" ".join(out))
+    phrases += ["", "  ", "!! ??", "governng law off singapore applis here todai and tomorow"]
+    pages.append("governing law of singapore applies here today and tomorrow".split() + [f"w{i}" for i in range(30)])
+    got = grounding.ground_anywhere(
+        spark.createDataFrame([(str(i), p) for i, p in enumerate(pages)], "page_key string, words array<string>"),
+        spark.createDataFrame(list(enumerate(phrases)), "phrase_id bigint, phrase string"),
+    ).collect()
+    clean = lambda t: "".join(c for c in t if c.isalnum()).lower()
+    want = {}
+    for j, phrase in enumerate(phrases):
+        tokens = [clean(t) for t in phrase.split()]
+        for i, p in enumerate(pages):
+            if tokens and p and (x := grounding.locate(tokens, _learnt(p, " ".join(tokens)), p))["verified"]:
+                want[str(i), j] = (x["text"], round(x["score"], 9), x["first"], x["last"])
+    assert {(r.page_key, r.phrase_id): (r.text, round(r.score, 9), r["first"], r["last"]) for r in got} == want
+    assert len(want) > 10 and ("40", 63) in want
 
 
 def test_geometry(spark):

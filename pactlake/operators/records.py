@@ -197,8 +197,11 @@ def edit_fields(fields: DataFrame, edits: DataFrame, now: str) -> DataFrame:
     """Fields with edits(id, document_id, state, has_value, value, has_clause, clause_label, edited_by) taken in.
 
     The state gives the tier; na, or a null value, makes the field absent. An edit that names another document changes nothing.
+    Of several edits of one field the last holds, by the column `at` if there is one; of equal ones the greatest by its values.
     """
-    e = edits.select("id", "document_id", *(F.col(c).alias(f"e_{c}") for c in ("state", "has_value", "value", "has_clause", "clause_label", "edited_by")))
+    said = ("state", "has_value", "value", "has_clause", "clause_label", "edited_by")
+    last = edits.groupBy("id", "document_id").agg(F.max(F.struct(*(c for c in ("at",) if c in edits.columns), *said)).alias("e"))
+    e = last.select("id", "document_id", *(F.col(f"e.{c}").alias(f"e_{c}") for c in said))
     met = fields.join(e, ["id", "document_id"], "left")
     hit = F.col("e_state").isNotNull()
     value = F.when(F.col("e_state") == "na", None).when(F.col("e_has_value"), F.col("e_value")).otherwise(F.col("value_verbatim"))
@@ -226,8 +229,9 @@ def integrity(fields: DataFrame, lines: DataFrame, events: DataFrame) -> DataFra
 
 
 def update_status(rows: DataFrame, patches: DataFrame, allowed: Sequence[str] = ("open", "acknowledged", "dismissed")) -> DataFrame:
-    """Rows with the status of patches(id, status) where it is an allowed one."""
-    p = patches.filter(F.col("status").isin(*allowed)).select("id", F.col("status").alias("__new"))
+    """Rows with the status of patches(id, status) where it is an allowed one: the last of an id by the column `at` if there is one, of equal ones the greatest."""
+    last = F.max(F.struct(*(c for c in ("at",) if c in patches.columns), "status"))
+    p = patches.filter(F.col("status").isin(*allowed)).groupBy("id").agg(last.alias("p")).select("id", F.col("p.status").alias("__new"))
     return rows.join(p, "id", "left").withColumn("status", F.coalesce("__new", "status")).select(*rows.columns)
 
 

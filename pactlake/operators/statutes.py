@@ -50,7 +50,7 @@ def status_counts(found: DataFrame) -> DataFrame:
 def verify(found: DataFrame, annotations: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clauses and annotations after actions(clause_key, action, author, note, created_at) on clauses that are there: each is appended, the last sets the review."""
     known = actions.filter(F.col("action").isin(*REVIEWS)).join(found.select("clause_key"), "clause_key", "left_semi")
-    last = known.groupBy("clause_key").agg(F.max_by("action", "created_at").alias("action"))
+    last = known.groupBy("clause_key").agg(F.max_by("action", F.struct("created_at", "action")).alias("action"))
     after = found.join(last, "clause_key", "left").withColumn("review_status", F.coalesce(labels.mapped(F.col("action"), REVIEWS, "open"), "review_status") if "review_status" not in found.columns else F.when(F.col("action").isNull(), F.col("review_status")).otherwise(labels.mapped(F.col("action"), REVIEWS, "open")))
     added = known.select("clause_key", F.col("action").alias("kind"), "author", F.col("note").alias("body"), "created_at")
     return after.select(*dict.fromkeys([*found.columns, "review_status"])), annotations.unionByName(added.select(*annotations.columns))

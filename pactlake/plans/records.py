@@ -406,7 +406,7 @@ ORACLE = {
  SELECT o_orderkey, CASE WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'tomorrow' WHEN n = -1 THEN 'overdue by 1 day' WHEN n < 0 THEN 'overdue by ' || -n || ' days' ELSE 'in ' || n || ' days' END AS said, strftime(d, '%d %b %Y') AS shown,
    CASE WHEN n < 0 THEN 'overdue' WHEN n <= 7 THEN 'this_week' WHEN n <= 30 THEN 'next_30' WHEN n <= 60 THEN 'next_60' WHEN n <= 90 THEN 'in_90' ELSE 'later' END AS band, 'AB' AS initials, ['Governing law excludes this statute', 'other cause', NULL][(o_orderkey % 3 + 1)::INT] AS reason FROM o""",
     "law_names": "SELECT c_custkey, ['england', 'new york', 'france', NULL, 'ontario'][(c_custkey % 5 + 1)::INT] AS law, c_name AS party FROM customer",
-    "page_boxes": "SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS line, l_quantity::INT AS x, round(l_quantity::INT * 17 * 1000 / 2550)::INT AS grid, round_even(l_quantity::INT * 17 * 72 / 300.0, 2)::DOUBLE AS points FROM lineitem",
+    "page_boxes": "SELECT DISTINCT l_orderkey, l_linenumber::BIGINT AS line, l_quantity::INT AS x, (l_quantity::INT * 17 / 2550 * 1000)::DOUBLE AS grid, round_even(l_quantity::INT * 17 * 72 / 300.0, 2)::DOUBLE AS points FROM lineitem",
     "ocr_means": """WITH w AS (SELECT l_orderkey AS doc_id, ((l_linenumber - 1) // 3 + 1)::INT AS page, CASE WHEN l_returnflag <> 'N' THEN l_discount * 1000 END AS c FROM lineitem), m AS (SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN 'ocr' ELSE 'native' END AS source, CASE WHEN page % 2 = 0 THEN round_even(avg(c) / 100, 3) END AS ocr_mean FROM w GROUP BY 1, 2)
  SELECT *, CASE WHEN ocr_mean * 10 >= 0.85 THEN 'high' WHEN ocr_mean * 10 >= 0.7 THEN 'moderate' WHEN ocr_mean IS NOT NULL THEN 'low' END AS band FROM m""",
     "provenances": """SELECT id, q AS quality, o AS ocr_applied, CASE WHEN q = 'degraded' THEN 'degraded' ELSE 'ready' END AS status FROM (SELECT id, o, CASE WHEN id % 4 IN (1, 3) THEN 'text_only' WHEN o THEN 'degraded' ELSE 'exact' END AS q FROM (SELECT o_orderkey AS id, o_orderkey % 6 = 0 AS o FROM orders))""",

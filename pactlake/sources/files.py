@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
@@ -18,7 +20,8 @@ OFFICE = ("docx", "doc", "rtf", "odt")
 IMAGE = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "gif", "webp")
 ROUTES = {"pdf": ("pdf",), "office": OFFICE, "html": ("html", "htm"), "image": IMAGE}
 MAX_BYTES = 50 * 1024 * 1024
-MAGIC = (("25504446", "pdf"), ("89504E47", "png"), ("FFD8FF", "jpeg"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("504B0304", "ooxml"))
+MAGIC = (("25504446", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("49492A00", "tiff"), ("4D4D002A", "tiff"))
+ZIP, OOXML_FIRST = "504B0304", "[Content_Types].xml"
 CONTRACT = (
     "contract_id string, document_metadata struct<source_file:string,total_pages:int>, counterparties array<string>, assets array<string>, contract_family string, amends string, "
     "cuad_findings map<string,struct<answer:string,summary:string,evidence_status:string,extractions:array<struct<vlm_text:string,location:struct<page:int,bbox_1000:array<double>>,"
@@ -36,12 +39,26 @@ def route(path: Column) -> Column:
     return out
 
 
+def _valid_head(content: Column, n: int = 512) -> Column:
+    """The first n bytes as text, a code point that the cut parts left out; null if they aren't UTF-8."""
+    whole = F.octet_length(content) <= n
+    cuts = [F.try_validate_utf8(F.substring(content, 1, n - less).cast("string")) for less in range(4)]
+    return F.when(whole, cuts[0]).otherwise(F.coalesce(*cuts))
+
+
 def sniff(content: Column) -> Column:
-    """The kind of a file by its first 512 bytes: a known magic, or text if they are UTF-8 without NUL and over 95 % printable."""
-    head = F.substring(content, 1, 512)
-    hexed, said = F.hex(head), F.try_validate_utf8(head.cast("string"))  # null if it isn't UTF-8
-    printable = F.length(F.regexp_replace(said, r"[^\x09\x0A\x0D\x20-\x7E -￼]", ""))
-    out = F.when((F.octet_length(content) > 0) & ~said.contains("\x00") & (printable > 0.95 * F.length(said)), "text")
+    """The kind of a file by its first bytes: a known magic, a zip whose first entry tells of an office file, or text.
+
+    Text is UTF-8 without NUL and U+FFFD of which over 95 % is printable: code points counted against UTF-16 units. An empty file is text.
+    """
+    hexed, said = F.hex(F.substring(content, 1, 8)), _valid_head(content)
+    printable = F.length(F.regexp_replace(said, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    units = 2 * F.length(said) - F.length(F.regexp_replace(said, r"[\x{10000}-\x{10FFFF}]", ""))
+    plain = ~said.contains("\x00") & ~said.contains("\ufffd") & (printable > 0.95 * units)
+    out = F.when((F.octet_length(content) == 0) | plain, "text")
+    size = F.hex(F.substring(content, 27, 2)) == f"{len(OOXML_FIRST):02X}00"
+    first = F.substring(content, 31, len(OOXML_FIRST)) == F.lit(OOXML_FIRST.encode())
+    out = F.when(hexed.startswith(ZIP) & size & first, "ooxml").otherwise(out)
     for start, kind in reversed(MAGIC):
         out = F.when(hexed.startswith(start), kind).otherwise(out)
     return out
@@ -61,15 +78,24 @@ def _known(c: Column) -> Column:
 
 
 def contract_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Contracts of JSON files with doc_ord, by the order of the paths or of the files' names; an id that is missing is the source file's name, or the file's own. NA and blank values are null."""
-    raw = spark.read.schema(CONTRACT).option("multiLine", True).json([paths] if isinstance(paths, str) else list(paths))
-    name = F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    raw = raw.withColumn("file", name)
+    """Contracts of JSON files with doc_ord, by the order of the paths or of the files' names; an id that is missing is the source file's name, or the file's own. NA and blank values are null.
+
+    Files are told apart by their whole paths; a path that is named twice is read once.
+    """
+    local = lambda p: re.sub(r"^file:/+", "/", p) if re.match(r"\w+:", p) else os.path.abspath(p)
+    if not isinstance(paths, str):
+        first: dict[str, str] = {}
+        for p in paths:
+            first.setdefault(local(p), p)
+        paths = list(first.values())
+    raw = spark.read.schema(CONTRACT).option("multiLine", True).json(paths)
+    whole = F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    raw = raw.withColumns({"whole": whole, "file": F.regexp_extract(whole, r"([^/]+)$", 1)})
     if isinstance(paths, str):
-        raw = raw.orderBy("file").withColumn("doc_ord", F.monotonically_increasing_id())
+        raw = raw.orderBy("file", "whole").withColumn("doc_ord", F.monotonically_increasing_id())
     else:
-        place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (p.rstrip("/").rsplit("/", 1)[-1], k)))
-        raw = raw.withColumn("doc_ord", place[F.col("file")].cast("bigint"))
+        place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (local(p), k)))
+        raw = raw.withColumn("doc_ord", place[F.col("whole")].cast("bigint"))
     said = lambda c: F.nullif(c, F.lit(""))
     listed = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: _known(x).isNotNull()).alias(c)
     ids = F.coalesce(said(F.col("contract_id")), said(F.col("document_metadata.source_file")), F.regexp_replace("file", r"\.[^.]*$", ""))

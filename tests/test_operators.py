@@ -372,3 +372,44 @@ def test_scopes(spark):
     assert one(spark, clause_conflicts.explain_sum(F.col("a"), F.lit("units"), F.lit(2), F.col("b")), a=1200.0, b=0.5) == "Commitments of 1200 units in 2 clauses exceed the ceiling of 0.5."
     c = spark.createDataFrame([(1, [("a",), ("a",), (None,), ("b",)])], "clause_id int, scopes array<struct<canonical_id:string>>")
     assert sorted(r.asset_id for r in clause_conflicts.scoped(c).collect()) == ["a", "b"] and c.filter(clause_conflicts.covers(F.lit("b"), "scopes")).count() == 1
+
+
+def test_kinds_of_files(spark):
+    """Empty files, zips that aren't office files, cut magics, wide characters and code points that a cut parts."""
+    office = b"PK\x03\x04" + bytes(22) + (19).to_bytes(2, "little") + bytes(2) + b"[Content_Types].xml"
+    cases = [
+        (b"", "text"), (b"plain\n", "text"), (b"%PDF-1.7", "pdf"), (b"\x89PNG\r\n\x1a\n", "png"), (b"\x89PNG", None), (b"\xff\xd8\xff\xe0", "jpeg"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"),
+        (office, "ooxml"), (b"PK\x03\x04" + bytes(60), None), (b"a\x00b", None), (b"\xff\xfe", None), ("\ufffd".encode(), None), (b"\x01\x02\x03abc", None),
+        (("x" * 98 + "😀").encode(), "text"), ("😀😀 ok".encode(), None), (("x" * 511 + "é" * 9).encode(), "text"), (("x" * 510 + "😀" * 9).encode(), "text"), ("\x7f\x80ok".encode(), "text"),
+    ]
+    df = spark.createDataFrame([(i, bytearray(raw)) for i, (raw, _) in enumerate(cases)], "i int, content binary")
+    got = {r.i: r.k for r in df.select("i", files.sniff(F.col("content")).alias("k")).collect()}
+    assert [got[i] for i in range(len(cases))] == [k for _, k in cases]
+
+
+def test_contract_files_of_one_name(spark, tmp_path):
+    """Files of one base name in two folders, names with signs, and a path that is named twice."""
+    paths = []
+    for i, name in enumerate(["b/x.json", "a/x.json", "a/y + z é.json"]):
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(json.dumps({"contract_id": f"c{i}", "cuad_findings": {}}))
+        paths.append(str(at))
+    got = files.contract_files(spark, [*paths, paths[0], f"file://{paths[1]}"]).orderBy("doc_ord").collect()
+    assert [(r.contract_id, r.doc_ord) for r in got] == [("c0", 0), ("c1", 1), ("c2", 2)]
+    assert [r.contract_id for r in files.contract_files(spark, str(tmp_path / "a")).orderBy("doc_ord").collect()] == ["c1", "c2"]
+
+
+def test_grid_keeps_fractions(spark):
+    assert one(spark, text.to_grid(F.col("x"), F.col("w")), x=1, w=3) == pytest.approx(1000 / 3)
+
+
+def test_last_edit_holds(spark):
+    fields = spark.createDataFrame([(1, 7, "old", "verbatim", None, "c"), (2, 7, "kept", "verbatim", None, "c")], "id int, document_id int, value_verbatim string, confidence_tier string, absence_reason string, clause_label string")
+    edits = spark.createDataFrame([(1, 7, "a", True, "first", False, None, "p", 1), (1, 7, "a", True, "second", False, None, "q", 2), (1, 8, "a", True, "other", False, None, "r", 3)], "id int, document_id int, state string, has_value boolean, value string, has_clause boolean, clause_label string, edited_by string, at int")
+    got = {r.id: r for r in records.edit_fields(fields, edits, "2024-01-01").collect()}
+    assert len(got) == 2 and (got[1].value_verbatim, got[1].edited_by) == ("second", "q") and not got[2].human_edited
+    assert records.edit_fields(fields, edits.drop("at"), "2024-01-01").count() == 2
+    rows = spark.createDataFrame([(1, "open"), (2, "open")], "id int, status string")
+    patches = spark.createDataFrame([(1, "dismissed", 1), (1, "acknowledged", 2), (2, "nonsense", 3)], "id int, status string, at int")
+    assert {(r.id, r.status) for r in records.update_status(rows, patches).collect()} == {(1, "acknowledged"), (2, "open")}

@@ -198,7 +198,7 @@ def test_conflict_rows_and_briefs(spark, tmp_path):
     assert sorted(x.conflict_type for x in handoffs.replace_conflicts(old, rows).collect()) == [c.conflict_type, "m"]
     made = spark.createDataFrame([(1, "exclusivity_breach", "S.", [1, 2], [20, 10]), (2, "other", "T.", [1], [10]), (3, "other", "U.", [1, 2], [10, 20])], "id bigint, conflict_type string, summary string, document_ids array<bigint>, field_ids array<bigint>")
     said = {x.id: x.question for x in handoffs.brief_of(made, f, d).collect()}
-    assert said[1].startswith("A clause of b.pdf grants exclusive rights") and "Clause 3 of a.pdf" in said[1] and said[2] == "T. Which of the cited clauses governs?" and said[3].endswith('a clause of b.pdf states "sole rights". Which governs?')
+    assert said[1].startswith("Two agreements promise exclusivity in one territory: b.pdf in A clause, a.pdf in Clause 3.") and said[2] == "T. Whose terms hold?" and said[3].endswith('b.pdf (a clause) says "sole rights". Whose terms hold?')
 
 
 def test_markdown_without_conflicts(loaded):

@@ -2,12 +2,14 @@
 
     python -m pactlake.cli analyze WORDS.json --answers ANSWERS.json [--output FILE] [--threshold N]
     python -m pactlake.cli conflicts FILE FILE... [--output FILE] [--markdown FILE]
-    python -m pactlake.cli worker EVENTS_DIR --checkpoint DIR [--once]
+    python -m pactlake.cli worker EVENTS_DIR --checkpoint DIR --store DIR --uploads DIR --words DIR --answers DIR [--once] [--threshold N]
     python -m pactlake.cli query NAME SF_DIR [--rows N]
     python -m pactlake.cli list
 
 `analyze` takes a document's words, a JSON array of objects (page, word_ord, text, x_min, y_min, x_max, y_max,
-width_px, height_px), and recorded answers of a model, an array of objects (page, body).
+width_px, height_px), and recorded answers of a model, an array of objects (page, body). `worker` takes job events as Parquet
+(see `streaming.worker.EVENT`) and folders of JSON lines: uploads(document_id, filename), words and answers as above, with
+document_id, and for words `source` (native or ocr). It keeps the portfolio in the store; without --once it stays.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 from pactlake.operators import analysis, cross_contract, findings, grounding, sinks
 from pactlake.plans import catalogue
-from pactlake.session import ensure_checkpoint_dir, local_session
+from pactlake.session import ensure_checkpoint_dir, local_session, ship
 from pactlake.sources import files
-from pactlake.streaming import jobs
+from pactlake.streaming.worker import EVENT, Worker
+from pactlake.versions import Store
 
 WORDS = "page int, word_ord int, text string, x_min double, y_min double, x_max double, y_max double, width_px int, height_px int"
 
@@ -44,7 +47,10 @@ def _parser() -> argparse.ArgumentParser:
     w = sub.add_parser("worker", help="handle queued jobs as their events arrive")
     w.add_argument("events")
     w.add_argument("--checkpoint", required=True)
+    for folder in ("store", "uploads", "words", "answers"):
+        w.add_argument(f"--{folder}", required=True)
     w.add_argument("--once", action="store_true")
+    w.add_argument("--threshold", type=float, default=grounding.THRESHOLD)
     q = sub.add_parser("query", help="show a query's rows")
     q.add_argument("name")
     q.add_argument("folder")
@@ -68,9 +74,7 @@ def analyze(spark: SparkSession, words: str, answers: str, output: str, threshol
     read = lambda path, schema: spark.read.schema(schema).option("multiLine", True).json(path).withColumn("contract_id", F.lit(name))
     w = read(words, WORDS)
     dim = findings.dimension(spark)
-    said = files.recorded_answers(read(answers, "page int, body string").withColumnRenamed("contract_id", "doc_id"), dim)
-    nth = F.row_number().over(cross_contract.Window.partitionBy("doc_id", "category").orderBy("page", "ord")) - 1
-    said = said.withColumn("nth", nth).select(F.col("doc_id").alias("contract_id"), "category", F.col("nth").alias("ord"), "page", "text", "clause")
+    said = analysis.said_by(read(answers, "page int, body string"), dim)
     about = w.groupBy("contract_id").agg(F.count_distinct("page").cast("int").alias("total_pages")).withColumn("source_file", F.lit(os.path.basename(words)))
     found, extractions = analysis.analyze(about.select("contract_id"), w, said, dim, threshold)
     rows = analysis.documents(found, extractions, about).toJSON().take(1)  # one document
@@ -106,12 +110,22 @@ def conflicts(spark: SparkSession, inputs: list[str], output: str | None, markdo
     return 0
 
 
-def worker(spark: SparkSession, events: str, checkpoint: str, once: bool) -> int:
-    def handle(batch: DataFrame) -> None:
-        batch.select("job_id", "attempts").show(50)
-
-    stream = spark.readStream.schema(jobs.EVENT).parquet(events)
-    jobs.run_batches(stream, handle, checkpoint, once).awaitTermination()
+def worker(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Handles the events that are there, or those that come until it is stopped; the files are listed anew for each batch."""
+    if _missing(a.events, a.uploads, a.words, a.answers):
+        return 1
+    ship(spark)
+
+    def inputs() -> tuple[DataFrame, DataFrame, DataFrame]:
+        read = lambda folder, schema: spark.read.schema(f"document_id bigint, {schema}").json(folder)
+        return read(a.uploads, "filename string"), read(a.words, f"{WORDS}, source string"), read(a.answers, "page int, body string")
+
+    held = Worker(Store(spark, os.path.abspath(a.store)), inputs, lambda *rows: analysis.rows_of(*rows, threshold=a.threshold))
+    held.run(spark.readStream.schema(EVENT).parquet(a.events), a.checkpoint, a.once).awaitTermination()
+    now = held.store.current()
+    if "documents" in now.tables():
+        for r in now.read("documents").groupBy("status").count().orderBy("status").collect():  # a row for each status
+            print(f"{r['status']}: {r['count']}")
     return 0
 
 
@@ -126,7 +140,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.what == "conflicts":
         return conflicts(spark, a.inputs, a.output, a.markdown)
     if a.what == "worker":
-        return worker(spark, a.events, a.checkpoint, a.once)
+        return worker(spark, a)
     found = catalogue.queries().get(a.name)
     if found is None:
         print(f"no query {a.name}", file=sys.stderr)

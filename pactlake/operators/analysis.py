@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.operators import findings, geometry, grounding, records
+from pactlake.session import saved
 from pactlake.sources import files
 
 GRID = 1000
@@ -72,10 +73,11 @@ def rows_of(uploads: DataFrame, words: DataFrame, bodies: DataFrame, threshold:
     own = words.join(uploads.select(key), key, "left_semi")
     w = own.withColumnRenamed(key, "contract_id")
     said = said_by(bodies.join(uploads.select(key), key, "left_semi").withColumnRenamed(key, "contract_id"), dim)
-    found, extractions = analyze(uploads.select(F.col(key).alias("contract_id")), w, said, dim, threshold)
+    extractions = saved(findings.assembled(said, located(w, said, threshold)), "extractions")
+    found = saved(findings.findings(uploads.select(F.col(key).alias("contract_id")), extractions, dim), "found")
 
     folded = geometry.fold_lines(own.select(F.col(key).cast("string").alias("doc_id"), "page", "text", "x_min", "y_min", "x_max", "y_max"))
-    lines = geometry.line_offsets(folded)
+    lines = saved(geometry.line_offsets(folded), "lines")
     whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("body"))
     pages = own.groupBy(key).agg(F.count_distinct("page").cast("int").alias("page_count"), F.bool_or(F.col("source") == "ocr").alias("any_ocr"))
 

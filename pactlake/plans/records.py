@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pactlake.functions import labels, text
 from pactlake.operators import analysis, clause_conflicts, cross_contract, findings, geometry, handoffs, records, retrieval, sinks, statutes
 from pactlake.operators import portfolio as pf
 from pactlake.plans.clauses import table
-from pactlake.session import ensure_checkpoint_dir
+from pactlake.session import ensure_checkpoint_dir, shared_dir
 from pactlake.sources import files
 from pactlake.streaming import jobs as queue
+from pactlake.versions import Change, Store
 
 AS_OF = "1996-06-30"
 KEYS = ("parties", "expiration_date", "governing_law", "renewal_term", "notice_period_to_terminate_renewal", "exclusivity", "insurance")
@@ -299,7 +301,7 @@ def clause_scopes(spark, sf_dir):
 
 
 def job_states(spark, sf_dir):
-    """Events as a stream of job events would tell them: the latest state of each job, stalled ones reaped, queued ones claimed."""
+    """Events as a stream of job events would tell them: the latest state of each job, stalled ones reaped."""
     kinds = F.create_map(*(F.lit(x) for kv in {"click": "running", "view": "queued", "purchase": "done"}.items() for x in kv))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.coalesce(kinds[F.col("event_type")], F.lit("failed")).alias("status"), (F.col("event_id") % 5).cast("int").alias("attempts"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("error"))
     return queue.reap(queue.latest_state(e), "2024-01-31 12:00:00").select("job_id", "status", "attempts")
@@ -333,6 +335,20 @@ def written_documents(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("document_id").cast("int").alias("document_id"), "n")
 
 
+def versioned_documents(spark, sf_dir):
+    """Orders of each customer and an audit, which change together: customers of one segment are reviewed by a batch that is handed over twice."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 8)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), "o_orderkey", F.lit("new").alias("state"))
+    ids = o.select("document_id").distinct()
+    store.update(lambda now: Change(ids, {"orders": o}, {"audit": ids.withColumn("what", F.lit("made"))}))
+    some = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("document_id")).join(ids, "document_id", "left_semi")
+    review = lambda now: Change(some, {"orders": now.of("orders", some).withColumn("state", F.lit("reviewed"))}, {"audit": some.withColumn("what", F.lit("reviewed"))})
+    for _ in range(2):
+        now = store.update(review, batch=("reviews", 0))
+    n = now.read("orders").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_orders"), F.count_if(F.col("state") == "reviewed").alias("n_reviewed"))
+    return n.join(now.read("audit").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_changes")), "document_id")
+
+
 def folded_boxes(spark, sf_dir):
     """Lines folded from the words of documents, with their boxes."""
     from pactlake.plans import textual
@@ -343,7 +359,7 @@ def folded_boxes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     field_rows, field_reasons, citation_pages, record_integrity, record_list, record_detail, record_edits, record_calendar, upcoming_events, event_patches, event_dtos, upload_outcomes, display_words, law_names, page_boxes,
     ocr_means, provenances, party_choice, analyze_findings, finding_matrix, finding_fields, document_classes, statute_list, statute_review, statute_applicable, retrieval_fields, retrieval_party, record_conflicts, record_briefs,
-    clause_scopes, job_states, failed_documents, isolated_jobs, written_documents, folded_boxes,
+    clause_scopes, job_states, failed_documents, isolated_jobs, written_documents, versioned_documents, folded_boxes,
 )}
 
 _D = """d AS (SELECT o_orderkey AS id, o_custkey AS u, 'order-' || o_orderkey || '.pdf' AS filename, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'degraded' ELSE 'processing' END AS status,
@@ -446,6 +462,8 @@ ORACLE = {
  SELECT job_id, CASE WHEN status = 'running' AND ts < TIMESTAMP '2024-01-31 11:45:00' THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END AS status, attempts FROM s""",
     "failed_documents": f"""WITH {_D}, x AS (SELECT *, status = 'processing' AND id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS gone FROM d) SELECT id, CASE WHEN gone THEN 'failed' ELSE status END AS status, CASE WHEN gone THEN 'Processing stalled and exceeded retries' END AS error FROM x""",
     "isolated_jobs": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS done, CASE WHEN c_acctbal < 0 THEN 'balance of ' || c_custkey END AS error FROM customer",
+    "versioned_documents": """SELECT o_custkey AS document_id, count(*) AS n_orders, count(*) FILTER (c_mktsegment = 'BUILDING') AS n_reviewed, max(CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END)::BIGINT AS n_changes
+ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "written_documents": "SELECT c_nationkey AS document_id, count(*) * CASE WHEN c_nationkey < 5 THEN 10 ELSE 1 END AS n FROM customer GROUP BY 1",
     "folded_boxes": f"""WITH {_LI}, w AS (SELECT doc_id, page, line, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM l), g AS (SELECT * FROM w WHERE len(w) > 0)
  SELECT doc_id, page::BIGINT AS page, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) AS line, 0::BIGINT AS x_min, (line * 50)::BIGINT AS y_min, ((len(w) - 1) * 100 + 90)::BIGINT AS x_max, (line * 50 + 30 + least(len(w) - 1, 2))::BIGINT AS y_max FROM g WHERE trim(array_to_string(w, ' ')) <> ''""",

@@ -1,25 +1,15 @@
-"""Clusters of party names: greedy in order, but only within names that could meet."""
+"""Clusters of party names: what going through the mentions in order gives, computed in rounds."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import text
 from pactlake.functions.text import ROLE_WORDS
-
-_ROLES = frozenset(ROLE_WORDS)
-
-
-def matches(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    x, y = set(a.split()), set(b.split())
-    both = x & y
-    return bool(both - _ROLES) and len(both) >= min(len(x), len(y))
+from pactlake.session import dropped, saved
 
 
 def _worded(names: DataFrame) -> DataFrame:
@@ -60,54 +50,86 @@ def matching_names(names: DataFrame) -> DataFrame:
     return same.unionByName(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
 
 
-def _components(names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """name and the least name that it is linked with; rounds go on until none finds a lesser one.
+def _stairs(rows: DataFrame) -> DataFrame:
+    """Of rows(name, piece, t, label, fresh) those whose label is less than all labels that their name had before.
+
+    Rows of one piece of a name are sorted together, pieces only by their least labels.
+    """
+    one = rows.groupBy("name", "piece", "t").agg(F.min(F.struct("label", "fresh")).alias("x")).select("name", "piece", "t", "x.*")
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = one.groupBy("name", "piece").agg(F.min("label").alias("least"))
+    pieces = pieces.withColumn("earlier", F.min("least").over(before("name").orderBy("piece"))).drop("least")
+    told = one.withColumn("here", F.min("label").over(before("name", "piece").orderBy("t"))).join(pieces, ["name", "piece"])
+    return told.filter("(here is null or label < here) and (earlier is null or label < earlier)").drop("here", "earlier")
+
 
-    Each name takes the least root of its neighbours, and then the root of that root, so long chains halve.
+def _next_mentions(asked: DataFrame, mentions: DataFrame, held: DataFrame) -> DataFrame:
+    """name, piece, t and label of asked(name, label, since): t is the name's first mention after since; none, no row.
+
+    held: the first and the last mention, lo and hi, of each piece of a name. Pieces that begin after since answer
+    by lo; in others rows asked and mentions are sorted together, a piece at a time.
+    """
+    at = asked.join(held, "name").filter("hi > since").groupBy("name", "label", "since").agg(F.min(F.struct("piece", "lo")).alias("p")).select("name", "label", "since", "p.*")
+    ready = at.filter("lo > since").select("name", "piece", F.col("lo").alias("t"), "label")
+    inside = at.filter("lo <= since").select("name", "piece", F.col("since").alias("t"), "label")
+    touched = mentions.join(inside.select("name", "piece").distinct(), ["name", "piece"], "left_semi")
+    rows = inside.unionByName(touched.withColumn("mention", F.col("t")), allowMissingColumns=True)
+    later = Window.partitionBy("name", "piece").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("next", F.min("mention").over(later)).filter("mention is null")
+    return ready.unionByName(found.select("name", "piece", F.col("next").alias("t"), "label"))
+
+
+def _openers(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """name, t and label, a row each time the name comes into an earlier cluster: from mention t on in that which mention label opened.
+
+    mentions(name, t): t orders them and is of one mention alone; pairs(a, b): names that match. A mention is in the
+    earliest cluster that a mention of it or of a matching name before it is in, so its label is the least mention that
+    matches reach going back in time. In a round labels go to the next mention of each matching name, and each
+    label gives way to that of the mention which it names, so chains halve. Mentions lie in pieces by name and time, and
+    no task holds more of a name than a piece.
     """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    now = names.select("name", F.col("name").alias("root")).checkpoint()
+    spark = mentions.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mentions = saved(mentions.repartitionByRange(parts, "name", "t").withColumn("piece", F.spark_partition_id()), "mentions")
+    held = saved(mentions.groupBy("name", "piece").agg(F.min("t").alias("lo"), F.max("t").alias("hi")), "pieces")
+    both = saved(pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("name"), F.col("a").alias("other"))), "both")
+    opened = held.groupBy("name").agg(F.min(F.struct("piece", "lo")).alias("p"))
+    state = saved(opened.select("name", "p.piece", F.col("p.lo").alias("t"), F.col("p.lo").alias("label"), F.lit(True).alias("fresh")), "steps")
     while True:
-        near = both.join(now, F.col("b") == F.col("name")).groupBy(F.col("a").alias("name")).agg(F.min("root").alias("near"))
-        least = now.join(near, "name", "left").select("name", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        up = now.select(F.col("name").alias("root"), F.col("root").alias("up"))
-        after = least.join(up, "root", "left").select("name", "was", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        if not after.filter("root < was").limit(1).count():
-            return after.select("name", "root")
-        now = after.select("name", "root")
+        first = state.groupBy("name").agg(F.min_by("label", "t").alias("own"))
+        told = state.filter("fresh").join(both, "name").groupBy(F.col("other").alias("name"), "label").agg(F.min("t").alias("since"))
+        asked = told.join(first, "name").filter("label < own").select("name", "label", "since")
+        of = state.select(F.col("t").alias("label"), F.col("label").alias("less")).filter("less < label")
+        jumped = state.join(of, "label").select("name", "piece", "t", F.col("less").alias("label"))
+        found = _next_mentions(asked, mentions, held).unionByName(jumped).withColumn("fresh", F.lit(True))
+        after = saved(_stairs(state.withColumn("fresh", F.lit(False)).unionByName(found)), "steps")
+        dropped(state)
+        state = after
+        if state.filter("fresh").isEmpty():
+            dropped(mentions, held, both)
+            return state.select("name", "t", "label")
 
 
 def entity_clusters(mentions: DataFrame) -> DataFrame:
     """mentions(contract_id, ord, raw[, doc_ord]) to cluster, aliases, contracts (both sorted), n_aliases and n_contracts.
 
-    In order of (doc_ord or contract_id, ord) a name joins the first cluster that has a matching alias, or opens one
-    under its own name. Names of different components of the match graph never meet, so each component is folded by itself.
+    In order of (doc_ord or contract_id, ord) each mention joins the first cluster that has a matching alias, or opens
+    one under its name; a name that is mentioned again may so stand in an earlier cluster too. Names that match no other
+    are clusters by themselves; see `_openers` for the rest. Nulls and names of which nothing is left are no mentions.
     """
     norm = mentions.withColumn("name", text.normalize_entity(F.col("raw"))).filter("name <> ''")
-    firsts = norm.groupBy("name").agg(F.min(F.struct(F.col("doc_ord" if "doc_ord" in mentions.columns else "contract_id").alias("c"), F.col("ord").alias("o"))).alias("first"))
-    firsts = firsts.checkpoint()
-    names = firsts.select("name")
-    pairs = name_pairs(names).checkpoint()
+    when = F.struct(F.col("doc_ord" if "doc_ord" in mentions.columns else "contract_id").alias("c"), F.col("ord").alias("o"), "name")
+    norm = saved(norm.select("contract_id", "name", F.trim("raw").alias("alias"), when.alias("t")), "named")
+    pairs = saved(name_pairs(norm.select("name").distinct()), "pairs")
     linked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    roots = _components(linked, pairs)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[tuple[str, list[str]]] = []
-        rows = []
-        for name in frame.sort_values(["c", "o"]).name:
-            for lead, aliases in clusters:
-                if any(matches(name, x) for x in aliases):
-                    aliases.append(name)
-                    rows.append((name, lead))
-                    break
-            else:
-                clusters.append((name, [name]))
-                rows.append((name, name))
-        return pd.DataFrame(rows, columns=["name", "cluster"])
-
-    placed = firsts.join(roots, "name").select("name", "root", "first.c", "first.o").groupBy("root").applyInPandas(fold, "name string, cluster string")
-    alone = names.join(linked, "name", "left_anti").select("name", F.col("name").alias("cluster"))
-    every = norm.join(placed.unionByName(alone), "name").groupBy("cluster").agg(F.array_sort(F.collect_set(F.trim("raw"))).alias("aliases"), F.array_sort(F.collect_set("contract_id")).alias("contracts"))
+    alone = norm.join(linked, "name", "left_anti").select(F.col("name").alias("cluster"), "alias", "contract_id")
+    if not pairs.isEmpty():
+        steps = saved(_openers(norm.join(linked, "name", "left_semi").select("name", "t").distinct(), pairs), "openers")
+        until = F.lead("t").over(Window.partitionBy("name").orderBy("t"))
+        spans = steps.select("name", F.col("t").alias("since"), F.col("label.name").alias("cluster"), until.alias("until"))
+        placed = norm.join(spans, "name").filter("t >= since and (until is null or t < until)")
+        alone = alone.unionByName(placed.select("cluster", "alias", "contract_id"))
+    every = alone.groupBy("cluster").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.array_sort(F.collect_set("contract_id")).alias("contracts"))
     return every.withColumns({"n_aliases": F.size("aliases").cast("bigint"), "n_contracts": F.size("contracts").cast("bigint")})
 
 

@@ -198,7 +198,7 @@ def statute_applicability(spark, sf_dir):
 
 
 def entity_clusters(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
+    """Parts as mentions of a party by five words and, for each third one, by the first word too, which many share."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contract_id"), F.lit(0).alias("ord"), F.col("p_name").alias("raw"))
     short = p.filter("contract_id % 3 = 0").select("contract_id", F.lit(1).alias("ord"), F.element_at(F.split("raw", " "), 1).alias("raw"))
     return entities.entity_clusters(p.unionByName(short)).select("cluster", "n_aliases", "n_contracts")
@@ -223,6 +223,13 @@ ORACLE = {
     "normalize_entity": "SELECT p_partkey, lower(p_name) AS name, 'the ' || lower(p_name) || ' holdings buyer' AS invoice_name FROM part",
     "entity_pairs": """WITH n AS (SELECT DISTINCT lower(p_name) AS x FROM part), a AS (SELECT x FROM n UNION SELECT string_split(x, ' ')[1] FROM n), t AS (SELECT x, list_distinct(string_split(x, ' ')) AS w FROM a)
  SELECT a.x AS a, b.x AS b FROM t a JOIN t b ON a.x < b.x WHERE len(list_intersect(a.w, b.w)) >= greatest(1, least(len(a.w), len(b.w)))""",
+    "entity_clusters": """WITH RECURSIVE p AS (SELECT p_partkey AS id, 0 AS o, p_name AS raw FROM part UNION ALL SELECT p_partkey, 1, string_split(p_name, ' ')[1] FROM part WHERE p_partkey % 3 = 0),
+ m AS MATERIALIZED (SELECT *, lower(raw) AS name, row_number() OVER (ORDER BY id, o) AS k FROM p), n AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) AS w FROM m),
+ same AS (SELECT x.name AS x, y.name AS y FROM n x JOIN n y ON x.name = y.name OR len(list_intersect(x.w, y.w)) >= greatest(1, least(len(x.w), len(y.w)))),
+ e AS MATERIALIZED (SELECT b.k, list(a.k) FILTER (a.k < b.k) AS earlier FROM m b JOIN same ON x = b.name JOIN m a ON a.name = y GROUP BY b.k),
+ r(k, openers) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT e.k, list_append(openers, coalesce(list_min([openers[j] for j in earlier]), e.k)) FROM r JOIN e ON e.k = r.k + 1),
+ z AS (SELECT unnest(openers) AS opener, unnest(range(1, len(openers) + 1)) AS k FROM (SELECT openers FROM r ORDER BY k DESC LIMIT 1))
+ SELECT c.name AS cluster, count(DISTINCT trim(m.raw)) AS n_aliases, count(DISTINCT m.id) AS n_contracts FROM z JOIN m USING (k) JOIN m c ON c.k = z.opener GROUP BY 1""",
     "clean_tokens": f"SELECT token, count(*) AS n FROM (SELECT {_TOKEN} AS token FROM (SELECT unnest(regexp_split_to_array(text, {_WS})) AS w FROM documents)) WHERE token <> '' GROUP BY 1",
     "evidence_mass": f"""WITH c AS (SELECT doc_id, {_TOKEN} AS token, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(text, {_WS})) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2),
  n AS (SELECT doc_id, sum(c)::BIGINT AS n FROM c GROUP BY 1)

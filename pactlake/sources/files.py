@@ -96,6 +96,11 @@ def contract_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     else:
         place = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (local(p), k)))
         raw = raw.withColumn("doc_ord", place[F.col("whole")].cast("bigint"))
+    return named_contracts(raw)
+
+
+def named_contracts(raw: DataFrame) -> DataFrame:
+    """Contracts as they are read, with the file's name in file and their place in doc_ord: ids filled in, NA and blank values null."""
     said = lambda c: F.nullif(c, F.lit(""))
     listed = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: _known(x).isNotNull()).alias(c)
     ids = F.coalesce(said(F.col("contract_id")), said(F.col("document_metadata.source_file")), F.regexp_replace("file", r"\.[^.]*$", ""))

@@ -1,0 +1,56 @@
+"""The format `contracts` and the table function `text_words`."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from pactlake.sources import contracts, files
+
+GOOD = {"contract_id": "", "counterparties": ["Acme", "NA"], "amends": " ", "extra": 1, "document_metadata": {"source_file": "", "total_pages": 2},
+        "cuad_findings": {"insurance": {"answer": "present", "extractions": [{"vlm_text": "x", "location": {"page": 1, "bbox_1000": [0, 0, 1, 1]}, "source": {"page": 1}}]}}}
+
+
+@pytest.fixture
+def folder(tmp_path):
+    for name, body in {"a/x.json": GOOD, "b/x.json": GOOD | {"contract_id": "X"}, "b/deep/cut.json": '{"contract_id": ', "b/list.json": "[1]", "b/kind.json": GOOD | {"counterparties": 5}, "b/bytes.json": b"\xff\xfe{", "b/empty.json": b"", "b/other.txt": "no"}.items():
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(body if isinstance(body, bytes) else (body if isinstance(body, str) else json.dumps(body)).encode())
+    return str(tmp_path)
+
+
+def test_rows_and_bad_files(spark, folder):
+    rows = contracts.read_contracts(spark, folder).orderBy("doc_ord").collect()
+    assert [(r.doc_ord, r.path.removeprefix(folder), r.error is None) for r in rows] == [
+        (0, "/b/bytes.json", False), (1, "/b/deep/cut.json", False), (2, "/b/empty.json", False), (3, "/b/kind.json", False), (4, "/b/list.json", False), (5, "/a/x.json", True), (6, "/b/x.json", True)]
+    assert rows[5].cuad_findings["insurance"].extractions[0].location.bbox_1000 == [0.0, 0.0, 1.0, 1.0] and rows[4].error == "ValueError: not a JSON object"
+    with pytest.raises(Exception, match="FileNotFound"):
+        contracts.read_contracts(spark, folder + "/none").collect()
+
+
+def test_pruning(spark, folder):
+    """A filter on the path leaves files out before they are opened and keeps their places; others go to Spark."""
+    every = contracts.read_contracts(spark, folder)
+    some = every.filter(F.col("path").startswith(folder + "/b/") & F.col("path").endswith("x.json") & (F.col("contract_id") == "X"))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "StartsWith" not in plan.split("BatchScan")[0]
+    assert [(r.doc_ord, r.contract_id) for r in some.collect()] == [(6, "X")]
+    reader = contracts.ContractReader(every.schema, {"path": "file://" + folder, "partbytes": "100000"})
+    assert list(reader.pushFilters([contracts.StringEndsWith(("path",), "x.json"), contracts.EqualTo(("contract_id",), "X")])) == [contracts.EqualTo(("contract_id",), "X")]
+    assert [[k for k, _, _ in p.files] for p in reader.partitions()] == [[5], [6]]
+    assert every.filter(F.col("path").isin(folder + "/a/x.json", "none")).count() == 1 and every.filter("path = 'none'").count() == 0
+
+
+def test_as_contract_files(spark, folder):
+    """What both readers take for contracts is the same."""
+    good = contracts.read_contracts(spark, folder).filter("error is null").withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    new, old = files.named_contracts(good), files.contract_files(spark, [f"{folder}/a/x.json", f"{folder}/b/x.json"])
+    assert new.drop("doc_ord").orderBy("contract_id").collect() == old.drop("doc_ord").orderBy("contract_id").collect()
+
+
+def test_words(spark):
+    contracts.register(spark)
+    spark.createDataFrame([(1, "Ant  bee\n\ncat\x85d é"), (2, None), (3, " ")], "id int, text string").createOrReplaceTempView("texts_of_words")
+    got = [tuple(r) for r in spark.sql("SELECT id, w.* FROM texts_of_words, LATERAL text_words(text) w ORDER BY id, word_ord").collect()]
+    assert got == [(1, 0, 1, "Ant", 0, 3), (1, 1, 1, "bee", 5, 8), (1, 2, 3, "cat\x85d", 10, 15), (1, 3, 3, "é", 16, 17)]

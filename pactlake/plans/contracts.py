@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlake.operators import cross_contract as cc
 from pactlake.plans.clauses import table
-from pactlake.session import ensure_checkpoint_dir
+from pactlake.session import ensure_checkpoint_dir, shared_dir
+from pactlake.sources import contracts, files
 
 KINDS = (
     "exclusivity", "most_favored_nation", "price_restrictions", "license_grant", "ip_ownership_assignment", "cap_on_liability", "uncapped_liability",
@@ -82,7 +85,35 @@ def obligations(spark, sf_dir):
     return cc.obligation_registry(findings, _facts(spark, sf_dir)).select("contract_id", "category", "summary", F.col("evidence.quote").alias("quote"), F.col("evidence.page").alias("page"))
 
 
-QUERIES = {f.__name__: f for f in (contract_facts, pair_checks_all, conflict_merge, conflict_report, entity_registry, contract_edges, obligations)}
+def contract_source(spark, sf_dir):
+    """A JSON file for each supplier, written to the shared folder and read as contracts: every seventh is cut short, every fifth names no id.
+
+    A supplier's findings are the categories of the parts that it ships, as in `portfolio`.
+    """
+    supplier, li = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
+    k = F.col("s_suppkey")
+    category = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % 13 + 1).cast("int"))
+    said = li.groupBy("l_suppkey", category.alias("category")).agg(F.min("l_partkey").cast("string").alias("p"))
+    quote = F.array(F.struct(F.struct(F.col("p").alias("exact_supporting_text")).alias("source")))
+    found = said.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct(F.lit("present").alias("answer"), quote.alias("extractions"))))).alias("cuad_findings"))
+    about = F.struct(F.concat(F.lit("supplier-"), k.cast("string"), F.lit(".pdf")).alias("source_file"))
+    whole = F.to_json(F.struct(F.when(k % 5 != 0, F.concat(F.lit("S"), k.cast("string"))).alias("contract_id"), about.alias("document_metadata"), F.array("s_name").alias("counterparties"), "cuad_findings"))
+    body = F.when(k % 7 == 0, F.expr("left(body, length(body) - 1)")).otherwise(F.col("body"))
+    at = f"{shared_dir(spark)}/contracts-{uuid.uuid4().hex}"
+    named = supplier.join(found, F.col("l_suppkey") == k, "left").select("s_suppkey", whole.alias("body")).withColumn("body", body)
+    named.repartition("s_suppkey").write.partitionBy("s_suppkey").text(at)
+
+    contracts.register(spark)
+    raw = spark.read.format("contracts").option("pathGlobFilter", "*.txt").load(at if ":" in at else f"file://{at}")
+    of = raw.select("doc_ord", F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("bigint").alias("s_suppkey"), F.col("error").isNotNull().alias("failed"))
+    docs, findings, extractions = files.contract_tables(files.named_contracts(raw.filter("error is null").withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))))
+    n = findings.filter("answer = 'present'").groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_findings"))
+    least = extractions.groupBy("contract_id").agg(F.min(F.col("supporting_text").cast("bigint")).alias("least_part"))
+    told = docs.select("doc_ord", "contract_id", F.get("counterparties", F.lit(0)).alias("party")).join(n, "contract_id", "left").join(least, "contract_id", "left")
+    return of.join(told, "doc_ord", "left").select("s_suppkey", "contract_id", "party", "n_findings", "least_part", "failed")
+
+
+QUERIES = {f.__name__: f for f in (contract_facts, pair_checks_all, conflict_merge, conflict_report, entity_registry, contract_edges, obligations, contract_source)}
 
 # Written from the survey's table of checks, over numbers instead of texts: nothing here is taken from the operators.
 _NAMES = "['exclusivity', 'most_favored_nation', 'price_restrictions', 'license_grant', 'ip_ownership_assignment', 'cap_on_liability', 'uncapped_liability', 'anti_assignment', 'change_of_control', 'non_compete', 'minimum_commitment', 'termination_for_convenience', 'renewal_term']"
@@ -136,6 +167,9 @@ ORACLE = {
     "conflict_report": f"""WITH {_PAIRS}, {_MERGED}, n AS (SELECT *, row_number() OVER (ORDER BY list_position(['Critical', 'Significant', 'Administrative'], severity), list_position(['High', 'Medium', 'Low'], confidence), a, b, ord) AS n FROM m)
  SELECT 'C-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS conflict_id, a, b, type, severity, confidence FROM n""",
     "entity_registry": "SELECT 'customer ' || right(c_name, 9) AS entity_id, c_name AS aliases, count(*) AS n_contracts, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_name",
+    "contract_source": """WITH f AS (SELECT l_suppkey AS k, l_partkey % 13 AS c, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), g AS (SELECT k, count(*) AS n, min(p) AS p FROM f GROUP BY 1)
+ SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 'supplier-' || s_suppkey || '.pdf' ELSE 'S' || s_suppkey END AS contract_id, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS party,
+  CASE WHEN s_suppkey % 7 <> 0 THEN n END AS n_findings, CASE WHEN s_suppkey % 7 <> 0 THEN p END AS least_part, s_suppkey % 7 = 0 AS failed FROM supplier LEFT JOIN g ON k = s_suppkey""",
     "contract_edges": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderdate::DATE AS s, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE + 365 END AS e FROM orders)
  SELECT k AS source, k - 1 AS target, 'amends' AS kind, false AS inferred FROM o WHERE k % 5 = 0 AND k - 1 IN (SELECT k FROM o)
  UNION ALL SELECT a.k, b.k, 'family', false FROM o a JOIN o b ON a.u = b.u AND a.k <> b.k AND a.k % 7 = 0 AND b.k % 7 = 0

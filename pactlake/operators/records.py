@@ -9,6 +9,7 @@ action_by_date, confidence_tier, status), jobs(id, document_id, status, created_
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -125,9 +126,39 @@ def decode_cursor(cursor: str | None) -> int:
         return 0
 
 
+#: Orders of lists: their column, and whether it ascends; equal ones go by id. Nulls are first where it ascends and last where not.
+ORDERS = {"recent": ("uploaded_at", False), "oldest": ("uploaded_at", True), "name": ("filename", True)}
+
+
+def key_cursor(sort: str) -> Column:
+    """A cursor to what comes after a row in the order: the order, the row's key and its id."""
+    told = F.to_json(F.array(F.lit(sort), F.col(ORDERS[sort][0]).cast("string"), F.col("id").cast("string")), {"ignoreNullFields": "false"})
+    return F.rtrim(F.translate(F.regexp_replace(F.base64(F.encode(told, "UTF-8")), r"\s", ""), "+/", "-_"), F.lit("="))
+
+
+def after_cursor(documents: DataFrame, cursor: str | None, sort: str) -> DataFrame | None:
+    """The documents after the row that a key cursor names, be it still there or not; None for a cursor that isn't one, ValueError for one of another order."""
+    try:
+        order, key, at = json.loads(base64.urlsafe_b64decode((cursor or "") + "=="))
+    except (ValueError, TypeError):
+        return None
+    if order != sort:
+        raise ValueError(f"a cursor of the order {order}, not {sort}")
+    name, ascends = ORDERS[sort]
+    c, value = F.col(name), F.lit(key).cast(documents.schema[name].dataType)
+    further = F.col("id") > F.lit(at).cast(documents.schema["id"].dataType)
+    if key is None:
+        return documents.filter((c.isNull() & further) | c.isNotNull() if ascends else c.isNull() & further)
+    if ascends:
+        return documents.filter((c >= value) & ((c > value) | further))
+    return documents.filter(((c <= value) & ((c < value) | further)) | c.isNull())
+
+
 def document_list(documents: DataFrame, events: DataFrame, fields: DataFrame, status: str | None = None, doc_type: str | None = None, search: str | None = None, sort: str = "recent", cursor: str | None = None, limit: int = 50) -> DataFrame:
-    """A page of documents in order with term_end, next_action, needs_review, nth and has_more; see `encode_cursor` for the next one.
+    """A page of documents in order with term_end, next_action, needs_review, nth, has_more and cursor.
 
+    The cursor of a page's last row gives the next page by a filter on the key, so that each page reads like the first
+    and rows that come or go don't shift it; a cursor of `encode_cursor` counts rows from the start.
     status: comma-separated; search: part of the file name or counterparty, whatever the case; sort: recent, oldest or name.
     """
     kept = documents
@@ -137,11 +168,11 @@ def document_list(documents: DataFrame, events: DataFrame, fields: DataFrame, st
         kept = kept.filter(F.col("doc_type") == doc_type)
     if search:
         kept = kept.filter(F.lower("filename").contains(search.lower()) | F.coalesce(F.lower("counterparty").contains(search.lower()), F.lit(False)))
-    order = {"recent": F.desc("uploaded_at"), "oldest": F.asc("uploaded_at"), "name": F.asc("filename")}[sort]
-    offset = decode_cursor(cursor)
-    page = kept.orderBy(order, "id").offset(offset).limit(limit + 1)
+    name, ascends = ORDERS[sort]
+    order, rest = F.asc(name) if ascends else F.desc(name), after_cursor(kept, cursor, sort)
+    page = (kept.orderBy(order, "id").offset(decode_cursor(cursor)) if rest is None else rest.orderBy(order, "id")).limit(limit + 1)
     listed = page.groupBy().agg(F.collect_list(F.struct(*documents.columns)).alias("rows"))  # at most a page and one row
-    shown = listed.select((F.size("rows") > limit).alias("has_more"), F.posexplode(F.slice("rows", 1, limit)).alias("nth", "d")).select("nth", "has_more", "d.*")
+    shown = listed.select((F.size("rows") > limit).alias("has_more"), F.posexplode(F.slice("rows", 1, limit)).alias("nth", "d")).select("nth", "has_more", "d.*").withColumn("cursor", key_cursor(sort))
     ends = fields.filter("field_key = 'expiration_date'").groupBy(F.col("document_id").alias("id")).agg(F.max_by(F.coalesce(F.col("value_normalized.date").cast("string"), "value_verbatim"), F.col("id")).alias("term_end"))
     acts, unsure = next_actions(events).withColumnRenamed("document_id", "id"), unsure_documents(fields).select(F.col("document_id").alias("id"), F.lit(True).alias("unsure"))
     few = F.broadcast(shown.select("id"))  # a page

@@ -93,6 +93,16 @@ def record_list(spark, sf_dir):
     return out.select(F.col("nth").cast("bigint").alias("nth"), "id", "filename", "term_end", "next_action", "needs_review", "has_more")
 
 
+def record_pages(spark, sf_dir):
+    """The third page of thirty documents, the newest first, by the keys of the two pages before; many are of one day."""
+    cursor, tables = None, (documents(spark, sf_dir), events(spark, sf_dir), fields(spark, sf_dir))
+    for _ in range(2):
+        last = records.document_list(*tables, cursor=cursor, limit=30).select("nth", "cursor").orderBy(F.desc("nth")).first()
+        cursor = last.cursor if last else cursor
+    out = records.document_list(*tables, cursor=cursor, limit=30)
+    return out.select(F.col("nth").cast("bigint").alias("nth"), "id", "filename", "term_end", "next_action", "needs_review", "has_more")
+
+
 def record_detail(spark, sf_dir):
     d, f, ln = documents(spark, sf_dir), fields(spark, sf_dir), lines(spark, sf_dir)
     pages = ln.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n_lines"))
@@ -357,7 +367,7 @@ def folded_boxes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    field_rows, field_reasons, citation_pages, record_integrity, record_list, record_detail, record_edits, record_calendar, upcoming_events, event_patches, event_dtos, upload_outcomes, display_words, law_names, page_boxes,
+    field_rows, field_reasons, citation_pages, record_integrity, record_list, record_pages, record_detail, record_edits, record_calendar, upcoming_events, event_patches, event_dtos, upload_outcomes, display_words, law_names, page_boxes,
     ocr_means, provenances, party_choice, analyze_findings, finding_matrix, finding_fields, document_classes, statute_list, statute_review, statute_applicable, retrieval_fields, retrieval_party, record_conflicts, record_briefs,
     clause_scopes, job_states, failed_documents, isolated_jobs, written_documents, versioned_documents, folded_boxes,
 )}
@@ -404,6 +414,9 @@ ORACLE = {
     "record_list": f"""WITH {_F}, q AS (SELECT *, row_number() OVER (ORDER BY filename, id) - 21 AS nth FROM d WHERE status <> 'processing' AND filename LIKE '%order-1%' QUALIFY nth BETWEEN 0 AND 20)
  SELECT nth, q.id, filename, (SELECT coalesce(date::VARCHAR, value_verbatim) FROM f WHERE f.document_id = q.id AND n = 2) AS term_end, (SELECT coalesce(action_by_date, event_date) FROM e WHERE e.id = q.id AND e.status <> 'dismissed') AS next_action,
    EXISTS (SELECT 1 FROM f WHERE f.document_id = q.id AND (confidence_tier IN ('unverified', 'inferred') OR absence_reason = 'illegible')) OR status = 'degraded' AS needs_review, (SELECT max(nth) FROM q) = 20 AS has_more FROM q WHERE nth < 20""",
+    "record_pages": f"""WITH {_F}, q AS (SELECT *, row_number() OVER (ORDER BY day DESC, id) - 61 AS nth FROM d QUALIFY nth BETWEEN 0 AND 30)
+ SELECT nth, q.id, filename, (SELECT coalesce(date::VARCHAR, value_verbatim) FROM f WHERE f.document_id = q.id AND n = 2) AS term_end, (SELECT coalesce(action_by_date, event_date) FROM e WHERE e.id = q.id AND e.status <> 'dismissed') AS next_action,
+   EXISTS (SELECT 1 FROM f WHERE f.document_id = q.id AND (confidence_tier IN ('unverified', 'inferred') OR absence_reason = 'illegible')) OR status = 'degraded' AS needs_review, (SELECT max(nth) FROM q) = 30 AS has_more FROM q WHERE nth < 30""",
     "record_detail": f"""WITH {_F}, j AS (SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
  SELECT d.id, (SELECT nullif(count(DISTINCT page), 0) FROM l WHERE l.document_id = d.id)::INT AS n_pages, (SELECT string_agg(field_key || ':' || coalesce(citation_page::VARCHAR, '-'), ',' ORDER BY field_key) FROM f JOIN c USING (id) WHERE f.document_id = d.id) AS fields, event_type AS job_status, event_id AS job_id FROM d LEFT JOIN j ON user_id = d.id""",
     "record_edits": f"""WITH {_F}, x AS (SELECT *, id % 7 = 0 AS hit, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 2 = 0 THEN 'edited' ELSE value_verbatim END AS v FROM f)

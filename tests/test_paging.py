@@ -1,0 +1,60 @@
+"""Paging by key: all pages together are the list, whatever is equal or missing."""
+
+import base64
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pactlake.operators import records
+
+DOCUMENTS = "id bigint, filename string, status string, doc_type string, counterparty string, uploaded_at timestamp"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice((None, "a", "B", "é \"x\"", "a?>~")), "ready", None, None, rng.choice((None, "2024-01-01 00:00:00", "2024-01-01 00:00:00.000001", "2023-05-05 12:30:00"))) for k in range(23)]
+    d = spark.createDataFrame(rows, DOCUMENTS.replace("timestamp", "string")).withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp")).cache()
+    f = spark.createDataFrame([], "id bigint, document_id bigint, field_key string, value_verbatim string, value_normalized struct<date:date,days:int,months:int>, confidence_tier string, absence_reason string")
+    e = spark.createDataFrame([], "id bigint, document_id bigint, event_date date, action_by_date date, status string")
+    return d, e, f
+
+
+@pytest.mark.parametrize("sort", records.ORDERS)
+def test_pages_make_the_list(tables, sort):
+    whole = [r.id for r in records.document_list(*tables, sort=sort, limit=100).orderBy("nth").collect()]
+    walked, cursor, more = [], None, True
+    while more:
+        page = records.document_list(*tables, sort=sort, limit=9, cursor=cursor).orderBy("nth").collect()
+        walked, cursor, more = walked + [r.id for r in page], page[-1].cursor, page[-1].has_more
+    assert walked == whole and sorted(whole) == list(range(23))
+
+
+@pytest.mark.parametrize("sort", records.ORDERS)
+def test_after_every_row(tables, sort):
+    """After any row stand just those that the order puts there."""
+    d = tables[0]
+    name, ascends = records.ORDERS[sort]
+    rows = d.orderBy(F.asc(name) if ascends else F.desc(name), "id").withColumn("cursor", records.key_cursor(sort)).collect()
+    for k in (0, 3, 7, 11, 15, 19, 22):
+        assert {r.id for r in records.after_cursor(d, rows[k].cursor, sort).collect()} == {r.id for r in rows[k + 1 :]}
+
+
+def test_a_row_that_went(spark, tables):
+    """The place that a cursor names need not be there any more, and rows before it shift nothing."""
+    d, e, f = tables
+    first = records.document_list(d, e, f, limit=5).orderBy("nth").collect()
+    gone = d.filter(F.col("id") != first[-1].id).filter(F.col("id") != first[0].id)
+    ids = lambda docs: [r.id for r in records.document_list(docs, e, f, limit=5, cursor=first[-1].cursor).orderBy("nth").collect()]
+    assert ids(gone) == ids(d)
+
+
+def test_other_cursors(tables):
+    d = tables[0]
+    assert all(records.after_cursor(d, c, "name") is None for c in (None, "", "!!", records.encode_cursor(40)))
+    with pytest.raises(ValueError, match="another|not name"):
+        records.after_cursor(d, base64.urlsafe_b64encode(json.dumps(["recent", None, "1"]).encode()).decode(), "name")
+    plan = records.after_cursor(d, d.withColumn("c", records.key_cursor("name")).filter("id = 3").first().c, "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Offset" not in plan

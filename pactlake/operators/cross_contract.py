@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.functions import labels, text
 from pactlake.operators import entities
+from pactlake.session import saved
 
 # Categories, words and patterns that decide results, in their order.
 PRIORITY = (
@@ -183,14 +185,23 @@ def _named(facts: DataFrame) -> DataFrame:
     return facts.select("contract_id", "doc_ord", F.explode("names").alias("name"))
 
 
-def _entity_pairs(facts: DataFrame, met: DataFrame, usual: DataFrame | None) -> DataFrame:
+def _meetings(left: DataFrame, right: DataFrame, only: DataFrame | None) -> list[tuple[DataFrame, DataFrame]]:
+    """What to join to find pairs of a in left and b in right: all, or those of which a or b is in only(contract_id), each once."""
+    if only is None:
+        return [(left, right)]
+    a, b = only.select(F.col("contract_id").alias("a")), only.select(F.col("contract_id").alias("b"))
+    return [(left.join(a, "a", "left_semi"), right), (left.join(a, "a", "left_anti"), right.join(b, "b", "left_semi"))]
+
+
+def _entity_pairs(facts: DataFrame, met: DataFrame, usual: DataFrame | None, only: DataFrame | None = None) -> DataFrame:
     """a, b and the names of a that match a name of b, a before b; met(x, y): names that match; usual(x): names that don't count."""
     n = _named(facts)
     left = n.select(F.col("contract_id").alias("a"), F.col("doc_ord").alias("ord_a"), F.col("name").alias("x"))
     if usual is not None:
         left = left.join(usual, "x", "left_anti")
     right = n.select(F.col("contract_id").alias("b"), F.col("doc_ord").alias("ord_b"), F.col("name").alias("y"))
-    return left.join(met, "x").join(right, "y").filter("ord_a < ord_b").groupBy("a", "b").agg(F.array_sort(F.collect_set("x")).alias("ents"))
+    found = [one.join(met, "x").join(two, "y").filter("ord_a < ord_b").select("a", "b", "x") for one, two in _meetings(left, right, only)]
+    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.array_sort(F.collect_set("x")).alias("ents"))
 
 
 def dependency_edges(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
@@ -220,11 +231,20 @@ def _side(facts: DataFrame, side: str) -> DataFrame:
     return told.select("contract_id", "x.*", "open", F.when(F.col("x.check_ord") == _IP, F.col("ip_assets")).alias("ip_assets"))
 
 
-def check_pairs(facts: DataFrame) -> DataFrame:
-    """A row for each conflict of two contracts: a, b, check_ord, type, severity, confidence, subject, entities and both citations."""
-    met = entities.matching_names(_named(facts).select("name").distinct())
+def usual_names(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """x: names that match a party which so many contracts name that it makes no pair."""
+    met = entities.matching_names(_named(facts).select("name").distinct()) if met is None else met
     common = entities.common_entities(entity_registry(facts), facts.agg(F.count(F.lit(1)).alias("n"))).select(F.col("entity_id").alias("y"))
-    usual = met.join(common, "y", "left_semi").select("x").distinct()
+    return met.join(common, "y", "left_semi").select("x").distinct()
+
+
+def check_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame | None = None) -> DataFrame:
+    """A row for each conflict of two contracts: a, b, check_ord, type, severity, confidence, subject, entities and both citations.
+
+    only(contract_id): conflicts that one of these has a part in; usual: the names of `usual_names`, if they are known.
+    """
+    met = entities.matching_names(_named(facts).select("name").distinct())
+    usual = usual_names(facts, met) if usual is None else usual
     left, right = _side(facts, "left"), _side(facts, "right")
     bits = lambda side, name: side.groupBy("contract_id").agg(F.bit_or(F.expr("shiftleft(1, check_ord)")).alias(name))
     slim = facts.join(bits(left, "l"), "contract_id", "left").join(bits(right, "r"), "contract_id", "left").fillna(0, ["l", "r"])
@@ -232,9 +252,10 @@ def check_pairs(facts: DataFrame) -> DataFrame:
     asset = slim.select("contract_id", "doc_ord", "l", "r", F.explode("assets").alias("asset"))
     one = asset.filter("l <> 0").select("asset", F.col("contract_id").alias("a"), F.col("doc_ord").alias("ord_a"), "l")
     two = asset.filter("r <> 0").select("asset", F.col("contract_id").alias("b"), F.col("doc_ord").alias("ord_b"), "r")
-    by_asset = one.join(two, "asset").filter("ord_a < ord_b and (l & r) <> 0").groupBy("a", "b").agg(F.array_sort(F.collect_set("asset")).alias("assets"))
+    alike = [x.join(y, "asset").filter("ord_a < ord_b and (l & r) <> 0").select("a", "b", "asset") for x, y in _meetings(one, two, only)]
+    by_asset = reduce(DataFrame.unionByName, alike).groupBy("a", "b").agg(F.array_sort(F.collect_set("asset")).alias("assets"))
     some = slim.filter("l <> 0 or r <> 0")
-    pairs = _entity_pairs(some, met, usual).join(by_asset, ["a", "b"], "full")
+    pairs = _entity_pairs(some, met, usual, only).join(by_asset, ["a", "b"], "full")
     none = F.array().cast("array<string>")
     pairs = pairs.withColumns({c: F.coalesce(c, none) for c in ("ents", "assets")})
     pairs = _with_facts(pairs, slim, ("doc_ord", "l", "r", "start", "end", "territories", "law"))
@@ -274,6 +295,34 @@ def check_pairs(facts: DataFrame) -> DataFrame:
     return found.select("a", "b", "doc_ord_a", "doc_ord_b", "check_ord", "type", "severity", "confidence", "subject", "entities", "cite_a", "cite_b", "description", "recommended_action")
 
 
+def _stamps(facts: DataFrame, name: str) -> DataFrame:
+    """contract_id and a digest of all that checks read of a contract, whatever the order of its sets."""
+    sets = {c: F.array_sort(c) for c in ("present", "unresolved")} | {"cites": F.array_sort(F.map_entries("cites"))}
+    told = facts.withColumns(sets).select("contract_id", F.to_json(F.struct(*facts.columns)).alias("told"))
+    return told.select("contract_id", F.sha2("told", 256).alias(name))
+
+
+def touched_contracts(before: DataFrame, after: DataFrame, usual_before: DataFrame, usual_after: DataFrame) -> DataFrame:
+    """contract_id: those that came, went or say something else, and those with a name that became usual or is so no longer.
+
+    A name's being usual hangs on all contracts; nothing else in a pair's conflicts hangs on a third one.
+    """
+    edited = _stamps(before, "old").join(_stamps(after, "new"), "contract_id", "full").filter(~F.col("old").eqNullSafe(F.col("new"))).select("contract_id")
+    turned = usual_before.join(usual_after, "x", "left_anti").unionByName(usual_after.join(usual_before, "x", "left_anti")).withColumnRenamed("x", "name")
+    return edited.unionByName(_named(after).join(turned, "name", "left_semi").select("contract_id")).distinct()
+
+
+def recheck_pairs(conflicts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What `check_pairs` gives for the contracts after, from its rows for those before: only pairs with a touched side are checked anew.
+
+    before and after: facts; both are read several times, so they should be tables that were written.
+    """
+    old, new = saved(usual_names(before), "usual"), saved(usual_names(after), "usual")
+    touched = saved(touched_contracts(before, after, old, new), "touched")
+    a, b = touched.select(F.col("contract_id").alias("a")), touched.select(F.col("contract_id").alias("b"))
+    return conflicts.join(a, "a", "left_anti").join(b, "b", "left_anti").select(conflicts.columns).unionByName(check_pairs(after, touched, new))
+
+
 def merge_conflicts(conflicts: DataFrame) -> DataFrame:
     """One row for each pair and set of quotes: types in order joined by '; ', the gravest severity, the best confidence, the rest from the first."""
     key = F.array_sort(F.array_distinct(F.array("cite_a.quote", "cite_b.quote")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pactlake.operators import cross_contract as cc
 from pactlake.plans.clauses import table
-from pactlake.session import ensure_checkpoint_dir, shared_dir
+from pactlake.session import ensure_checkpoint_dir, saved, shared_dir
 from pactlake.sources import contracts, files
 
 KINDS = (
@@ -59,11 +59,22 @@ def contract_facts(spark, sf_dir):
     return f.select("contract_id", *(listed(c) for c in ("present", "unresolved", "names", "assets", "territories", "contingent")), "start", "end", "law", "not_exclusive")
 
 
-def pair_checks_all(spark, sf_dir):
-    found = cc.check_pairs(_facts(spark, sf_dir))
+def _conflicts(found: DataFrame) -> DataFrame:
     return found.select("a", "b", "type", "severity", "confidence", "subject", F.array_join("entities", "|").alias("entities"), F.col("cite_a.quote").alias("quote_a"), F.col("cite_b.quote").alias("quote_b"))
 
 
+def pair_checks_all(spark, sf_dir):
+    return _conflicts(cc.check_pairs(_facts(spark, sf_dir)))
+
+
+def conflict_recheck(spark, sf_dir):
+    """The conflicts of all contracts from those before every fiftieth one came and another fiftieth got an end and its law."""
+    after = saved(cc.contract_facts(*portfolio(spark, sf_dir)), "facts")
+    k = F.col("contract_id")
+    before = saved(after.filter(k % 50 != 1).withColumns({"end": F.when(k % 50 != 2, F.col("end")), "law": F.when(k % 50 != 2, F.col("law"))}), "facts")
+    return _conflicts(cc.recheck_pairs(saved(cc.check_pairs(before), "conflicts"), before, after))
+
+
 def conflict_merge(spark, sf_dir):
     return cc.merge_conflicts(cc.check_pairs(_facts(spark, sf_dir))).select("a", "b", F.array_join("quotes", "|").alias("quotes"), "type", "severity", "confidence", "subject")
 
@@ -113,7 +124,7 @@ def contract_source(spark, sf_dir):
     return of.join(told, "doc_ord", "left").select("s_suppkey", "contract_id", "party", "n_findings", "least_part", "failed")
 
 
-QUERIES = {f.__name__: f for f in (contract_facts, pair_checks_all, conflict_merge, conflict_report, entity_registry, contract_edges, obligations, contract_source)}
+QUERIES = {f.__name__: f for f in (contract_facts, pair_checks_all, conflict_recheck, conflict_merge, conflict_report, entity_registry, contract_edges, obligations, contract_source)}
 
 # Written from the survey's table of checks, over numbers instead of texts: nothing here is taken from the operators.
 _NAMES = "['exclusivity', 'most_favored_nation', 'price_restrictions', 'license_grant', 'ip_ownership_assignment', 'cap_on_liability', 'uncapped_liability', 'anti_assignment', 'change_of_control', 'non_compete', 'minimum_commitment', 'termination_for_convenience', 'renewal_term']"
@@ -163,6 +174,7 @@ ORACLE = {
    FROM (SELECT k, c, p, firm, present FROM f UNION ALL SELECT k, 'effective_date', NULL, true, true FROM o UNION ALL SELECT k, 'expiration_date', NULL, true, true FROM o WHERE e IS NOT NULL UNION ALL SELECT k, 'governing_law', NULL, true, true FROM o WHERE law IS NOT NULL) GROUP BY k)
  SELECT k AS contract_id, coalesce(present, '') AS present, coalesce(un, '') AS unresolved, who AS names, coalesce(assets, '') AS assets, concat_ws('|', CASE WHEN sing THEN 'singapore' END, CASE WHEN world THEN 'worldwide' END) AS territories, coalesce(con, '') AS contingent, s AS "start", e AS "end", law, ne AS not_exclusive FROM o LEFT JOIN g USING (k)""",
     "pair_checks_all": f"WITH {_PAIRS} SELECT a, b, type, severity, confidence, subject, CASE WHEN e THEN who ELSE '(shared subject matter)' END AS entities, qa AS quote_a, qb AS quote_b FROM z",
+    "conflict_recheck": f"WITH {_PAIRS} SELECT a, b, type, severity, confidence, subject, CASE WHEN e THEN who ELSE '(shared subject matter)' END AS entities, qa AS quote_a, qb AS quote_b FROM z",
     "conflict_merge": f"WITH {_PAIRS}, {_MERGED} SELECT a, b, quotes, type, severity, confidence, subject FROM m",
     "conflict_report": f"""WITH {_PAIRS}, {_MERGED}, n AS (SELECT *, row_number() OVER (ORDER BY list_position(['Critical', 'Significant', 'Administrative'], severity), list_position(['High', 'Medium', 'Low'], confidence), a, b, ord) AS n FROM m)
  SELECT 'C-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS conflict_id, a, b, type, severity, confidence FROM n""",

@@ -1,0 +1,51 @@
+"""Checks of what changed against checks of everything, after edits that also make a name usual and no longer so."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pactlake.operators import cross_contract as cc
+from pactlake.session import saved
+from tests.test_cross_contract import contract, loaded  # noqa: F401
+
+SAYS = ("exclusivity", "license_grant", "governing_law", "expiration_date", "effective_date", "anti_assignment", "change_of_control", "cap_on_liability", "uncapped_liability", "renewal_term")
+
+
+def drawn(rng, k):
+    text = {"governing_law": rng.choice(("laws of Ohio.", "laws of Utah.")), "expiration_date": f"202{rng.randrange(10)}-01-01", "effective_date": f"201{rng.randrange(10)}-01-01"}
+    said = {c: (text.get(c, rng.choice(("exclusive use of Machine M1 worldwide", "exclusive use of Machine M2 in Singapore", "as agreed"))), rng.random() < 0.7, "present", "direct") for c in rng.sample(SAYS, 6)}
+    return contract(f"C{k:02}", said, tuple(rng.sample(("Acme Flooring Inc", "Acme", "Beta LLC", "Gamma Works", "Delta"), 2)))
+
+
+@pytest.fixture
+def facts(loaded):  # noqa: F811
+    return lambda contracts: saved(cc.contract_facts(*loaded(*contracts)[0]).withColumn("doc_ord", F.substring("contract_id", 2, 2).cast("bigint")), "facts")
+
+
+def rows(found):
+    return sorted(str(r) for r in found.collect())
+
+
+def test_equals_all_checks(facts):
+    """One contract goes, one comes, one is edited, and of fourteen more nobody names a party that is here: what was usual is so no longer."""
+    rng = random.Random(1)
+    now = {k: drawn(rng, k) for k in range(9)}
+    before = facts(now.values())
+    found = saved(cc.check_pairs(before), "conflicts")
+    del now[3]
+    now |= {5: drawn(rng, 5), 9: drawn(rng, 9)} | {k: contract(f"C{k:02}", {"governing_law": "laws of Iowa."}, (f"Solo {k}",)) for k in range(20, 34)}
+    after = facts(now.values())
+    again = rows(cc.check_pairs(after))
+    assert rows(cc.recheck_pairs(found, before, after)) == again and len(again) > 3
+    old, new = cc.usual_names(before), cc.usual_names(after)
+    touched = {r.contract_id for r in cc.touched_contracts(before, after, old, new).collect()}
+    assert old.count() > new.count() and {"C03", "C05", "C09"} < touched
+
+
+def test_nothing_changed(facts):
+    """Equal facts touch nothing: no pair is checked."""
+    rng = random.Random(7)
+    same = facts([drawn(rng, k) for k in range(4)])
+    usual = cc.usual_names(same)
+    assert cc.touched_contracts(same, same, usual, usual).isEmpty()

@@ -6,9 +6,10 @@ vlm_text, supporting_text, page, clause, is_grounded). doc_ord orders the contra
 pair the earlier one stands on the left, and checks aren't symmetric.
 
 `contract_facts` folds all that checks ask of a contract into a row. A pair is looked at
-if the contracts share a party that isn't common to the portfolio, or an asset. Parties
-meet by the rarest telling word of the shorter name and assets by equality; only facts of
-a few bytes go with a pair, and quotes join the conflicts that were found.
+if the contracts share a party that isn't common to the portfolio, or an asset. Names that
+match are found by the rarest telling word of the shorter one; contracts then meet by
+names and assets, each with all that checks ask of it, so that a pair is judged where it
+meets, under the first of what it shares, and no row of a pair is shuffled.
 """
 
 from __future__ import annotations
@@ -127,8 +128,8 @@ CHECKS: tuple[Check, ...] = (
 _IP = next(k for k, c in enumerate(CHECKS) if c.subject[0] == "ip_assets")
 
 
-def contract_facts(docs: DataFrame, findings: DataFrame, extractions: DataFrame) -> DataFrame:
-    """A row for each contract: what is present and unresolved, citations, names, assets, dates, territories, law."""
+def _answered(findings: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Findings with the parts of their extractions in order and c, the citation, firm if the evidence is direct."""
     firm = F.coalesce("is_grounded", F.lit(False))
     said = F.coalesce(F.nullif("supporting_text", F.lit("")), "vlm_text", F.lit(""))
     quote = F.substring(F.btrim(said, F.lit(_BLANK)), 1, QUOTE)
@@ -136,11 +137,16 @@ def contract_facts(docs: DataFrame, findings: DataFrame, extractions: DataFrame)
     part = F.struct("ord", F.coalesce("vlm_text", F.lit("")).alias("v"), F.coalesce("supporting_text", F.lit("")).alias("s"), said.alias("said"))
     of = extractions.groupBy("contract_id", "category").agg(F.min_by(cited, F.struct(~firm, F.col("ord"))).alias("c"), F.array_sort(F.collect_list(part)).alias("parts"))
     rows = findings.select("contract_id", "category", "answer", "summary", "evidence_status").join(of, ["contract_id", "category"], "full")
+    return rows.withColumn("c", F.when(F.col("c").isNotNull(), F.col("c").withField("firm", F.col("c.firm") & (F.coalesce("evidence_status", F.lit("unresolved")) == "direct"))))
+
+
+def contract_facts(docs: DataFrame, findings: DataFrame, extractions: DataFrame) -> DataFrame:
+    """A row for each contract: what is present and unresolved, citations, names, assets, dates, territories, law."""
+    rows = _answered(findings, extractions)
     pieces = F.flatten(F.transform(F.coalesce("parts", F.array().cast("array<struct<ord:int,v:string,s:string,said:string>>")), lambda p: F.array(p["v"], p["s"])))
     rows = rows.withColumns({
         "text": F.when(F.col("category").isin(*_TEXTS), F.lower(F.array_join(F.concat(F.array(F.coalesce("summary", F.lit(""))), pieces), " "))),
         "said": F.when(F.col("category").isin("parties", *ASSETS, *IP_ASSETS), F.transform("parts", lambda p: p["said"])),
-        "c": F.when(F.col("c").isNotNull(), F.col("c").withField("firm", F.col("c.firm") & (F.coalesce("evidence_status", F.lit("unresolved")) == "direct"))),
     })
     of_text = lambda c: F.coalesce(F.max(F.when(F.col("category") == c, F.col("text"))), F.lit(""))
     heard = lambda cs: F.flatten(F.collect_list(F.when(F.col("category").isin(*cs), F.col("said"))))
@@ -165,6 +171,12 @@ def contract_facts(docs: DataFrame, findings: DataFrame, extractions: DataFrame)
     )
 
 
+def dated_facts(docs: DataFrame, findings: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Of `contract_facts` what registries and edges ask for, made from what is said of parties and dates alone."""
+    told = F.col("category").isin("parties", "effective_date", "agreement_date", "expiration_date")
+    return contract_facts(docs, findings.filter(told), extractions.filter(told)).select("contract_id", "doc_ord", "family", "amends", "raw_names", "names", "start", "end")
+
+
 def mentions(facts: DataFrame) -> DataFrame:
     """contract_id, doc_ord, ord and raw: the names that contracts give their parties, in order."""
     return facts.select("contract_id", "doc_ord", F.posexplode("raw_names").alias("ord", "raw"))
@@ -181,6 +193,13 @@ def obligation_registry(findings: DataFrame, facts: DataFrame) -> DataFrame:
     return kept.join(facts.select("contract_id", "cites"), "contract_id", "left").select("contract_id", "category", "summary", F.col("cites")[F.col("category")].alias("evidence"))
 
 
+def cited_obligations(findings: DataFrame, extractions: DataFrame) -> DataFrame:
+    """What `obligation_registry` gives, from findings and extractions of the priority categories, with no row of a whole contract."""
+    told = F.col("category").isin(*PRIORITY)
+    kept = _answered(findings.filter(told & (F.col("answer") == "present")), extractions.filter(told)).filter(F.col("answer") == "present")
+    return kept.select("contract_id", "category", F.coalesce("summary", F.lit("")).alias("summary"), F.col("c").alias("evidence"))
+
+
 def _named(facts: DataFrame) -> DataFrame:
     return facts.select("contract_id", "doc_ord", F.explode("names").alias("name"))
 
@@ -193,42 +212,45 @@ def _meetings(left: DataFrame, right: DataFrame, only: DataFrame | None) -> list
     return [(left.join(a, "a", "left_semi"), right), (left.join(a, "a", "left_anti"), right.join(b, "b", "left_semi"))]
 
 
-def _entity_pairs(facts: DataFrame, met: DataFrame, usual: DataFrame | None, only: DataFrame | None = None) -> DataFrame:
-    """a, b and the names of a that match a name of b, a before b; met(x, y): names that match; usual(x): names that don't count."""
-    n = _named(facts)
-    left = n.select(F.col("contract_id").alias("a"), F.col("doc_ord").alias("ord_a"), F.col("name").alias("x"))
-    if usual is not None:
-        left = left.join(usual, "x", "left_anti")
-    right = n.select(F.col("contract_id").alias("b"), F.col("doc_ord").alias("ord_b"), F.col("name").alias("y"))
-    found = [one.join(met, "x").join(two, "y").filter("ord_a < ord_b").select("a", "b", "x") for one, two in _meetings(left, right, only)]
-    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.array_sort(F.collect_set("x")).alias("ents"))
+def _matches(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met(x, y), names that match, and facts with linked, those of a contract's names that match another one than themselves."""
+    met = saved(entities.matching_names(_named(facts).select("name").distinct()), "met")
+    own = _named(facts).join(met.filter("x <> y").select(F.col("x").alias("name")).distinct(), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("linked"))
+    return met, facts.join(own, "contract_id", "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
+
+
+def _matching() -> Column:
+    """Names of contract a that match a name of b, in order."""
+    near = F.filter("linked_a", lambda x: F.exists("linked_b", lambda y: entities.names_match(x, y)))
+    return F.array_sort(F.array_union(F.array_intersect("names_a", "names_b"), near))
+
 
+def _least_match() -> Column:
+    """The least name of b that matches x, a name of a."""
+    near = F.filter("linked_b", lambda y: F.array_contains("linked_a", F.col("x")) & entities.names_match(F.col("x"), y))
+    return F.array_min(F.concat(near, F.filter("names_b", lambda y: y == F.col("x"))))
 
-def dependency_edges(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
+
+def dependency_edges(facts: DataFrame) -> DataFrame:
     """source, target, kind and inferred: amendments of contracts that are there, families both ways, and pairs that share a party while their windows meet."""
-    met = entities.matching_names(_named(facts).select("name").distinct()) if met is None else met
+    met, facts = _matches(facts)
     ids = facts.select(F.col("contract_id").alias("target"))
     amends = facts.select(F.col("contract_id").alias("source"), F.col("amends").alias("target")).join(ids, "target", "left_semi").select("source", "target", F.lit("amends").alias("kind"), F.lit(False).alias("inferred"))
     kin = facts.select("family", F.col("contract_id").alias("target"))
     family = facts.select("family", F.col("contract_id").alias("source")).join(kin, "family").filter("source <> target").select("source", "target", F.lit("family").alias("kind"), F.lit(False).alias("inferred"))
-    pairs = _with_facts(_entity_pairs(facts, met, None).select("a", "b"), facts, ("start", "end")).filter(_overlap())
+    side = lambda s: facts.select(F.col("contract_id").alias(s), F.col("doc_ord").alias(f"ord_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("names", "linked", "start", "end")))
+    by_name = side("a").withColumn("x", F.explode("names_a")).join(met, "x").join(side("b").withColumn("y", F.explode("names_b")), "y").filter("ord_a < ord_b").filter(_overlap())
+    pairs = by_name.filter((F.get(_matching(), F.lit(0)) == F.col("x")) & (_least_match() == F.col("y")))
     return amends.unionByName(family).unionByName(pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("inferred").alias("kind"), F.lit(True).alias("inferred")))
 
 
-def _with_facts(pairs: DataFrame, facts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    for s in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("contract_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)), s)
-    return pairs
-
-
-def _side(facts: DataFrame, side: str) -> DataFrame:
-    """contract_id and a row for each check that the contract may stand in on a side, with its citation."""
+def _side(facts: DataFrame, side: str) -> tuple[Column, list[Column]]:
+    """The citation of each check that a contract may stand in on a side, null elsewhere, as an array and one by one."""
     rows = []
-    for k, check in enumerate(CHECKS):
+    for check in CHECKS:
         test, cite = (f() for f in getattr(check, side))
-        rows.append(F.when(test & (F.coalesce(cite["quote"], F.lit("")) != ""), F.struct(F.lit(k).alias("check_ord"), cite.alias("cite"))))
-    told = facts.select("contract_id", "ip_assets", F.array_contains("unresolved", "exclusivity").alias("open"), F.explode(F.array_compact(F.array(*rows))).alias("x"))
-    return told.select("contract_id", "x.*", "open", F.when(F.col("x.check_ord") == _IP, F.col("ip_assets")).alias("ip_assets"))
+        rows.append(F.when(test & (F.coalesce(cite["quote"], F.lit("")) != ""), cite))
+    return F.array(*rows), rows
 
 
 def usual_names(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
@@ -238,61 +260,109 @@ def usual_names(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
     return met.join(common, "y", "left_semi").select("x").distinct()
 
 
-def check_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame | None = None) -> DataFrame:
-    """A row for each conflict of two contracts: a, b, check_ord, type, severity, confidence, subject, entities and both citations.
+def _may(facts: DataFrame, side: str, s: str) -> DataFrame:
+    """Contracts that may stand on a side, as `s`: what checks ask of them, a bit for each check, and citations, each kept once, with their places by check."""
+    cites, each = _side(facts, side)
+    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(c.isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(each)))
+    rows = facts.withColumns({"cited": cites, "bits": bits, "open": F.array_contains("unresolved", "exclusivity")}).filter("bits <> 0")
+    rows = rows.withColumn("cites", F.array_distinct(F.array_compact("cited")))
+    place = F.transform("cited", lambda c: F.coalesce(F.array_position("cites", c), F.lit(0))).cast("array<tinyint>")
+    ip_assets = F.when(F.col("bits").bitwiseAND(F.lit(1 << _IP)) != 0, F.col("ip_assets"))
+    own = ["file"] if "file" in facts.columns else []
+    kept = {"ord": "doc_ord", **{c: c for c in ("bits", "names", "linked", "usual", "assets", "start", "end", "territories", "law", "open", "cites", *own)}}
+    return rows.select(F.col("contract_id").alias(s), *(F.col(c).alias(f"{n}_{s}") for n, c in kept.items()), ip_assets.alias(f"ip_assets_{s}"), place.alias(f"place_{s}"))
 
-    only(contract_id): conflicts that one of these has a part in; usual: the names of `usual_names`, if they are known.
+
+def _met_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame | None = None) -> DataFrame:
+    """A row for each name or asset by which contracts meet: all that is kept of both, ents, entities, assets and checks, the numbers of the conflicts.
+
+    Of the rows of a pair one has checks, that whose name or asset comes first in what both share: there are no rows
+    to bring together.
     """
-    met = entities.matching_names(_named(facts).select("name").distinct())
-    usual = usual_names(facts, met) if usual is None else usual
-    left, right = _side(facts, "left"), _side(facts, "right")
-    bits = lambda side, name: side.groupBy("contract_id").agg(F.bit_or(F.expr("shiftleft(1, check_ord)")).alias(name))
-    slim = facts.join(bits(left, "l"), "contract_id", "left").join(bits(right, "r"), "contract_id", "left").fillna(0, ["l", "r"])
-
-    asset = slim.select("contract_id", "doc_ord", "l", "r", F.explode("assets").alias("asset"))
-    one = asset.filter("l <> 0").select("asset", F.col("contract_id").alias("a"), F.col("doc_ord").alias("ord_a"), "l")
-    two = asset.filter("r <> 0").select("asset", F.col("contract_id").alias("b"), F.col("doc_ord").alias("ord_b"), "r")
-    alike = [x.join(y, "asset").filter("ord_a < ord_b and (l & r) <> 0").select("a", "b", "asset") for x, y in _meetings(one, two, only)]
-    by_asset = reduce(DataFrame.unionByName, alike).groupBy("a", "b").agg(F.array_sort(F.collect_set("asset")).alias("assets"))
-    some = slim.filter("l <> 0 or r <> 0")
-    pairs = _entity_pairs(some, met, usual, only).join(by_asset, ["a", "b"], "full")
+    met, facts = _matches(facts)
+    usual = saved(usual_names(facts, met) if usual is None else usual, "usual")
     none = F.array().cast("array<string>")
-    pairs = pairs.withColumns({c: F.coalesce(c, none) for c in ("ents", "assets")})
-    pairs = _with_facts(pairs, slim, ("doc_ord", "l", "r", "start", "end", "territories", "law"))
+    if usual.isEmpty():
+        facts = facts.withColumn("usual", none)
+    else:  # names that many share don't make a pair, but are named where a pair is made
+        often = _named(facts).join(usual.withColumnRenamed("x", "name"), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("usual"))
+        facts = facts.join(often, "contract_id", "left").withColumn("usual", F.coalesce("usual", none))
+    left, right = _may(facts, "left", "a"), _may(facts, "right", "b").drop("usual_b")
+
+    name, asset = "a name", "an asset"
+    by_name = left.withColumn("x", F.explode(F.array_except("names_a", "usual_a"))).join(met, "x").select(F.lit(name).alias("kind"), F.col("y").alias("key"), "x", *left.columns)
+    one = by_name.unionByName(left.select(F.lit(asset).alias("kind"), F.explode("assets_a").alias("key"), F.lit("").alias("x"), "*"))
+    of = lambda what: lambda k: F.struct(F.lit(what).alias("kind"), k.alias("key"))
+    keys = F.concat(F.transform("names_b", of(name)), F.transform("assets_b", of(asset)))
+    two = right.withColumn("k", F.explode(keys)).select("k.*", *right.columns)
+    met_at = [x.join(y, ["kind", "key"]).filter("ord_a < ord_b and (bits_a & bits_b) <> 0") for x, y in _meetings(one, two, only)]
+    pairs = reduce(DataFrame.unionByName, met_at)
+
+    pairs = pairs.withColumns({"entities": _matching(), "assets": F.array_sort(F.array_intersect("assets_a", "assets_b"))})
+    pairs = pairs.withColumns({"ents": F.array_except("entities", "usual_a"), "ip_assets": F.coalesce(F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b")), none)})
+    first = F.when(F.col("kind") == name, (F.get("ents", F.lit(0)) == F.col("x")) & (_least_match() == F.col("key"))).otherwise((F.size("ents") == 0) & (F.get("assets", F.lit(0)) == F.col("key")))
     tests = []
     for k, check in enumerate(CHECKS):
-        test = F.col("l_a").bitwiseAND(F.col("r_b")).bitwiseAND(F.lit(1 << k)) != 0
+        test = F.col("bits_a").bitwiseAND(F.col("bits_b")).bitwiseAND(F.lit(1 << k)) != 0
         for need in check.needs:
             test = test & (F.size(need) > 0)
         tests.append(F.when(test & check.pair() if check.pair else test, F.lit(k)))
-    found = pairs.select("a", "b", "doc_ord_a", "doc_ord_b", "ents", "assets", F.explode(F.array_compact(F.array(*tests))).alias("check_ord"))
-    of = lambda side, name: side.select(F.col("contract_id").alias(name), "check_ord", *(F.col(c).alias(f"{c}_{name}") for c in ("cite", "open", "ip_assets")))
-    found = found.join(of(left, "a"), ["a", "check_ord"]).join(of(right, "b"), ["b", "check_ord"])
-
-    exclusive = F.col("check_ord") == 0
-    ip_assets = F.coalesce(F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b")), none)
-    always = F.array(*(F.lit(c.inferred) for c in CHECKS))[F.col("check_ord")]
-    guessed = always | (exclusive & (F.size("assets") == 0)) | ((F.col("check_ord") == _IP) & (F.size(ip_assets) == 0))
+    return pairs.withColumn("checks", F.when(first, F.array_compact(F.array(*tests))))  # no filter: it would be computed again below the join
+
+
+def _cited(k: Column, s: str) -> Column:
+    return F.get(f"cites_{s}", F.get(f"place_{s}", k) - 1)
+
+
+def _confidence(k: Column) -> Column:
+    """How sure conflict k of a pair is."""
+    exclusive = k == 0
+    guessed = F.get(F.array(*(F.lit(c.inferred) for c in CHECKS)), k) | (exclusive & (F.size("assets") == 0)) | ((k == _IP) & (F.size("ip_assets") == 0))
     open_ = exclusive & (F.col("open_a") | F.col("open_b"))
-    confidence = F.when(guessed | open_, "Low").when(F.col("cite_a.firm") & F.col("cite_b.firm"), "High").otherwise("Medium")
-    lists = {"assets": F.array_join("assets", ", "), "ents": F.array_join("ents", "; "), "ip_assets": F.array_join(ip_assets, ", ")}
+    return F.when(guessed | open_, "Low").when(_cited(k, "a")["firm"] & _cited(k, "b")["firm"], "High").otherwise("Medium")
+
+
+def _nth(k: Column, attr: str) -> Column:
+    return F.get(F.array(*(F.lit(getattr(c, attr)) for c in CHECKS)), k)
+
+
+def _told() -> dict[str, Column]:
+    """Subject, entities, citations and words of conflict check_ord of a pair."""
+    k = F.col("check_ord")
+    lists = {"assets": F.array_join("assets", ", "), "ents": F.array_join("ents", "; "), "ip_assets": F.array_join("ip_assets", ", ")}
     subject = F.lit("")
-    for k, check in enumerate(CHECKS):
+    for n, check in enumerate(CHECKS):
         said = F.coalesce(*(F.nullif(lists[c], F.lit("")) for c in check.subject), F.lit(check.otherwise))
-        subject = F.when(F.col("check_ord") == k, said).otherwise(subject)
-    nth = lambda attr: F.array(*(F.lit(getattr(c, attr)) for c in CHECKS))[F.col("check_ord")]
-    found = found.withColumns({"type": nth("type"), "severity": nth("severity"), "confidence": confidence, "subject": subject, "description": nth("says"), "recommended_action": nth("advice")})
+        subject = F.when(k == n, said).otherwise(subject)
+    named = F.when(F.size("entities") > 0, F.col("entities")).otherwise(F.array(F.lit(NOBODY)))
+    return {"subject": subject, "entities": named, "cite_a": _cited(k, "a"), "cite_b": _cited(k, "b"), "description": _nth(k, "says"), "recommended_action": _nth(k, "advice")}
 
-    # names that many share don't make a pair, but are named where a pair is made
-    if usual.isEmpty():
-        found = found.withColumn("entities", F.col("ents"))
-    else:
-        often = _named(facts).join(usual.withColumnRenamed("x", "name"), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("often"))
-        those = found.select("a", "b").distinct().join(often.withColumnsRenamed({"contract_id": "a"}), "a").join(facts.select(F.col("contract_id").alias("b"), "names"), "b")
-        also = those.select("a", "b", "names", F.explode("often").alias("x")).join(met, "x").filter(F.array_contains("names", F.col("y"))).groupBy("a", "b").agg(F.collect_set("x").alias("also"))
-        found = found.join(also, ["a", "b"], "left").withColumn("entities", F.array_sort(F.array_union("ents", F.coalesce("also", none))))
-    found = found.withColumn("entities", F.when(F.size("entities") > 0, F.col("entities")).otherwise(F.array(F.lit(NOBODY))))
-    return found.select("a", "b", "doc_ord_a", "doc_ord_b", "check_ord", "type", "severity", "confidence", "subject", "entities", "cite_a", "cite_b", "description", "recommended_action")
+
+def check_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame | None = None) -> DataFrame:
+    """A row for each conflict of two contracts: a, b, check_ord, type, severity, confidence, subject, entities and both citations.
+
+    only(contract_id): conflicts that one of these has a part in; usual: the names of `usual_names`, if they are known.
+    """
+    k = F.col("check_ord")
+    found = _met_pairs(facts, only, usual).withColumn("check_ord", F.explode_outer("checks")).filter("check_ord is not null")
+    told = {"type": _nth(k, "type"), "severity": _nth(k, "severity"), "confidence": _confidence(k), **_told()}
+    return found.select("a", "b", F.col("ord_a").alias("doc_ord_a"), F.col("ord_b").alias("doc_ord_b"), "check_ord", *(c.alias(n) for n, c in told.items()))
+
+
+def merged_pairs(facts: DataFrame) -> DataFrame:
+    """What `merge_conflicts` gives for `check_pairs`; the conflicts of a pair are in one row, so they are merged there.
+
+    Facts with a column file give file_a and file_b too, and more fields of their citations stay.
+    """
+    pairs = _met_pairs(facts)
+    one = lambda k: F.struct(k.alias("check_ord"), _nth(k, "type").alias("type"), labels.rank(_nth(k, "severity"), labels.SEVERITIES).alias("sr"), labels.rank(_confidence(k), labels.CONFIDENCES).alias("cr"), _quotes(_cited(k, "a"), _cited(k, "b")).alias("quotes"))
+    pairs = pairs.withColumn("each", F.transform("checks", one))
+    pairs = pairs.withColumn("t", F.explode_outer(F.transform(F.array_distinct("each.quotes"), lambda q: F.filter("each", lambda x: x["quotes"] == q)))).filter("t is not null")
+    first = F.get("t", F.lit(0))
+    pairs = pairs.withColumns({"check_ord": first["check_ord"], "quotes": first["quotes"], "type": _types(), "sr": F.array_min("t.sr"), "cr": F.array_min("t.cr")})
+    told = {"severity": _named_rank(labels.SEVERITIES, "sr"), "confidence": _named_rank(labels.CONFIDENCES, "cr"), **_told()}
+    files = [c for c in ("file_a", "file_b") if c in pairs.columns]
+    return pairs.select("a", "b", F.col("ord_a").alias("doc_ord_a"), F.col("ord_b").alias("doc_ord_b"), "check_ord", "quotes", "type", *(c.alias(n) for n, c in told.items()), "sr", "cr", *files)
 
 
 def _stamps(facts: DataFrame, name: str) -> DataFrame:
@@ -323,37 +393,49 @@ def recheck_pairs(conflicts: DataFrame, before: DataFrame, after: DataFrame) ->
     return conflicts.join(a, "a", "left_anti").join(b, "b", "left_anti").select(conflicts.columns).unionByName(check_pairs(after, touched, new))
 
 
+def _quotes(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array(a["quote"], b["quote"])))
+
+
+def _types() -> Column:
+    """Types of t in order, none that is said already."""
+    return F.aggregate("t", F.lit(""), lambda s, x: F.when(s == "", x["type"]).when(s.contains(x["type"]), s).otherwise(F.concat(s, F.lit("; "), x["type"])))
+
+
+def _named_rank(names: tuple[str, ...], r: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col(r) + 1)
+
+
 def merge_conflicts(conflicts: DataFrame) -> DataFrame:
     """One row for each pair and set of quotes: types in order joined by '; ', the gravest severity, the best confidence, the rest from the first."""
-    key = F.array_sort(F.array_distinct(F.array("cite_a.quote", "cite_b.quote")))
     first = F.min_by(F.struct("subject", "entities", "cite_a", "cite_b", "description", "recommended_action"), "check_ord")
-    grouped = conflicts.withColumn("quotes", key).groupBy("a", "b", "doc_ord_a", "doc_ord_b", "quotes").agg(
+    grouped = conflicts.withColumn("quotes", _quotes(F.col("cite_a"), F.col("cite_b"))).groupBy("a", "b", "doc_ord_a", "doc_ord_b", "quotes").agg(
         F.array_sort(F.collect_list(F.struct("check_ord", "type"))).alias("t"), F.min(labels.rank(F.col("severity"), labels.SEVERITIES)).alias("sr"),
         F.min(labels.rank(F.col("confidence"), labels.CONFIDENCES)).alias("cr"), F.min("check_ord").alias("check_ord"), first.alias("f"))
-    types = F.aggregate("t", F.lit(""), lambda s, x: F.when(s == "", x["type"]).when(s.contains(x["type"]), s).otherwise(F.concat(s, F.lit("; "), x["type"])))
-    name = lambda names, r: F.element_at(F.array(*map(F.lit, names)), F.col(r) + 1)
-    return grouped.select("a", "b", "doc_ord_a", "doc_ord_b", "check_ord", "quotes", types.alias("type"), name(labels.SEVERITIES, "sr").alias("severity"), name(labels.CONFIDENCES, "cr").alias("confidence"), "f.*", "sr", "cr")
+    return grouped.select("a", "b", "doc_ord_a", "doc_ord_b", "check_ord", "quotes", _types().alias("type"), _named_rank(labels.SEVERITIES, "sr").alias("severity"), _named_rank(labels.CONFIDENCES, "cr").alias("confidence"), "f.*", "sr", "cr")
 
 
 def report(merged: DataFrame, a_bucket: int = 1000) -> DataFrame:
     """All conflicts, numbered C-001 on from the gravest and surest, then by contracts and checks.
 
     Numbers within a bucket of the left contracts' order come after those of the buckets before, which are counted.
+    merged is written once; of the columns that only tell what a conflict is, those that it has are kept.
     """
-    rows = merged.withColumn("bucket", F.floor(F.col("doc_ord_a") / a_bucket))
+    rows = saved(merged, "merged").withColumn("bucket", F.floor(F.col("doc_ord_a") / a_bucket))
     keys = ["sr", "cr", "bucket"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each bucket
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_ord_a", "doc_ord_b", "check_ord"))
     nth = (F.col("before") + inside).cast("string")
     numbered = rows.join(counts.withColumn("before", before).drop("n"), keys).withColumn("conflict_id", F.concat(F.lit("C-"), F.when(F.length(nth) < 3, F.lpad(nth, 3, "0")).otherwise(nth)))
-    return numbered.select("conflict_id", "a", "b", "type", "severity", "confidence", "subject", "entities", "quotes", "cite_a", "cite_b", "description", "recommended_action", "sr", "cr", "doc_ord_a", "doc_ord_b", "check_ord")
+    told = [c for c in ("subject", "entities", "quotes", "cite_a", "cite_b", "description", "recommended_action") if c in merged.columns]
+    return numbered.select("conflict_id", "a", "b", "type", "severity", "confidence", *told, "sr", "cr", "doc_ord_a", "doc_ord_b", "check_ord")
 
 
 def analyze(docs: DataFrame, findings: DataFrame, extractions: DataFrame) -> dict[str, DataFrame]:
     """The report of a portfolio: contracts, entity_registry, dependency_edges, obligations and conflicts."""
-    facts = contract_facts(docs, findings, extractions).checkpoint()
+    facts = saved(contract_facts(docs, findings, extractions), "facts")
     return {
         "contracts": facts.select("contract_id", "doc_ord"), "entity_registry": entity_registry(facts), "dependency_edges": dependency_edges(facts),
-        "obligations": obligation_registry(findings, facts), "conflicts": report(merge_conflicts(check_pairs(facts))),
+        "obligations": obligation_registry(findings, facts), "conflicts": report(merged_pairs(facts)),
     }

@@ -31,6 +31,13 @@ def name_pairs(names: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def names_match(x: Column, y: Column) -> Column:
+    """Whether two normalised names are equal or match as in `name_pairs`, told from the two alone."""
+    words = lambda n: F.split(n, " ")
+    within = lambda s, b: (F.size(F.array_except(words(s), words(b))) == 0) & (F.size(F.array_except(words(s), F.array(*map(F.lit, ROLE_WORDS)))) > 0)
+    return (x == y) | within(x, y) | within(y, x)
+
+
 def containing(small: DataFrame, big: DataFrame, pieces: Callable[[Column], Column]) -> DataFrame:
     """s and b: names of small(name) and of big(name) that may hold them, all pieces of s being in b.
 

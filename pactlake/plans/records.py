@@ -13,7 +13,7 @@ from pactlake.functions import labels, text
 from pactlake.operators import analysis, clause_conflicts, cross_contract, findings, geometry, handoffs, records, retrieval, sinks, statutes
 from pactlake.operators import portfolio as pf
 from pactlake.plans.clauses import table
-from pactlake.session import ensure_checkpoint_dir, shared_dir
+from pactlake.session import ensure_checkpoint_dir, saved, shared_dir
 from pactlake.sources import files
 from pactlake.streaming import jobs as queue
 from pactlake.versions import Change, Store
@@ -286,11 +286,10 @@ def retrieval_party(spark, sf_dir):
 
 
 def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The portfolio's conflicts from its records, with records and fields."""
-    ensure_checkpoint_dir(spark)
+    """The portfolio's conflicts from its records, with records and fields; not numbered, as nothing reads the numbers."""
     d, f = documents(spark, sf_dir), fields(spark, sf_dir)
-    facts = cross_contract.contract_facts(*handoffs.portfolio_tables(d, f, lines(spark, sf_dir))).checkpoint()
-    return handoffs.conflict_rows(cross_contract.report(cross_contract.merge_conflicts(cross_contract.check_pairs(facts))), f, d), d, f
+    facts = saved(handoffs.cited_fields(cross_contract.contract_facts(*handoffs.portfolio_tables(d, f, lines(spark, sf_dir))), f, d), "facts")
+    return handoffs.conflict_rows(cross_contract.merged_pairs(facts).withColumn("conflict_id", F.lit(None).cast("string")), f, d), d, f
 
 
 def record_conflicts(spark, sf_dir):

@@ -15,8 +15,9 @@ one is taken, and
 1. in each group all are compared with a leader, the one that shares the most bands;
 2. groups without their leaders whose classes are not all in one component then are
    compared within, across components only, a block of a group with another a key. Each
-   class proposes its most alike partners, of eight components at most; rounds go on
-   with the groups where one had more, and when a round adds no link, all are proposed.
+   class proposes its partners: all, if a block has some eight a class of them, else the
+   most alike ones, of eight components at most. Rounds go on with the groups where one
+   had more, and when a round adds no link, all are proposed.
 
 Compared are the registers of both: how many are greater, less and equal makes, with
 the sizes of the sets, a likelihood of their similarity, and a pair is dropped only if
@@ -247,10 +248,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, nu
     return out
 
 
-def _open(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """key, node, label and n of groups(key, node, n) that hold several components."""
-    roots = components(links).select("node", F.col("root").alias("label"))
-    rows = groups.select("key", "node", "n").join(roots, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(node, root), as of components, with links(a, b) that came since: only components that these join are gone through."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = components(both.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
+    return moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(top)
+
+
+def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, label and n of groups(key, node, n) that hold several components of roots(node, root)."""
+    labels = roots.select("node", F.col("root").alias("label"))
+    rows = groups.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
     return rows.join(several, "key", "left_semi")
 
@@ -302,7 +312,7 @@ class Block:
         return out
 
     def proposals(self, most: int | None) -> tuple[list[tuple[int, int]], bool]:
-        """Pairs (a, b), a > b, that sketches allow, each greater class's most alike partners of `most` components, and whether there are more."""
+        """Pairs (a, b), a > b, that sketches allow, and whether there are more: over `most` a class, each greater class's most alike partners of `most` components."""
         out, more = [], False
         if len(self.node) < 2 or (self.label == self.label[0]).all():
             return out, more
@@ -319,7 +329,7 @@ class Block:
         x, y, far = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((self.node[x], far, y))
         x, y = x[order], y[order]
-        if most is not None and len(x):
+        if most is not None and len(x) > most * len(self.node):
             label = self.label[x]
             best = np.zeros(len(x), dtype=bool)
             best[np.unique(np.stack([y, label], axis=1), axis=0, return_index=True)[1]] = True  # the first of each component
@@ -369,8 +379,8 @@ def _proposed(left: DataFrame, classes: DataFrame, most: int | None, num: int, d
     return dealt.mapInArrow(tidy(run), "key bigint, a bigint, b bigint")
 
 
-def _links(classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes, enough that the components are those of all links."""
+def _roots(classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """node and root, the least class of its component by all links, of each class that isn't a root."""
     groups = _groups(classes)
     degree = groups.groupBy("node").agg(F.sum("w").alias("w"))
     ranked = groups.select("key", "node").join(degree, "node")
@@ -379,16 +389,18 @@ def _links(classes: DataFrame, keyed: DataFrame, k: int, num: int, den: int) ->
     dropped(groups, leaders)
     pairs = met.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     links = _verified(saved(_likely(pairs, classes, num, den), "likely"), classes, keyed, k, num, den)
-    rest, most = met.select("key", "node", "n"), PROPOSED
+    roots, rest, most = components(links), met.select("key", "node", "n"), PROPOSED
     while True:
-        left = saved(_open(rest, links), "open")
+        left = saved(_open(rest, roots), "open")
         found = saved(_proposed(left, classes, most, num, den), "proposed")
         likely = saved(found.filter("a is not null").select("a", "b").distinct(), "likely")
         now = _verified(likely, classes, keyed, k, num, den)
-        links, new = saved(links.unionByName(now), "links"), not now.isEmpty()
+        new = not now.isEmpty()
+        if new:
+            roots = saved(_merged(roots, now), "roots")
         more = found.filter("a is null").select("key").distinct()
         if more.isEmpty():
-            return links
+            return roots
         rest, most = saved(left.select("key", "node", "n").join(more, "key", "left_semi"), "rest"), PROPOSED if new else None
 
 
@@ -405,7 +417,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
     grouped = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("r1", "r2")).alias("r"), least.alias("least"), F.first(F.struct("sketch", "parity")).alias("f"))
     classes = saved(grouped.select("n", "s1", "s2", "r.r1", "r.r2", "least", "f.sketch", "f.parity", F.monotonically_increasing_id().alias("node")), "classes")
-    roots = components(_links(classes, keyed, k, num, den))
+    roots = _roots(classes, keyed, k, num, den)
     named = classes.select("n", "s1", "s2", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = saved(named, "named")
     told = named.groupBy("root").agg(F.min("least").alias("least"))

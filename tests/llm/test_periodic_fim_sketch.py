@@ -380,3 +380,26 @@ def test_block_proposals():
     block = np.arange(45) % 2
     assert set(told(node, block, None)[0]) == {p for p in pairs if p[0] // 3 % 2 != p[1] // 3 % 2}
     assert told(whole, block, None) == ([], False)
+
+
+def test_few_proposals_come_at_once():
+    """A class may have more partners than the limit where the block has few pairs: no further round goes through its group."""
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rnd.integers(0, 2**63, 10 + i % 7, dtype=np.uint64)])) for i in range(20)]
+    sets += [np.unique(rnd.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(30)]
+    node, size = np.arange(50), np.array([len(s) for s in sets])
+    block = setsketch.Block(node, size, node, np.zeros(50, np.int64), setsketch.registers(sets), [setsketch.parity(s) for s in sets], 80, 100)
+    pairs, more = block.proposals(8)
+    assert not more and set(pairs) == {(i, j) for i in range(20) for j in range(i)}
+    assert block.proposals(3)[1]
+
+
+def test_links_that_come_later_join_components(spark):
+    """Roots with later links, between roots and not, with new nodes or none, are those of all links."""
+    first, later = [(2, 1), (3, 2), (12, 11), (22, 21), (23, 22)], [(12, 3), (23, 31), (40, 41), (13, 14), (14, 12), (3, 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    told = lambda df: sorted((r.node, r.root) for r in df.collect())
+    roots = setsketch.components(frame(first))
+    assert told(setsketch._merged(roots, frame(later))) == told(setsketch.components(frame(first + later)))
+    assert told(setsketch._merged(roots, frame([]))) == told(roots)

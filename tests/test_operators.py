@@ -413,3 +413,24 @@ def test_last_edit_holds(spark):
     rows = spark.createDataFrame([(1, "open"), (2, "open")], "id int, status string")
     patches = spark.createDataFrame([(1, "dismissed", 1), (1, "acknowledged", 2), (2, "nonsense", 3)], "id int, status string, at int")
     assert {(r.id, r.status) for r in records.update_status(rows, patches).collect()} == {(1, "acknowledged"), (2, "open")}
+
+
+def test_words_near_on_a_page():
+    """Words of a page against tokens, by counts of characters first, are all pairs that match; long words and odd characters too."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdé😀") for _ in range(rnd.choice((0, 2, 3, 4, 5, 6, 9, 12)))) for _ in range(400)] + ["ab" * 40, "ab" * 39 + "b", "termination", "terminatio", "\x00ab"]
+    tokens = words[::9] + ["terminaton", "ab" * 38]
+    matches = lambda t, w: t != w and min(len(t), len(w)) > 2 and 200 * vocabulary._common(t, w) >= 80 * (len(t) + len(w))
+    want = {(t, w): 200.0 * vocabulary._common(t, w) / (len(t) + len(w)) for t in tokens for w in words if matches(t, w)}
+    got = list(vocabulary.near(tokens, words))
+    assert dict(((t, w), r) for t, w, r in got) == want and len(got) == len(want) > 20
+    assert not list(vocabulary.near([], words)) and not list(vocabulary.near(tokens, []))
+
+
+def test_phrases_are_compared_on_their_page_only(spark, monkeypatch):
+    """Which words of all pages match all tokens is not asked for, as a phrase meets its own page alone."""
+    monkeypatch.setattr(vocabulary, "nearly_equal", None)
+    pages = spark.createDataFrame([("a", "the suplier shall deliver goods promptly".split()), ("b", "supplier".split())], "page_key string, words array<string>")
+    phrases = spark.createDataFrame([("a", 1, "supplier shall deliverr"), ("b", 2, "deliver goods")], "page_key string, phrase_id bigint, phrase string")
+    got = {r.phrase_id: (r.recall, r["text"]) for r in grounding.ground_phrases(pages, phrases).collect()}
+    assert got == {1: (100.0, "suplier shall deliver"), 2: (0.0, "")}

@@ -125,18 +125,27 @@ CHECKS: tuple[Check, ...] = (
 )
 
 
+#: Bits by which a contract's checks on the right stand beyond those on the left.
+RIGHT = 31
 _IP = next(k for k, c in enumerate(CHECKS) if c.subject[0] == "ip_assets")
 
 
 def _answered(findings: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Findings with the parts of their extractions in order and c, the citation, firm if the evidence is direct."""
+    """Findings with the parts of their extractions in order and c, the citation, firm if the evidence is direct; extractions of no finding too.
+
+    Both are shuffled once, by contract: what is asked of a contract's rows next finds them together.
+    """
+    told = findings.select("contract_id", "category", F.struct("answer", "summary", "evidence_status").alias("f"))
+    heard = extractions.select("contract_id", "category", F.struct("ord", "vlm_text", "supporting_text", "page", "clause", "is_grounded").alias("e"))
+    both = told.unionByName(heard, allowMissingColumns=True).repartition("contract_id").select("contract_id", "category", "f", F.col("e").isNotNull().alias("extracted"), "e.*")
     firm = F.coalesce("is_grounded", F.lit(False))
     said = F.coalesce(F.nullif("supporting_text", F.lit("")), "vlm_text", F.lit(""))
     quote = F.substring(F.btrim(said, F.lit(_BLANK)), 1, QUOTE)
     cited = F.struct(F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("clause", F.lit("—")).alias("clause"), quote.alias("quote"), firm.alias("firm"))
     part = F.struct("ord", F.coalesce("vlm_text", F.lit("")).alias("v"), F.coalesce("supporting_text", F.lit("")).alias("s"), said.alias("said"))
-    of = extractions.groupBy("contract_id", "category").agg(F.min_by(cited, F.struct(~firm, F.col("ord"))).alias("c"), F.array_sort(F.collect_list(part)).alias("parts"))
-    rows = findings.select("contract_id", "category", "answer", "summary", "evidence_status").join(of, ["contract_id", "category"], "full")
+    of = lambda c: F.when(F.col("extracted"), c)
+    rows = both.groupBy("contract_id", "category").agg(F.collect_list("f").alias("f"), F.min_by(cited, of(F.struct(~firm, F.col("ord")))).alias("c"), F.array_sort(F.collect_list(of(part))).alias("parts"))
+    rows = rows.select("contract_id", "category", F.explode_outer("f").alias("f"), "c", "parts").select("contract_id", "category", "f.*", "c", "parts")
     return rows.withColumn("c", F.when(F.col("c").isNotNull(), F.col("c").withField("firm", F.col("c.firm") & (F.coalesce("evidence_status", F.lit("unresolved")) == "direct"))))
 
 
@@ -215,8 +224,11 @@ def _meetings(left: DataFrame, right: DataFrame, only: DataFrame | None) -> list
 def _matches(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """met(x, y), names that match, and facts with linked, those of a contract's names that match another one than themselves."""
     met = saved(entities.matching_names(_named(facts).select("name").distinct()), "met")
+    none = F.array().cast("array<string>")
+    if met.filter("x <> y").isEmpty():  # the usual case: facts needn't be shuffled to learn nothing
+        return met, facts.withColumn("linked", none)
     own = _named(facts).join(met.filter("x <> y").select(F.col("x").alias("name")).distinct(), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("linked"))
-    return met, facts.join(own, "contract_id", "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
+    return met, facts.join(own, "contract_id", "left").withColumn("linked", F.coalesce("linked", none))
 
 
 def _matching() -> Column:
@@ -244,13 +256,13 @@ def dependency_edges(facts: DataFrame) -> DataFrame:
     return amends.unionByName(family).unionByName(pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("inferred").alias("kind"), F.lit(True).alias("inferred")))
 
 
-def _side(facts: DataFrame, side: str) -> tuple[Column, list[Column]]:
-    """The citation of each check that a contract may stand in on a side, null elsewhere, as an array and one by one."""
+def _side(side: str) -> list[Column]:
+    """The citation of each check that a contract may stand in on a side, null elsewhere."""
     rows = []
     for check in CHECKS:
         test, cite = (f() for f in getattr(check, side))
         rows.append(F.when(test & (F.coalesce(cite["quote"], F.lit("")) != ""), cite))
-    return F.array(*rows), rows
+    return rows
 
 
 def usual_names(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
@@ -260,17 +272,27 @@ def usual_names(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
     return met.join(common, "y", "left_semi").select("x").distinct()
 
 
-def _may(facts: DataFrame, side: str, s: str) -> DataFrame:
-    """Contracts that may stand on a side, as `s`: what checks ask of them, a bit for each check, and citations, each kept once, with their places by check."""
-    cites, each = _side(facts, side)
-    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(c.isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(each)))
-    rows = facts.withColumns({"cited": cites, "bits": bits, "open": F.array_contains("unresolved", "exclusivity")}).filter("bits <> 0")
+def _may(facts: DataFrame) -> DataFrame:
+    """Contracts that may stand on a side: what checks ask of them, a bit for each check on the left and, RIGHT bits on, on the right, and citations, each kept once, with their places by side and check.
+
+    The columns are the same for both sides, so that contracts that meet are shuffled once and read from both.
+    """
+    each = [*_side("left"), *_side("right")]
+    bit = lambda k: F.lit(1 << (k % len(CHECKS)) + (RIGHT if k >= len(CHECKS) else 0)).cast("bigint")
+    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(c.isNotNull(), bit(k)).otherwise(F.lit(0).cast("bigint")) for k, c in enumerate(each)))
+    rows = facts.withColumns({"cited": F.array(*each), "bits": bits, "open": F.array_contains("unresolved", "exclusivity")}).filter("bits <> 0")
     rows = rows.withColumn("cites", F.array_distinct(F.array_compact("cited")))
     place = F.transform("cited", lambda c: F.coalesce(F.array_position("cites", c), F.lit(0))).cast("array<tinyint>")
-    ip_assets = F.when(F.col("bits").bitwiseAND(F.lit(1 << _IP)) != 0, F.col("ip_assets"))
+    ip = F.lit((1 << _IP) | (1 << _IP + RIGHT)).cast("bigint")
+    ip_assets = F.when(F.col("bits").bitwiseAND(ip) != 0, F.col("ip_assets"))
     own = ["file"] if "file" in facts.columns else []
     kept = {"ord": "doc_ord", **{c: c for c in ("bits", "names", "linked", "usual", "assets", "start", "end", "territories", "law", "open", "cites", *own)}}
-    return rows.select(F.col("contract_id").alias(s), *(F.col(c).alias(f"{n}_{s}") for n, c in kept.items()), ip_assets.alias(f"ip_assets_{s}"), place.alias(f"place_{s}"))
+    return rows.select("contract_id", *(F.col(c).alias(n) for n, c in kept.items()), ip_assets.alias("ip_assets"), place.alias("place"))
+
+
+def _as(may: DataFrame, s: str) -> DataFrame:
+    """Contracts as side `s` of a pair; keys by which they meet keep their names."""
+    return may.select(*(F.col(c) if c in ("kind", "key", "x") else F.col(c).alias(s if c == "contract_id" else f"{c}_{s}") for c in may.columns))
 
 
 def _met_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame | None = None) -> DataFrame:
@@ -287,23 +309,28 @@ def _met_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame
     else:  # names that many share don't make a pair, but are named where a pair is made
         often = _named(facts).join(usual.withColumnRenamed("x", "name"), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("usual"))
         facts = facts.join(often, "contract_id", "left").withColumn("usual", F.coalesce("usual", none))
-    left, right = _may(facts, "left", "a"), _may(facts, "right", "b").drop("usual_b")
-
-    name, asset = "a name", "an asset"
-    by_name = left.withColumn("x", F.explode(F.array_except("names_a", "usual_a"))).join(met, "x").select(F.lit(name).alias("kind"), F.col("y").alias("key"), "x", *left.columns)
-    one = by_name.unionByName(left.select(F.lit(asset).alias("kind"), F.explode("assets_a").alias("key"), F.lit("").alias("x"), "*"))
-    of = lambda what: lambda k: F.struct(F.lit(what).alias("kind"), k.alias("key"))
-    keys = F.concat(F.transform("names_b", of(name)), F.transform("assets_b", of(asset)))
-    two = right.withColumn("k", F.explode(keys)).select("k.*", *right.columns)
-    met_at = [x.join(y, ["kind", "key"]).filter("ord_a < ord_b and (bits_a & bits_b) <> 0") for x, y in _meetings(one, two, only)]
+    may = _may(facts)
+
+    # Contracts of one name or asset meet from one table, which is shuffled once; the few whose names only match, by what they match.
+    name, asset = 0, 1
+    of = lambda what: lambda k: F.struct(F.lit(what).cast("tinyint").alias("kind"), k.alias("key"))
+    keys = F.concat(F.transform(F.array_except("names", "usual"), of(name)), F.transform("assets", of(asset)))
+    keyed = may.select(F.explode(keys).alias("k"), "*").select("k.*", *may.columns)
+    other = met.filter("x <> y")
+    linked = may.filter(F.size("linked") > 0)
+    near = linked.withColumn("x", F.explode(F.array_except("linked", "usual"))).join(other, "x").select(F.lit(name).cast("tinyint").alias("kind"), F.col("y").alias("key"), "x", *may.columns)
+    held = linked.select(F.lit(name).cast("tinyint").alias("kind"), F.explode("linked").alias("key"), *may.columns)
+    may_meet = (F.col("ord_a") < F.col("ord_b")) & (F.col("bits_a").bitwiseAND(F.shiftright("bits_b", RIGHT)) != 0)
+    met_at = [x.join(y, ["kind", "key"]).filter(may_meet).withColumn("x", F.col("key")) for x, y in _meetings(_as(keyed, "a"), _as(keyed, "b"), only)]
+    met_at += [x.join(y, ["kind", "key"]).filter(may_meet) for x, y in _meetings(_as(near, "a"), _as(held, "b"), only)]
     pairs = reduce(DataFrame.unionByName, met_at)
 
     pairs = pairs.withColumns({"entities": _matching(), "assets": F.array_sort(F.array_intersect("assets_a", "assets_b"))})
-    pairs = pairs.withColumns({"ents": F.array_except("entities", "usual_a"), "ip_assets": F.coalesce(F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b")), none)})
+    pairs = pairs.withColumns({"ents": F.array_except("entities", F.array_union("usual_a", "usual_b")), "ip_assets": F.coalesce(F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b")), none)})
     first = F.when(F.col("kind") == name, (F.get("ents", F.lit(0)) == F.col("x")) & (_least_match() == F.col("key"))).otherwise((F.size("ents") == 0) & (F.get("assets", F.lit(0)) == F.col("key")))
     tests = []
     for k, check in enumerate(CHECKS):
-        test = F.col("bits_a").bitwiseAND(F.col("bits_b")).bitwiseAND(F.lit(1 << k)) != 0
+        test = F.col("bits_a").bitwiseAND(F.shiftright("bits_b", RIGHT)).bitwiseAND(F.lit(1 << k)) != 0
         for need in check.needs:
             test = test & (F.size(need) > 0)
         tests.append(F.when(test & check.pair() if check.pair else test, F.lit(k)))
@@ -311,7 +338,7 @@ def _met_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame
 
 
 def _cited(k: Column, s: str) -> Column:
-    return F.get(f"cites_{s}", F.get(f"place_{s}", k) - 1)
+    return F.get(f"cites_{s}", F.get(f"place_{s}", k if s == "a" else k + len(CHECKS)) - 1)
 
 
 def _confidence(k: Column) -> Column:

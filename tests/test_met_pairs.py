@@ -65,6 +65,32 @@ def test_no_shuffle_of_pairs(facts):
         assert "hashpartitioning(a#" not in plan and "hashpartitioning(b#" not in plan
 
 
+def test_both_sides_read_one_shuffle(facts, spark):
+    set_to = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    try:
+        for found in (cc.check_pairs(facts), cc.merged_pairs(facts)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "ReusedExchange" in plan and "hashpartitioning(kind#" in plan
+    finally:
+        for k in set_to:
+            spark.conf.unset(k)
+
+
+def test_facts_of_contracts_in_one_shuffle(spark):
+    found = spark.createDataFrame([(1, "exclusivity", "present", "", "direct"), (1, "exclusivity", "unresolved", "", "direct"), (2, "parties", "present", "", "direct")], "contract_id bigint, category string, answer string, summary string, evidence_status string")
+    told = spark.createDataFrame([(2, "parties", 0, None, "Acme and Beta", 1, None, True), (3, "non_compete", 0, "x", "", 1, None, True)], "contract_id bigint, category string, ord int, vlm_text string, supporting_text string, page int, clause string, is_grounded boolean")
+    docs = spark.createDataFrame([(k, k, [], None, None) for k in (1, 2, 3, 4)], "contract_id bigint, doc_ord bigint, counterparties array<string>, family string, amends bigint")
+    facts = cc.contract_facts(docs, found, told)
+    rows = {r.contract_id: r for r in facts.collect()}
+    assert (rows[1].present, rows[1].unresolved, rows[1].cites) == (["exclusivity"], ["exclusivity"], {})
+    assert rows[2].names == ["acme", "beta"] and rows[2].cites["parties"].firm and rows[4].cites is None
+    assert rows[3].present == [] and rows[3].unresolved == [] and rows[3].cites["non_compete"].quote == "x" and not rows[3].cites["non_compete"].firm
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [contract_id" in plan and "FullOuter" not in plan
+
+
 def test_obligations_without_facts(spark):
     found = spark.createDataFrame([(1, "exclusivity", "present", "s", "direct"), (1, "parties", "present", "", "direct"), (2, "non_compete", "unresolved", "", "unresolved"), (3, "non_compete", "present", None, "direct")], "contract_id bigint, category string, answer string, summary string, evidence_status string")
     told = spark.createDataFrame([(1, "exclusivity", 1, "v", "", 2, "C", True), (1, "exclusivity", 0, "w", "said ", 1, None, False), (2, "non_compete", 0, "x", "", 1, None, True)], "contract_id bigint, category string, ord int, vlm_text string, supporting_text string, page int, clause string, is_grounded boolean")

@@ -1,0 +1,50 @@
+"""Words that nearly are tokens: found where the words are, block by block, and none missed."""
+
+from __future__ import annotations
+
+import random
+
+from pactlake.operators import vocabulary
+
+
+def _pairs(tokens, words):
+    fits = lambda t, w: t != w and min(len(t), len(w)) > 2 and 200 * vocabulary._common(t, w) >= 80 * (len(t) + len(w))
+    return {(t, w): 200.0 * vocabulary._common(t, w) / (len(t) + len(w)) for t in tokens for w in words if fits(t, w)}
+
+
+def _words(rng, n):
+    out = set()
+    for _ in range(n):
+        w = [rng.choice("abcdeü") for _ in range(rng.choice((1, 2, 3, 5, 8, 9, 11, 12, 13, 14, 18, 70)))]
+        out.add("".join(w))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice(("", "x", "aa"))
+        out.add("".join(w))
+    return sorted(out - {""})
+
+
+def test_tokens_against_brute_force(monkeypatch):
+    rng = random.Random(11)
+    tokens, words = _words(rng, 120), _words(rng, 150)
+    words = sorted({*words, *rng.sample(tokens, 40), *(t[:3] + t[4:] for t in tokens if len(t) > 4)})
+    want = _pairs(tokens, words)
+    assert {len(t) > vocabulary.SHORT for t, _ in want} == {len(w) > vocabulary.SHORT for _, w in want} == {True, False}
+    for cells in (1 << 22, 64):
+        monkeypatch.setattr(vocabulary, "CELLS", cells)
+        index = vocabulary.Tokens(tokens)
+        x, y, ratio = index.near(words)
+        got = [(tokens[i], words[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert dict(zip(got, ratio.tolist(), strict=True)) == want and len(got) == len(want)
+    assert not len(vocabulary.Tokens([]).near(words)[0]) and not len(index.near([])[0])
+
+
+def test_blocks_of_tokens_without_a_join(spark):
+    rng = random.Random(12)
+    tokens, words = _words(rng, 40), _words(rng, 40)
+    words = sorted({*words, *(t[1:] for t in tokens if len(t) > 1)})
+    t, w = spark.createDataFrame([(x,) for x in tokens], "token string"), spark.createDataFrame([(x,) for x in words], "word string")
+    for size in (1 << 18, 100):
+        found = vocabulary.nearly_equal(t, w, size)
+        got = {(r.token, r.word): r.ratio for r in found.collect()}
+        assert got == _pairs(tokens, words) and found.count() == len(got)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

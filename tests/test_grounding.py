@@ -1,0 +1,53 @@
+"""Phrases are looked for where the pages are: none is written, joined or lost, and an alignment goes by all its starts at once."""
+
+from __future__ import annotations
+
+import random
+
+from pactlake.operators import grounding
+
+
+def _by_word(page, tokens):
+    """The best alignment, a start and a word at a time."""
+    starts, best = [], ((0, 0), [])
+    for lead in tokens[:3]:
+        if starts := [i for i, w in enumerate(page.words) if w in page.near(lead)][: grounding.STARTS]:
+            break
+    for start in starts:
+        met, at = [], start
+        for t in tokens:
+            ahead = [(page.near(t).get(w, 0.0), -i) for i, w in enumerate(page.words[at : at + grounding.LOOKAHEAD], at)]
+            if ahead and max(ahead)[0] > 0:
+                met.append(-max(ahead)[1])
+                at = met[-1] + 1
+        if met and (not best[1] or (len(met), met[0] - met[-1]) > best[0]):
+            best = ((len(met), met[0] - met[-1]), met)
+    return best[1]
+
+
+def test_all_starts_at_once():
+    rnd, found = random.Random(4), 0
+    for _ in range(600):
+        vocab = [f"w{i}" for i in range(rnd.choice((3, 8, 30)))]
+        words = [rnd.choice([*vocab, ""]) for _ in range(rnd.choice((0, 1, 5, 60, 150)))]
+        tokens = [rnd.choice([*vocab, "q1", "q2", "q3"]) for _ in range(rnd.randint(1, 14))]
+        near = [(rnd.choice(tokens), rnd.choice(vocab), rnd.choice((80.0, 90.0, 88.9))) for _ in range(rnd.randint(0, 8))]
+        page = grounding.Page(words)
+        page.learn(x for x in near if x[0] != x[1])
+        want, least = _by_word(page, tokens), grounding.needed(len(tokens), 85.0)
+        assert page.align(tokens) == want
+        assert page.align(tokens, least) == (want if len(want) >= least else [])
+        found += len(want) >= least
+    assert found > 50
+
+
+def test_phrases_come_to_the_pages(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "WORDS", 5)
+    text = "the supplier shall deliver all goods promptly to the warehouse of the buyer".split()
+    pages = spark.createDataFrame([("a", text), ("b", text[2:]), ("c", None), ("d", []), ("e", ["--", "goods"])], "page_key string, words array<string>")
+    phrases = spark.createDataFrame([(1, "suplier shall delivr all goods"), (2, "deliver all gods promptly to the warehouse"), (3, None), (4, "--"), (5, "nothing of this")], "phrase_id bigint, phrase string")
+    for size in (1 << 18, 30):
+        found = grounding.ground_anywhere(pages, phrases, block_bytes=size)
+        assert sorted((r.page_key, r.phrase_id, r["text"]) for r in found.collect()) == [("a", 1, "supplier shall deliver all goods"), ("a", 2, "deliver all goods promptly to the warehouse"), ("b", 2, "deliver all goods promptly to the warehouse")]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Relation" not in plan

@@ -20,13 +20,25 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether each node of edges(u, v) hangs on one node that hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    told = ends.groupBy("node").agg((F.sum("up") + F.max("root") > 1).alias("apart")).filter("apart")
+    return not told.agg(F.count(F.lit(1))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, of each node of edges(a, b) that isn't a root."""
     now = saved(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        told = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if told == before or not told[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = told
+    while not _starred(now):
         now = saved(_stars(_stars(now, True), False), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(node, root), as of components, with links(a, b) that came since: only components that these join are gone through."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = components(both.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
+    return moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(top)

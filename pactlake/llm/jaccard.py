@@ -6,19 +6,21 @@ n - ceil(t n) + 1 in any order of tokens. Here all orders put tokens first that
 other text has and tokens that are frequent last, and differ in how they hash
 tokens of equal rank. A text whose prefix has only tokens of its own links with
 nothing. Which tokens others have is looked up, exactly, for each fourth token of
-all texts, then for all tokens of the texts that are left, twice. Texts still left
-are grouped by shared prefix tokens of the first order, of groups with the same texts
-one is taken, and
+all texts, then for all tokens of the texts that are left. Texts still left are
+grouped by shared prefix tokens of the first order, of groups with the same texts one
+is taken, and
 
 1. in each group all texts are compared with one leader;
 2. in groups whose texts are not all in one component then, texts of different
    components are compared by what is small: a sketch of the prefix under each
    further order, which tells where two prefixes surely share no token, and one of
    the whole set, which gives a least number of tokens that only one of two sets has.
-   Each text proposes the most alike partners that all filters let pass, eight at
-   first; these are verified, and rounds go on, with eight times as many, in groups
-   where a text had more to propose. No filter drops a link, so the components are
-   those of all links; nothing is capped, and what leaves a group are proposals only.
+   A block tells all pairs that all filters let pass if they are at most eight a
+   text; else each text proposes its most alike partners, eight at first. These are
+   verified, and rounds go on, with eight times as many, in groups where there were
+   more to propose; links found there join components that are known. No filter drops
+   a link, so the components are those of all links; nothing is capped, and what
+   leaves a group are proposals only.
 
 A group of n copies so takes n comparisons. A group of more than BLOCK texts is
 compared by pairs of blocks of it, each a task's key of its own. Verification is on
@@ -40,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, merged
 from .storage import dropped, saved, small_batches, tidy
 from .substrings import FLUSH, Router, _found, _parts, _positions, _ROUTED, bit_filter
 from .textkit import NON_SPACE, Texts, Words, grams, mix, slices, whole
@@ -194,7 +196,7 @@ def _candidates(reps: DataFrame, rows: DataFrame, order: Broadcast, k: int, num:
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
     near = reps.select("rid", "text")
     stale: list[DataFrame] = []
-    for look, asked in ((looked_up, "looked"), (all_looked_up, "n"), (all_looked_up, "n")):
+    for look, asked in ((looked_up, "looked"), (all_looked_up, "n")):
         shared = _found(near.select("rid", "text").mapInArrow(tidy(look), _ROUTED), 5, "shared")
         stale.append(shared)
         shared = shared.withColumnRenamed("body", "shared")
@@ -204,7 +206,7 @@ def _candidates(reps: DataFrame, rows: DataFrame, order: Broadcast, k: int, num:
         near = saved(near.select("rid", "text", "shared"), "near")
         dropped(*stale)
         stale = [near, left]
-        met = _found(near.mapInArrow(tidy(prefixes), _ROUTED), 6, "prefixes")
+    met = _found(near.mapInArrow(tidy(prefixes), _ROUTED), 6, "prefixes")
     out = saved(near.join(met.withColumnRenamed("body", "met"), "rid").select("rid", "text", "shared", "met").mapInArrow(tidy(details), "rid bigint, size bigint, tokens array<bigint>, shared binary, body binary, sketch binary, heads binary"), "sets")
     dropped(*stale, met)
     return out
@@ -256,10 +258,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.join(one, "token")
 
 
-def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
         return rows.withColumn("label", F.col("rid"))
-    roots = components(links)
     return rows.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("root", "rid")).drop("root")
 
 
@@ -302,19 +303,24 @@ class _Block:
         return np.concatenate(found), np.concatenate(bits)
 
     def proposals(self, most: int, within: bool) -> tuple[list[tuple[int, int]], bool]:
-        """Pairs (a, b) with a > b, at most so many a text, and whether there are more."""
-        out, more = [], False
+        """Pairs (a, b) with a > b, all if they are at most so many a text on average, else at most so many of each, and whether there are more."""
+        found, total = [], 0
         if len(self.rid) < 2 or (self.label == self.label[0]).all():
-            return out, more
+            return [], False
         least = np.searchsorted(self.size, -(-self.num * self.size // self.den))
+        room = most * len(self.rid)
         for a, b, rows in self.runs:
             for i in range(max(a, 1), b):
                 at, bits = self.candidates(i, rows[i - a], int(least[i]), within)
                 pairs = [(max(x, y), min(x, y)) for x, y in ((int(self.rid[i]), int(self.rid[j])) for j in at[np.argsort(bits, kind="stable")])]
                 pairs = [p for p in pairs if p not in self.refuted]
-                more |= len(pairs) > most
-                out += pairs[:most]
-        return out, more
+                before, total = total, total + len(pairs)
+                if before <= room < total:
+                    found = [x[:most] for x in found]
+                if pairs:
+                    found.append(pairs if total <= room else pairs[:most])
+        out = [p for x in found for p in x]
+        return out, len(out) < total
 
 
 def _proposed(left: DataFrame, sets: DataFrame, refuted: DataFrame | None, most: int, num: int, den: int) -> DataFrame:
@@ -351,29 +357,41 @@ def _proposed(left: DataFrame, sets: DataFrame, refuted: DataFrame | None, most:
     return dealt.mapInArrow(tidy(run), "token bigint, a bigint, b bigint")
 
 
-def _links(sets: DataFrame, order: Broadcast, num: int, den: int, every: bool = False) -> DataFrame:
-    """Links (a, b) between texts: `every` one, or enough that the components are those of all links."""
-    exploded = sets.select("rid", "size", F.size("tokens").alias("met"), F.explode("tokens").alias("token"))
-    groups = saved(_groups(exploded), "groups")
+def _met(sets: DataFrame) -> DataFrame:
+    """(token, rid, size, met) of the groups of texts that share prefix tokens."""
+    return saved(_groups(sets.select("rid", "size", F.size("tokens").alias("met"), F.explode("tokens").alias("token"))), "groups")
+
+
+def _opened(groups: DataFrame, roots: DataFrame | None) -> DataFrame:
+    return saved(_open(_labelled(groups, roots)).select("token", "rid", "size", "label", "n"), "open")
+
+
+def _links(sets: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
+    """All links (a, b) between texts."""
+    found = _proposed(_opened(_met(sets), None), sets, None, 1 << 62, num, den)
+    return _verified(found.select("a", "b").distinct(), sets, order, num, den)
+
+
+def _roots(sets: DataFrame, order: Broadcast, num: int, den: int) -> DataFrame:
+    """node and root, the least text of its component by all links, of each text that isn't a root."""
+    groups = _met(sets)
     sets = sets.drop("tokens")
-    links = refuted = None
-    if not every:
-        rank = F.struct(F.col("met") / F.col("size"), F.col("met"), F.col("rid"))
-        leaders = groups.groupBy("token").agg(F.max(F.struct(rank.alias("k"), F.col("rid").alias("a"), F.col("size").alias("na"))).alias("l")).select("token", "l.a", "l.na")
-        fits = (F.col("a") != F.col("rid")) & (den * F.least("size", "na") >= num * F.greatest("size", "na"))
-        pairs = groups.join(leaders, "token").filter(fits).select(F.least("a", "rid").alias("b"), F.greatest("a", "rid").alias("a")).distinct()
-        links = _verified(pairs, sets, order, num, den)
-    most = PROPOSED if not every else 1 << 62
+    rank = F.struct(F.col("met") / F.col("size"), F.col("met"), F.col("rid"))
+    leaders = groups.groupBy("token").agg(F.max(F.struct(rank.alias("k"), F.col("rid").alias("a"), F.col("size").alias("na"))).alias("l")).select("token", "l.a", "l.na")
+    fits = (F.col("a") != F.col("rid")) & (den * F.least("size", "na") >= num * F.greatest("size", "na"))
+    pairs = groups.join(leaders, "token").filter(fits).select(F.least("a", "rid").alias("b"), F.greatest("a", "rid").alias("a")).distinct()
+    roots, refuted, most = components(_verified(pairs, sets, order, num, den)), None, PROPOSED
     while True:
-        left = saved(_open(_labelled(groups, links)).select("token", "rid", "size", "label", "n"), "open")
-        found = saved(_proposed(left, sets, refuted, most, num, den), "proposed")
-        pairs = found.filter("a is not null").select("a", "b").distinct()
-        links_now = _verified(pairs, sets, order, num, den)
-        links = links_now if links is None else saved(links.unionByName(links_now), "links")
+        found = saved(_proposed(_opened(groups, roots), sets, refuted, most, num, den), "proposed")
+        if found.isEmpty():
+            return roots
+        now = _verified(found.filter("a is not null").select("a", "b").distinct(), sets, order, num, den)
+        if not now.isEmpty():
+            roots = saved(merged(roots, now), "roots")
         more = found.filter("a is null").select("token").distinct()
-        if not more.head(1):
-            return links
-        refuted_now = found.filter("a is not null").join(more, "token").join(links_now, ["a", "b"], "left_anti")
+        if found.filter("a is null").isEmpty():
+            return roots
+        refuted_now = found.filter("a is not null").join(more, "token").join(now, ["a", "b"], "left_anti")
         refuted = saved(refuted_now if refuted is None else refuted.unionByName(refuted_now.select(*refuted.columns)), "refuted")
         groups, most = groups.join(more, "token"), 8 * most
 
@@ -398,7 +416,7 @@ def jaccard_links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, te
     A class that links with nothing is in no link; rows of one class link with each other if they have a word.
     """
     rows, classes, sets, order = _classes(docs, k, num, den, text, id)
-    links = _links(sets, order, num, den, every=True)
+    links = _links(sets, order, num, den)
     named = rows.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     return links, named.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("rep", "rid").alias("class"))
 
@@ -410,7 +428,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     each component, that of its least id, and for all texts without words.
     """
     rows, classes, sets, order = _classes(docs, k, num, den, text, id)
-    roots = components(_links(sets, order, num, den))
+    roots = _roots(sets, order, num, den)
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     named = saved(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("least"))

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .graph import merged as _merged
 from .jaccard import folded, shingle_sets
 from .storage import byte_batches, dropped, saved, tidy
 from .substrings import bit_filter
@@ -248,15 +249,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, nu
     return out
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots(node, root), as of components, with links(a, b) that came since: only components that these join are gone through."""
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    top = components(both.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
-    return moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(top)
-
-
 def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """key, node, label and n of groups(key, node, n) that hold several components of roots(node, root)."""
     labels = roots.select("node", F.col("root").alias("label"))

@@ -655,3 +655,41 @@ def test_line_queries_and_sql(spark, sf_dir, name):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     assert sorted_rows(queries.queries()[name](spark, sf_dir), *want.columns) == sorted(want.fetchall(), key=repr)
+
+
+def test_few_rounds(spark, monkeypatch):
+    """Stars are components at once; few pairs of a block are told whole; no round comes after the last links, and no lookup whose result nothing reads."""
+    from pactlake.llm import graph, substrings
+
+    names: list[str] = []
+    for module in (graph, jaccard, substrings):
+        monkeypatch.setattr(module, "saved", lambda df, name, f=module.saved: (names.append(name), f(df, name))[1])
+    stars = spark.createDataFrame([(i, 0) for i in range(1, 9)] + [(11, 10), (3, 3)], "a bigint, b bigint")
+    assert {r.node: r.root for r in graph.components(stars).collect()} == {i: 0 for i in range(1, 9)} | {11: 10}
+    assert names == ["edges"]
+    assert not graph.components(stars.filter("a = b")).count()
+
+    # sets of 100 tokens, the last one alone like twelve others that are in components of their own
+    words = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.append(words[:-1], np.uint64(10_000 + i)) for i in range(12)] + [words]
+    row = lambda i, s, label: {"rid": i, "size": len(s), "label": label, "b": 0, "sketch": jaccard.sketch(s), "heads": jaccard.prefix_bits(s[:20]) * (jaccard.ORDERS - 1)}
+    block = jaccard._Block([row(i, s, int(i == 12)) for i, s in enumerate(sets)], 85, 100)
+    assert block.proposals(8, True) == ([(12, i) for i in range(12)], False)
+    some, more = block.proposals(0, True)
+    assert not some and more
+
+    names.clear()
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(0, 90, 9)] + [(1000, "a b c d e"), (1001, "a b c d f")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted_rows(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows, 4, 85, 100)
+    assert names.count("prefixes") == 1 and names.count("proposed") <= 1
+
+
+def test_links_that_come_later(spark):
+    from pactlake.llm.graph import components, merged
+
+    first, later = [(5, 4), (4, 3), (9, 8), (21, 20)], [(9, 5), (8, 4), (30, 31), (2, 30)]
+    frame = lambda some: spark.createDataFrame(some, "a bigint, b bigint")
+    told = lambda roots: sorted((r.node, r.root) for r in roots.collect())
+    assert told(merged(components(frame(first)), frame(later))) == told(components(frame(first + later)))

@@ -51,3 +51,19 @@ def test_phrases_come_to_the_pages(spark, monkeypatch):
         assert sorted((r.page_key, r.phrase_id, r["text"]) for r in found.collect()) == [("a", 1, "supplier shall deliver all goods"), ("a", 2, "deliver all goods promptly to the warehouse"), ("b", 2, "deliver all goods promptly to the warehouse")]
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Relation" not in plan
+
+
+def test_only_what_can_be_found_is_gone_through(monkeypatch):
+    """Starts are left when the tokens that match a word are too few; a page learns what the phrases it may have ask for, and words of no match keep nothing."""
+    asked, went = grounding.Phrases([(1, ["alpha", "bravo", "", "charlie"]), (2, ["delta", "echoes"])], 85.0), []
+    asked.learn(["alpha", "bravos", "delta", "zzzzz"])
+    assert asked.known["zzzzz"] is None
+    assert sorted(asked.near(["alpha", "bravos", "delta"], [0])) == [("alpha", "alpha", 100.0), ("bravo", "bravos", 200.0 * 5 / 11)]
+    assert asked.asked(["alpha", "bravos", "delta"]) == [] and asked.asked([]) == []
+
+    page = grounding.Page(["alpha", "bravo", "alpha", "x", "bravo"])
+    monkeypatch.setattr(page, "_ratios", lambda t, f=page._ratios: (went.append(t), f(t))[1])
+    assert page.align(["alpha", "none", "never", "bravo"], 3) == [] and not went
+    assert page.align(["alpha", "none", "never", "bravo"], 2) == [0, 1]
+    page.learn([("none", "x", 90.0)])
+    assert page.align(["alpha", "none", "never", "bravo"], 3) == [2, 3, 4]

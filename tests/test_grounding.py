@@ -67,3 +67,17 @@ def test_only_what_can_be_found_is_gone_through(monkeypatch):
     assert page.align(["alpha", "none", "never", "bravo"], 2) == [0, 1]
     page.learn([("none", "x", 90.0)])
     assert page.align(["alpha", "none", "never", "bravo"], 3) == [2, 3, 4]
+
+
+def test_no_start_is_left_out(spark, monkeypatch):
+    """A passage that follows hundreds of places where it might begin, be they gone through in blocks or at once."""
+    words = [w for k in range(450) for w in ("the", f"x{k}")] + "the supplier shall deliver goods".split()
+    pages = spark.createDataFrame([("a", words)], "page_key string, words array<string>")
+    phrases = spark.createDataFrame([(1, "the supplier shall deliver goods")], "phrase_id bigint, phrase string")
+    assert [(r["first"], r["last"]) for r in grounding.ground_anywhere(pages, phrases).collect()] == [(900, 904)]
+    page = grounding.Page(words)
+    for at_once in (1, 7, 450):
+        monkeypatch.setattr(grounding, "STARTS", at_once)
+        for least in (0, 5):
+            assert page.align(["the", "supplier", "shall", "deliver", "goods"], least) == list(range(900, 905))
+    assert page.align(["the", "x3", "the"]) == [6, 7, 8] and page.align(["the", "none"]) == [0]

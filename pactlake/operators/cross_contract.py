@@ -125,8 +125,12 @@ CHECKS: tuple[Check, ...] = (
 )
 
 
+#: Categories that checks cite.
+CITED = tuple(dict.fromkeys((*PRIORITY, "renewal_term", "expiration_date", "third_party_beneficiary", "governing_law")))
 #: Bits by which a contract's checks on the right stand beyond those on the left.
 RIGHT = 31
+#: Bytes of a generated method that Java doesn't compile: Spark is to run such a stage by operators, whose code is cut into small methods.
+HUGE = 8000
 _IP = next(k for k, c in enumerate(CHECKS) if c.subject[0] == "ip_assets")
 
 
@@ -221,18 +225,20 @@ def _meetings(left: DataFrame, right: DataFrame, only: DataFrame | None) -> list
     return [(left.join(a, "a", "left_semi"), right), (left.join(a, "a", "left_anti"), right.join(b, "b", "left_semi"))]
 
 
-def _matches(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """met(x, y), names that match, and facts with linked, those of a contract's names that match another one than themselves."""
+def _matches(facts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """met(x, y), names that match, facts with linked, those of a contract's names that match another one than themselves, and whether there are such names."""
     met = saved(entities.matching_names(_named(facts).select("name").distinct()), "met")
     none = F.array().cast("array<string>")
     if met.filter("x <> y").isEmpty():  # the usual case: facts needn't be shuffled to learn nothing
-        return met, facts.withColumn("linked", none)
+        return met, facts.withColumn("linked", none), False
     own = _named(facts).join(met.filter("x <> y").select(F.col("x").alias("name")).distinct(), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("linked"))
-    return met, facts.join(own, "contract_id", "left").withColumn("linked", F.coalesce("linked", none))
+    return met, facts.join(own, "contract_id", "left").withColumn("linked", F.coalesce("linked", none)), True
 
 
-def _matching() -> Column:
-    """Names of contract a that match a name of b, in order."""
+def _matching(linked: bool = True) -> Column:
+    """Names of contract a that match a name of b, in order; linked: whether names match that aren't equal."""
+    if not linked:
+        return F.sort_array(F.array_intersect("names_a", "names_b"))
     near = F.filter("linked_a", lambda x: F.exists("linked_b", lambda y: entities.names_match(x, y)))
     return F.array_sort(F.array_union(F.array_intersect("names_a", "names_b"), near))
 
@@ -245,7 +251,7 @@ def _least_match() -> Column:
 
 def dependency_edges(facts: DataFrame) -> DataFrame:
     """source, target, kind and inferred: amendments of contracts that are there, families both ways, and pairs that share a party while their windows meet."""
-    met, facts = _matches(facts)
+    met, facts, _ = _matches(facts)
     ids = facts.select(F.col("contract_id").alias("target"))
     amends = facts.select(F.col("contract_id").alias("source"), F.col("amends").alias("target")).join(ids, "target", "left_semi").select("source", "target", F.lit("amends").alias("kind"), F.lit(False).alias("inferred"))
     kin = facts.select("family", F.col("contract_id").alias("target"))
@@ -257,11 +263,11 @@ def dependency_edges(facts: DataFrame) -> DataFrame:
 
 
 def _side(side: str) -> list[Column]:
-    """The citation of each check that a contract may stand in on a side, null elsewhere."""
+    """The place of the citation of each check that a contract may stand in on a side, null elsewhere."""
     rows = []
     for check in CHECKS:
         test, cite = (f() for f in getattr(check, side))
-        rows.append(F.when(test & (F.coalesce(cite["quote"], F.lit("")) != ""), cite))
+        rows.append(F.when(test & (F.coalesce(cite["quote"], F.lit("")) != ""), cite["at"]))
     return rows
 
 
@@ -273,21 +279,23 @@ def usual_names(facts: DataFrame, met: DataFrame | None = None) -> DataFrame:
 
 
 def _may(facts: DataFrame) -> DataFrame:
-    """Contracts that may stand on a side: what checks ask of them, a bit for each check on the left and, RIGHT bits on, on the right, and citations, each kept once, with their places by side and check.
+    """Contracts that may stand on a side: what checks ask of them, a bit for each check on the left and, RIGHT bits on, on the right, and citations with their places by side and check, 0 for none, and marks of their quotes.
 
     The columns are the same for both sides, so that contracts that meet are shuffled once and read from both.
     """
-    each = [*_side("left"), *_side("right")]
+    cited = F.map_filter("cites", lambda c, _: c.isin(*CITED))
+    rows = facts.withColumn("cites", cited).withColumn("told", F.map_values("cites"))
+    rows = rows.withColumn("cites", F.map_from_arrays(F.map_keys("cites"), F.transform("told", lambda c, i: c.withField("at", i + 1))))
+    rows = rows.withColumn("place", F.array(*(F.coalesce(c, F.lit(0)).cast("tinyint") for c in (*_side("left"), *_side("right")))))
     bit = lambda k: F.lit(1 << (k % len(CHECKS)) + (RIGHT if k >= len(CHECKS) else 0)).cast("bigint")
-    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(c.isNotNull(), bit(k)).otherwise(F.lit(0).cast("bigint")) for k, c in enumerate(each)))
-    rows = facts.withColumns({"cited": F.array(*each), "bits": bits, "open": F.array_contains("unresolved", "exclusivity")}).filter("bits <> 0")
-    rows = rows.withColumn("cites", F.array_distinct(F.array_compact("cited")))
-    place = F.transform("cited", lambda c: F.coalesce(F.array_position("cites", c), F.lit(0))).cast("array<tinyint>")
+    bits = reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.get("place", F.lit(k)) > 0, bit(k)).otherwise(F.lit(0).cast("bigint")) for k in range(2 * len(CHECKS))))
+    rows = rows.withColumns({"bits": bits, "open": F.array_contains("unresolved", "exclusivity")}).filter("bits <> 0").drop("cites").withColumnRenamed("told", "cites")
+    rows = rows.withColumn("marks", F.transform("place", lambda i: F.when(i > 0, F.hash(F.get("cites", i - 1)["quote"]))))
     ip = F.lit((1 << _IP) | (1 << _IP + RIGHT)).cast("bigint")
     ip_assets = F.when(F.col("bits").bitwiseAND(ip) != 0, F.col("ip_assets"))
     own = ["file"] if "file" in facts.columns else []
-    kept = {"ord": "doc_ord", **{c: c for c in ("bits", "names", "linked", "usual", "assets", "start", "end", "territories", "law", "open", "cites", *own)}}
-    return rows.select("contract_id", *(F.col(c).alias(n) for n, c in kept.items()), ip_assets.alias("ip_assets"), place.alias("place"))
+    kept = {"ord": "doc_ord", **{c: c for c in ("bits", "names", "linked", "usual", "assets", "start", "end", "territories", "law", "open", "cites", "place", "marks", *own)}}
+    return rows.select("contract_id", *(F.col(c).alias(n) for n, c in kept.items()), ip_assets.alias("ip_assets"))
 
 
 def _as(may: DataFrame, s: str) -> DataFrame:
@@ -301,10 +309,12 @@ def _met_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame
     Of the rows of a pair one has checks, that whose name or asset comes first in what both share: there are no rows
     to bring together.
     """
-    met, facts = _matches(facts)
+    facts.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE)
+    met, facts, linked = _matches(facts)
     usual = saved(usual_names(facts, met) if usual is None else usual, "usual")
     none = F.array().cast("array<string>")
-    if usual.isEmpty():
+    some_usual = not usual.isEmpty()
+    if not some_usual:
         facts = facts.withColumn("usual", none)
     else:  # names that many share don't make a pair, but are named where a pair is made
         often = _named(facts).join(usual.withColumnRenamed("x", "name"), "name", "left_semi").groupBy("contract_id").agg(F.collect_set("name").alias("usual"))
@@ -315,26 +325,37 @@ def _met_pairs(facts: DataFrame, only: DataFrame | None = None, usual: DataFrame
     name, asset = 0, 1
     of = lambda what: lambda k: F.struct(F.lit(what).cast("tinyint").alias("kind"), k.alias("key"))
     keys = F.concat(F.transform(F.array_except("names", "usual"), of(name)), F.transform("assets", of(asset)))
-    keyed = may.select(F.explode(keys).alias("k"), "*").select("k.*", *may.columns)
-    other = met.filter("x <> y")
-    linked = may.filter(F.size("linked") > 0)
-    near = linked.withColumn("x", F.explode(F.array_except("linked", "usual"))).join(other, "x").select(F.lit(name).cast("tinyint").alias("kind"), F.col("y").alias("key"), "x", *may.columns)
-    held = linked.select(F.lit(name).cast("tinyint").alias("kind"), F.explode("linked").alias("key"), *may.columns)
+    keyed = may.withColumn("keys", keys).select(F.explode("keys").alias("k"), *may.columns).select("k.*", *may.columns)
     may_meet = (F.col("ord_a") < F.col("ord_b")) & (F.col("bits_a").bitwiseAND(F.shiftright("bits_b", RIGHT)) != 0)
     met_at = [x.join(y, ["kind", "key"]).filter(may_meet).withColumn("x", F.col("key")) for x, y in _meetings(_as(keyed, "a"), _as(keyed, "b"), only)]
-    met_at += [x.join(y, ["kind", "key"]).filter(may_meet) for x, y in _meetings(_as(near, "a"), _as(held, "b"), only)]
+    if linked:
+        those = may.filter(F.size("linked") > 0)
+        near = those.withColumn("x", F.explode(F.array_except("linked", "usual"))).join(met.filter("x <> y"), "x").select(F.lit(name).cast("tinyint").alias("kind"), F.col("y").alias("key"), "x", *may.columns)
+        held = those.select(F.lit(name).cast("tinyint").alias("kind"), F.explode("linked").alias("key"), *may.columns)
+        met_at += [x.join(y, ["kind", "key"]).filter(may_meet) for x, y in _meetings(_as(near, "a"), _as(held, "b"), only)]
     pairs = reduce(DataFrame.unionByName, met_at)
 
-    pairs = pairs.withColumns({"entities": _matching(), "assets": F.array_sort(F.array_intersect("assets_a", "assets_b"))})
-    pairs = pairs.withColumns({"ents": F.array_except("entities", F.array_union("usual_a", "usual_b")), "ip_assets": F.coalesce(F.array_sort(F.array_intersect("ip_assets_a", "ip_assets_b")), none)})
-    first = F.when(F.col("kind") == name, (F.get("ents", F.lit(0)) == F.col("x")) & (_least_match() == F.col("key"))).otherwise((F.size("ents") == 0) & (F.get("assets", F.lit(0)) == F.col("key")))
+    # What a pair is asked for is told without functions over arrays that Spark doesn't compile, but for names that match and aren't equal.
+    pairs = pairs.withColumns({"entities": _matching(linked), "assets": F.sort_array(F.array_intersect("assets_a", "assets_b")), "both": F.col("bits_a").bitwiseAND(F.shiftright("bits_b", RIGHT)).cast("int")})
+    ents = F.array_except("entities", F.array_union("usual_a", "usual_b")) if some_usual else F.col("entities")
+    pairs = pairs.withColumns({"ents": ents, "ip_assets": F.coalesce(F.sort_array(F.array_intersect("ip_assets_a", "ip_assets_b")), none)})
+    by_name = F.get("ents", F.lit(0)) == F.col("x")
+    if linked:
+        by_name = by_name & (_least_match() == F.col("key"))
+    first = F.when(F.col("kind") == name, by_name).otherwise((F.size("ents") == 0) & (F.get("assets", F.lit(0)) == F.col("key")))
     tests = []
     for k, check in enumerate(CHECKS):
-        test = F.col("bits_a").bitwiseAND(F.shiftright("bits_b", RIGHT)).bitwiseAND(F.lit(1 << k)) != 0
+        test = _in("both", k)
         for need in check.needs:
             test = test & (F.size(need) > 0)
-        tests.append(F.when(test & check.pair() if check.pair else test, F.lit(k)))
-    return pairs.withColumn("checks", F.when(first, F.array_compact(F.array(*tests))))  # no filter: it would be computed again below the join
+        tests.append(F.when(test & check.pair() if check.pair else test, F.lit(1 << k)).otherwise(0))
+    pairs = pairs.withColumn("held", F.when(first, reduce(lambda x, y: x.bitwiseOR(y), tests)).otherwise(0))
+    checks = F.array_except(F.array(*(F.when(_in("held", k), F.lit(k)) for k in range(len(CHECKS)))), F.array(F.lit(None).cast("int")))
+    return pairs.withColumn("checks", checks)  # no filter: it would be computed again below the join
+
+
+def _in(bits: str, k: int) -> Column:
+    return F.col(bits).bitwiseAND(F.lit(1 << k)) != 0
 
 
 def _cited(k: Column, s: str) -> Column:
@@ -356,11 +377,8 @@ def _nth(k: Column, attr: str) -> Column:
 def _told() -> dict[str, Column]:
     """Subject, entities, citations and words of conflict check_ord of a pair."""
     k = F.col("check_ord")
-    lists = {"assets": F.array_join("assets", ", "), "ents": F.array_join("ents", "; "), "ip_assets": F.array_join("ip_assets", ", ")}
-    subject = F.lit("")
-    for n, check in enumerate(CHECKS):
-        said = F.coalesce(*(F.nullif(lists[c], F.lit("")) for c in check.subject), F.lit(check.otherwise))
-        subject = F.when(k == n, said).otherwise(subject)
+    said = [(c, [n for n, check in enumerate(CHECKS) if c in check.subject], by) for c, by in (("assets", ", "), ("ip_assets", ", "), ("ents", "; "))]  # in the order of all checks' subjects
+    subject = F.coalesce(*(F.when(k.isin(*those) & (F.size(c) > 0), F.nullif(F.array_join(c, by), F.lit(""))) for c, those, by in said), _nth(k, "otherwise"))
     named = F.when(F.size("entities") > 0, F.col("entities")).otherwise(F.array(F.lit(NOBODY)))
     return {"subject": subject, "entities": named, "cite_a": _cited(k, "a"), "cite_b": _cited(k, "b"), "description": _nth(k, "says"), "recommended_action": _nth(k, "advice")}
 
@@ -381,12 +399,16 @@ def merged_pairs(facts: DataFrame) -> DataFrame:
 
     Facts with a column file give file_a and file_b too, and more fields of their citations stay.
     """
-    pairs = _met_pairs(facts)
-    one = lambda k: F.struct(k.alias("check_ord"), _nth(k, "type").alias("type"), labels.rank(_nth(k, "severity"), labels.SEVERITIES).alias("sr"), labels.rank(_confidence(k), labels.CONFIDENCES).alias("cr"), _quotes(_cited(k, "a"), _cited(k, "b")).alias("quotes"))
-    pairs = pairs.withColumn("each", F.transform("checks", one))
-    pairs = pairs.withColumn("t", F.explode_outer(F.transform(F.array_distinct("each.quotes"), lambda q: F.filter("each", lambda x: x["quotes"] == q)))).filter("t is not null")
-    first = F.get("t", F.lit(0))
-    pairs = pairs.withColumns({"check_ord": first["check_ord"], "quotes": first["quotes"], "type": _types(), "sr": F.array_min("t.sr"), "cr": F.array_min("t.cr")})
+    k, clear = F.col("check_ord"), F.col("clear")
+    sums = [F.when(_in("held", n), F.get("marks_a", F.lit(n)).cast("bigint") + F.get("marks_b", F.lit(n + len(CHECKS)))) for n in range(len(CHECKS))]
+    told = F.bit_count("held") + F.when(F.col("held") == (1 << len(CHECKS)) - 1, 0).otherwise(1)  # nulls count as one
+    pairs = _met_pairs(facts).withColumn("clear", F.size(F.array_distinct(F.array(*sums))) == told)  # then no two conflicts of the pair have the same quotes
+    pairs = pairs.withColumn("check_ord", F.explode_outer("checks")).filter("check_ord is not null")
+    quotes = lambda k: _quotes(_cited(k, "a"), _cited(k, "b"))
+    pairs = pairs.withColumn("quotes", quotes(k)).withColumn("t", F.when(clear, None).otherwise(F.filter("checks", lambda n: quotes(n) == F.col("quotes")))).filter(clear | (F.get("t", F.lit(0)) == k))
+    rank = {"sr": lambda k: F.get(F.array(*(F.lit(labels.SEVERITIES.index(c.severity)) for c in CHECKS)), k), "cr": lambda k: labels.rank(_confidence(k), labels.CONFIDENCES)}
+    best = {c: F.when(clear, of(k)).otherwise(F.array_min(F.transform("t", of))) for c, of in rank.items()}
+    pairs = pairs.withColumns({"type": F.when(clear, _nth(k, "type")).otherwise(_types(lambda n: _nth(n, "type"))), **best})
     told = {"severity": _named_rank(labels.SEVERITIES, "sr"), "confidence": _named_rank(labels.CONFIDENCES, "cr"), **_told()}
     files = [c for c in ("file_a", "file_b") if c in pairs.columns]
     return pairs.select("a", "b", F.col("ord_a").alias("doc_ord_a"), F.col("ord_b").alias("doc_ord_b"), "check_ord", "quotes", "type", *(c.alias(n) for n, c in told.items()), "sr", "cr", *files)
@@ -421,12 +443,13 @@ def recheck_pairs(conflicts: DataFrame, before: DataFrame, after: DataFrame) ->
 
 
 def _quotes(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.array(a["quote"], b["quote"])))
+    x, y = a["quote"], b["quote"]
+    return F.when(x == y, F.array(x)).when(x < y, F.array(x, y)).otherwise(F.array(y, x))
 
 
-def _types() -> Column:
+def _types(of: Callable[[Column], Column] = lambda x: x["type"]) -> Column:
     """Types of t in order, none that is said already."""
-    return F.aggregate("t", F.lit(""), lambda s, x: F.when(s == "", x["type"]).when(s.contains(x["type"]), s).otherwise(F.concat(s, F.lit("; "), x["type"])))
+    return F.aggregate("t", F.lit(""), lambda s, x: F.when(s == "", of(x)).when(s.contains(of(x)), s).otherwise(F.concat(s, F.lit("; "), of(x))))
 
 
 def _named_rank(names: tuple[str, ...], r: str) -> Column:

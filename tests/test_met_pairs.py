@@ -100,3 +100,15 @@ def test_obligations_without_facts(spark):
     assert slim.orderBy("contract_id").collect() == full.orderBy("contract_id").collect() and slim.count() == 2
     facts, dated = cc.contract_facts(docs, found, told), cc.dated_facts(docs, found, told)
     assert dated.orderBy("contract_id").collect() == facts.select(dated.columns).orderBy("contract_id").collect()
+
+
+def test_pairs_are_judged_by_compiled_code(spark):
+    """Where no names but equal ones match and none is usual, no function over arrays that Spark doesn't compile is in what judges pairs; stages too big for Java's compiler are run by operators."""
+    docs = spark.createDataFrame([(k, k, [f"Solo {k // 2}"], None, None) for k in range(12)], "contract_id bigint, doc_ord bigint, counterparties array<string>, family string, amends bigint")
+    found = spark.createDataFrame([(k, "governing_law", "present", "", "direct") for k in range(12)], "contract_id bigint, category string, answer string, summary string, evidence_status string")
+    told = spark.createDataFrame([(k, "governing_law", 0, None, f"laws of {('Ohio', 'Utah')[k % 2]}.", 1, None, True) for k in range(12)], "contract_id bigint, category string, ord int, vlm_text string, supporting_text string, page int, clause string, is_grounded boolean")
+    rows = cc.check_pairs(saved(cc.contract_facts(docs, found, told), "facts"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "lambda" not in above and "Union" not in above and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == str(cc.HUGE)
+    assert sorted((r.a, r.b, r.type) for r in rows.collect()) == [(k, k + 1, "Governing Law / Forum Conflict") for k in range(0, 12, 2)]
